@@ -45,7 +45,7 @@ def explode_messages(df: DataFrame, col: str = "value") -> DataFrame:
 
 def _vt(v: Column, path: str) -> Column:
     """Variant type name at a JSON path: NULL when the key is missing, VOID for JSON null."""
-    return F.schema_of_variant(F.variant_get(v, path))
+    return F.schema_of_variant(F.variant_get(v, path, "variant"))
 
 
 def _is_num(t: Column) -> Column:
@@ -97,14 +97,14 @@ def parse_spans(df: DataFrame, col: str = "message", require_uuid: bool = True)
             & ((t("$.error.type") != "STRING") | (t("$.error.message") != "STRING") | (t("$.error.stack") != "STRING"))),
          "error"),
         (t("$.tags").isNull() | ~t("$.tags").startswith("OBJECT")
-         | F.exists(F.map_values(F.from_json(F.to_json(F.variant_get(v, "$.tags")), "map<string,string>")),
+         | F.exists(F.map_values(F.from_json(F.to_json(F.variant_get(v, "$.tags", "variant")), "map<string,string>")),
                     lambda x: x.isNull()),
          "tags"),
     ]
     reasons = F.filter(F.array(*[F.when(c, F.lit(name)) for c, name in rules]), lambda x: x.isNotNull())
-    err = F.variant_get(v, "$.error")
+    err = F.variant_get(v, "$.error", "variant")
     has_err = err.isNotNull() & ~F.is_variant_null(err)
-    tag_types = F.from_json(F.to_json(F.variant_get(v, "$.tags")), "map<string,string>")
+    tag_types = F.from_json(F.to_json(F.variant_get(v, "$.tags", "variant")), "map<string,string>")
     out = df.select(
         "*",
         F.variant_get(v, "$.schema_version", "string").alias("schema_version"),
@@ -119,8 +119,8 @@ def parse_spans(df: DataFrame, col: str = "message", require_uuid: bool = True)
         F.variant_get(v, "$.source.description", "string").alias("description"),
         F.try_variant_get(v, "$.timing.started_at", "double").alias("started_at"),
         F.try_variant_get(v, "$.timing.duration_ms", "double").alias("duration_ms"),
-        F.to_json(F.variant_get(v, "$.input")).alias("input_json"),
-        F.to_json(F.variant_get(v, "$.output")).alias("output_json"),
+        F.to_json(F.variant_get(v, "$.input", "variant")).alias("input_json"),
+        F.to_json(F.variant_get(v, "$.output", "variant")).alias("output_json"),
         has_err.alias("has_error"),
         F.when(has_err, F.variant_get(v, "$.error.type", "string")).alias("error_type"),
         F.when(has_err, F.variant_get(v, "$.error.message", "string")).alias("error_message"),
