@@ -234,3 +234,172 @@ def q_collapse_by_agent_edges(spark, sf_dir):
     s = events(spark, sf_dir)
     g = G.collapse(G.Graph(G.call_graph_nodes(s), G.call_graph_edges(s)), "agent")
     return g.edges.select("src_group", "dst_group", "call_count", r6("avg_duration_ms").alias("avg_duration_ms"))
+
+
+# ---------------------------------------------------------------- G1 / J3 / U4 diff between two cuts
+
+CUT_TS = 1705276800000  # 2024-01-15T00:00:00Z: base = spans received before, current = all
+
+
+@register(
+    "graph_diff",
+    with_ctes(EV)
+    + f""",
+b as (select agent_id, function_name, avg(duration_ms) as ba from span_events where received_at <= {CUT_TS} group by all),
+c as (select agent_id, function_name, avg(duration_ms) as ca from span_events group by all),
+j as (select coalesce(c.agent_id, b.agent_id) as agent_id, coalesce(c.function_name, b.function_name) as function_name,
+             b.ba, c.ca, case when b.ba > 0 then (c.ca - b.ba) / b.ba * 100 else 0 end as d
+      from c full outer join b on c.agent_id = b.agent_id and c.function_name = b.function_name)
+select agent_id, function_name,
+       case when ca is null then 'removed' when ba is null then 'added' when d > 10 then 'slower'
+            when d < -10 then 'faster' else 'unchanged' end as status,
+       {sql_r6('case when ca is null or ba is null then 0 else d end')} as delta_pct
+from j""",
+)
+def q_graph_diff(spark, sf_dir):
+    s = events(spark, sf_dir)
+    base = G.call_graph_nodes(s.where(F.col("received_at") <= CUT_TS))
+    cur = G.call_graph_nodes(s)
+    return G.graph_diff(base, cur).select("agent_id", "function_name", "status", r6("delta_pct").alias("delta_pct"))
+
+
+@register(
+    "removed_nodes",
+    with_ctes(EV)
+    + """
+select count(*) as removed_count from (
+  select distinct agent_id, function_name from span_events
+  except select distinct agent_id, function_name from span_events where function_name like 'UiService.%')""",
+)
+def q_removed_nodes(spark, sf_dir):
+    s = events(spark, sf_dir)
+    return G.removed_nodes(G.call_graph_nodes(s), G.call_graph_nodes(s.where(F.col("function_name").startswith("UiService."))))
+
+
+# ---------------------------------------------------------------- P6 / P7 / P8 / P18 / P19 / J7 / A19
+
+_SLOW_NODES_SQL = with_ctes(EV, EV_FLAGGED, _LIVE_NODES_SQL) + """,
+nodes as (select agent_id, function_name, call_count, avg_ms, has_anomaly, has_error,
+                 (nn >= 5 and avg_ms >= thr) as is_slow from slow)
+"""
+
+
+@register(
+    "filter_graph_errors_edges",
+    with_ctes(EV, EV_FLAGGED, _LIVE_NODES_SQL, _LIVE_EDGES_SQL)
+    + """,
+k as (select agent_id, function_name from n where has_error)
+select distinct src_agent_id, src_function_name, dst_agent_id, dst_function_name from links
+where not (src_agent_id = dst_agent_id and src_function_name = dst_function_name)
+  and (src_agent_id, src_function_name) in (select * from k)
+  and (dst_agent_id, dst_function_name) in (select * from k)""",
+)
+def q_filter_graph_errors_edges(spark, sf_dir):
+    g = G.filter_graph(G.call_graph(flag_anomalies(events(spark, sf_dir))), "errors")
+    return g.edges.select(*G.SRC, *G.DST)
+
+
+@register("filter_graph_slow_nodes", _SLOW_NODES_SQL + "select agent_id, function_name from nodes where is_slow")
+def q_filter_graph_slow_nodes(spark, sf_dir):
+    g = G.filter_graph(G.call_graph(flag_anomalies(events(spark, sf_dir))), "slow")
+    return g.nodes.select("agent_id", "function_name")
+
+
+@register(
+    "hide_nodes_edges",
+    with_ctes(EV, _LIVE_EDGES_SQL)
+    + """
+select distinct src_agent_id, src_function_name, dst_agent_id, dst_function_name from links
+where not (src_agent_id = dst_agent_id and src_function_name = dst_function_name)
+  and src_function_name <> 'raiseError' and dst_function_name <> 'raiseError'""",
+)
+def q_hide_nodes_edges(spark, sf_dir):
+    g = G.call_graph(events(spark, sf_dir))
+    hidden = g.nodes.where(F.col("function_name") == "raiseError")
+    return G.hide_nodes(g, hidden).edges.select(*G.SRC, *G.DST)
+
+
+@register(
+    "export_visibility_nodes",
+    with_ctes(EV)
+    + """
+select agent_id, function_name from span_events group by all
+having contains(lower(function_name), 'view') and bool_or(has_error) = false
+   and (case when strpos(function_name, '.') > 1 then split_part(function_name, '.', 1)
+             when regexp_matches(function_name, '^(handle|process)[A-Z]') then 'Handlers' else 'Other' end)
+       = 'UiService'""",
+)
+def q_export_visibility_nodes(spark, sf_dir):
+    g = G.export_graph(events(spark, sf_dir))
+    v = G.export_visibility(g, search="VIEW", node_filter="all", service="UiService")
+    return v.nodes.select("agent_id", "function_name")
+
+
+@register(
+    "export_visibility_edges",
+    with_ctes(EV)
+    + """,
+n as (select agent_id, function_name, bool_or(has_error) as e from span_events group by all),
+k as (select agent_id, function_name from n where e and contains(lower(function_name), 'error'))
+select distinct p.agent_id as src_agent_id, p.function_name as src_function_name,
+       c.agent_id as dst_agent_id, c.function_name as dst_function_name
+from span_events c join span_events p on c.parent_span_id = p.span_id
+where (p.agent_id, p.function_name) in (select * from k) and (c.agent_id, c.function_name) in (select * from k)""",
+)
+def q_export_visibility_edges(spark, sf_dir):
+    g = G.export_graph(events(spark, sf_dir))
+    return G.export_visibility(g, search="Error", node_filter="errors").edges.select(*G.SRC, *G.DST)
+
+
+@register(
+    "mark_nodes",
+    with_ctes(EV)
+    + """
+select agent_id, function_name, contains(lower(function_name), 'order') as marked from span_events group by all""",
+)
+def q_mark_nodes(spark, sf_dir):
+    return G.mark_nodes(G.call_graph_nodes(events(spark, sf_dir)), "Order").select("agent_id", "function_name", "marked")
+
+
+@register(
+    "edge_weights",
+    with_ctes(EV, _LIVE_EDGES_SQL)
+    + f""",
+ge as (select src_agent_id, src_function_name, dst_agent_id, dst_function_name, count(*) as call_count from links
+      where not (src_agent_id = dst_agent_id and src_function_name = dst_function_name) group by all)
+select *, {sql_r6('1 + call_count / greatest(max(call_count) over (), 1) * 4')} as weight from ge""",
+)
+def q_edge_weights(spark, sf_dir):
+    e = G.edge_weights(G.call_graph_edges(events(spark, sf_dir)))
+    return e.select(*G.SRC, *G.DST, "call_count", r6("weight").alias("weight"))
+
+
+@register(
+    "neighbours",
+    with_ctes(EV, _LIVE_EDGES_SQL)
+    + """,
+ge as (select src_agent_id, src_function_name, dst_agent_id, dst_function_name, count(*) as call_count from links
+      where not (src_agent_id = dst_agent_id and src_function_name = dst_function_name) group by all)
+select 'caller' as direction, src_agent_id as agent_id, src_function_name as function_name, call_count from ge
+where dst_agent_id = 'svc-0' and dst_function_name = 'raiseError'
+union all
+select 'callee', dst_agent_id, dst_function_name, call_count from ge
+where src_agent_id = 'svc-0' and src_function_name = 'raiseError'""",
+)
+def q_neighbours(spark, sf_dir):
+    n = G.neighbours(G.call_graph_edges(events(spark, sf_dir)), "svc-0", "raiseError")
+    return n.select("direction", "agent_id", "function_name", "call_count")
+
+
+@register(
+    "graph_health",
+    _SLOW_NODES_SQL
+    + """
+select sum(call_count) as total_calls, count(*) as functions,
+       floor(sum(avg_ms * call_count) / sum(call_count) + 0.5) as avg_latency_ms,
+       count(*) filter (where has_error) as error_nodes, count(*) filter (where has_anomaly) as anomaly_nodes,
+       count(*) filter (where is_slow) as slow_nodes
+from nodes""",
+)
+def q_graph_health(spark, sf_dir):
+    return G.graph_health(G.call_graph_nodes(flag_anomalies(events(spark, sf_dir))))
