@@ -94,3 +94,26 @@ def exact_mean(c: Column | str, scale: int = 6) -> Column:
     """
     col = F.col(c) if isinstance(c, str) else c
     return F.avg(col.cast(f"decimal(38,{scale})")).cast("double")
+
+
+def sequence_number(df: DataFrame, group_cols: list[str], order_cols: list, out: str = "seq",
+                    partitions: int | None = None) -> DataFrame:
+    """Consecutive 1-based numbers per group in ``order_cols`` order, without a window over a whole group.
+
+    The rows are range-partitioned on (group, order) and checkpointed (so partition ids are stable under
+    recomputation); each partition numbers its own rows; a small (group, partition) count table gives every
+    partition its offset. ``order_cols`` must end in a unique tiebreaker for the numbering to be deterministic.
+    """
+    from spanlens.session import cut_lineage
+
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rp = cut_lineage(df.repartitionByRange(n, *group_cols, *order_cols).withColumn("_pid", F.spark_partition_id()))
+    local = rp.withColumn(
+        "_l", F.row_number().over(Window.partitionBy("_pid", *group_cols).orderBy(*order_cols))
+    )
+    counts = rp.groupBy(*group_cols, "_pid").agg(F.count(F.lit(1)).alias("_c"))
+    before = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offs = counts.withColumn("_off", F.coalesce(F.sum("_c").over(before), F.lit(0))).drop("_c")
+    return local.join(offs, [*group_cols, "_pid"]).withColumn(out, F.col("_off") + F.col("_l")).drop(
+        "_pid", "_l", "_off"
+    )
