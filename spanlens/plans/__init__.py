@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from spanlens.plans import graph_queries, report_queries, session_queries, span_queries, tree_queries  # noqa: F401
+from spanlens.plans import (  # noqa: F401  (registers queries)
+    contract_queries,
+    graph_queries,
+    report_queries,
+    session_queries,
+    span_queries,
+    tree_queries,
+)
 from spanlens.plans.registry import ORACLES, QUERIES
 
 
