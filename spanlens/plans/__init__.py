@@ -9,6 +9,7 @@ from spanlens.plans import (  # noqa: F401  (registers queries)
     report_queries,
     session_queries,
     span_queries,
+    stream_queries,
     tree_queries,
 )
 from spanlens.plans.registry import ORACLES, QUERIES
