@@ -117,3 +117,32 @@ def sequence_number(df: DataFrame, group_cols: list[str], order_cols: list, out:
     return local.join(offs, [*group_cols, "_pid"]).withColumn(out, F.col("_off") + F.col("_l")).drop(
         "_pid", "_l", "_off"
     )
+
+
+EXACT_SCALE = 9  # durations are summed exactly at 1e-9 ms resolution
+
+
+def exact_sum(c: Column | str) -> Column:
+    """Order-independent sum (decimal) — same result on every recomputation and engine."""
+    col = F.col(c) if isinstance(c, str) else c
+    return F.sum(col.cast(f"decimal(38,{EXACT_SCALE})"))
+
+
+def with_rounded_mean(df: DataFrame, sum_col: str, n_col: str, digits: int, out: str) -> DataFrame:
+    """``out`` = exact mean sum/n rounded half-up to ``digits`` places, by integer arithmetic only
+    (so no floating summation order or division rounding can move a value across a rounding boundary)."""
+    k = 10 ** (EXACT_SCALE - digits)
+    return (
+        df.withColumn("_rm_s", (F.col(sum_col) * F.lit(10 ** EXACT_SCALE)).cast("decimal(38,0)"))
+        .withColumn(out, F.expr(f"cast((_rm_s * 2 + `{n_col}` * {k}) div (`{n_col}` * {2 * k}) as double)"
+                                f" / cast({10 ** digits} as double)"))
+        .drop("_rm_s")
+    )
+
+
+def sql_rounded_mean(expr: str, digits: int) -> str:
+    """DuckDB twin of ``with_rounded_mean`` over a column expression (aggregate)."""
+    k = 10 ** (EXACT_SCALE - digits)
+    s = f"cast(sum(cast({expr} as decimal(38,{EXACT_SCALE}))) * {10 ** EXACT_SCALE} as hugeint)"
+    n = f"count({expr})"
+    return f"((({s}) * 2 + {n} * {k}) // ({n} * {2 * k})) / {float(10 ** digits)}"

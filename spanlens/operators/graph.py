@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanlens.functions.scalar import js_round, service_of
-from spanlens.functions.stats import exact_mean, p95_floor, p95_rank, rank_floor95
+from spanlens.functions.stats import exact_sum, p95_floor, p95_rank, rank_floor95, with_rounded_mean
 from spanlens.schema import arrival_key, conform
 
 NODE_KEYS = ["agent_id", "function_name"]
@@ -101,6 +101,7 @@ def call_graph_nodes(spans: DataFrame) -> DataFrame:
     agg = s.groupBy(*NODE_KEYS).agg(
         F.count(F.lit(1)).alias("call_count"),
         F.avg("duration_ms").alias("avg_duration_ms"),
+        exact_sum("duration_ms").alias("total_duration_ms"),
         F.coalesce(F.bool_or("anomaly"), F.lit(False)).alias("has_anomaly"),
         F.coalesce(F.bool_or("has_error"), F.lit(False)).alias("has_error"),
         F.min_by(F.struct("file", "description", "line"), arrival_key()).alias("_first"),
@@ -117,6 +118,7 @@ def call_graph_nodes(spans: DataFrame) -> DataFrame:
         F.col("_first.description").alias("description"),
         "call_count",
         "avg_duration_ms",
+        "total_duration_ms",
         F.coalesce("p95_duration_ms", F.lit(0.0)).alias("p95_duration_ms"),
         "has_anomaly",
         "has_error",
@@ -134,6 +136,7 @@ def call_graph_edges(spans: DataFrame) -> DataFrame:
     return links.groupBy(*SRC, *DST).agg(
         F.count(F.lit(1)).alias("call_count"),
         F.avg("duration_ms").alias("avg_duration_ms"),
+        exact_sum("duration_ms").alias("total_duration_ms"),
         F.min("_arr").alias("first_seen"),
     )
 
@@ -150,12 +153,13 @@ def export_nodes(spans: DataFrame) -> DataFrame:
     s = conform(spans)
     agg = s.groupBy(*NODE_KEYS).agg(
         F.count(F.lit(1)).alias("call_count"),
-        exact_mean("duration_ms").alias("_avg"),
+        exact_sum("duration_ms").alias("_sum"),
         F.coalesce(F.bool_or("anomaly"), F.lit(False)).alias("has_anomaly"),
         F.coalesce(F.bool_or("has_error"), F.lit(False)).alias("has_error"),
         F.min_by(F.struct("file", "line", "description"), arrival_key()).alias("_first"),
         F.min(arrival_key()).alias("first_seen"),
     )
+    agg = with_rounded_mean(agg, "_sum", "call_count", 2, "_avg")
     p95 = p95_rank(s, NODE_KEYS, "duration_ms", out="_p95").drop("n")
     return agg.join(p95, NODE_KEYS, "left").select(
         *NODE_KEYS,
@@ -164,7 +168,7 @@ def export_nodes(spans: DataFrame) -> DataFrame:
         F.col("_first.line").alias("line"),
         F.col("_first.description").alias("description"),
         "call_count",
-        js_round("_avg", 2).alias("avg_duration_ms"),
+        F.col("_avg").alias("avg_duration_ms"),
         js_round(F.coalesce("_p95", F.lit(0.0)), 2).alias("p95_duration_ms"),
         "has_anomaly",
         "has_error",
@@ -175,11 +179,12 @@ def export_nodes(spans: DataFrame) -> DataFrame:
 def export_edges(spans: DataFrame) -> DataFrame:
     """Export edges; self-loops kept; child = the span's own node; mean rounded to 2 places."""
     links = caller_links(spans, child_from_index=False)
-    return links.groupBy(*SRC, *DST).agg(
+    e = links.groupBy(*SRC, *DST).agg(
         F.count(F.lit(1)).alias("call_count"),
-        js_round(exact_mean("duration_ms"), 2).alias("avg_duration_ms"),
+        exact_sum("duration_ms").alias("_sum"),
         F.min("_arr").alias("first_seen"),
     )
+    return with_rounded_mean(e, "_sum", "call_count", 2, "avg_duration_ms").drop("_sum")
 
 
 def export_graph(spans: DataFrame) -> Graph:

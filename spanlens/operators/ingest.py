@@ -44,8 +44,8 @@ def explode_messages(df: DataFrame, col: str = "value") -> DataFrame:
 
 
 def _vt(v: Column, path: str) -> Column:
-    """Variant type name at a JSON path: NULL when the key is missing, VOID for JSON null."""
-    return F.schema_of_variant(F.variant_get(v, path, "variant"))
+    """Variant type name at a JSON path: ``MISSING`` when the key is absent, ``VOID`` for JSON null."""
+    return F.coalesce(F.schema_of_variant(F.variant_get(v, path, "variant")), F.lit("MISSING"))
 
 
 def _is_num(t: Column) -> Column:
@@ -65,40 +65,42 @@ def parse_spans(df: DataFrame, col: str = "message", require_uuid: bool = True)
 
     def uuid_ok(p: str) -> Column:
         s = F.variant_get(v, p, "string")
-        return s.rlike(UUID_PATTERN) if require_uuid else F.lit(True)
+        return F.coalesce(s.rlike(UUID_PATTERN), F.lit(False)) if require_uuid else F.lit(True)
 
     rules = [
-        (v.isNull() | ~t("$").startswith("OBJECT"), "not_an_object"),
+        (~t("$").startswith("OBJECT"), "not_an_object"),
         ((t("$.schema_version") != "STRING") | (F.variant_get(v, "$.schema_version", "string") != SCHEMA_VERSION),
          "schema_version"),
         ((t("$.trace_id") != "STRING") | ~uuid_ok("$.trace_id"), "trace_id"),
         ((t("$.span_id") != "STRING") | ~uuid_ok("$.span_id"), "span_id"),
-        (t("$.parent_span_id").isNull()
+        ((t("$.parent_span_id") == "MISSING")
          | ((t("$.parent_span_id") != "VOID") & ((t("$.parent_span_id") != "STRING") | ~uuid_ok("$.parent_span_id"))),
          "parent_span_id"),
-        ((t("$.source.agent_id") != "STRING") | (F.length(F.variant_get(v, "$.source.agent_id", "string")) < 1),
-         "source.agent_id"),
+        ((t("$.source.agent_id") != "STRING")
+         | (F.coalesce(F.length(F.variant_get(v, "$.source.agent_id", "string")), F.lit(0)) < 1), "source.agent_id"),
         ((t("$.source.language") != "STRING")
-         | ~F.variant_get(v, "$.source.language", "string").isin(*LANGUAGES), "source.language"),
+         | ~F.coalesce(F.variant_get(v, "$.source.language", "string").isin(*LANGUAGES), F.lit(False)),
+         "source.language"),
         (t("$.source.file") != "STRING", "source.file"),
         (~_is_num(t("$.source.line"))
-         | (F.variant_get(v, "$.source.line", "double") < 0)
-         | (F.variant_get(v, "$.source.line", "double") != F.floor(F.variant_get(v, "$.source.line", "double"))),
+         | F.coalesce((F.try_variant_get(v, "$.source.line", "double") < 0)
+                      | (F.try_variant_get(v, "$.source.line", "double")
+                         != F.floor(F.try_variant_get(v, "$.source.line", "double"))), F.lit(False)),
          "source.line"),
         (t("$.source.function_name") != "STRING", "source.function_name"),
-        (t("$.source.description").isNotNull() & (t("$.source.description") != "STRING"), "source.description"),
-        (~_is_num(t("$.timing.started_at")) | (F.variant_get(v, "$.timing.started_at", "double") <= 0),
-         "timing.started_at"),
-        (~_is_num(t("$.timing.duration_ms")) | (F.variant_get(v, "$.timing.duration_ms", "double") < 0),
-         "timing.duration_ms"),
+        ((t("$.source.description") != "MISSING") & (t("$.source.description") != "STRING"), "source.description"),
+        (~_is_num(t("$.timing.started_at"))
+         | F.coalesce(F.try_variant_get(v, "$.timing.started_at", "double") <= 0, F.lit(False)), "timing.started_at"),
+        (~_is_num(t("$.timing.duration_ms"))
+         | F.coalesce(F.try_variant_get(v, "$.timing.duration_ms", "double") < 0, F.lit(False)), "timing.duration_ms"),
         (~t("$.input").startswith("ARRAY"), "input"),
-        (t("$.error").isNull()
+        ((t("$.error") == "MISSING")
          | ((t("$.error") != "VOID")
             & ((t("$.error.type") != "STRING") | (t("$.error.message") != "STRING") | (t("$.error.stack") != "STRING"))),
          "error"),
-        (t("$.tags").isNull() | ~t("$.tags").startswith("OBJECT")
-         | F.exists(F.map_values(F.from_json(F.to_json(F.variant_get(v, "$.tags", "variant")), "map<string,string>")),
-                    lambda x: x.isNull()),
+        (~t("$.tags").startswith("OBJECT")
+         | F.coalesce(F.exists(F.map_values(F.try_variant_get(v, "$.tags", "map<string,variant>")),
+                               lambda x: F.schema_of_variant(x) != "STRING"), F.lit(False)),
          "tags"),
     ]
     reasons = F.filter(F.array(*[F.when(c, F.lit(name)) for c, name in rules]), lambda x: x.isNotNull())

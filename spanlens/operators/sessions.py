@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanlens.functions.scalar import iso_time, js_round
-from spanlens.functions.stats import exact_mean, p95_rank, sequence_number
+from spanlens.functions.stats import exact_sum, p95_rank, sequence_number, with_rounded_mean
 from spanlens.schema import conform
 
 CALL_COLUMNS = ["session", "sequence", "function", "span_id", "trace_id", "args_json", "return_json",
@@ -79,12 +79,13 @@ def list_sessions(calls: DataFrame, sessions: DataFrame) -> DataFrame:
 
 def session_summary(calls: DataFrame) -> DataFrame:
     """Per session and function: calls, errors, error rate, rounded mean ms."""
-    return calls.groupBy("session", "function").agg(
+    agg = calls.groupBy("session", "function").agg(
         F.count(F.lit(1)).alias("calls"),
         F.count_if(F.col("error_type").isNotNull()).alias("errors"),
         F.avg(F.col("error_type").isNotNull().cast("double")).alias("error_rate"),
-        js_round(exact_mean("duration_ms")).alias("avg_ms"),
+        exact_sum("duration_ms").alias("_sum"),
     )
+    return with_rounded_mean(agg, "_sum", "calls", 0, "avg_ms").drop("_sum")
 
 
 def merge_sessions(calls: DataFrame, sessions: DataFrame, names: list[str], new_name: str
@@ -146,9 +147,8 @@ def session_examples(calls: DataFrame, successes: int = 3, errors: int = 2, args
     first_args = arg_rank.where(F.col("_a") <= args).groupBy(*key).agg(
         F.array_sort(F.collect_list(F.struct("sequence", "args_json"))).alias("_g")
     )
-    stats = calls.groupBy(*key).agg(
-        F.count(F.lit(1)).alias("call_count"), js_round(exact_mean("duration_ms")).alias("avg_ms")
-    )
+    stats = calls.groupBy(*key).agg(F.count(F.lit(1)).alias("call_count"), exact_sum("duration_ms").alias("_sum"))
+    stats = with_rounded_mean(stats, "_sum", "call_count", 0, "avg_ms").drop("_sum")
     return stats.join(firsts, key, "left").join(first_args, key, "left").select(
         *key, "call_count", "avg_ms",
         F.transform("_s", lambda x: x["return_json"]).alias("success_returns"),

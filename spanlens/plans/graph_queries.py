@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spanlens.operators import graph as G
 from spanlens.operators.ingest import flag_anomalies
+from spanlens.functions.stats import sql_rounded_mean, with_rounded_mean
 from spanlens.plans.registry import EV, EV_FLAGGED, ORD, events, orders, r6, register, sql_r, sql_r6, with_ctes
 
 # ---------------------------------------------------------------- A1 + A3 live nodes
@@ -18,6 +19,7 @@ nd as (
   from flagged),
 n as (
   select agent_id, function_name, count(*) as call_count, avg(duration_ms) as avg_ms,
+         {avg6} as avg6,
          max(case when drn = least(floor(0.95::double * dn), dn - 1) + 1 then duration_ms end) as p95,
          bool_or(anomaly) as has_anomaly, bool_or(has_error) as has_error,
          first(file order by received_at, ingest_seq) as file,
@@ -27,13 +29,17 @@ ns as (
   select *, row_number() over (order by avg_ms, agent_id, function_name) as rn, count(*) over () as nn from n),
 slow as (
   select *, max(case when rn = least(floor(0.95::double * nn), nn - 1) + 1 then avg_ms end) over () as thr from ns)
-"""
+""".replace("{avg6}", sql_rounded_mean("duration_ms", 6))
+
+
+def mean6(df: DataFrame) -> DataFrame:
+    """Reported mean: the exact mean rounded half-up to 6 places (integer arithmetic, same in DuckDB)."""
+    return with_rounded_mean(df, "total_duration_ms", "call_count", 6, "avg_duration_ms")
 
 
 def live_nodes_out(nodes: DataFrame) -> DataFrame:
-    return nodes.select(
-        "agent_id", "function_name", "node_id", "file", "call_count",
-        r6("avg_duration_ms").alias("avg_duration_ms"), "p95_duration_ms",
+    return mean6(nodes).select(
+        "agent_id", "function_name", "node_id", "file", "call_count", "avg_duration_ms", "p95_duration_ms",
         "has_anomaly", "has_error", "latest_span_id", "is_slow",
     )
 
@@ -43,7 +49,7 @@ def live_nodes_out(nodes: DataFrame) -> DataFrame:
     with_ctes(EV, EV_FLAGGED, _LIVE_NODES_SQL)
     + f"""
 select agent_id, function_name, concat(agent_id, ':', function_name) as node_id, file, call_count,
-       {sql_r6('avg_ms')} as avg_duration_ms, p95 as p95_duration_ms, has_anomaly, has_error, latest_span_id,
+       avg6 as avg_duration_ms, p95 as p95_duration_ms, has_anomaly, has_error, latest_span_id,
        (nn >= 5 and avg_ms >= thr) as is_slow
 from slow""",
 )
@@ -61,21 +67,21 @@ nd as (
   from span_orders),
 n as (
   select agent_id, function_name, count(*) as call_count, avg(duration_ms) as avg_ms,
+         {avg6} as avg6,
          max(case when drn = least(floor(0.95::double * dn), dn - 1) + 1 then duration_ms end) as p95
   from nd group by agent_id, function_name),
 ns as (select *, row_number() over (order by avg_ms, agent_id, function_name) as rn, count(*) over () as nn from n),
 slow as (select *, max(case when rn = least(floor(0.95::double * nn), nn - 1) + 1 then avg_ms end) over () as thr
          from ns)
-"""
+""".replace("{avg6}", sql_rounded_mean("duration_ms", 6))
     + f"""
-select agent_id, function_name, call_count, {sql_r6('avg_ms')} as avg_duration_ms, p95 as p95_duration_ms,
+select agent_id, function_name, call_count, avg6 as avg_duration_ms, p95 as p95_duration_ms,
        (nn >= 5 and avg_ms >= thr) as is_slow
 from slow""",
 )
 def q_call_graph_nodes_orders(spark, sf_dir):
-    n = G.call_graph_nodes(orders(spark, sf_dir))
-    return n.select("agent_id", "function_name", "call_count", r6("avg_duration_ms").alias("avg_duration_ms"),
-                    "p95_duration_ms", "is_slow")
+    n = mean6(G.call_graph_nodes(orders(spark, sf_dir)))
+    return n.select("agent_id", "function_name", "call_count", "avg_duration_ms", "p95_duration_ms", "is_slow")
 
 
 # ---------------------------------------------------------------- A2 live edges
@@ -98,14 +104,14 @@ links as (
     with_ctes(EV, _LIVE_EDGES_SQL)
     + f"""
 select src_agent_id, src_function_name, dst_agent_id, dst_function_name, count(*) as call_count,
-       {sql_r6('avg(duration_ms)')} as avg_duration_ms
+       {sql_rounded_mean('duration_ms', 6)} as avg_duration_ms
 from links
 where not (src_agent_id = dst_agent_id and src_function_name = dst_function_name)
 group by all""",
 )
 def q_call_graph_edges(spark, sf_dir):
-    e = G.call_graph_edges(events(spark, sf_dir))
-    return e.select(*G.SRC, *G.DST, "call_count", r6("avg_duration_ms").alias("avg_duration_ms"))
+    e = mean6(G.call_graph_edges(events(spark, sf_dir)))
+    return e.select(*G.SRC, *G.DST, "call_count", "avg_duration_ms")
 
 
 @register(
@@ -114,14 +120,14 @@ def q_call_graph_edges(spark, sf_dir):
     + f"""
 select p.agent_id as src_agent_id, p.function_name as src_function_name,
        c.agent_id as dst_agent_id, c.function_name as dst_function_name, count(*) as call_count,
-       {sql_r6('avg(c.duration_ms)')} as avg_duration_ms
+       {sql_rounded_mean('c.duration_ms', 6)} as avg_duration_ms
 from span_orders c join span_orders p on c.parent_span_id = p.span_id
 where not (p.agent_id = c.agent_id and p.function_name = c.function_name)
 group by all""",
 )
 def q_call_graph_edges_orders(spark, sf_dir):
-    e = G.call_graph_edges(orders(spark, sf_dir))
-    return e.select(*G.SRC, *G.DST, "call_count", r6("avg_duration_ms").alias("avg_duration_ms"))
+    e = mean6(G.call_graph_edges(orders(spark, sf_dir)))
+    return e.select(*G.SRC, *G.DST, "call_count", "avg_duration_ms")
 
 
 # ---------------------------------------------------------------- A6 / A7 / A8 export graph
@@ -139,7 +145,7 @@ nd as (
     + f"""
 select agent_id, function_name, concat(agent_id, '::', function_name) as node_id,
        first(file order by received_at, ingest_seq) as file, count(*) as call_count,
-       {sql_r('avg(cast(duration_ms as decimal(38,6)))', 2)} as avg_duration_ms,
+       {sql_rounded_mean('duration_ms', 2)} as avg_duration_ms,
        {sql_r('max(case when drn = greatest(ceil(0.95::double * dn) - 1, 0) + 1 then duration_ms end)', 2)}
          as p95_duration_ms,
        bool_or(anomaly) as has_anomaly, bool_or(has_error) as has_error
@@ -162,7 +168,7 @@ idx as (
     from span_events) where k = 1)
 select p.agent_id as src_agent_id, p.function_name as src_function_name,
        c.agent_id as dst_agent_id, c.function_name as dst_function_name, count(*) as call_count,
-       {sql_r('avg(cast(c.duration_ms as decimal(38,6)))', 2)} as avg_duration_ms
+       {sql_rounded_mean('c.duration_ms', 2)} as avg_duration_ms
 from span_events c join idx p on c.parent_span_id = p.span_id
 group by all""",
 )

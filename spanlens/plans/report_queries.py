@@ -8,6 +8,7 @@ from spanlens.functions import scalar as S
 from spanlens.operators import graph as G
 from spanlens.operators import reports as RP
 from spanlens.operators.ingest import flag_anomalies
+from spanlens.functions.stats import sql_rounded_mean
 from spanlens.plans.registry import EV, EV_FLAGGED, events, r6, register, sql_r, sql_r6, with_ctes
 
 _EXPORT_NODES_SQL = f"""
@@ -17,7 +18,7 @@ nd as (
   from flagged),
 xn as (
   select agent_id, function_name, count(*) as call_count, first(file order by received_at, ingest_seq) as file,
-         {sql_r('avg(cast(duration_ms as decimal(38,6)))', 2)} as avg_duration_ms,
+         {sql_rounded_mean('duration_ms', 2)} as avg_duration_ms,
          {sql_r('max(case when drn = greatest(ceil(0.95::double * dn) - 1, 0) + 1 then duration_ms end)', 2)}
            as p95_duration_ms,
          bool_or(anomaly) as has_anomaly, bool_or(has_error) as has_error,

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spanlens.operators import sessions as SS
 from spanlens.operators.filters import filter_calls
+from spanlens.functions.stats import sql_rounded_mean
 from spanlens.plans.registry import EV, events, r6, register, sql_r, sql_r6, with_ctes
 
 CUT_TS = 1705276800000
@@ -75,7 +76,7 @@ def q_list_sessions(spark, sf_dir):
     + f"""
 select session, function, count(*) as calls, count(error_type) as errors,
        {sql_r6('avg(case when error_type is not null then 1.0 else 0.0 end)')} as error_rate,
-       {sql_r('avg(cast(duration_ms as decimal(38,6)))', 0)} as avg_ms
+       {sql_rounded_mean('duration_ms', 0)} as avg_ms
 from calls group by all""",
 )
 def q_session_summary(spark, sf_dir):
@@ -167,7 +168,7 @@ def q_session_timeline(spark, sf_dir):
     + f""",
 r as (select *, row_number() over (partition by session, function, error_type is null order by sequence) as k,
              row_number() over (partition by session, function order by sequence) as ka from calls)
-select session, function, count(*) as call_count, {sql_r('avg(cast(duration_ms as decimal(38,6)))', 0)} as avg_ms,
+select session, function, count(*) as call_count, {sql_rounded_mean('duration_ms', 0)} as avg_ms,
        coalesce(list(return_json order by sequence) filter (where error_type is null and k <= 3), []) as success_returns,
        coalesce(list(error_type order by sequence) filter (where error_type is not null and k <= 2), []) as error_types,
        list(args_json order by sequence) filter (where ka <= 3) as first_args

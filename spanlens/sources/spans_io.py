@@ -239,14 +239,16 @@ def read_contracts(spark: SparkSession, path: str) -> DataFrame:
         & F.schema_of_variant(F.variant_get(v, "$.args", "variant")).startswith("ARRAY")
     )
     now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    # schema texts keep their original key order: parse them as raw JSON strings, not as VARIANT
+    raw_text = F.from_json("value", "args array<string>, returns string, errors array<string>")
     return raw.where(ok).select(
         F.try_variant_get(v, "$.functionName", "string").alias("function_name"),
         F.lit("1.0").alias("version"),
         F.coalesce(F.try_variant_get(v, "$.generatedAt", "string"), now).alias("generated_at"),
         F.coalesce(F.try_variant_get(v, "$.sampleCount", "long"), F.lit(0)).alias("sample_count"),
-        F.transform(F.try_variant_get(v, "$.args", "array<variant>"), lambda x: F.to_json(x)).alias("args"),
-        F.coalesce(F.to_json(F.variant_get(v, "$.returns", "variant")), F.lit("{}")).alias("returns"),
-        F.transform(F.try_variant_get(v, "$.errors", "array<variant>"), lambda x: F.to_json(x)).alias("errors"),
+        raw_text["args"].alias("args"),
+        F.coalesce(raw_text["returns"], F.lit("{}")).alias("returns"),
+        raw_text["errors"].alias("errors"),
     )
 
 
