@@ -382,3 +382,60 @@ def graph_health(nodes: DataFrame) -> DataFrame:
         F.count_if(F.col("is_slow")).alias("slow_nodes"),
     )
     return out.where(F.col("functions") > 0)
+
+
+# ---------------------------------------------------------------- J9 replay frames
+
+TICK_MS = 1_000
+SPEEDS = (0.5, 1, 2, 10)
+
+
+def replay_frames(spans: DataFrame, seek_ts: int | None = None, speed: float = 1, lookback_ms: int = 60_000
+                  ) -> DataFrame:
+    """The node table of every playback frame: frame i shows spans received at or before
+    seek + i * 1000 ms * speed while that is before the newest span; the last frame is live (all spans).
+
+    ``seek_ts`` None starts ``lookback_ms`` before the newest span. Per node, spans are aggregated by the first
+    frame that shows them, then accumulated over frames (a running sum over one node's frames), so no frame
+    re-reads the spans. Columns: frame, frame_ts (NULL for the live frame), agent_id, function_name,
+    call_count, total_duration_ms, avg_duration_ms, has_anomaly, has_error, is_slow.
+    """
+    if speed not in SPEEDS:
+        raise ValueError(f"speed must be one of {SPEEDS}")
+    step = int(TICK_MS * speed) if float(TICK_MS * speed).is_integer() else TICK_MS * speed
+    s = conform(spans)
+    bounds = s.agg(F.max("received_at").alias("_max"))
+    seek = F.lit(seek_ts) if seek_ts is not None else F.col("_max") - F.lit(lookback_ms)
+    # frames before live: seek + i*step < max  →  i < (max - seek) / step
+    bounds = bounds.withColumn("_seek", seek.cast("long")).withColumn(
+        "_nf", F.greatest(F.ceil((F.col("_max") - F.col("_seek")) / F.lit(float(step))), F.lit(0)).cast("long"))
+    # first frame showing a span: smallest i with seek + i*step >= received_at; beyond the last frame → live (= nf)
+    fi = F.greatest(F.ceil((F.col("received_at") - F.col("_seek")) / F.lit(float(step))), F.lit(0)).cast("long")
+    x = s.crossJoin(F.broadcast(bounds)).withColumn("_f", F.least(fi, F.col("_nf")))  # bounds: one row
+    delta = x.groupBy(*NODE_KEYS, "_f", "_nf", "_seek").agg(
+        F.count(F.lit(1)).alias("_c"), exact_sum("duration_ms").alias("_s"),
+        F.bool_or("anomaly").alias("_a"), F.bool_or("has_error").alias("_e"),
+    )
+    per_node = Window.partitionBy(*NODE_KEYS).orderBy("_f")  # one row per frame in which the node changes
+    upto = per_node.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cum = delta.select(
+        *NODE_KEYS, "_f", "_nf", "_seek",
+        F.sum("_c").over(upto).alias("call_count"), F.sum("_s").over(upto).alias("total_duration_ms"),
+        F.bool_or("_a").over(upto).alias("has_anomaly"), F.bool_or("_e").over(upto).alias("has_error"),
+        F.coalesce(F.lead("_f").over(per_node), F.col("_nf") + 1).alias("_until"),
+    )
+    frames = cum.select("*", F.explode(F.sequence("_f", F.col("_until") - 1)).alias("frame"))
+    frames = frames.withColumn("avg_duration_ms", (F.col("total_duration_ms") / F.col("call_count")).cast("double"))
+    # slow flag per frame: one window per frame over that frame's nodes (a dimension)
+    wf = Window.partitionBy("frame")
+    ranked = frames.withColumn("_rn", F.row_number().over(wf.orderBy("avg_duration_ms", *NODE_KEYS))) \
+        .withColumn("_nn", F.count(F.lit(1)).over(wf))
+    ranked = ranked.withColumn(
+        "_thr", F.max(F.when(F.col("_rn") == rank_floor95(F.col("_nn")), F.col("avg_duration_ms"))).over(wf))
+    return ranked.select(
+        "frame",
+        F.when(F.col("frame") < F.col("_nf"), F.col("_seek") + F.col("frame") * F.lit(step)).cast("long")
+        .alias("frame_ts"),
+        *NODE_KEYS, "call_count", "total_duration_ms", "avg_duration_ms", "has_anomaly", "has_error",
+        ((F.col("_nn") >= 5) & (F.col("avg_duration_ms") >= F.col("_thr"))).alias("is_slow"),
+    )

@@ -9,7 +9,7 @@ reference. ``max_depth`` guards against cycles created by repeated span ids.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanlens.schema import conform
@@ -95,13 +95,15 @@ def flame(spans: DataFrame) -> DataFrame:
     s = conform(spans)
     tree = span_tree(s, per_trace=True)
     depth = tree.groupBy("trace_id", "span_id").agg(F.max("depth").alias("_depth"))
+    # per-trace facts are aggregates joined back (a hot trace never sits in one window task)
     bounds = s.groupBy("trace_id").agg(
         F.min("started_at").alias("trace_start"),
         F.max(F.col("started_at") + F.col("duration_ms")).alias("_end"),
     ).withColumn("total_ms", F.col("_end") - F.col("trace_start")).where(F.col("total_ms") > 0).drop("_end")
-    f = s.join(bounds, "trace_id").join(depth, ["trace_id", "span_id"], "left")
+    deepest = depth.groupBy("trace_id").agg(F.max("_depth").alias("max_depth"))
+    per_trace = bounds.join(deepest, "trace_id", "left").withColumn("max_depth", F.coalesce("max_depth", F.lit(0)))
+    f = s.join(per_trace, "trace_id").join(depth, ["trace_id", "span_id"], "left")
     f = f.withColumn("depth", F.coalesce("_depth", F.lit(0)))
-    f = f.withColumn("max_depth", F.max("depth").over(Window.partitionBy("trace_id")))
     return f.select(
         "trace_id", "span_id", "agent_id", "function_name", "started_at", "duration_ms", "depth", "max_depth",
         F.greatest((F.col("started_at") - F.col("trace_start")) / F.col("total_ms"), F.lit(0.0)).alias("x_frac"),

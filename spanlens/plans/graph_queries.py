@@ -409,3 +409,30 @@ from nodes""",
 )
 def q_graph_health(spark, sf_dir):
     return G.graph_health(G.call_graph_nodes(flag_anomalies(events(spark, sf_dir))))
+
+
+@register(
+    "replay_frames",
+    with_ctes(EV, EV_FLAGGED)
+    + """,
+b as (select max(received_at) as mx, max(received_at) - 3600000 as seek from span_events),
+fr as (select i as frame, case when b.seek + i * 10000 < b.mx then b.seek + i * 10000 end as frame_ts
+       from b, range(0, cast(greatest(ceil((b.mx - b.seek) / 10000.0), 0) as bigint) + 1) r(i)),
+n as (select fr.frame, fr.frame_ts, f.agent_id, f.function_name, count(*) as call_count,
+             """ + sql_rounded_mean("f.duration_ms", 6) + """ as avg6, avg(f.duration_ms) as a,
+             bool_or(f.anomaly) as has_anomaly, bool_or(f.has_error) as has_error
+      from fr join flagged f on fr.frame_ts is null or f.received_at <= fr.frame_ts
+      group by all),
+r as (select *, row_number() over (partition by frame order by a, agent_id, function_name) as rn,
+             count(*) over (partition by frame) as nn from n),
+t as (select *, max(case when rn = least(floor(0.95::double * nn), nn - 1) + 1 then a end)
+                  over (partition by frame) as thr from r)
+select frame, frame_ts, agent_id, function_name, call_count, avg6 as avg_duration_ms, has_anomaly, has_error,
+       (nn >= 5 and a >= thr) as is_slow
+from t""",
+)
+def q_replay_frames(spark, sf_dir):
+    f = G.replay_frames(flag_anomalies(events(spark, sf_dir)), speed=10, lookback_ms=3_600_000)
+    f = with_rounded_mean(f, "total_duration_ms", "call_count", 6, "avg6")
+    return f.select("frame", "frame_ts", "agent_id", "function_name", "call_count",
+                    F.col("avg6").alias("avg_duration_ms"), "has_anomaly", "has_error", "is_slow")
