@@ -220,3 +220,27 @@ def functions_removed(before: DataFrame, after: DataFrame) -> DataFrame:
 def functions_common(before: DataFrame, after: DataFrame) -> DataFrame:
     """Functions in both."""
     return before.select("function").distinct().intersect(after.select("function").distinct())
+
+
+def return_shapes(calls: DataFrame) -> DataFrame:
+    """D1 helper: per (session, function) the JSON schema inferred from the non-error return values; only
+    functions with at least one successful call appear."""
+    from spanlens.operators.contracts import assemble_schemas, value_profile
+
+    like = calls.select(
+        "session", F.col("function").alias("function_name"), F.lit("[]").alias("input_json"),
+        F.col("return_json").alias("output_json"), F.col("error_type").isNotNull().alias("has_error"),
+        F.col("sequence").cast("long").alias("received_at"), F.lit(0).cast("long").alias("ingest_seq"),
+    )
+    g = ["session", "function_name"]
+    roots = assemble_schemas(value_profile(like, g), g)
+    return roots.where(F.col("slot") == "return").select("session", F.col("function_name").alias("function"),
+                                                        F.col("schema").alias("shape"))
+
+
+def shape_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Functions whose inferred return shape differs (both sessions need successful calls); pass the result
+    as ``shapes`` to ``diff_sessions``."""
+    b = return_shapes(before).select("function", F.col("shape").alias("before_shape"))
+    a = return_shapes(after).select("function", F.col("shape").alias("after_shape"))
+    return b.join(a, "function").where(F.col("before_shape") != F.col("after_shape"))

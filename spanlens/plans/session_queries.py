@@ -206,3 +206,14 @@ def q_session_edits(spark, sf_dir):
     c = SS.rename_session(c, "after", "later")
     c = SS.delete_session(c, "before")
     return c.groupBy("session").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("session_shape_changes")
+def q_session_shape_changes(spark, sf_dir):
+    """D1 return shapes (rows only: schema documents), then the full diff including them."""
+    calls, _ = _recordings(spark, sf_dir)
+    b, a = calls.where(F.col("session") == "before"), calls.where(F.col("session") == "after")
+    shapes = SS.shape_changes(b, a)
+    d = SS.diff_sessions(b, a, shapes=shapes)
+    return d.select("kind", "function", "change_pct").join(
+        shapes.select("function", "before_shape", "after_shape"), "function", "left")
