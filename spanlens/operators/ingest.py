@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from spanlens.functions.scalar import js_type
 from spanlens.schema import LANGUAGES, SCHEMA_VERSION, UUID_PATTERN, arrival_key, conform
+from spanlens.session import small_side
 
 NODE_KEYS = ["agent_id", "function_name"]
 
@@ -178,7 +179,8 @@ def flag_anomalies(spans: DataFrame) -> DataFrame:
     node_first = Window.partitionBy(*NODE_KEYS)  # over the (node, type) table: <= 7 rows per node
     firsts = firsts.withColumn("_n_first", F.min("_t_first").over(node_first))
     firsts = firsts.where(F.col("_t_first") > F.col("_n_first")).select(*NODE_KEYS, "_otype", "_t_first")
-    out = s.drop("anomaly").join(firsts, [*NODE_KEYS, "_otype"], "left")
+    # at most 7 rows per function: size-checked broadcast instead of shuffling every span for the lookup
+    out = s.drop("anomaly").join(small_side(firsts), [*NODE_KEYS, "_otype"], "left")
     return out.withColumn("anomaly", F.coalesce(F.col("_arr") == F.col("_t_first"), F.lit(False))).drop(
         "_otype", "_arr", "_t_first"
     )

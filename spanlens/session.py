@@ -11,6 +11,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Defaults that matter at any scale: AQE re-plans joins at runtime (size-checked broadcast, skew split,
 # partition coalescing), timestamps are UTC, Arrow carries pandas batches.
@@ -62,3 +63,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (survives executor loss) into the shared checkpoint folder."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+BROADCAST_MAX_ROWS = 2_000_000
+
+
+def small_side(df: DataFrame, max_rows: int | None = None) -> DataFrame:
+    """Size-checked broadcast for a per-group table that joins back onto a large one.
+
+    The table is materialised once (reliable checkpoint, so a lost executor does not recompute its input) and
+    counted; it is broadcast only when it has at most ``max_rows`` rows (default ``BROADCAST_MAX_ROWS`` or the
+    session setting ``spanlens.broadcast.maxRows``), otherwise it is returned as is and Spark plans a shuffle join.
+    This avoids shuffling the large side for a lookup table (AQE would decide only after that shuffle is written).
+    """
+    spark = df.sparkSession
+    limit = max_rows or int(spark.conf.get("spanlens.broadcast.maxRows", str(BROADCAST_MAX_ROWS)))
+    m = cut_lineage(df)
+    return F.broadcast(m) if m.count() <= limit else m
