@@ -65,10 +65,10 @@ def exact_rank_value(df: DataFrame, keys: list[str], value: str, rank_of_n, out:
     )
     # rows of the one target bucket per group (one lookup row per group: size-checked broadcast, so the value
     # table is not shuffled for it), collapsed to distinct values before ranking
-    from spanlens.session import small_side
+    from spanlens.session import lookup_join
 
     cand = (
-        v.join(small_side(target), on=[*keys, "_b"], how="inner")
+        lookup_join(v, target, [*keys, "_b"], "inner")
         .groupBy(*keys, "_v")
         .agg(F.count(F.lit(1)).alias("_vc"), F.first("_before").alias("_before"), F.first("_k").alias("_k"),
              F.first("_n").alias("_n"))

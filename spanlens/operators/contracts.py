@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from spanlens.functions.scalar import FORMAT_ORDER, FORMAT_PATTERNS, js_round
 from spanlens.schema import arrival_key, conform
-from spanlens.session import cut_lineage, small_side
+from spanlens.session import cut_lineage, lookup_join
 
 # Fixed values of the inference rules.
 ENUM_MAX_DISTINCT = 10
@@ -247,9 +247,8 @@ def infer_contracts(spans: DataFrame, min_samples: int = MIN_SAMPLES, strict: bo
     """
     g = group_cols or ["function_name"]
     s = conform(spans)
-    counts = small_side(
-        s.groupBy(*g).agg(F.count(F.lit(1)).alias("sample_count")).where(F.col("sample_count") >= min_samples))
-    kept = s.join(counts.select(*g), g, "left_semi")
+    counts = s.groupBy(*g).agg(F.count(F.lit(1)).alias("sample_count")).where(F.col("sample_count") >= min_samples)
+    kept = lookup_join(s, counts.select(*g), g, "left_semi")
     roots = assemble_schemas(value_profile(kept, g), g, strict)
     args = roots.where(F.col("slot").startswith("args[")).withColumn(
         "_i", F.regexp_extract("slot", "\\[(\\d+)\\]", 1).cast("int")
@@ -523,7 +522,7 @@ def validate_calls(spans: DataFrame, contracts: DataFrame, sample_rate: float =
         s = s.where(F.rand(seed) <= F.lit(sample_rate))
     c = contracts.select(F.col("function_name").alias("_fn"), F.col("args").alias("_ca"),
                          F.col("returns").alias("_cr"))
-    j = s.join(small_side(c), F.col("function_name") == F.col("_fn"))
+    j = lookup_join(s, c, F.col("function_name") == F.col("_fn"))
     v = j.select("function_name", "span_id", "trace_id", F.col("started_at").alias("timestamp"),
                  _violations("input_json", "output_json", "has_error", "_ca", "_cr").alias("violations"))
     return v.where(F.size("violations") > 0)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from spanlens.functions.scalar import duration_label, error_flags, js_round, relative_path, service_of
 from spanlens.schema import arrival_key, conform
-from spanlens.session import small_side
+from spanlens.session import lookup_join
 
 NODE_KEYS = ["agent_id", "function_name"]
 
@@ -74,8 +74,8 @@ def service_rollup(nodes: DataFrame) -> DataFrame:
 def duration_bars(spans: DataFrame, height: int = 28) -> DataFrame:
     """Per span bar height max(1, round(d / max * height)) against its node's max duration (1 if max = 0)."""
     s = conform(spans)
-    mx = small_side(s.groupBy(*NODE_KEYS).agg(F.max("duration_ms").alias("_max")))
-    j = s.select("span_id", *NODE_KEYS, "duration_ms").join(mx, NODE_KEYS)
+    mx = s.groupBy(*NODE_KEYS).agg(F.max("duration_ms").alias("_max"))
+    j = lookup_join(s.select("span_id", *NODE_KEYS, "duration_ms"), mx, NODE_KEYS)
     bar = F.when(F.col("_max") > 0, F.greatest(F.lit(1.0), js_round(F.col("duration_ms") / F.col("_max") * height)))
     return j.select("span_id", *NODE_KEYS, "duration_ms", F.coalesce(bar, F.lit(1.0)).cast("int").alias("bar_height"))
 

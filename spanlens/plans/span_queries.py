@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spanlens.functions.scalar import is_slow_call
 from spanlens.operators import filters as FL
-from spanlens.operators.ingest import explode_messages, flag_anomalies, flag_distributed, parse_spans, split_valid
+from spanlens.operators.ingest import flag_anomalies, flag_distributed, ingest
 from spanlens.plans.registry import EV, EV_FLAGGED, events, register, with_ctes
 
 EV_DISTRIBUTED = """
@@ -63,15 +63,8 @@ select f.span_id, f.anomaly, d.distributed, 0 as reason_count
 from flagged f join dist d using (span_id)""",
 )
 def q_ingest_pipeline(spark, sf_dir):
-    msgs = explode_messages(span_messages(events(spark, sf_dir)), "value")
-    msgs = msgs.withColumn("_v", F.try_parse_json("message")).select(
-        "message",
-        F.variant_get("_v", "$.received_at", "long").alias("received_at"),
-        F.variant_get("_v", "$.ingest_seq", "long").alias("ingest_seq"),
-    )
-    parsed = parse_spans(msgs, "message", require_uuid=False)
-    good, bad = split_valid(parsed)
-    flagged = flag_distributed(flag_anomalies(good))
+    raw = span_messages(events(spark, sf_dir))
+    flagged, bad = ingest(raw, "value", require_uuid=False, arrival_in_message=True)
     out = flagged.select("span_id", "anomaly", "distributed", F.lit(0).alias("reason_count"))
     rejected = bad.select("span_id", F.lit(False).alias("anomaly"), F.lit(False).alias("distributed"),
                           F.size("reasons").alias("reason_count"))
