@@ -249,13 +249,13 @@ def subscribe(spark: SparkSession, sink: str, last: int = 200) -> tuple[DataFram
 
 
 def flush_stream(stream: DataFrame, path: str, checkpoint: str, interval: str = "30 seconds",
-                 last_n: int = 10_000) -> StreamingQuery:
+                 last_n: int = 10_000, trigger: dict | None = None) -> StreamingQuery:
     """Every ``interval`` dump the newest ``last_n`` spans of the batch as NDJSON (one folder per batch)."""
     from spanlens.sources.spans_io import write_spans
 
     def run(batch: DataFrame, batch_id: int) -> None:
         write_spans(batch, os.path.join(path, f"flush={batch_id}"), last_n)
 
-    return (stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
-            .trigger(processingTime=interval).start())
+    w = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    return w.trigger(**(trigger or {"processingTime": interval})).start()
 
