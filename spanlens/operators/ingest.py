@@ -30,15 +30,17 @@ NODE_KEYS = ["agent_id", "function_name"]
 def explode_messages(df: DataFrame, col: str = "value") -> DataFrame:
     """A message that is a JSON array counts as one span per element, an object as one span.
 
-    Non-JSON messages are discarded (as the hub does). Output: the input columns plus ``message`` (JSON text of
-    one span) and ``msg_pos`` (position inside its batch, 0-based).
+    Non-JSON messages are discarded (as the hub does). Output: the other input columns plus ``message`` (JSON
+    text of one span) and ``msg_pos`` (position inside its batch, 0-based). The batch text itself is dropped
+    before the explode, so a span row never carries its whole batch.
     """
     txt = F.col(col)
     is_array = F.substring(F.ltrim(txt), 1, 1) == "["
     parsed_ok = F.try_parse_json(txt).isNotNull()
     items = F.when(is_array, F.from_json(txt, "array<string>")).otherwise(F.array(txt))
-    out = df.where(parsed_ok).select("*", F.posexplode(items).alias("msg_pos", "message"))
-    return out
+    keep = [c for c in df.columns if c != col]
+    staged = df.where(parsed_ok).select(*keep, items.alias("_items"))
+    return staged.select(*keep, F.posexplode("_items").alias("msg_pos", "message"))
 
 
 # ---------------------------------------------------------------- P1: validation

@@ -5,6 +5,7 @@ from __future__ import annotations
 from spanlens.plans import (  # noqa: F401  (registers queries)
     contract_queries,
     graph_queries,
+    io_queries,
     payload_queries,
     report_queries,
     session_queries,

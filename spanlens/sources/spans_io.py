@@ -106,12 +106,13 @@ def write_snapshot(spans: DataFrame, root: str, snapshot_id: str, tags: dict | N
 def read_snapshot(spark: SparkSession, path: str, require_uuid: bool = True) -> DataFrame:
     """Snapshot document(s) → flat spans with ``snapshot_id`` and ``created_at`` (one file per task)."""
     docs = spark.read.option("wholetext", True).text(path)
-    v = F.try_parse_json("value")
-    d = docs.select(
-        F.coalesce(F.try_variant_get(v, "$.id", "string"), F.lit(None)).alias("snapshot_id"),
+    v = F.col("_doc")
+    # parse each document once and drop its text before exploding, so no span row carries the whole document
+    d = docs.select(F.try_parse_json("value").alias("_doc")).select(
+        F.try_variant_get(v, "$.id", "string").alias("snapshot_id"),
         F.try_variant_get(v, "$.createdAt", "long").alias("created_at"),
-        F.posexplode(F.try_variant_get(v, "$.spans", "array<variant>")).alias("_pos", "_s"),
-    )
+        F.try_variant_get(v, "$.spans", "array<variant>").alias("_spans"),
+    ).select("snapshot_id", "created_at", F.posexplode("_spans").alias("_pos", "_s"))
     d = d.select(
         "snapshot_id", "created_at", F.to_json("_s").alias("message"), F.col("_pos").alias("ingest_seq"),
         F.try_variant_get("_s", "$.received_at", "long").alias("received_at"),
@@ -180,8 +181,8 @@ def read_session_documents(spark: SparkSession, path: str) -> tuple[DataFrame, D
     """Session JSON documents ``{session, startTime, endTime, calls[]}`` → (calls, sessions); a document
     without a string ``session`` or an array ``calls`` is skipped."""
     docs = spark.read.option("wholetext", True).text(path)
-    v = F.try_parse_json("value")
-    d = docs.select(
+    v = F.col("_doc")
+    d = docs.select(F.try_parse_json("value").alias("_doc")).select(
         F.try_variant_get(v, "$.session", "string").alias("session"),
         F.schema_of_variant(F.variant_get(v, "$.session", "variant")).alias("_st"),
         F.try_variant_get(v, "$.startTime", "string").alias("start_time"),
