@@ -27,14 +27,16 @@ MAX_ROUNDS = 10_000
 def _peel_leftovers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Nodes that a topological peel never removes (on or reachable from a cycle)."""
     remaining = cut_lineage(nodes.select(*NODE_KEYS))
+    left = remaining.count()
     for _ in range(MAX_ROUNDS):
         live_src = remaining.select(F.col("agent_id").alias(SRC[0]), F.col("function_name").alias(SRC[1]))
         e = edges.join(live_src, SRC, "left_semi")
         targets = e.select(F.col(DST[0]).alias("agent_id"), F.col(DST[1]).alias("function_name")).distinct()
         nxt = cut_lineage(remaining.join(targets, NODE_KEYS, "left_semi"))
-        if nxt.count() == remaining.count():
+        now = nxt.count()
+        if now == left:
             return nxt
-        remaining = nxt
+        remaining, left = nxt, now
     raise RuntimeError("topological peel did not converge")
 
 

@@ -439,3 +439,12 @@ def replay_frames(spans: DataFrame, seek_ts: int | None = None, speed: float = 1
         *NODE_KEYS, "call_count", "total_duration_ms", "avg_duration_ms", "has_anomaly", "has_error",
         ((F.col("_nn") >= 5) & (F.col("avg_duration_ms") >= F.col("_thr"))).alias("is_slow"),
     )
+
+
+def path_graph(spans: DataFrame) -> Graph:
+    """The part of the live graph the critical path needs: node means and first-seen order, live edges.
+    One aggregation per table (no p95 passes)."""
+    s = conform(spans)
+    nodes = s.groupBy(*NODE_KEYS).agg(
+        F.avg("duration_ms").alias("avg_duration_ms"), F.min(arrival_key()).alias("first_seen"))
+    return Graph(nodes, call_graph_edges(s))

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from spanlens.operators import graph as G
 from spanlens.operators import tree as TR
 from spanlens.operators.critical_path import critical_path
-from spanlens.operators.ingest import flag_anomalies
 from spanlens.plans.registry import EV, ORD, TURNS, events, orders, r6, register, sql_r6, turns, with_ctes
 
 _TREE_SQL = """
@@ -131,7 +130,7 @@ select cast(i - 1 as integer) as step, path[i].agent_id as agent_id, path[i].fun
 from best, range(1, len(path) + 1) r(i)""",
 )
 def q_critical_path_orders(spark, sf_dir):
-    p = critical_path(G.call_graph(orders(spark, sf_dir)))
+    p = critical_path(G.path_graph(orders(spark, sf_dir)))
     return p.select(F.col("step").cast("int").alias("step"), "agent_id", "function_name",
                     r6("total_ms").alias("total_ms"))
 
@@ -139,6 +138,6 @@ def q_critical_path_orders(spark, sf_dir):
 @register("critical_path_events")
 def q_critical_path_events(spark, sf_dir):
     """G2 on the cyclic events graph (rows only: the cycle rule has no plain SQL form)."""
-    p = critical_path(G.call_graph(flag_anomalies(events(spark, sf_dir))))
+    p = critical_path(G.path_graph(events(spark, sf_dir)))
     return p.select("step", "agent_id", "function_name", r6("dist_ms").alias("dist_ms"),
                     r6("total_ms").alias("total_ms"))

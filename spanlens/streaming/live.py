@@ -127,7 +127,7 @@ def ingest_stream(raw: DataFrame, sink: str, checkpoint: str | None = None, valu
         flagged = flag_batch(good, nt, ta)
         flagged.write.mode("overwrite").parquet(
             os.path.join(sink, f"batch_id={batch_id}"))
-        now_ms = good.agg(F.max("received_at")).first()[0]
+        now_ms = good.agg(F.max("received_at")).first()[0] if trace_ttl_ms is not None else None
         nt2, ta2 = next_state(good, nt, ta, now_ms, trace_ttl_ms)
         nt2.write.mode("overwrite").parquet(os.path.join(root, "state", "node_types", f"v={batch_id}"))
         ta2.write.mode("overwrite").parquet(os.path.join(root, "state", "trace_agents", f"v={batch_id}"))
