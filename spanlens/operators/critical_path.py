@@ -42,11 +42,11 @@ def _peel_leftovers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def critical_path(graph: Graph) -> DataFrame:
     """Rows (step, agent_id, function_name, avg_duration_ms, dist_ms, total_ms) from the start node down."""
-    nodes = graph.nodes.select(*NODE_KEYS, "avg_duration_ms", "first_seen")
-    # first-seen rank of nodes (graph order); the node table is a dimension
-    nodes = cut_lineage(
-        nodes.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("first_seen", *NODE_KEYS)))
-    )
+    # graph order = first-seen order; the struct itself is the rank (structs compare field by field)
+    nodes = cut_lineage(graph.nodes.select(
+        *NODE_KEYS, "avg_duration_ms",
+        F.struct(F.col("first_seen").alias("f"), F.col("agent_id").alias("a"), F.col("function_name").alias("n"))
+        .alias("rank")))
     edges = cut_lineage(graph.edges.select(*SRC, *DST, F.col("first_seen").alias("edge_seen")))
     left = _peel_leftovers(nodes, edges).withColumn("_left", F.lit(True))
 

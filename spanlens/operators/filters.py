@@ -61,11 +61,11 @@ def node_spans(spans: DataFrame, agent_id: str, function_name: str) -> DataFrame
 
 def anomaly_ticks(spans: DataFrame) -> DataFrame:
     """received_at of anomalous spans with their timeline position round((ts-min)/max(range,1)*100)."""
-    rng = spans.agg(F.min("received_at").alias("_min"), F.max("received_at").alias("_max"))
+    lo = spans.agg(F.min("received_at")).scalar()  # scalar subqueries over the whole table
+    hi = spans.agg(F.max("received_at")).scalar()
     a = spans.where(F.col("anomaly")).select("span_id", "received_at")
-    pos = js_round((F.col("received_at") - F.col("_min")) / F.greatest(F.col("_max") - F.col("_min"), F.lit(1)) * 100)
-    # the range is a global aggregate: exactly one row
-    return a.crossJoin(F.broadcast(rng)).select("span_id", "received_at", pos.cast("long").alias("tick_pct"))
+    pos = js_round((F.col("received_at") - lo) / F.greatest(hi - lo, F.lit(1)) * 100)
+    return a.select("span_id", "received_at", pos.cast("long").alias("tick_pct"))
 
 
 def filter_calls(calls: DataFrame, function: str = "", status: str = "all") -> DataFrame:

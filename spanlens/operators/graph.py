@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanlens.functions.scalar import js_round, service_of
-from spanlens.functions.stats import exact_sum, p95_floor, p95_rank, rank_floor95, with_rounded_mean
+from spanlens.functions.stats import exact_rank_value, exact_sum, p95_floor, p95_rank, rank_floor95, with_rounded_mean
 from spanlens.schema import arrival_key, conform
 
 NODE_KEYS = ["agent_id", "function_name"]
@@ -82,17 +82,17 @@ def caller_links(spans: DataFrame, child_from_index: bool) -> DataFrame:
 def _slow_flag(nodes: DataFrame) -> DataFrame:
     """A3: slow = avg >= p95 (rule A) of all node averages, only with at least 5 nodes.
 
-    One window over the node table (a dimension) so each average is evaluated once and compared with itself.
+    The node table is written once (small: one row per function), so the threshold and the comparison read the
+    very same averages; the threshold is one distributed rank over it (one row, broadcast by construction).
     """
-    whole = Window.partitionBy(F.lit(1))
-    ordered = whole.orderBy("avg_duration_ms", *NODE_KEYS)
-    out = nodes.withColumn("_rn", F.row_number().over(ordered)).withColumn("_nn", F.count(F.lit(1)).over(whole))
-    out = out.withColumn(
-        "_thr", F.max(F.when(F.col("_rn") == rank_floor95(F.col("_nn")), F.col("avg_duration_ms"))).over(whole)
-    )
-    return out.withColumn(
-        "is_slow", (F.col("_nn") >= 5) & (F.col("avg_duration_ms") >= F.col("_thr"))
-    ).drop("_rn", "_nn", "_thr")
+    from spanlens.session import cut_lineage
+
+    fixed = cut_lineage(nodes)
+    thr = exact_rank_value(fixed.withColumn("_all", F.lit(0)), ["_all"], "avg_duration_ms", rank_floor95, "_thr")
+    nn = fixed.agg(F.count(F.lit(1))).scalar()
+    cut = thr.select("_thr").scalar()  # a single group: exactly one value (NULL for an empty graph)
+    return fixed.withColumn(
+        "is_slow", F.coalesce((nn >= 5) & (F.col("avg_duration_ms") >= cut), F.lit(False)))
 
 
 def call_graph_nodes(spans: DataFrame) -> DataFrame:
@@ -195,16 +195,13 @@ def export_summary(spans: DataFrame, nodes: DataFrame | None = None) -> DataFram
     """One row: distinct agents (count and sorted list), total spans, nodes with anomaly / error."""
     s = conform(spans)
     nodes = export_nodes(s) if nodes is None else nodes
-    span_side = s.agg(
+    anomaly_nodes = nodes.agg(F.count_if(F.col("has_anomaly"))).scalar()
+    error_nodes = nodes.agg(F.count_if(F.col("has_error"))).scalar()
+    return s.agg(
         F.count_distinct("agent_id").alias("agent_count"),
         F.array_sort(F.collect_set("agent_id")).alias("agents"),
         F.count(F.lit(1)).alias("total_spans"),
-    )
-    node_side = nodes.agg(
-        F.count_if(F.col("has_anomaly")).alias("anomaly_count"),
-        F.count_if(F.col("has_error")).alias("error_count"),
-    )
-    return span_side.crossJoin(F.broadcast(node_side))  # both sides are global aggregates: exactly one row
+    ).select("*", anomaly_nodes.alias("anomaly_count"), error_nodes.alias("error_count"))
 
 
 # ---------------------------------------------------------------- collapse (A4, A5)
@@ -349,10 +346,8 @@ def mark_nodes(nodes: DataFrame, text: str) -> DataFrame:
 
 def edge_weights(edges: DataFrame) -> DataFrame:
     """Stroke weight 1 + 4 * count / max(1, max count)."""
-    mx = edges.agg(F.greatest(F.max("call_count"), F.lit(1)).alias("_max"))
-    return edges.crossJoin(F.broadcast(mx)).withColumn(  # global aggregate: exactly one row
-        "weight", F.lit(1.0) + F.col("call_count") / F.col("_max") * 4
-    ).drop("_max")
+    mx = edges.agg(F.greatest(F.max("call_count"), F.lit(1))).scalar()
+    return edges.withColumn("weight", F.lit(1.0) + F.col("call_count") / mx * 4)
 
 
 def neighbours(edges: DataFrame, agent_id: str, function_name: str) -> DataFrame:
@@ -404,14 +399,13 @@ def replay_frames(spans: DataFrame, seek_ts: int | None = None, speed: float = 1
         raise ValueError(f"speed must be one of {SPEEDS}")
     step = int(TICK_MS * speed) if float(TICK_MS * speed).is_integer() else TICK_MS * speed
     s = conform(spans)
-    bounds = s.agg(F.max("received_at").alias("_max"))
-    seek = F.lit(seek_ts) if seek_ts is not None else F.col("_max") - F.lit(lookback_ms)
+    newest = s.agg(F.max("received_at")).scalar()
+    seek = (F.lit(seek_ts) if seek_ts is not None else newest - F.lit(lookback_ms)).cast("long")
     # frames before live: seek + i*step < max  →  i < (max - seek) / step
-    bounds = bounds.withColumn("_seek", seek.cast("long")).withColumn(
-        "_nf", F.greatest(F.ceil((F.col("_max") - F.col("_seek")) / F.lit(float(step))), F.lit(0)).cast("long"))
+    n_frames = F.greatest(F.ceil((newest - seek) / F.lit(float(step))), F.lit(0)).cast("long")
     # first frame showing a span: smallest i with seek + i*step >= received_at; beyond the last frame → live (= nf)
-    fi = F.greatest(F.ceil((F.col("received_at") - F.col("_seek")) / F.lit(float(step))), F.lit(0)).cast("long")
-    x = s.crossJoin(F.broadcast(bounds)).withColumn("_f", F.least(fi, F.col("_nf")))  # bounds: one row
+    fi = F.greatest(F.ceil((F.col("received_at") - seek) / F.lit(float(step))), F.lit(0)).cast("long")
+    x = s.withColumn("_seek", seek).withColumn("_nf", n_frames).withColumn("_f", F.least(fi, F.col("_nf")))
     delta = x.groupBy(*NODE_KEYS, "_f", "_nf", "_seek").agg(
         F.count(F.lit(1)).alias("_c"), exact_sum("duration_ms").alias("_s"),
         F.bool_or("anomaly").alias("_a"), F.bool_or("has_error").alias("_e"),

@@ -19,15 +19,14 @@ NODE_KEYS = ["agent_id", "function_name"]
 
 def performance_report(nodes: DataFrame) -> DataFrame:
     """Per node total time avg*count and its share of the sum over all nodes (percent)."""
-    total = nodes.agg(F.sum(F.col("avg_duration_ms") * F.col("call_count")).alias("_all"))
-    out = nodes.crossJoin(F.broadcast(total))  # global aggregate: exactly one row
+    total = nodes.agg(F.sum(F.col("avg_duration_ms") * F.col("call_count"))).scalar()  # scalar subquery
     own = F.col("avg_duration_ms") * F.col("call_count")
-    return out.select(
+    return nodes.select(
         "*",
         own.alias("total_ms"),
-        F.when(F.col("_all") > 0, own / F.col("_all") * 100).otherwise(F.lit(0.0)).alias("share_pct"),
-        F.col("_all").alias("all_nodes_ms"),
-    ).drop("_all")
+        F.when(total > 0, own / total * 100).otherwise(F.lit(0.0)).alias("share_pct"),
+        total.alias("all_nodes_ms"),
+    )
 
 
 def slowest(nodes: DataFrame, k: int = 8) -> DataFrame:

@@ -16,6 +16,7 @@ from spanlens.schema import conform
 from spanlens.session import cut_lineage
 
 MAX_DEPTH = 1000
+SALTS = 16  # a parent's children are spread over this many partitions (hot parents)
 
 
 def _parent_known(s: DataFrame, keys: list[str]) -> DataFrame:
@@ -27,8 +28,8 @@ def _parent_known(s: DataFrame, keys: list[str]) -> DataFrame:
     return kids.join(ids, cond, "left_semi")
 
 
-def span_tree(spans: DataFrame, per_trace: bool = True, max_depth: int = MAX_DEPTH, partitions: int | None = None
-              ) -> DataFrame:
+def span_tree(spans: DataFrame, per_trace: bool = True, max_depth: int = MAX_DEPTH, partitions: int | None = None,
+              salts: int = SALTS) -> DataFrame:
     """Every reachable span with ``root_id``, ``depth`` (root = 0) and ``path`` (span ids from the root).
 
     Roots are spans whose parent is null or not in the set (J2). With ``per_trace`` the parent must be in the
@@ -42,8 +43,10 @@ def span_tree(spans: DataFrame, per_trace: bool = True, max_depth: int = MAX_DEP
     roots = s.join(with_parent.select(*keys), keys, "left_anti")
     spark = s.sparkSession
     n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # children keyed by (scope, parent_span_id): partitioned once, reused by every level
-    children = cut_lineage(with_parent.repartition(n_parts, *scope, "parent_span_id"))
+    # children keyed by (scope, parent_span_id, salt): partitioned once and reused by every level; the salt (a hash
+    # of the child's own id) spreads the children of one hot parent over ``salts`` partitions
+    with_parent = with_parent.withColumn("_salt", F.pmod(F.xxhash64("span_id"), F.lit(salts)).cast("int"))
+    children = cut_lineage(with_parent.repartition(n_parts, *scope, "parent_span_id", "_salt"))
     level = roots.select(
         "*", F.col("span_id").alias("root_id"), F.lit(0).alias("depth"), F.array("span_id").alias("path")
     )
@@ -52,9 +55,12 @@ def span_tree(spans: DataFrame, per_trace: bool = True, max_depth: int = MAX_DEP
     depth = 0
     while True:
         depth += 1
-        front = level.select(*scope, F.col("span_id").alias("parent_span_id"), "root_id", F.col("path").alias("_pp"))
-        nxt = children.join(front, [*scope, "parent_span_id"], "inner").select(
-            *children.columns, "root_id", F.lit(depth).alias("depth"), F.concat("_pp", F.array("span_id")).alias("path")
+        # the frontier is narrow: each row is repeated once per salt (explode, not a cross join)
+        front = level.select(*scope, F.col("span_id").alias("parent_span_id"), "root_id", F.col("path").alias("_pp"),
+                             F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
+        nxt = children.join(front, [*scope, "parent_span_id", "_salt"], "inner").select(
+            *[c for c in children.columns if c != "_salt"], "root_id", F.lit(depth).alias("depth"),
+            F.concat("_pp", F.array("span_id")).alias("path")
         )
         nxt = cut_lineage(nxt)
         if nxt.isEmpty():
