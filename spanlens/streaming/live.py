@@ -147,32 +147,49 @@ def read_sink(spark: SparkSession, sink: str) -> DataFrame:
 RATE_LIMIT = 500
 
 
-def _cap_group(pdf: pd.DataFrame, per_second: int) -> pd.DataFrame:
-    """Sliding log over one connection in arrival order: accept when fewer than ``per_second`` accepted spans lie
-    in the last second (edge inclusive)."""
-    pdf = pdf.sort_values(["received_at", "ingest_seq"], kind="mergesort")
-    t = pdf["received_at"].to_numpy()
-    keep = [False] * len(t)
-    log: list[int] = []
-    head = 0
-    for i, ti in enumerate(t):
-        while head < len(log) and log[head] < ti - 1000:
+def _cap_ticks(pdf: pd.DataFrame, per_second: int) -> pd.DataFrame:
+    """Sliding log over one connection's distinct arrival milliseconds (``received_at``, ``offered``): messages of
+    one millisecond see the same window, so the first ``room`` of them are accepted. Returns ``accepted`` counts."""
+    pdf = pdf.sort_values("received_at", kind="mergesort")
+    log: list[tuple[int, int]] = []  # (tick, accepted) within the last second
+    head, in_window, out = 0, 0, []
+    for t, c in zip(pdf["received_at"].to_numpy(), pdf["offered"].to_numpy()):
+        while head < len(log) and log[head][0] < t - 1000:
+            in_window -= log[head][1]
             head += 1
-        if len(log) - head < per_second:
-            keep[i] = True
-            log.append(ti)
-    pdf = pdf.assign(accepted=keep)
-    return pdf
+        a = int(min(c, max(per_second - in_window, 0)))
+        if a:
+            log.append((int(t), a))
+            in_window += a
+        out.append(a)
+    return pdf.assign(accepted=out)
 
 
 def rate_cap(spans: DataFrame, per_second: int = RATE_LIMIT, key: str = "agent_id") -> DataFrame:
-    """X2 (batch form): ``accepted`` per message; ``per_second <= 0`` turns the cap off. Sequential per connection
-    by definition (a dropped message does not count), so it runs per key in pandas; state per key is at most
-    ``per_second`` timestamps."""
+    """X2 (batch form): ``accepted`` per message; ``per_second <= 0`` turns the cap off.
+
+    The rule is sequential per connection (a dropped message does not count), but messages of the same
+    millisecond share a window. So (1) offered messages are counted per (connection, millisecond) with a map-side
+    aggregation, (2) the sliding log runs per connection over those ticks in pandas — work grows with the distinct
+    milliseconds of a connection, not with how many messages a flood sends — and (3) a message is accepted when
+    its arrival rank within its tick is below the tick's accepted count (rank ``<= per_second`` plans as a map-side
+    ``WindowGroupLimit``, so a flooded millisecond ships at most ``per_second`` rows per task).
+    """
     if per_second <= 0:
         return spans.withColumn("accepted", F.lit(True))
-    schema = T.StructType(spans.schema.fields + [T.StructField("accepted", T.BooleanType())])
-    return spans.groupBy(key).applyInPandas(lambda pdf: _cap_group(pdf, per_second), schema)
+    from pyspark.sql import Window
+
+    ticks = spans.groupBy(key, "received_at").agg(F.count(F.lit(1)).alias("offered"))
+    schema = T.StructType([ticks.schema[key], ticks.schema["received_at"], T.StructField("offered", T.LongType()),
+                           T.StructField("accepted", T.LongType())])
+    acc = ticks.groupBy(key).applyInPandas(lambda pdf: _cap_ticks(pdf, per_second), schema).where("accepted > 0")
+    w = Window.partitionBy(key, "received_at").orderBy("ingest_seq")
+    first = spans.select(key, "received_at", "ingest_seq").withColumn("_r", F.row_number().over(w)).where(
+        F.col("_r") <= per_second)
+    ok = first.join(acc.select(key, "received_at", "accepted"), [key, "received_at"]).where(
+        F.col("_r") <= F.col("accepted")).select(key, "received_at", "ingest_seq", F.lit(True).alias("_ok"))
+    out = spans.join(ok, [key, "received_at", "ingest_seq"], "left")
+    return out.withColumn("accepted", F.coalesce("_ok", F.lit(False))).drop("_ok")
 
 
 def rate_cap_stream(stream: DataFrame, per_second: int = RATE_LIMIT, key: str = "agent_id") -> DataFrame:

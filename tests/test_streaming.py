@@ -91,3 +91,31 @@ def test_arrival_rate_windows(spark):
     df = spark.createDataFrame([(1000,), (1100,), (2500,)], "received_at long")
     got = {r.window_start_ms: r.spans for r in live.arrival_rate(df).collect()}
     assert got[1000] == 2 and got[600] == 2 and got[2000] == 1 and got[1600] == 1
+
+
+def test_rate_cap_ticks_match_per_message_rule(spark):
+    import random
+
+    rnd = random.Random(11)
+    rows = []
+    seq = 0
+    for conn in ("a", "b"):
+        t = 0
+        for _ in range(400):
+            t += rnd.choice([0, 0, 1, 3, 250, 900])
+            for _ in range(rnd.choice([1, 1, 2, 7])):
+                rows.append((conn, t, seq))
+                seq += 1
+    df = spark.createDataFrame(rows, "agent_id string, received_at long, ingest_seq long")
+    got = {r.ingest_seq: r.accepted for r in live.rate_cap(df, 6).collect()}
+    # per-message sliding log, written directly from the rule
+    want = {}
+    for conn in ("a", "b"):
+        log = []
+        for c, t, q in sorted((r for r in rows if r[0] == conn), key=lambda r: (r[1], r[2])):
+            log = [x for x in log if x >= t - 1000]
+            ok = len(log) < 6
+            if ok:
+                log.append(t)
+            want[q] = ok
+    assert got == want
