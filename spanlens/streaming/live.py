@@ -1,19 +1,20 @@
 """Structured Streaming: live ingest, rate cap, arrival rate, live graph, subscribe, periodic dump.
 
-Live ingest (X1) runs the batch operators inside ``foreachBatch``. The two sequential flags only depend on
-first-arrival facts, so the state is two small tables kept under the shared checkpoint folder:
+Live ingest (X1) = stateless explode / validate → a keyed stateful operator for the distributed flag →
+``foreachBatch`` for redaction, the anomaly flag and the sink:
 
-* ``node_types``: first arrival per (agent, function, output type) — at most 7 rows per function (X4);
-* ``trace_agents``: first and last arrival per (trace, agent) — expired by ``trace_ttl_ms`` when set (X5).
+* X5 distributed: ``applyInPandasWithState`` keyed by ``trace_id``; the state of a trace is its first agent and
+  whether another agent was seen (two values), optionally expired by a processing-time timeout (``trace_ttl_ms``).
+  Only the traces present in a micro-batch are touched (Spark's state store writes changed keys only).
+* X4 anomaly: first arrival per (agent, function, output type) — at most 7 rows per function — kept as a small
+  versioned table under the checkpoint folder; a micro-batch unions its rows with that table and applies
+  ``flag_anomalies``. Only first arrivals decide the flag, so the result equals the batch flags (W1).
 
-Each micro-batch unions its rows with the state rows and applies ``flag_anomalies`` / ``flag_distributed``;
-because only first arrivals decide both flags, the result equals the batch flags over the whole stream (W1, W2).
 State versions and sink files are written per ``batch_id`` with overwrite, so a re-run of a batch after a
-failure is idempotent. ``received_at`` is stamped once, at ingest.
+failure is idempotent. ``received_at`` is stamped once, at ingest (the batch's processing time); spans of one
+micro-batch are ordered by a hash of their message (a replay with recorded stamps keeps its own order).
 """
 
-from __future__ import annotations
-
 import os
 import uuid
 
@@ -25,14 +26,11 @@ from pyspark.sql.streaming import StreamingQuery
 
 from spanlens.operators import filters as FL
 from spanlens.operators import graph as G
-from spanlens.operators.ingest import explode_messages, flag_anomalies, flag_distributed, output_type, parse_spans
+from spanlens.operators.ingest import explode_messages, flag_anomalies, output_type, parse_spans
 from spanlens.operators.redact import redact
 from spanlens.schema import conform
 from spanlens.session import checkpoint_dir
 
-STATE_COLS = ["agent_id", "function_name", "trace_id", "output_json", "output_type", "received_at", "ingest_seq"]
-
-
 def _versions(spark: SparkSession, path: str) -> list[int]:
     """State versions under ``path`` (listed through the Hadoop FileSystem, so shared storage works)."""
     jvm = spark.sparkContext._jvm
@@ -58,82 +56,98 @@ def _latest_state(spark: SparkSession, root: str, name: str, schema: str, before
 
 
 _NODE_TYPES = "agent_id string, function_name string, output_type string, received_at long, ingest_seq long"
-_TRACE_AGENTS = "trace_id string, agent_id string, received_at long, ingest_seq long, last_seen long"
 
 
-def flag_batch(batch: DataFrame, node_types: DataFrame, trace_agents: DataFrame) -> DataFrame:
-    """W1 + W2 for one micro-batch given first-arrival state: state rows stand in for earlier spans."""
+def anomaly_batch(batch: DataFrame, node_types: DataFrame) -> DataFrame:
+    """W1 for one micro-batch given first-arrival state: state rows stand in for earlier spans."""
     b = conform(batch).withColumn("output_type", output_type(batch)).withColumn("_batch", F.lit(True))
     nt = node_types.select("agent_id", "function_name", "output_type", "received_at", "ingest_seq",
-                           F.lit(None).cast("string").alias("span_id"), F.lit(None).cast("string").alias("trace_id"),
-                           F.lit(False).alias("_batch"))
-    a_in = b.select("agent_id", "function_name", "output_type", "received_at", "ingest_seq", "span_id", "trace_id",
+                           F.lit(None).cast("string").alias("span_id"), F.lit(False).alias("_batch"))
+    a_in = b.select("agent_id", "function_name", "output_type", "received_at", "ingest_seq", "span_id",
                     "_batch").unionByName(nt)
     an = flag_anomalies(a_in).where("_batch").select("span_id", "anomaly")
-    ta = trace_agents.select("trace_id", "agent_id", "received_at", "ingest_seq",
-                             F.lit(None).cast("string").alias("span_id"), F.lit(False).alias("_batch"))
-    d_in = b.select("trace_id", "agent_id", "received_at", "ingest_seq", "span_id", "_batch").unionByName(ta)
-    di = flag_distributed(d_in).where("_batch").select("span_id", "distributed")
-    return b.drop("anomaly", "distributed", "_batch").join(an, "span_id").join(di, "span_id")
+    return b.drop("anomaly", "_batch").join(an, "span_id")
 
 
-def next_state(batch: DataFrame, node_types: DataFrame, trace_agents: DataFrame, now_ms: int | None,
-               trace_ttl_ms: int | None) -> tuple[DataFrame, DataFrame]:
+def next_node_types(batch: DataFrame, node_types: DataFrame) -> DataFrame:
     b = conform(batch).withColumn("output_type", output_type(batch))
     arr = F.struct("received_at", "ingest_seq")
     nt = b.select("agent_id", "function_name", "output_type", "received_at", "ingest_seq").unionByName(node_types)
-    nt = nt.groupBy("agent_id", "function_name", "output_type").agg(F.min(arr).alias("_a")).select(
+    return nt.groupBy("agent_id", "function_name", "output_type").agg(F.min(arr).alias("_a")).select(
         "agent_id", "function_name", "output_type", F.col("_a.received_at").alias("received_at"),
         F.col("_a.ingest_seq").alias("ingest_seq"))
-    ta = b.select("trace_id", "agent_id", "received_at", "ingest_seq", F.col("received_at").alias("last_seen"))
-    ta = ta.unionByName(trace_agents).groupBy("trace_id", "agent_id").agg(
-        F.min(arr).alias("_a"), F.max("last_seen").alias("last_seen"))
-    ta = ta.select("trace_id", "agent_id", F.col("_a.received_at").alias("received_at"),
-                   F.col("_a.ingest_seq").alias("ingest_seq"), "last_seen")
-    if trace_ttl_ms is not None and now_ms is not None:
-        live = ta.groupBy("trace_id").agg(F.max("last_seen").alias("_l")).where(F.col("_l") >= now_ms - trace_ttl_ms)
-        ta = ta.join(live.select("trace_id"), "trace_id", "left_semi")
-    return nt, ta
+
+
+def distributed_stream(spans: DataFrame, trace_ttl_ms: int | None = None) -> DataFrame:
+    """``distributed`` per span of a stream, keyed state per trace (first agent, another agent seen)."""
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    out_schema = T.StructType([f for f in spans.schema.fields if f.name != "distributed"]
+                              + [T.StructField("distributed", T.BooleanType())])
+    state_schema = T.StructType([T.StructField("a0", T.StringType()), T.StructField("other", T.BooleanType())])
+    cols = [f.name for f in out_schema.fields]
+
+    def fn(key, pdfs, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        a0, other = (state.get[0], state.get[1]) if state.exists else (None, False)
+        for pdf in pdfs:
+            pdf = pdf.sort_values(["received_at", "ingest_seq"], kind="mergesort")
+            flags = []
+            for ag in pdf["agent_id"]:
+                if a0 is None:
+                    a0 = ag
+                    flags.append(False)
+                    continue
+                flags.append(bool(ag != a0 or other))
+                other = other or ag != a0
+            yield pdf.assign(distributed=flags)[cols]
+        state.update((a0, other))
+        if trace_ttl_ms is not None:
+            state.setTimeoutDuration(trace_ttl_ms)
+
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if trace_ttl_ms is not None else GroupStateTimeout.NoTimeout
+    return spans.groupBy("trace_id").applyInPandasWithState(fn, out_schema, state_schema, "append", timeout)
 
 
 def ingest_stream(raw: DataFrame, sink: str, checkpoint: str | None = None, value_col: str = "value",
                   require_uuid: bool = True, redact_keys: str | list = "hub", extra_keys: list | None = None,
                   trace_ttl_ms: int | None = None, trigger: dict | None = None,
                   arrival_col: str | None = None) -> StreamingQuery:
-    """Raw message stream → explode → validate → redact → anomaly → distributed → received_at → sink.
+    """Raw message stream → explode → validate → distributed (keyed state) → redact → anomaly → sink.
 
-    ``arrival_col`` names a column of the message payload with a given arrival time (replay of recorded
-    traffic); otherwise ``received_at`` is the processing time of the batch.
+    ``arrival_col`` names a key of the message with a recorded arrival time (replay of recorded traffic, which
+    then also keeps its recorded ``ingest_seq``); otherwise ``received_at`` is the batch's processing time.
+    Invalid messages are dropped (as the hub does); ``parse_spans`` gives their reasons in batch jobs.
     """
     spark = raw.sparkSession
     root = checkpoint or os.path.join(checkpoint_dir(spark), "spanlens-ingest-" + uuid.uuid4().hex[:8])
+    msgs = explode_messages(raw, value_col)
+    v = F.try_parse_json("message")
+    if arrival_col is not None:
+        msgs = msgs.withColumn("received_at", F.try_variant_get(v, f"$.{arrival_col}", "long")).withColumn(
+            "ingest_seq", F.coalesce(F.try_variant_get(v, "$.ingest_seq", "long"), F.xxhash64("message")))
+    else:
+        msgs = msgs.withColumn("received_at", F.unix_millis(F.current_timestamp())).withColumn(
+            "ingest_seq", F.xxhash64("message"))
+    parsed = parse_spans(msgs.withColumn("_m", F.col("message")), "_m", require_uuid=require_uuid)
+    # only narrow columns and the message text pass through the stateful (Python) operator
+    good = parsed.where(F.size("reasons") == 0).select("message", "trace_id", "span_id", "agent_id", "received_at",
+                                                       "ingest_seq")
+    flagged_stream = distributed_stream(good, trace_ttl_ms)
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        msgs = explode_messages(batch, value_col)
-        # one processing time per batch; the id keeps the order of messages inside it
-        msgs = msgs.withColumn("ingest_seq", F.monotonically_increasing_id())
-        if arrival_col is not None:
-            v = F.try_parse_json("message")
-            msgs = msgs.withColumn("received_at", F.try_variant_get(v, f"$.{arrival_col}", "long")).withColumn(
-                "ingest_seq", F.coalesce(F.try_variant_get(v, "$.ingest_seq", "long"), F.col("ingest_seq")))
-        else:
-            msgs = msgs.withColumn("received_at", F.unix_millis(F.current_timestamp()))
-        parsed = parse_spans(msgs.drop(value_col), "message", require_uuid=require_uuid)
-        good = parsed.where(F.size("reasons") == 0).drop("reasons", "msg_pos")
-        good = redact(good, keys=redact_keys, extra_keys=extra_keys).drop("redactions")
-        good = good.persist()
+        spans = parse_spans(batch.withColumnRenamed("trace_id", "_t").drop("span_id", "agent_id"), "message",
+                            require_uuid=require_uuid).drop("reasons", "_t")
+        b = redact(spans, keys=redact_keys, extra_keys=extra_keys).drop("redactions").persist()
         nt = _latest_state(spark, root, "node_types", _NODE_TYPES, batch_id)
-        ta = _latest_state(spark, root, "trace_agents", _TRACE_AGENTS, batch_id)
-        flagged = flag_batch(good, nt, ta)
-        flagged.write.mode("overwrite").parquet(
-            os.path.join(sink, f"batch_id={batch_id}"))
-        now_ms = good.agg(F.max("received_at")).first()[0] if trace_ttl_ms is not None else None
-        nt2, ta2 = next_state(good, nt, ta, now_ms, trace_ttl_ms)
-        nt2.write.mode("overwrite").parquet(os.path.join(root, "state", "node_types", f"v={batch_id}"))
-        ta2.write.mode("overwrite").parquet(os.path.join(root, "state", "trace_agents", f"v={batch_id}"))
-        good.unpersist()
-
-    w = raw.writeStream.foreachBatch(run).option("checkpointLocation", os.path.join(root, "offsets"))
+        anomaly_batch(b, nt).write.mode("overwrite").parquet(os.path.join(sink, f"batch_id={batch_id}"))
+        next_node_types(b, nt).write.mode("overwrite").parquet(
+            os.path.join(root, "state", "node_types", f"v={batch_id}"))
+        b.unpersist()
+
+    w = flagged_stream.writeStream.foreachBatch(run).option("checkpointLocation", os.path.join(root, "offsets"))
     w = w.trigger(**(trigger or {"availableNow": True}))
     return w.start()
 
