@@ -90,15 +90,6 @@ def p95_rank(df: DataFrame, keys: list[str], value: str, out: str = "p95") -> Da
     return exact_rank_value(df, keys, value, rank_ceil95, out)
 
 
-def exact_mean(c: Column | str, scale: int = 6) -> Column:
-    """Mean computed on decimals (order-independent, so every recomputation and engine gets the same double).
-
-    Used where the mean is then rounded to few places, which a floating sum's order could otherwise flip.
-    """
-    col = F.col(c) if isinstance(c, str) else c
-    return F.avg(col.cast(f"decimal(38,{scale})")).cast("double")
-
-
 def sequence_number(df: DataFrame, group_cols: list[str], order_cols: list, out: str = "seq",
                     partitions: int | None = None) -> DataFrame:
     """Consecutive 1-based numbers per group in ``order_cols`` order, without a window over a whole group.

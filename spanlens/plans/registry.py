@@ -81,6 +81,3 @@ flagged as (
   from span_events)
 """
 
-
-def bool_lit(b: bool) -> Column:
-    return F.lit(b)

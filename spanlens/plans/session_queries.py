@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from spanlens.operators import sessions as SS
 from spanlens.operators.filters import filter_calls
 from spanlens.functions.stats import sql_rounded_mean
-from spanlens.plans.registry import EV, events, r6, register, sql_r, sql_r6, with_ctes
+from spanlens.plans.registry import EV, events, r6, register, sql_r6, with_ctes
 
 CUT_TS = 1705276800000
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from spanlens.operators import graph as G
 from spanlens.operators import tree as TR
 from spanlens.operators.critical_path import critical_path
-from spanlens.plans.registry import EV, ORD, TURNS, events, orders, r6, register, sql_r6, turns, with_ctes
+from spanlens.plans.registry import EV, ORD, TURNS, events, orders, r6, register, sql_r6, turns
 
 _TREE_SQL = """
 t(trace_id, span_id, root_id, depth) as (

@@ -7,7 +7,7 @@ import os
 import tempfile
 
 from helpers import make_spans
-from pyspark.sql import functions as F
+
 
 from spanlens.operators.ingest import flag_anomalies, flag_distributed
 from spanlens.sources.spans_io import span_json
