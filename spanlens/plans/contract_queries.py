@@ -184,7 +184,18 @@ def q_validate_calls(spark, sf_dir):
                     F.col("violations")[0]["rule"].alias("first_rule"))
 
 
-@register("contract_ddl")
+@register(
+    "contract_ddl",
+    with_ctes(EV)
+    + """,
+t as (select function_name, count(*) as n,
+             count(*) filter (where not has_error and output_type = 'object') as o,
+             count(*) filter (where not has_error and output_type = 'number') as m
+      from span_events group by all having count(*) >= 5)
+select function_name, 0 as arg_index, 'struct<`k`:double>' as arg_ddl,
+       case when o + m = 0 then 'string' when o >= m then 'struct<`k`:double>' else 'double' end as returns_ddl
+from t""",
+)
 def q_contract_ddl(spark, sf_dir):
-    """C13 (rows only): Spark DDL of every argument and return schema."""
+    """Spark DDL of every argument and return schema of the strict contracts."""
     return C.contract_to_ddl(C.infer_contracts(call_spans(spark, sf_dir), strict=True))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spanlens.operators.http import http_calls
-from spanlens.operators.redact import CARD_SHAPE, HUB_KEYS, JWT_SHAPE, redact, redaction_audit
+from spanlens.operators.redact import AGENT_KEYS, CARD_SHAPE, HUB_KEYS, JWT_SHAPE, redact, redaction_audit
 from spanlens.plans.registry import register
 
 ASSIGN = '(\\w+)\\s*=\\s*"([^"]*)"'
@@ -107,3 +107,27 @@ def q_http_calls(spark, sf_dir):
     h = http_calls(page_spans(spark, sf_dir))
     return h.select("span_id", "method", "url", F.col("headers")["x-page"].alias("x_page"),
                     F.col("headers")["accept"].alias("accept"), "body")
+
+
+_AGENT_KEYS_SQL = ", ".join(f"'{k}'" for k in AGENT_KEYS)
+
+
+@register(
+    "redaction_agent_counts",
+    f"""
+with a as (
+  select doc_id, unnest(regexp_extract_all(text, '{ASSIGN.replace(chr(92) * 2, chr(92))}', 1)) as k,
+         unnest(regexp_extract_all(text, '{ASSIGN.replace(chr(92) * 2, chr(92))}', 2)) as v
+  from documents),
+hits as (
+  select doc_id from a where lower(k) in ({_AGENT_KEYS_SQL})
+  union all
+  select doc_id from a where lower(k) not in ({_AGENT_KEYS_SQL}) and {_shape_sql('v')})
+select d.doc_id, coalesce(h.n, 0) as redactions from documents d
+left join (select doc_id, count(*) as n from hits group by doc_id) h using (doc_id)""",
+)
+def q_redaction_agent_counts(spark, sf_dir):
+    """R2 + R3 with the JS rule: the agent key list, value shapes only for strings under an object key (the
+    words of the text are list items, so they are kept)."""
+    r = redact(doc_payloads(spark, sf_dir), cols=["input_json"], keys="agent")
+    return r.select("doc_id", F.size("redactions").cast("long").alias("redactions"))

@@ -66,8 +66,24 @@ def q_arrival_rate(spark, sf_dir):
     return live.arrival_rate(events(spark, sf_dir))
 
 
-@register("rate_cap")
+@register(
+    "rate_cap",
+    "with recursive " + EV.strip() + """,
+r as (select span_id, agent_id, received_at,
+             row_number() over (partition by agent_id order by received_at, ingest_seq) as rn
+      from span_events),
+c(agent_id, rn, span_id, log, accepted) as (
+  select agent_id, rn, span_id, [received_at], true from r where rn = 1
+  union all
+  select r.agent_id, r.rn, r.span_id,
+         case when len(list_filter(c.log, lambda x: x >= r.received_at - 1000)) < 500
+              then list_append(list_filter(c.log, lambda x: x >= r.received_at - 1000), r.received_at)
+              else list_filter(c.log, lambda x: x >= r.received_at - 1000) end,
+         len(list_filter(c.log, lambda x: x >= r.received_at - 1000)) < 500
+  from c join r on r.agent_id = c.agent_id and r.rn = c.rn + 1)
+select span_id, agent_id, accepted from c""",
+)
 def q_rate_cap(spark, sf_dir):
-    """X2 (rows only; sequential sliding log): the reference's 500 per second per agent connection."""
+    """The reference's 500 per second per agent connection (SQL twin: the per-message log as a recursion)."""
     s = events(spark, sf_dir).select("span_id", "agent_id", "received_at", "ingest_seq")
     return live.rate_cap(s, 500).select("span_id", "agent_id", "accepted")
