@@ -568,3 +568,9 @@ def contract_to_ddl(contracts: DataFrame) -> DataFrame:
         "returns",
     ).select("function_name", F.posexplode("args").alias("arg_index", "_s"), "returns").select(
         "function_name", "arg_index", _ddl_udf("_s").alias("arg_ddl"), _ddl_udf("returns").alias("returns_ddl"))
+
+
+def contract_index(contracts: DataFrame, gate: int = 10) -> DataFrame:
+    """Contracts sorted by function name with the coverage gate (fewer than ``gate`` samples)."""
+    return contracts.select("function_name", "sample_count", (F.col("sample_count") < gate).alias("below_gate")) \
+        .orderBy("function_name")

@@ -199,3 +199,15 @@ from t""",
 def q_contract_ddl(spark, sf_dir):
     """Spark DDL of every argument and return schema of the strict contracts."""
     return C.contract_to_ddl(C.infer_contracts(call_spans(spark, sf_dir), strict=True))
+
+
+@register(
+    "contract_index",
+    with_ctes(EV)
+    + """
+select function_name, count(*) as sample_count, count(*) < 2000 as below_gate
+from span_events group by all having count(*) >= 5""",
+)
+def q_contract_index(spark, sf_dir):
+    """O10 with a coverage gate of 2000 samples."""
+    return C.contract_index(C.infer_contracts(call_spans(spark, sf_dir)), gate=2000)

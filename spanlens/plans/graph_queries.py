@@ -436,3 +436,31 @@ def q_replay_frames(spark, sf_dir):
     f = with_rounded_mean(f, "total_duration_ms", "call_count", 6, "avg6")
     return f.select("frame", "frame_ts", "agent_id", "function_name", "call_count",
                     F.col("avg6").alias("avg_duration_ms"), "has_anomaly", "has_error", "is_slow")
+
+
+@register(
+    "collapse_by_file_nodes",
+    with_ctes(EV, EV_FLAGGED, _LIVE_NODES_SQL)
+    + f""",
+g as (
+  select n.*, 'group:file:' || n.file as group_id,
+         row_number() over (partition by n.file order by avg_ms, n.agent_id, n.function_name) as grn,
+         count(*) over (partition by n.file) as gk,
+         first_value(n.agent_id) over (partition by n.file order by fr, fs, n.agent_id, n.function_name) as first_agent
+  from (select slow.*, f.fr, f.fs from slow join (
+          select agent_id, function_name, min(struct_pack(r := received_at, q := ingest_seq)).r as fr,
+                 min(struct_pack(r := received_at, q := ingest_seq)).q as fs
+          from flagged group by all) f using (agent_id, function_name)) n)
+select group_id, concat(split_part(file, '/', -1), ' (', count(*), case when count(*) <> 1 then ' fns)' else ' fn)' end)
+         as function_name,
+       min(first_agent) as agent_id, file, sum(call_count) as call_count,
+       {sql_r6('avg(avg_ms)')} as avg_duration_ms,
+       bool_or(has_anomaly) as has_anomaly, bool_or(has_error) as has_error,
+       bool_or(nn >= 5 and avg_ms >= thr) as is_slow
+from g group by group_id, file""",
+)
+def q_collapse_by_file_nodes(spark, sf_dir):
+    s = flag_anomalies(events(spark, sf_dir))
+    g = G.collapse(G.call_graph(s), "file")
+    return g.nodes.select("group_id", "function_name", "agent_id", "file", "call_count",
+                          r6("avg_duration_ms").alias("avg_duration_ms"), "has_anomaly", "has_error", "is_slow")
