@@ -208,9 +208,48 @@ def q_session_edits(spark, sf_dir):
     return c.groupBy("session").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("session_shape_changes")
+_SHAPES_SQL = """,
+kv as (
+  select session, function, 'obj' as slot, json_extract(return_json, '$.k')::varchar as v, sequence
+  from calls where error_type is null and json_type(return_json) = 'OBJECT'
+  union all
+  select session, function, 'num', return_json, sequence
+  from calls where error_type is null and json_type(return_json) in ('UBIGINT', 'BIGINT', 'DOUBLE')),
+vf as (select session, function, slot, v, min(sequence) as f from kv group by all),
+vals as (
+  select session, function, slot,
+         case when count(*) <= 10 then '{"enum":[' || string_agg(v, ',' order by f, v) || ']}'
+              else '{"type":"number"}' end as vs
+  from vf group by all),
+br as (
+  select v.session, v.function,
+         case when v.slot = 'obj' then '{"type":"object","properties":{"k":' || v.vs || '},"required":["k"]}'
+              else v.vs end as schema,
+         (select min(sequence) from kv where kv.session = v.session and kv.function = v.function
+                                         and kv.slot = v.slot) as first_seq
+  from vals v),
+shape as (
+  select session, function,
+         case when count(*) = 1 then min(schema)
+              else '{"oneOf":[' || string_agg(schema, ',' order by first_seq) || ']}' end as shape
+  from br group by all),
+changed as (
+  select b.function, b.shape as before_shape, a.shape as after_shape
+  from shape b join shape a on a.function = b.function and b.session = 'before' and a.session = 'after'
+  where b.shape <> a.shape),
+dd as (select kind, function, change_pct from d
+       union all select 'return_shape', function, null from changed)
+"""
+
+
+@register(
+    "session_shape_changes",
+    with_ctes(EV, _CALLS_SQL) + _DIFF_SQL + _SHAPES_SQL
+    + "select dd.kind, dd.function, dd.change_pct, c.before_shape, c.after_shape "
+      "from dd left join changed c using (function)",
+)
 def q_session_shape_changes(spark, sf_dir):
-    """D1 return shapes (rows only: schema documents), then the full diff including them."""
+    """D1 return shapes, then the full diff including them."""
     calls, _ = _recordings(spark, sf_dir)
     b, a = calls.where(F.col("session") == "before"), calls.where(F.col("session") == "after")
     shapes = SS.shape_changes(b, a)
