@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from spanlens.plans.registry import EV, EV_FLAGGED, events, register, with_ctes
 from spanlens.plans.span_queries import EV_DISTRIBUTED, span_messages
-from spanlens.session import checkpoint_dir
+from spanlens.session import checkpoint_dir, cut_lineage
 from spanlens.streaming import live
 
 BATCHES = 4
@@ -22,9 +22,9 @@ def replay_messages(spark, sf_dir, root: str) -> str:
     s = events(spark, sf_dir)
     cuts = s.agg(F.percentile_approx("received_at", [i / BATCHES for i in range(1, BATCHES)], 10000)).first()[0]
     cuts = [int(c) // 50 * 50 for c in cuts]
-    msgs = span_messages(s).withColumn("_t", F.get_json_object(
+    msgs = cut_lineage(span_messages(s).withColumn("_t", F.get_json_object(
         F.when(F.col("value").startswith("["), F.get_json_object("value", "$[0]")).otherwise(F.col("value")),
-        "$.received_at").cast("long"))
+        "$.received_at").cast("long")))  # built once, then written as arrival slices
     bounds = [None, *cuts, None]
     in_dir = os.path.join(root, "in")
     for i in range(BATCHES):
