@@ -112,3 +112,11 @@ def lookup_join(big: DataFrame, small: DataFrame, on, how: str = "inner") -> Dat
     floor = int(spark.conf.get("spanlens.lookup.eagerCheckBytes", str(EAGER_CHECK_MIN_BYTES)))
     side = small_side(small) if _estimated_bytes(big) >= floor else small
     return big.join(side, on, how)
+
+
+def reuse(df: DataFrame, inputs: DataFrame | None = None) -> DataFrame:
+    """Write ``df`` once (reliable checkpoint) when it is used by several branches of a plan over large inputs,
+    so the branches read it instead of re-scanning and re-shuffling the inputs; small inputs are left lazy."""
+    spark = df.sparkSession
+    floor = int(spark.conf.get("spanlens.lookup.eagerCheckBytes", str(EAGER_CHECK_MIN_BYTES)))
+    return cut_lineage(df) if _estimated_bytes(inputs if inputs is not None else df) >= floor else df
