@@ -13,10 +13,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanlens.schema import conform
-from spanlens.session import cut_lineage
+from spanlens.session import cut_lineage, lookup_join
 
 MAX_DEPTH = 1000
-SALTS = 16  # a parent's children are spread over this many partitions (hot parents)
+SALTS = 16  # the children of a hot parent are spread over this many partitions
+HOT_CHILDREN = 100_000  # a parent with more children than this is hot
 
 
 def _parent_known(s: DataFrame, keys: list[str]) -> DataFrame:
@@ -29,7 +30,7 @@ def _parent_known(s: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def span_tree(spans: DataFrame, per_trace: bool = True, max_depth: int = MAX_DEPTH, partitions: int | None = None,
-              salts: int = SALTS) -> DataFrame:
+              salts: int = SALTS, hot_children: int = HOT_CHILDREN) -> DataFrame:
     """Every reachable span with ``root_id``, ``depth`` (root = 0) and ``path`` (span ids from the root).
 
     Roots are spans whose parent is null or not in the set (J2). With ``per_trace`` the parent must be in the
@@ -43,10 +44,18 @@ def span_tree(spans: DataFrame, per_trace: bool = True, max_depth: int = MAX_DEP
     roots = s.join(with_parent.select(*keys), keys, "left_anti")
     spark = s.sparkSession
     n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # children keyed by (scope, parent_span_id, salt): partitioned once and reused by every level; the salt (a hash
-    # of the child's own id) spreads the children of one hot parent over ``salts`` partitions
-    with_parent = with_parent.withColumn("_salt", F.pmod(F.xxhash64("span_id"), F.lit(salts)).cast("int"))
+    # children keyed by (scope, parent_span_id, salt): partitioned once and reused by every level. Parents with more
+    # than ``hot_children`` children are hot: their children get a salt (a hash of the child's own id) that spreads
+    # them over ``salts`` partitions; every other child has salt 0. The hot list has at most spans / hot_children rows.
+    pkey = [*scope, "parent_span_id"]
+    hot = with_parent.groupBy(*pkey).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_children) \
+        .select(*pkey, F.lit(salts).alias("_salts"))
+    hot = cut_lineage(hot)
+    with_parent = lookup_join(with_parent, hot, pkey, "left").withColumn(
+        "_salt", F.when(F.col("_salts").isNotNull(), F.pmod(F.xxhash64("span_id"), F.lit(salts))).otherwise(F.lit(0))
+        .cast("int")).drop("_salts")
     children = cut_lineage(with_parent.repartition(n_parts, *scope, "parent_span_id", "_salt"))
+    hot_parents = hot.select(*[F.col(k) for k in scope], F.col("parent_span_id").alias("span_id"), "_salts")
     level = roots.select(
         "*", F.col("span_id").alias("root_id"), F.lit(0).alias("depth"), F.array("span_id").alias("path")
     )
@@ -55,9 +64,10 @@ def span_tree(spans: DataFrame, per_trace: bool = True, max_depth: int = MAX_DEP
     depth = 0
     while True:
         depth += 1
-        # the frontier is narrow: each row is repeated once per salt (explode, not a cross join)
-        front = level.select(*scope, F.col("span_id").alias("parent_span_id"), "root_id", F.col("path").alias("_pp"),
-                             F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
+        # a hot parent's frontier row is repeated once per salt (explode, not a cross join); others once
+        fl = lookup_join(level, hot_parents, [*scope, "span_id"], "left")
+        front = fl.select(*scope, F.col("span_id").alias("parent_span_id"), "root_id", F.col("path").alias("_pp"),
+                          F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)).alias("_salt"))
         nxt = children.join(front, [*scope, "parent_span_id", "_salt"], "inner").select(
             *[c for c in children.columns if c != "_salt"], "root_id", F.lit(depth).alias("depth"),
             F.concat("_pp", F.array("span_id")).alias("path")

@@ -165,3 +165,12 @@ def test_scalar_functions(spark):
     assert [x.b for x in r] == ["getUser", "handleCheckout", "fetchUser"]
     assert [x.c for x in r] == ["createOrder", "xY", "a"]
     assert r[1].k == "handle_checkout" and r[0].r == -2.0 and r[0].t == "1970-01-01T00:00:00.000Z"
+
+
+def test_tree_with_hot_parent_salting(spark):
+    rows = [{"span_id": "r"}] + [{"span_id": f"c{i}", "parent_span_id": "r"} for i in range(40)] + \
+           [{"span_id": f"g{i}", "parent_span_id": f"c{i % 3}"} for i in range(9)]
+    s = make_spans(spark, rows).withColumn("trace_id", F.lit("t"))
+    plain = sorted((r.span_id, r.depth, r.root_id) for r in TR.span_tree(s).collect())
+    salted = sorted((r.span_id, r.depth, r.root_id) for r in TR.span_tree(s, hot_children=5, salts=4).collect())
+    assert plain == salted and len(plain) == 50
