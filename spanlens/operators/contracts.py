@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from spanlens.functions.scalar import FORMAT_ORDER, FORMAT_PATTERNS, js_round
 from spanlens.schema import arrival_key, conform
-from spanlens.session import cut_lineage, lookup_join
+from spanlens.session import cut_lineage, lookup_join, reuse
 
 # Fixed values of the inference rules.
 ENUM_MAX_DISTINCT = 10
@@ -76,7 +76,7 @@ def payload_values(spans: DataFrame, group_cols: list[str] | None = None) -> Dat
     level = args.unionByName(rets).withColumn("path", F.array().cast("array<string>"))
     levels = []
     for _ in range(MAX_NESTING):
-        typed = cut_lineage(level.withColumn("js_type", _vtype(F.col("v"))))
+        typed = level.withColumn("js_type", _vtype(F.col("v")))
         levels.append(typed.select(
             *g, "slot", "path", "js_type", "_arr",
             F.when(F.col("js_type").isin(*PRIMITIVES), F.to_json("v")).alias("json"),
@@ -88,11 +88,11 @@ def payload_values(spans: DataFrame, group_cols: list[str] | None = None) -> Dat
         arrs = typed.where(F.col("js_type") == "array").select(
             *g, "_arr", "slot", "path", F.explode(F.try_variant_get("v", "$", "array<variant>")).alias("v")
         ).select(*g, "_arr", "slot", F.concat("path", F.array(F.lit("[]"))).alias("path"), "v")
-        nxt = objs.unionByName(arrs)
-        if not typed.where(F.col("js_type").isin("object", "array")).isEmpty():
-            level = nxt
-        else:
+        # only the children of containers are written (the next level's input); leaves are not
+        nxt = cut_lineage(objs.unionByName(arrs))
+        if nxt.isEmpty():
             break
+        level = nxt
     out = levels[0]
     for lv in levels[1:]:
         out = out.unionByName(lv)
@@ -105,16 +105,22 @@ def value_profile(spans: DataFrame, group_cols: list[str] | None = None, values:
     g = group_cols or ["function_name"]
     vals = values if values is not None else payload_values(spans, g)
     key = [*g, "slot", "path", "js_type"]
-    fmt_aggs = [F.count_if(F.col("str_value").rlike(FORMAT_PATTERNS[f])).alias(f"fmt_{f.replace('-', '_')}")
-                for f in FORMAT_ORDER]
-    prof = vals.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("_arr").alias("first_arr"), *fmt_aggs)
-    dv = vals.where(F.col("json").isNotNull()).groupBy(*key, "json").agg(F.min("_arr").alias("_vf"))
-    nd = dv.groupBy(*key).agg(F.count(F.lit(1)).alias("n_distinct"))
+    # one pass over the values: counts per distinct value (containers have no value text and count as one group)
+    per_value = vals.groupBy(*key, "json").agg(
+        F.count(F.lit(1)).alias("_c"), F.min("_arr").alias("_vf"), F.first("str_value").alias("_sv"))
+    per_value = reuse(per_value, vals)
+    fmt_aggs = [F.sum(F.when(F.col("_sv").rlike(FORMAT_PATTERNS[f]), F.col("_c")).otherwise(F.lit(0)))
+                .alias(f"fmt_{f.replace('-', '_')}") for f in FORMAT_ORDER]
+    prof = per_value.groupBy(*key).agg(
+        F.sum("_c").alias("n"), F.min("_vf").alias("first_arr"), *fmt_aggs,
+        F.count("json").alias("n_distinct"))
+    dv = per_value.where(F.col("json").isNotNull())
     w = Window.partitionBy(*key).orderBy("_vf", "json")
     top = dv.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= ENUM_MAX_DISTINCT + 1)
     top = top.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("_vf", "json"))).alias("_vals"))
-    return prof.join(nd, key, "left").join(top, key, "left").select(
-        *key, "n", "first_arr", *[f"fmt_{f.replace('-', '_')}" for f in FORMAT_ORDER], "n_distinct",
+    return prof.join(top, key, "left").select(
+        *key, "n", "first_arr", *[f"fmt_{f.replace('-', '_')}" for f in FORMAT_ORDER],
+        F.when(F.col("n_distinct") > 0, F.col("n_distinct")).alias("n_distinct"),
         F.transform("_vals", lambda x: x["json"]).alias("first_values"),
     )
 
