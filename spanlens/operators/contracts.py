@@ -504,33 +504,69 @@ def _load(text):
     return json.loads(text)
 
 
+def _check_call(values, output, has_error, arg_schemas, return_schema) -> list[dict]:
+    out: list[dict] = []
+    for i, sch in enumerate(arg_schemas):
+        v = values[i] if isinstance(values, list) and i < len(values) else _UNDEFINED
+        out.extend(check_schema(v, _parse_schema(sch), f"args[{i}]"))
+    if not has_error:
+        out.extend(check_schema(output, _parse_schema(return_schema), "return"))
+    return out
+
+
 @F.pandas_udf(VIOLATION)
 def _violations(args_json: pd.Series, output_json: pd.Series, has_error: pd.Series, c_args: pd.Series,
                 c_returns: pd.Series) -> pd.Series:
     res = []
     for a, o, e, ca, cr in zip(args_json, output_json, has_error, c_args, c_returns):
         values = _load(a) if a is not None else []
-        out: list[dict] = []
-        for i, sch in enumerate(list(ca) if ca is not None else []):
-            v = values[i] if isinstance(values, list) and i < len(values) else _UNDEFINED
-            out.extend(check_schema(v, _parse_schema(sch), f"args[{i}]"))
-        if not e:
-            out.extend(check_schema(_load(o), _parse_schema(cr), "return"))
-        res.append(out)
+        res.append(_check_call(values, _load(o), e, list(ca) if ca is not None else [], cr))
     return pd.Series(res)
 
 
-def validate_calls(spans: DataFrame, contracts: DataFrame, sample_rate: float = 1.0, seed: int = 7) -> DataFrame:
-    """One row per violating span with its violation list (contracts join on function name; the contract
-    table has one row per function, so AQE broadcasts it after measuring it)."""
+def _violations_by_name(table):
+    """UDF over (function name, payloads) that looks the contract up in a broadcast table."""
+
+    @F.pandas_udf(VIOLATION)
+    def udf(fn: pd.Series, args_json: pd.Series, output_json: pd.Series, has_error: pd.Series) -> pd.Series:
+        contracts = table.value
+        res = []
+        for f, a, o, e in zip(fn, args_json, output_json, has_error):
+            ca, cr = contracts[f]
+            values = _load(a) if a is not None else []
+            res.append(_check_call(values, _load(o), e, ca, cr))
+        return pd.Series(res)
+
+    return udf
+
+
+BROADCAST_CONTRACTS = 100_000
+
+
+def validate_calls(spans: DataFrame, contracts: DataFrame, sample_rate: float = 1.0, seed: int = 7,
+                   max_broadcast: int = BROADCAST_CONTRACTS) -> DataFrame:
+    """One row per violating span with its violation list; only spans of functions with a contract.
+
+    Contracts are metadata (one row per function). When there are at most ``max_broadcast`` of them they are
+    broadcast once and each span carries only its function name into the check; otherwise each span is joined to
+    its contract row (shuffle join) and the schema texts travel with the span.
+    """
     s = conform(spans)
     if sample_rate < 1.0:
         s = s.where(F.rand(seed) <= F.lit(sample_rate))
     c = contracts.select(F.col("function_name").alias("_fn"), F.col("args").alias("_ca"),
                          F.col("returns").alias("_cr"))
-    j = lookup_join(s, c, F.col("function_name") == F.col("_fn"))
+    if c.count() <= max_broadcast:
+        table = {r._fn: (list(r._ca or []), r._cr) for r in c.collect()}
+        bc = s.sparkSession.sparkContext.broadcast(table)
+        names = c.select(F.col("_fn").alias("function_name"))
+        j = s.join(F.broadcast(names), "function_name", "left_semi")  # bounded by max_broadcast rows
+        check = _violations_by_name(bc)("function_name", "input_json", "output_json", "has_error")
+    else:
+        j = lookup_join(s, c, F.col("function_name") == F.col("_fn"))
+        check = _violations("input_json", "output_json", "has_error", "_ca", "_cr")
     v = j.select("function_name", "span_id", "trace_id", F.col("started_at").alias("timestamp"),
-                 _violations("input_json", "output_json", "has_error", "_ca", "_cr").alias("violations"))
+                 check.alias("violations"))
     return v.where(F.size("violations") > 0)
 
 
