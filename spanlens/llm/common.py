@@ -51,6 +51,11 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once: inside a lambda a column expression would run for every element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of the links (a, b), longs: columns ``node``, ``root`` (the smallest node reachable).
 

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import chat, lines
 from .mixing import mix_documents
+from .simhash import simhash_report
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table. Python workers on this machine find the package; a cluster has it installed or by --py-files."""
+    spark.sparkContext.environment.setdefault("PYTHONPATH", os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -18,6 +24,29 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_documents(table(spark, sf_dir, "documents"), share=1.5, weights=(3, 1, 2), repeats=2, seed=42)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mixing": op1_mixing}
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint over 3-word shingles and its group of fingerprints at 2 or fewer differing bits."""
+    return simhash_report(table(spark, sf_dir, "documents"), shingle=3, bits=2, seed=42)
 
-ORACLES: dict[str, str] = {}
+
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and conversation -7, formatted and read back."""
+    hard = "\\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
+    return chat.formatted_digests(table(spark, sf_dir, "conversations").select(more.columns).union(more))
+
+
+def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without later copies of runs of three or more lines."""
+    kept = lines.drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), run=3)
+    return kept.select("doc_id", "lines.n_lines", "lines.n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing,
+    "op2_simhash": op2_simhash,
+    "op5_chat": op5_chat,
+    "op7_lines": op7_lines,
+}
+
+ORACLES: dict[str, str] = {"op5_chat": chat.SQL, "op7_lines": lines.SQL}
