@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 
 from . import chat, lines
 from .mixing import mix_documents
+from .packing import pack_documents
+from .pii import pii_report
 from .simhash import simhash_report
+from .toxicity import toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +32,11 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_report(table(spark, sf_dir, "documents"), shingle=3, bits=2, seed=42)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole text, learnt from labels outside the held-out fold; 0.3 and more is predicted toxic."""
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+
+
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and conversation -7, formatted and read back."""
     hard = "\\### Assistant: </turn> ok"
@@ -42,11 +50,24 @@ def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "lines.n_lines", "lines.n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' tokens in sequences of at most 2048."""
+    return pack_documents(table(spark, sf_dir, "documents"), length=2048, end=1)
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every whole text, base patterns and what deobfuscation adds."""
+    return pii_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_simhash": op2_simhash,
+    "op3_toxicity": op3_toxicity,
     "op5_chat": op5_chat,
     "op7_lines": op7_lines,
+    "op8_packing": op8_packing,
+    "op9_pii": op9_pii,
 }
 
 ORACLES: dict[str, str] = {"op5_chat": chat.SQL, "op7_lines": lines.SQL}
