@@ -13,6 +13,8 @@ from .mixing import mix_documents
 from .packing import pack_documents
 from .pii import pii_report
 from .simhash import simhash_report
+from .substrings import substring_report
+from .topk import top_k
 from .toxicity import toxicity
 
 
@@ -44,6 +46,11 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.formatted_digests(table(spark, sf_dir, "conversations").select(more.columns).union(more))
 
 
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the words of recurring windows of 35 words."""
+    return substring_report(table(spark, sf_dir, "documents"), window=35)
+
+
 def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without later copies of runs of three or more lines."""
     kept = lines.drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), run=3)
@@ -60,14 +67,21 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_report(table(spark, sf_dir, "documents"))
 
 
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best candidates, by integer inner product, of every 20th vector."""
+    return top_k(table(spark, sf_dir, "embeddings"), every=20, k=20, scale=64)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_simhash": op2_simhash,
     "op3_toxicity": op3_toxicity,
     "op5_chat": op5_chat,
+    "op6_substrings": op6_substrings,
     "op7_lines": op7_lines,
     "op8_packing": op8_packing,
     "op9_pii": op9_pii,
+    "op10_topk": op10_topk,
 }
 
 ORACLES: dict[str, str] = {"op5_chat": chat.SQL, "op7_lines": lines.SQL}
