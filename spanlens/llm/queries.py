@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import chat, lines
 from .mixing import mix_documents
+from .nndescent import near_duplicates
 from .packing import pack_documents
 from .pii import pii_report
 from .simhash import simhash_report
@@ -39,6 +40,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
 
 
+def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's links at cosine 0.93 and more inside its label, its component and whether it stays."""
+    return near_duplicates(table(spark, sf_dir, "embeddings"), least=0.93, seed=42)
+
+
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and conversation -7, formatted and read back."""
     hard = "\\### Assistant: </turn> ok"
@@ -76,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_simhash": op2_simhash,
     "op3_toxicity": op3_toxicity,
+    "op4_embeddings": op4_embeddings,
     "op5_chat": op5_chat,
     "op6_substrings": op6_substrings,
     "op7_lines": op7_lines,
