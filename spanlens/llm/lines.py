@@ -76,9 +76,10 @@ def drop_repeated_lines(docs: DataFrame, run: int = 3, out: str = "lines") -> Da
     result = F.when(F.col("l._starts").isNull(), F.struct(
         F.col("d.text").alias("text"), F.when(F.col("d.text").isNull(), zero).otherwise(n_lines.cast("long")).alias("n_lines"), zero.alias("n_removed"),
     )).otherwise(let(F.split("d.text", "\n", -1), edited))
-    joined = joined.withColumn("_new", result)
-    return joined.select(*(F.col("_new.text").alias(c) if c == "text" else F.col(f"d.`{c}`").alias(c) for c in docs.columns),
-                         F.struct("_new.n_lines", "_new.n_removed").alias(name))
+    new = free_name(docs, "_new")
+    joined = joined.withColumn(new, result)
+    return joined.select(*(F.col(new)["text"].alias(c) if c == "text" else F.col(f"d.`{c}`").alias(c) for c in docs.columns),
+                         F.struct(F.col(new)["n_lines"].alias("n_lines"), F.col(new)["n_removed"].alias("n_removed")).alias(name))
 
 
 #: DuckDB: the same rule by plain windows over all lines, without fingerprints.

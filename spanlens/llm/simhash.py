@@ -144,10 +144,10 @@ def links(fps: DataFrame, bits: int = 2) -> DataFrame:
 
 
 def simhash_groups(docs: DataFrame, shingle: int = 3, bits: int = 2, seed: int = 42) -> DataFrame:
-    """(doc_id, digest, fp, component_id): documents whose fingerprints link, over any number of steps.
+    """(doc_id, digest, fp, root, component_id): documents whose fingerprints link, over any number of steps.
 
     Fingerprints are equal (also zero, of texts without words) or link at ``bits`` or fewer differing bits.
-    component_id is the smallest doc_id reachable. Null doc_ids are the largest. Rows that agree in doc_id and text come
+    ``root`` tells groups apart, component_id is the smallest doc_id in one. Null doc_ids are the largest. Rows that agree in doc_id and text come
     back as often as they are there. Only distinct fingerprints are compared, and no document reaches the driver.
     """
     seen = written(fingerprints(docs, shingle, seed), "simhash")
@@ -155,7 +155,7 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, bits: int = 2, seed: int =
     roots = components(links(smallest.select("fp"), bits))
     rooted = smallest.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return seen.join(rooted.join(least, "root").select("fp", "component_id"), "fp")
+    return seen.join(rooted.join(least, "root").select("fp", "root", "component_id"), "fp")
 
 
 def simhash_report(docs: DataFrame, shingle: int = 3, bits: int = 2, seed: int = 42) -> DataFrame:
@@ -169,9 +169,10 @@ def keep_one_of_group(docs: DataFrame, shingle: int = 3, bits: int = 2, seed: in
 
     Rows that agree in doc_id and text are one document: one row of them stays, any other columns from one of the rows.
     """
-    rows = simhash_groups(docs, shingle, bits, seed).select("component_id", F.struct(F.col("doc_id").isNull(), "doc_id", "digest").alias("at"))
-    best = rows.groupBy("component_id").agg(F.min("at").alias("at")).select(F.col("at.doc_id").alias("_id"), F.col("at.digest").alias("_digest"))
-    kept = docs.join(best, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_digest")), "left_semi")
-    repeated = free_name(kept, "_nth")
+    rows = simhash_groups(docs, shingle, bits, seed).select("root", F.struct(F.col("doc_id").isNull(), "doc_id", "digest").alias("at"))
+    best = rows.groupBy("root").agg(F.min("at").alias("at"))
+    id_, digest, nth = (free_name(docs, c) for c in ("_of_id", "_of_digest", "_nth"))
+    best = best.select(F.col("at.doc_id").alias(id_), F.col("at.digest").alias(digest))
+    kept = docs.join(best, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(digest)), "left_semi")
     w = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0))
-    return kept.withColumn(repeated, F.row_number().over(w)).filter(F.col(repeated) == 1).drop(repeated)
+    return kept.withColumn(nth, F.row_number().over(w)).filter(F.col(nth) == 1).drop(nth)
