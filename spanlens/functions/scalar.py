@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 # String format tests used by contract inference and validation.
 FORMAT_PATTERNS = {
-    "uuid": "(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
-    "email": "^[^\\s@]+@[^\\s@]+\\.[^\\s@]+$",
-    "date-time": "^\\d{4}-\\d{2}-\\d{2}(T\\d{2}:\\d{2}:\\d{2}(\\.\\d+)?(Z|[+-]\\d{2}:\\d{2})?)?$",
+    "uuid": "(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\\z",
+    "email": "^[^\\s@]+@[^\\s@]+\\.[^\\s@]+\\z",
+    "date-time": "^[0-9]{4}-[0-9]{2}-[0-9]{2}(T[0-9]{2}:[0-9]{2}:[0-9]{2}(\\.[0-9]+)?(Z|[+-][0-9]{2}:[0-9]{2})?)?\\z",
     "uri": "(?i)^https?://",
 }
 FORMAT_ORDER = ["uuid", "email", "date-time", "uri"]
@@ -77,7 +77,7 @@ def relative_path(file: Column | str, root: str | None) -> Column:
     if not root:
         return _c(file)
     norm_root = root.replace("\\", "/").rstrip("/") + "/"
-    return F.when(f.startswith(norm_root), F.substring(f, len(norm_root) + 1, 1 << 30)).otherwise(f)
+    return F.when(f.startswith(norm_root), f.substr(F.lit(len(norm_root) + 1), F.length(f))).otherwise(f)
 
 
 def iso_time(ms: Column | str) -> Column:
@@ -123,9 +123,9 @@ def camel_case(name: Column | str) -> Column:
     # split on separators that precede a word character, capitalise the first letter of every later piece
     parts = F.split(_c(name), "[_-](?=\\w)")
     return F.aggregate(
-        F.slice(parts, 2, 1 << 20),
+        F.slice(parts, F.lit(2), F.size(parts)),
         F.element_at(parts, 1),
-        lambda acc, p: F.concat(acc, F.upper(F.substring(p, 1, 1)), F.substring(p, 2, 1 << 20)),
+        lambda acc, p: F.concat(acc, F.upper(F.substring(p, 1, 1)), p.substr(F.lit(2), F.length(p))),
     )
 
 

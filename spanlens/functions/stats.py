@@ -63,12 +63,9 @@ def exact_rank_value(df: DataFrame, keys: list[str], value: str, rank_of_n, out:
     target = hist.where((F.col("_cum") - F.col("_c") < F.col("_k")) & (F.col("_k") <= F.col("_cum"))).select(
         *keys, "_b", "_n", "_k", (F.col("_cum") - F.col("_c")).alias("_before")
     )
-    # rows of the one target bucket per group (one lookup row per group: size-checked broadcast, so the value
-    # table is not shuffled for it), collapsed to distinct values before ranking
-    from spanlens.session import lookup_join
-
+    # rows of the one target bucket per group, collapsed to distinct values before ranking
     cand = (
-        lookup_join(v, target, [*keys, "_b"], "inner")
+        v.join(target, [*keys, "_b"])
         .groupBy(*keys, "_v")
         .agg(F.count(F.lit(1)).alias("_vc"), F.first("_before").alias("_before"), F.first("_k").alias("_k"),
              F.first("_n").alias("_n"))

@@ -34,14 +34,13 @@ from pyspark.sql import types as T
 
 from spanlens.functions.scalar import FORMAT_ORDER, FORMAT_PATTERNS, js_round
 from spanlens.schema import arrival_key, conform
-from spanlens.session import cut_lineage, lookup_join, reuse
+from spanlens.session import cut_lineage
 
 # Fixed values of the inference rules.
 ENUM_MAX_DISTINCT = 10
 FORMAT_MATCH_THRESHOLD = 0.8
 REQUIRED_THRESHOLD = 0.9
 MIN_SAMPLES = 5
-MAX_NESTING = 1000
 
 PRIMITIVES = ["boolean", "number", "string"]
 
@@ -75,7 +74,7 @@ def payload_values(spans: DataFrame, group_cols: list[str] | None = None) -> Dat
                                                 F.try_parse_json("output_json").alias("v"))
     level = args.unionByName(rets).withColumn("path", F.array().cast("array<string>"))
     levels = []
-    for _ in range(MAX_NESTING):
+    while True:
         typed = level.withColumn("js_type", _vtype(F.col("v")))
         levels.append(typed.select(
             *g, "slot", "path", "js_type", "_arr",
@@ -108,7 +107,6 @@ def value_profile(spans: DataFrame, group_cols: list[str] | None = None, values:
     # one pass over the values: counts per distinct value (containers have no value text and count as one group)
     per_value = vals.groupBy(*key, "json").agg(
         F.count(F.lit(1)).alias("_c"), F.min("_arr").alias("_vf"), F.first("str_value").alias("_sv"))
-    per_value = reuse(per_value, vals)
     fmt_aggs = [F.sum(F.when(F.col("_sv").rlike(FORMAT_PATTERNS[f]), F.col("_c")).otherwise(F.lit(0)))
                 .alias(f"fmt_{f.replace('-', '_')}") for f in FORMAT_ORDER]
     prof = per_value.groupBy(*key).agg(
@@ -254,7 +252,7 @@ def infer_contracts(spans: DataFrame, min_samples: int = MIN_SAMPLES, strict: bo
     g = group_cols or ["function_name"]
     s = conform(spans)
     counts = s.groupBy(*g).agg(F.count(F.lit(1)).alias("sample_count")).where(F.col("sample_count") >= min_samples)
-    kept = lookup_join(s, counts.select(*g), g, "left_semi")
+    kept = s.join(counts.select(*g), g, "left_semi")
     roots = assemble_schemas(value_profile(kept, g), g, strict)
     args = roots.where(F.col("slot").startswith("args[")).withColumn(
         "_i", F.regexp_extract("slot", "\\[(\\d+)\\]", 1).cast("int")
@@ -290,7 +288,7 @@ def schema_nodes(contracts: DataFrame, key: str = "function_name", roots: DataFr
                          F.lit(None).cast("string").alias("parent_path"), F.lit(None).cast("string").alias("prop_key"),
                          F.lit(False).alias("via_items"))
     out = []
-    for _ in range(MAX_NESTING):
+    while True:
         lv = cut_lineage(level.select(
             "*",
             F.coalesce(F.to_json(F.variant_get("v", "$.type", "variant")), F.lit("null")).alias("type_json"),
@@ -415,9 +413,9 @@ VIOLATION = T.ArrayType(T.StructType([
 
 _UNDEFINED = object()
 _PY_FORMATS = {
-    "uuid": re.compile(r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$", re.I),
-    "email": re.compile(r"^[^\s@]+@[^\s@]+\.[^\s@]+$"),
-    "date-time": re.compile(r"^\d{4}-\d{2}-\d{2}(T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})?)?$"),
+    "uuid": re.compile(r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\Z", re.I),
+    "email": re.compile(r"^[^\s@]+@[^\s@]+\.[^\s@]+\Z"),
+    "date-time": re.compile(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}(T[0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]+)?(Z|[+-][0-9]{2}:[0-9]{2})?)?\Z"),
     "uri": re.compile(r"^https?://", re.I),
 }
 

@@ -15,20 +15,20 @@ the shared checkpoint folder so lineage stays short and a lost executor recomput
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanlens.operators.graph import DST, NODE_KEYS, SRC, Graph
 from spanlens.session import cut_lineage
 
-MAX_ROUNDS = 10_000
-
 
 def _peel_leftovers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Nodes that a topological peel never removes (on or reachable from a cycle)."""
     remaining = cut_lineage(nodes.select(*NODE_KEYS))
     left = remaining.count()
-    for _ in range(MAX_ROUNDS):
+    while True:
         live_src = remaining.select(F.col("agent_id").alias(SRC[0]), F.col("function_name").alias(SRC[1]))
         e = edges.join(live_src, SRC, "left_semi")
         targets = e.select(F.col(DST[0]).alias("agent_id"), F.col(DST[1]).alias("function_name")).distinct()
@@ -37,7 +37,6 @@ def _peel_leftovers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         if now == left:
             return nxt
         remaining, left = nxt, now
-    raise RuntimeError("topological peel did not converge")
 
 
 def critical_path(graph: Graph) -> DataFrame:
@@ -64,7 +63,7 @@ def critical_path(graph: Graph) -> DataFrame:
     ))
 
     dist = cut_lineage(nodes.select(*NODE_KEYS, "avg_duration_ms", F.col("avg_duration_ms").alias("dist")))
-    for _ in range(MAX_ROUNDS):
+    while True:
         child = dist.select(F.col("agent_id").alias(DST[0]), F.col("function_name").alias(DST[1]),
                             F.col("dist").alias("_cd"))
         best = usable.join(child, DST).groupBy(*SRC).agg(F.max("_cd").alias("_best"))
@@ -98,7 +97,7 @@ def critical_path(graph: Graph) -> DataFrame:
     start = cut_lineage(start.select(*NODE_KEYS, F.col("dist").alias("total_ms"), F.lit(0).alias("step")))
     path = start
     cur = start
-    for step in range(1, MAX_ROUNDS):
+    for step in count(1):
         here = cur.select(F.col("agent_id").alias(SRC[0]), F.col("function_name").alias(SRC[1]), "total_ms")
         nxt = here.join(nxt_step, SRC).select(
             F.col(DST[0]).alias("agent_id"), F.col(DST[1]).alias("function_name"), "total_ms",

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from spanlens.functions.scalar import js_round
 from spanlens.schema import conform
 
-ROUTE_LIMIT = 1000
 RING_CAPACITY = 10_000
 
 
@@ -94,11 +93,10 @@ def sample_traces(spans: DataFrame, rate: float) -> DataFrame:
     return spans.where(F.pmod(F.xxhash64("trace_id"), F.lit(1_000_000)) < F.lit(int(r * 1_000_000)))
 
 
-def recent(spans: DataFrame, k: int = 100, agent_id: str | None = None, route_cap: bool = True) -> DataFrame:
-    """O1: newest spans first, optional agent, limit k (capped at 1000 like the route)."""
+def recent(spans: DataFrame, k: int = 100, agent_id: str | None = None) -> DataFrame:
+    """O1: newest spans first, optional agent, limit k."""
     s = spans if agent_id is None else spans.where(F.col("agent_id") == agent_id)
-    n = min(k, ROUTE_LIMIT) if route_cap else k
-    return s.orderBy(*_newest_first()).limit(n)
+    return s.orderBy(*_newest_first()).limit(k)
 
 
 def retain_last(spans: DataFrame, n: int = RING_CAPACITY) -> DataFrame:

@@ -57,10 +57,6 @@ def caller_links(spans: DataFrame, child_from_index: bool) -> DataFrame:
     """
     s = conform(spans)
     idx = span_node_index(s)
-    if child_from_index:  # the index serves both joins: build it once on large inputs
-        from spanlens.session import reuse
-
-        idx = reuse(idx, s)
     c = s.where(F.col("parent_span_id").isNotNull()).select(
         "span_id", "parent_span_id", "duration_ms", *NODE_KEYS, arrival_key().alias("_arr")
     )

@@ -29,12 +29,26 @@ def _is_request(x: Column) -> Column:
     )
 
 
+def _item_text(v: Column, levels: int) -> Column:
+    """An array element as JavaScript joins it: null is empty, nested arrays are joined; below ``levels`` arrays stay JSON."""
+    t = F.schema_of_variant(v)
+    nested = F.to_json(v) if not levels else F.array_join(
+        F.transform(F.variant_get(v, "$", "array<variant>"), lambda x: _item_text(x, levels - 1)), ",")
+    return (
+        F.when(v.isNull() | (t == "VOID"), F.lit(""))
+        .when(t == "STRING", F.variant_get(v, "$", "string"))
+        .when(t.startswith("OBJECT"), F.lit("[object Object]"))
+        .when(t.startswith("ARRAY"), nested)
+        .otherwise(F.to_json(v))
+    )
+
+
 def _as_text(v: Column) -> Column:
     t = F.schema_of_variant(v)
     return (
         F.when(t == "STRING", F.variant_get(v, "$", "string"))
         .when(t.startswith("OBJECT"), F.lit("[object Object]"))
-        .when(t.startswith("ARRAY"), F.regexp_replace(F.regexp_replace(F.to_json(v), '^\\[|\\]$', ""), '"', ""))
+        .when(t.startswith("ARRAY"), F.array_join(F.transform(F.variant_get(v, "$", "array<variant>"), lambda x: _item_text(x, 3)), ","))
         .otherwise(F.to_json(v))
     )
 

@@ -106,11 +106,12 @@ def _resolve_keys(keys: str | list[str], extra_keys: list | None) -> list[str]:
 
 
 def _precheck(col: str, keys: list[str], values: bool, custom: bool):
-    """JVM-side superset test: can this JSON text contain something to redact?"""
+    """JVM-side superset test: can this JSON text contain something to redact? Keys and strings without escapes are tested
+    as they stand; a text with any escape is always parsed."""
     if custom:
         return F.lit(True)
     key_alt = "|".join(re.escape(k.lower()) for k in keys)
-    cond = F.lower(F.col(col)).rlike(f'"({key_alt})"\\s*:')
+    cond = F.contains(F.col(col), F.lit("\\")) | F.lower(F.col(col)).rlike(f'"({key_alt})"\\s*:')
     if values:
         cond = cond | F.col(col).rlike('"\\s*(' + JWT_SHAPE + "|" + CARD_SHAPE + ')\\s*"')
     return cond
@@ -174,4 +175,4 @@ def redact_strings(col, keys_col=None):
     """R3 for typed columns (JVM only): a string column whose trimmed value has a secret shape → ``[REDACTED]``."""
     c = F.col(col) if isinstance(col, str) else col
     t = F.regexp_replace(c, "^\\s+|\\s+$", "")
-    return F.when(t.rlike("^(" + JWT_SHAPE + "|" + CARD_SHAPE + ")$"), F.lit(REDACTED)).otherwise(c)
+    return F.when(t.rlike("^(" + JWT_SHAPE + "|" + CARD_SHAPE + ")\\z"), F.lit(REDACTED)).otherwise(c)

@@ -1,10 +1,8 @@
 """Span trees (T1-T4, O5): roots, depth, path, chain depth, flame layout, nested documents.
 
-The tree is walked level by level from the roots. The child table (one row per span with a parent) is
-hash-partitioned once on its join key and checkpointed, so every level shuffles only the (shrinking) frontier
-against a table that already sits in the right partitions. Lineage is cut with reliable checkpoints in the shared
-checkpoint folder. Spans in a parent cycle are unreachable from any root and therefore absent, like in the
-reference. ``max_depth`` guards against cycles created by repeated span ids.
+Trees are built by pointer doubling: every span points to an ancestor, and each round replaces the pointer by its
+ancestor's pointer, so a chain of n spans needs about log2(n) rounds, each one join of narrow rows. Rounds are written to the
+shared checkpoint folder. Spans in a parent cycle never reach a root and are absent, like in the reference.
 """
 
 from __future__ import annotations
@@ -13,73 +11,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanlens.schema import conform
-from spanlens.session import cut_lineage, lookup_join
+from spanlens.session import cut_lineage
+from spanlens.sources.spans_io import span_json
 
-MAX_DEPTH = 1000
-SALTS = 16  # the children of a hot parent are spread over this many partitions
-HOT_CHILDREN = 100_000  # a parent with more children than this is hot
 
-
-def _parent_known(s: DataFrame, keys: list[str]) -> DataFrame:
-    """Spans whose parent id exists in the set (per trace when ``trace_id`` is a key)."""
-    scope = [k for k in keys if k != "span_id"]
-    kids = s.where(F.col("parent_span_id").isNotNull())
-    ids = s.select(*[F.col(k).alias("_s_" + k) for k in scope], F.col("span_id").alias("_pid")).distinct()
-    cond = [F.col("parent_span_id") == F.col("_pid")] + [F.col(k) == F.col("_s_" + k) for k in scope]
-    return kids.join(ids, cond, "left_semi")
-
-
-def span_tree(spans: DataFrame, per_trace: bool = True, max_depth: int = MAX_DEPTH, partitions: int | None = None,
-              salts: int = SALTS, hot_children: int = HOT_CHILDREN) -> DataFrame:
+def span_tree(spans: DataFrame, per_trace: bool = True) -> DataFrame:
     """Every reachable span with ``root_id``, ``depth`` (root = 0) and ``path`` (span ids from the root).
 
     Roots are spans whose parent is null or not in the set (J2). With ``per_trace`` the parent must be in the
-    same trace (the correlator's rule); otherwise parents are looked up over the whole set (report chains).
+    same trace (the correlator's rule); otherwise parents are looked up over the whole set (report chains). A span whose
+    parent id occurs more than once has one row for each of them.
+
+    A round settles the spans whose pointer has passed the root. Spans that wait have ancestors at every smaller depth, so a
+    round that settles none has only cycles left.
     """
     s = conform(spans).select("trace_id", "span_id", "parent_span_id", "function_name", "agent_id",
                               "duration_ms", "started_at", "received_at", "ingest_seq")
     scope = ["trace_id"] if per_trace else []
-    keys = scope + ["span_id"]
-    with_parent = _parent_known(s, keys)
-    roots = s.join(with_parent.select(*keys), keys, "left_anti")
-    spark = s.sparkSession
-    n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # children keyed by (scope, parent_span_id, salt): partitioned once and reused by every level. Parents with more
-    # than ``hot_children`` children are hot: their children get a salt (a hash of the child's own id) that spreads
-    # them over ``salts`` partitions; every other child has salt 0. The hot list has at most spans / hot_children rows.
-    pkey = [*scope, "parent_span_id"]
-    hot = with_parent.groupBy(*pkey).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_children) \
-        .select(*pkey, F.lit(salts).alias("_salts"))
-    hot = cut_lineage(hot)
-    with_parent = lookup_join(with_parent, hot, pkey, "left").withColumn(
-        "_salt", F.when(F.col("_salts").isNotNull(), F.pmod(F.xxhash64("span_id"), F.lit(salts))).otherwise(F.lit(0))
-        .cast("int")).drop("_salts")
-    children = cut_lineage(with_parent.repartition(n_parts, *scope, "parent_span_id", "_salt"))
-    hot_parents = hot.select(*[F.col(k) for k in scope], F.col("parent_span_id").alias("span_id"), "_salts")
-    level = roots.select(
-        "*", F.col("span_id").alias("root_id"), F.lit(0).alias("depth"), F.array("span_id").alias("path")
-    )
-    level = cut_lineage(level)
-    out = level
-    depth = 0
+    ids = s.select(*scope, F.col("span_id").alias("_up")).distinct()
+    start = s.withColumn("_up", F.col("parent_span_id")).join(ids.withColumn("_known", F.lit(True)), [*scope, "_up"], "left")
+    state = cut_lineage(start.select(*s.columns, F.when(F.col("_known"), F.col("_up")).alias("_up"), F.array("span_id").alias("path")))
+    done = state.where("_up is null")
     while True:
-        depth += 1
-        # a hot parent's frontier row is repeated once per salt (explode, not a cross join); others once
-        fl = lookup_join(level, hot_parents, [*scope, "span_id"], "left")
-        front = fl.select(*scope, F.col("span_id").alias("parent_span_id"), "root_id", F.col("path").alias("_pp"),
-                          F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)).alias("_salt"))
-        nxt = children.join(front, [*scope, "parent_span_id", "_salt"], "inner").select(
-            *[c for c in children.columns if c != "_salt"], "root_id", F.lit(depth).alias("depth"),
-            F.concat("_pp", F.array("span_id")).alias("path")
-        )
-        nxt = cut_lineage(nxt)
-        if nxt.isEmpty():
+        above = state.select(*scope, F.col("span_id").alias("_up"), F.col("_up").alias("_next"), F.col("path").alias("_head"))
+        moved = cut_lineage(state.where("_up is not null").join(above, [*scope, "_up"]).select(
+            *s.columns, F.col("_next").alias("_up"), F.concat("_head", "path").alias("path")))
+        settled = moved.where("_up is null")
+        if settled.isEmpty():
             break
-        if depth > max_depth:
-            raise RuntimeError(f"span tree deeper than max_depth={max_depth} (repeated span ids form a cycle?)")
-        out = out.unionByName(nxt)
-        level = nxt
-    return out
+        done = done.unionByName(settled)
+        state = done.unionByName(moved.where("_up is not null"))
+    return done.select(*s.columns, F.element_at("path", 1).alias("root_id"), (F.size("path") - 1).alias("depth"), "path")
 
 
 def tree_depths(tree: DataFrame) -> DataFrame:
@@ -129,15 +91,17 @@ def flame(spans: DataFrame) -> DataFrame:
 
 
 def span_tree_json(spans: DataFrame, per_trace: bool = True) -> DataFrame:
-    """T4: nested tree documents, one row per root: ``{"span_id", "function_name", "duration_ms", "children": [...]}``
-    with children in arrival order. Built bottom-up, one level per step, from the T1 table."""
-    tree = span_tree(spans, per_trace=per_trace)
+    """T4: nested tree documents, one row per root: each node is the whole span with its ``children`` in arrival order.
+    Built bottom-up, one level per step, from the T1 table."""
+    keys = ["trace_id", "span_id", "received_at", "ingest_seq"]
+    whole = conform(spans)
+    text = whole.select(*keys, span_json(whole).alias("_h"))
+    tree = span_tree(spans, per_trace=per_trace).join(text, keys)
     max_d = tree.agg(F.max("depth")).first()[0]
     scope = ["trace_id"] if per_trace else []
 
     def node_doc(kids):
-        head = F.to_json(F.struct("span_id", "function_name", "duration_ms"))
-        return F.concat(F.expr("substring(_h, 1, length(_h) - 1)"), F.lit(',"children":['), kids, F.lit("]}")), head
+        return F.concat(F.expr("substring(_h, 1, length(_h) - 1)"), F.lit(',"children":['), kids, F.lit("]}"))
 
     docs = None
     for d in range(max_d, -1, -1):
@@ -151,7 +115,6 @@ def span_tree_json(spans: DataFrame, per_trace: bool = True) -> DataFrame:
             kid_text = F.coalesce(F.array_join(F.transform("_k", lambda x: x["doc"]), ","), F.lit(""))
         else:
             kid_text = F.lit("")
-        doc, head = node_doc(kid_text)
-        lvl = lvl.withColumn("_h", head).withColumn("doc", doc)
+        lvl = lvl.withColumn("doc", node_doc(kid_text))
         docs = cut_lineage(lvl.select(*scope, "span_id", "parent_span_id", "root_id", "received_at", "ingest_seq", "doc"))
     return docs.select(*scope, F.col("root_id"), F.col("doc").alias("tree_json"))

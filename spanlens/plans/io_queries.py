@@ -28,7 +28,7 @@ def _scratch(spark, tag: str) -> str:
 @register(
     "ndjson_round_trip",
     with_ctes(EV)
-    + "\nselect span_id, duration_ms from span_events order by received_at desc, ingest_seq desc limit 10000",
+    + "\nselect span_id, duration_ms from span_events order by received_at desc, ingest_seq desc",
 )
 def q_ndjson_round_trip(spark, sf_dir):
     root = _scratch(spark, "ndjson")
@@ -40,7 +40,7 @@ def q_ndjson_round_trip(spark, sf_dir):
     "snapshot_round_trip",
     with_ctes(EV)
     + """,
-last as (select * from span_events order by received_at desc, ingest_seq desc limit 10000)
+last as (select * from span_events)
 select 'snap-1' as snapshot_id, count(*) as span_count, list(distinct agent_id order by agent_id) as agents,
        count(*) filter (where has_error) as error_spans
 from last""",

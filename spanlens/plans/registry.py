@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanlens.functions.scalar import js_round
-from spanlens.session import cut_lineage
 from spanlens.sources import fixtures
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -47,21 +46,19 @@ def sql_r(expr: str, digits: int) -> str:
     return f"floor(({expr}) * {scale} + 0.5) / {scale}"
 
 
-# The span views are derived tables (a window and a self-join over the driver tables). They are written once per
-# query into the shared checkpoint folder, as a deployment stores its span table, so the several branches of a
-# plan (aggregate, p95 histogram, join-backs) read that table instead of re-deriving it.
+# The span views stay lazy: filters and column choices of a query reach the scans below them.
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cut_lineage(fixtures.span_events(spark, sf_dir))
+    return fixtures.span_events(spark, sf_dir)
 
 
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cut_lineage(fixtures.span_orders(spark, sf_dir))
+    return fixtures.span_orders(spark, sf_dir)
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cut_lineage(fixtures.span_turns(spark, sf_dir))
+    return fixtures.span_turns(spark, sf_dir)
 
 
 def with_ctes(*ctes: str) -> str:

@@ -47,8 +47,9 @@ def span_messages(spans: DataFrame) -> DataFrame:
         "received_at", "ingest_seq",
     )
     one = s.select("agent_id", (F.col("received_at") / 50).cast("long").alias("batch"),
-                   F.to_json(event, {"ignoreNullFields": "false"}).alias("msg"))
-    batched = one.groupBy("agent_id", "batch").agg(F.collect_list("msg").alias("msgs"))
+                   F.struct("received_at", "ingest_seq", F.to_json(event, {"ignoreNullFields": "false"}).alias("msg")).alias("m"))
+    batched = one.groupBy("agent_id", "batch").agg(F.array_sort(F.collect_list("m")).alias("m")).select(
+        F.transform("m", lambda x: x["msg"]).alias("msgs"))
     return batched.select(
         F.when(F.size("msgs") == 1, F.col("msgs")[0])
         .otherwise(F.concat(F.lit("["), F.array_join("msgs", ","), F.lit("]"))).alias("value")
@@ -118,7 +119,7 @@ def q_recent_spans(spark, sf_dir):
     with_ctes(EV)
     + """
 select span_id, received_at from span_events where agent_id = 'svc-1'
-order by received_at desc, ingest_seq desc limit 1000""",
+order by received_at desc, ingest_seq desc limit 5000""",
 )
 def q_recent_spans_agent(spark, sf_dir):
     return FL.recent(events(spark, sf_dir), k=5000, agent_id="svc-1").select("span_id", "received_at")

@@ -16,42 +16,47 @@ from spanlens.streaming import live
 BATCHES = 4
 
 
-def replay_messages(spark, sf_dir, root: str) -> str:
-    """Write the span messages of ``span_events`` as BATCHES files in arrival order (one write job each, so the
-    file source sees them in that order); cuts sit on the 50 ms batching grid so no message is split."""
+def message_slices(spark, sf_dir) -> list:
+    """The span messages of ``span_events`` with their arrival ``_t``, in BATCHES slices of arrival time; cuts sit on the
+    50 ms batching grid so no message is split."""
     s = events(spark, sf_dir)
     cuts = s.agg(F.percentile_approx("received_at", [i / BATCHES for i in range(1, BATCHES)], 10000)).first()[0]
-    cuts = [int(c) // 50 * 50 for c in cuts]
+    bounds = [None, *[int(c) // 50 * 50 for c in cuts], None]
     msgs = cut_lineage(span_messages(s).withColumn("_t", F.get_json_object(
         F.when(F.col("value").startswith("["), F.get_json_object("value", "$[0]")).otherwise(F.col("value")),
         "$.received_at").cast("long")))  # built once, then written as arrival slices
-    bounds = [None, *cuts, None]
-    in_dir = os.path.join(root, "in")
-    for i in range(BATCHES):
-        lo, hi = bounds[i], bounds[i + 1]
-        cond = F.lit(True)
-        if lo is not None:
-            cond = cond & (F.col("_t") >= lo)
-        if hi is not None:
-            cond = cond & (F.col("_t") < hi)
-        msgs.where(cond).select("value").coalesce(1).write.mode("append").text(in_dir)
-    return in_dir
+    return [msgs.where((F.lit(lo is None) | (F.col("_t") >= (lo or 0))) & (F.lit(hi is None) | (F.col("_t") < (hi or 0))))
+            for lo, hi in zip(bounds, bounds[1:])]
 
 
-@register(
-    "stream_ingest_flags",
-    with_ctes(EV, EV_FLAGGED, EV_DISTRIBUTED)
-    + "\nselect f.span_id, f.anomaly, d.distributed from flagged f join dist d using (span_id)",
-)
+_STREAM_SQL = with_ctes(EV, EV_FLAGGED, EV_DISTRIBUTED) \
+    + "\nselect f.span_id, f.anomaly, d.distributed from flagged f join dist d using (span_id)"
+
+
+@register("stream_ingest_flags", _STREAM_SQL)
 def q_stream_ingest_flags(spark, sf_dir):
+    """A replay with recorded stamps: each slice of arrival time comes in as files of its own and is taken in before the next."""
     root = os.path.join(checkpoint_dir(spark), "spanlens-replay-" + uuid.uuid4().hex[:8])
-    in_dir = replay_messages(spark, sf_dir, root)
-    sink = os.path.join(root, "sink")
-    # one micro-batch per file, files in write order (= arrival order)
-    raw = spark.readStream.format("text").option("maxFilesPerTrigger", 1).load(in_dir)
-    q = live.ingest_stream(raw, sink, checkpoint=os.path.join(root, "ck"), require_uuid=False,
-                           arrival_col="received_at")
-    q.awaitTermination()
+    in_dir, sink = os.path.join(root, "in"), os.path.join(root, "sink")
+    for part in message_slices(spark, sf_dir):
+        part.select("value").write.mode("append").text(in_dir)
+        raw = spark.readStream.format("text").load(in_dir)
+        live.ingest_stream(raw, sink, checkpoint=os.path.join(root, "ck"), require_uuid=False,
+                           arrival_col="received_at").awaitTermination()
+    return live.read_sink(spark, sink).select("span_id", "anomaly", "distributed")
+
+
+@register("stream_ingest_live", _STREAM_SQL)
+def q_stream_ingest_live(spark, sf_dir):
+    """Live traffic without recorded stamps: the source's own order (here the message time) and the place in a batched message
+    decide what came first."""
+    root = os.path.join(checkpoint_dir(spark), "spanlens-live-" + uuid.uuid4().hex[:8])
+    in_dir, sink = os.path.join(root, "in"), os.path.join(root, "sink")
+    for part in message_slices(spark, sf_dir):
+        part.select("_t", "value").write.mode("append").parquet(in_dir)
+        raw = spark.readStream.schema("_t long, value string").parquet(in_dir)
+        live.ingest_stream(raw, sink, checkpoint=os.path.join(root, "ck"), require_uuid=False,
+                           order_cols=["_t"]).awaitTermination()
     return live.read_sink(spark, sink).select("span_id", "anomaly", "distributed")
 
 

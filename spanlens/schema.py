@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 # Fixed values of the span format (must equal the reference's rules).
 SCHEMA_VERSION = "1.0"
 LANGUAGES = ["js", "python", "go", "rust", "java", "csharp", "other"]
-UUID_PATTERN = "(?i)^[0-9a-f]{8}-([0-9a-f]{4}-){3}[0-9a-f]{12}$"
+UUID_PATTERN = "(?i)^[0-9a-f]{8}-([0-9a-f]{4}-){3}[0-9a-f]{12}\\z"
 
 ERROR_TYPE = T.StructType(
     [

@@ -11,7 +11,6 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 # Defaults that matter at any scale: AQE re-plans joins at runtime (size-checked broadcast, skew split,
 # partition coalescing), timestamps are UTC, Arrow carries pandas batches.
@@ -53,7 +52,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not current:
             sc.setCheckpointDir(configured)
         return configured
-    if not sc.master.startswith("local"):
+    if not (sc.master == "local" or sc.master.startswith("local[")):
         raise RuntimeError("spark.checkpoint.dir is not set; iterative operators need a shared checkpoint folder")
     path = tempfile.mkdtemp(prefix="spanlens-ckpt-")
     sc.setCheckpointDir(path)
@@ -64,59 +63,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (survives executor loss) into the shared checkpoint folder."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-BROADCAST_MAX_ROWS = 2_000_000
-
-
-def small_side(df: DataFrame, max_rows: int | None = None) -> DataFrame:
-    """Size-checked broadcast for a per-group table that joins back onto a large one.
-
-    The table is cached (memory and disk; a lost block is recomputed from its short lineage) and counted by one
-    job; it is broadcast only when it has at most ``max_rows`` rows (default ``BROADCAST_MAX_ROWS`` or the session
-    setting ``spanlens.broadcast.maxRows``), otherwise it is returned as is and Spark plans a shuffle join. This
-    avoids shuffling the large side for a lookup table (AQE would decide only after that shuffle is written).
-    """
-    from pyspark import StorageLevel
-
-    spark = df.sparkSession
-    limit = max_rows or int(spark.conf.get("spanlens.broadcast.maxRows", str(BROADCAST_MAX_ROWS)))
-    m = df.persist(StorageLevel.MEMORY_AND_DISK)
-    return F.broadcast(m) if m.count() <= limit else m
-
-
-EAGER_CHECK_MIN_BYTES = 1 << 30
-
-
-def _estimated_bytes(df: DataFrame) -> int:
-    """Total size of the plan's leaf inputs (file scans report their file sizes; unknown leaves count as large).
-    Join and window estimates above the leaves are often far too high, the inputs are not."""
-    try:
-        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves().iterator()
-        total = 0
-        while leaves.hasNext():
-            total += int(str(leaves.next().stats().sizeInBytes()))
-        return total
-    except Exception:  # noqa: BLE001 - no estimate: treat as large
-        return 1 << 62
-
-
-def lookup_join(big: DataFrame, small: DataFrame, on, how: str = "inner") -> DataFrame:
-    """Join a per-group lookup table onto a large table.
-
-    When the large side is estimated above ``spanlens.lookup.eagerCheckBytes`` (1 GiB), the lookup table is
-    size-checked first (``small_side``) so a small one is broadcast and the large side is never shuffled for it;
-    below that, the plain join is left to AQE (runtime broadcast after measuring the small side).
-    """
-    spark = big.sparkSession
-    floor = int(spark.conf.get("spanlens.lookup.eagerCheckBytes", str(EAGER_CHECK_MIN_BYTES)))
-    side = small_side(small) if _estimated_bytes(big) >= floor else small
-    return big.join(side, on, how)
-
-
-def reuse(df: DataFrame, inputs: DataFrame | None = None) -> DataFrame:
-    """Write ``df`` once (reliable checkpoint) when it is used by several branches of a plan over large inputs,
-    so the branches read it instead of re-scanning and re-shuffling the inputs; small inputs are left lazy."""
-    spark = df.sparkSession
-    floor = int(spark.conf.get("spanlens.lookup.eagerCheckBytes", str(EAGER_CHECK_MIN_BYTES)))
-    return cut_lineage(df) if _estimated_bytes(inputs if inputs is not None else df) >= floor else df

@@ -17,8 +17,6 @@ from pyspark.sql import functions as F
 from spanlens.operators.ingest import parse_spans
 from spanlens.schema import conform
 
-LAST_N = 10_000
-
 
 def _vnull_or(c: Column, v: Column) -> Column:
     """A VARIANT that is JSON null when ``c`` is NULL (so ``to_json`` keeps the key)."""
@@ -46,7 +44,7 @@ def span_json(spans: DataFrame) -> Column:
         F.when(F.col("has_error"), err).otherwise(F.parse_json(F.lit("null"))).alias("error"),
         F.coalesce("tags", F.create_map().cast("map<string,string>")).alias("tags"),
     ]
-    for extra in ("received_at", "anomaly", "distributed"):
+    for extra in ("received_at", "ingest_seq", "anomaly", "distributed"):
         if extra in cols:
             body.append(F.col(extra))
     return F.to_json(F.struct(*body))
@@ -56,7 +54,8 @@ def span_json(spans: DataFrame) -> Column:
 
 
 def read_spans(spark: SparkSession, path: str, require_uuid: bool = True, valid_only: bool = True) -> DataFrame:
-    """NDJSON span dump(s) → flat spans (stored fields received_at / anomaly / distributed kept if present)."""
+    """NDJSON span dump(s) → flat spans (stored fields received_at / ingest_seq / anomaly / distributed kept if
+    present; without ``ingest_seq``, lines count as newest first, as dumps are written)."""
     raw = spark.read.text(path).where(F.length(F.trim("value")) > 0)
     v = F.try_parse_json("value")
     raw = raw.select(
@@ -64,47 +63,47 @@ def read_spans(spark: SparkSession, path: str, require_uuid: bool = True, valid_
         F.try_variant_get(v, "$.received_at", "long").alias("received_at"),
         F.try_variant_get(v, "$.anomaly", "boolean").alias("anomaly"),
         F.try_variant_get(v, "$.distributed", "boolean").alias("distributed"),
-        F.monotonically_increasing_id().alias("ingest_seq"),
+        F.coalesce(F.try_variant_get(v, "$.ingest_seq", "long"), -F.monotonically_increasing_id()).alias("ingest_seq"),
     )
     parsed = parse_spans(raw, "value", require_uuid=require_uuid)
     return parsed.where(F.size("reasons") == 0).drop("reasons") if valid_only else parsed
 
 
-def write_spans(spans: DataFrame, path: str, last_n: int = LAST_N) -> None:
-    """The last ``last_n`` spans by arrival, newest first, as one NDJSON file (bounded by ``last_n``)."""
+def _newest(spans: DataFrame, last_n: int | None) -> DataFrame:
+    newest = spans.orderBy(F.col("received_at").desc_nulls_last(), F.col("ingest_seq").desc_nulls_last())
+    return newest if last_n is None else newest.limit(last_n)
+
+
+def write_spans(spans: DataFrame, path: str, last_n: int | None = None) -> None:
+    """Spans (the last ``last_n`` by arrival where asked), newest first, as NDJSON files in order of their names."""
     s = conform(spans)
-    newest = s.orderBy(F.col("received_at").desc_nulls_last(), F.col("ingest_seq").desc_nulls_last()).limit(last_n)
-    newest.select(span_json(s).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    _newest(s, last_n).select(span_json(s).alias("value")).write.mode("overwrite").text(path)
 
 
 # ---------------------------------------------------------------- S3-S6: snapshots
 
 
 def write_snapshot(spans: DataFrame, root: str, snapshot_id: str, tags: dict | None = None,
-                   last_n: int = LAST_N) -> str:
-    """One snapshot document ``{id, createdAt, agents, spans, tags}`` of the last ``last_n`` spans (newest first)
-    under ``root/snapshot_id=<id>/``. The document is bounded by ``last_n``."""
-    s = conform(spans)
-    newest = s.orderBy(F.col("received_at").desc_nulls_last(), F.col("ingest_seq").desc_nulls_last()).limit(last_n)
-    rows = newest.select(span_json(s).alias("j"), "agent_id", "received_at", "ingest_seq")
-    doc = rows.agg(
-        F.array_sort(F.collect_list(F.struct((-F.col("received_at")).alias("r"), (-F.col("ingest_seq")).alias("q"),
-                                             "j"))).alias("_s"),
-        F.array_sort(F.collect_set("agent_id")).alias("agents"),
-    ).select(F.concat(
+                   last_n: int | None = None) -> str:
+    """A snapshot of the spans (the last ``last_n`` where asked) under ``root/snapshot_id=<id>/``: ``spans/`` holds them as
+    NDJSON files, ``header/`` one document ``{id, createdAt, agents, spanCount, tags}``."""
+    out = os.path.join(root, f"snapshot_id={snapshot_id}")
+    write_spans(spans, os.path.join(out, "spans"), last_n)
+    back = spans.sparkSession.read.text(os.path.join(out, "spans")).select(F.get_json_object("value", "$.source.agent_id").alias("agent_id"))
+    facts = back.groupBy("agent_id").agg(F.count(F.lit(1)).alias("n")).agg(
+        F.array_sort(F.collect_list("agent_id")).alias("agents"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    header = facts.select(F.concat(
         F.lit('{"id":' + json.dumps(snapshot_id)),
         F.lit(',"createdAt":'), F.unix_millis(F.current_timestamp()).cast("string"),
-        F.lit(',"agents":'), F.to_json("agents"),
-        F.lit(',"spans":['), F.array_join(F.transform("_s", lambda x: x["j"]), ","), F.lit("]"),
+        F.lit(',"agents":'), F.to_json("agents"), F.lit(',"spanCount":'), F.col("n").cast("string"),
         F.lit(',"tags":'), F.lit(json.dumps(tags or {}, separators=(",", ":"))), F.lit("}"),
     ).alias("value"))
-    out = os.path.join(root, f"snapshot_id={snapshot_id}")
-    doc.coalesce(1).write.mode("overwrite").text(out)
+    header.write.mode("overwrite").text(os.path.join(out, "header"))
     return out
 
 
 def read_snapshot(spark: SparkSession, path: str, require_uuid: bool = True) -> DataFrame:
-    """Snapshot document(s) → flat spans with ``snapshot_id`` and ``created_at`` (one file per task)."""
+    """S3: foreign snapshot document(s) ``{id, createdAt, spans[]}`` → flat spans with ``snapshot_id`` and ``created_at`` (one file per task)."""
     docs = spark.read.option("wholetext", True).text(path)
     v = F.col("_doc")
     # parse each document once and drop its text before exploding, so no span row carries the whole document
@@ -124,20 +123,21 @@ def read_snapshot(spark: SparkSession, path: str, require_uuid: bool = True) ->
 
 
 def list_snapshots(spark: SparkSession, root: str) -> DataFrame:
-    """Snapshots under ``root``: id, createdAt, span count, agents; newest id first."""
-    docs = spark.read.option("wholetext", True).text(os.path.join(root, "*"))
+    """Snapshots under ``root``, from their headers alone: id, createdAt, span count, agents; newest id first."""
+    docs = spark.read.text(os.path.join(root, "*", "header"))
     v = F.try_parse_json("value")
     return docs.select(
         F.try_variant_get(v, "$.id", "string").alias("snapshot_id"),
         F.try_variant_get(v, "$.createdAt", "long").alias("created_at"),
-        F.size(F.try_variant_get(v, "$.spans", "array<variant>")).alias("span_count"),
+        F.try_variant_get(v, "$.spanCount", "long").alias("span_count"),
         F.try_variant_get(v, "$.agents", "array<string>").alias("agents"),
     ).where(F.col("snapshot_id").isNotNull()).orderBy(F.col("snapshot_id").desc())
 
 
 def load_snapshot(spark: SparkSession, root: str, snapshot_id: str, require_uuid: bool = True) -> DataFrame:
     """The spans of one snapshot (replaces the current table content when written over it)."""
-    return read_snapshot(spark, os.path.join(root, f"snapshot_id={snapshot_id}"), require_uuid)
+    at = os.path.join(root, f"snapshot_id={snapshot_id}")
+    return read_spans(spark, os.path.join(at, "spans"), require_uuid).withColumn("snapshot_id", F.lit(snapshot_id))
 
 
 # ---------------------------------------------------------------- S11: share codes
@@ -230,9 +230,11 @@ def write_contracts(contracts: DataFrame, path: str) -> None:
 
 
 def read_contracts(spark: SparkSession, path: str) -> DataFrame:
-    """Contract documents (one per line or one per file); kept when version is "1.0", functionName is a string
-    and args is an array; missing parts get defaults (sampleCount 0, returns ``{}``)."""
-    raw = spark.read.text(path)
+    """Contract documents, one per line, or one per file in any layout; kept when version is "1.0", functionName is a
+    string and args is an array; missing parts get defaults (sampleCount 0, returns ``{}``)."""
+    files = spark.read.option("wholetext", True).text(path)
+    # a file that is one document stays whole, any other is read line by line
+    raw = files.select(F.explode(F.when(F.try_parse_json("value").isNotNull(), F.array("value")).otherwise(F.split("value", "\n"))).alias("value"))
     v = F.try_parse_json("value")
     ok = (
         (F.try_variant_get(v, "$.version", "string") == "1.0")
@@ -259,10 +261,14 @@ def read_contracts(spark: SparkSession, path: str) -> DataFrame:
 def load_extra_keys(config_path: str) -> list[str]:
     """Extra redaction keys from a small JSON config file (``sanitizeKeys``); non-strings are ignored and a
     missing or bad file gives no extra keys."""
+    spark = SparkSession.active()
+    at = spark._jvm.org.apache.hadoop.fs.Path(config_path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return []
+    row = spark.read.option("wholetext", True).text(config_path).first()
     try:
-        with open(config_path, encoding="utf-8") as fh:
-            cfg = json.load(fh)
-    except (OSError, ValueError):
+        cfg = json.loads(row.value if row else "")
+    except ValueError:
         return []
     keys = cfg.get("sanitizeKeys") if isinstance(cfg, dict) else None
     return [k for k in keys if isinstance(k, str)] if isinstance(keys, list) else []

@@ -1,18 +1,16 @@
 """Structured Streaming: live ingest, rate cap, arrival rate, live graph, subscribe, periodic dump.
 
-Live ingest (X1) = stateless explode / validate → a keyed stateful operator for the distributed flag →
-``foreachBatch`` for redaction, the anomaly flag and the sink:
-
-* X5 distributed: ``applyInPandasWithState`` keyed by ``trace_id``; the state of a trace is its first agent and
-  whether another agent was seen (two values), optionally expired by a processing-time timeout (``trace_ttl_ms``).
-  Only the traces present in a micro-batch are touched (Spark's state store writes changed keys only).
-* X4 anomaly: first arrival per (agent, function, output type) — at most 7 rows per function — kept as a small
-  versioned table under the checkpoint folder; a micro-batch unions its rows with that table and applies
-  ``flag_anomalies``. Only first arrivals decide the flag, so the result equals the batch flags (W1).
-
-State versions and sink files are written per ``batch_id`` with overwrite, so a re-run of a batch after a
-failure is idempotent. ``received_at`` is stamped once, at ingest (the batch's processing time); spans of one
-micro-batch are ordered by a hash of their message (a replay with recorded stamps keeps its own order).
+Live ingest (X1) = ``foreachBatch`` over explode, validate, redact, the two flags and the sink. Both flags are decided by
+first arrivals, so each needs only a small table of them from earlier batches, kept in versions under the checkpoint folder:
+
+* X4 anomaly: first arrival per (agent, function, output type), at most 7 rows per function.
+* X5 distributed: per trace its first agent and, if there was one, the first other agent; ``trace_ttl_ms`` lets traces go
+  that started longer ago.
+
+A micro-batch unions its rows with these rows and applies the batch rules (W1, W2), so the results are equal. State versions
+and sink files are written per ``batch_id`` with overwrite: a re-run of a batch after a failure is idempotent. Spans arrive in
+message order: ``ingest_seq`` numbers them as they come out of the source and out of each batched message, ``order_cols``
+(for example partition and offset) where the source has an order of its own.
 """
 
 import os
@@ -26,7 +24,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from spanlens.operators import filters as FL
 from spanlens.operators import graph as G
-from spanlens.operators.ingest import explode_messages, flag_anomalies, output_type, parse_spans
+from spanlens.operators.ingest import explode_messages, flag_anomalies, flag_distributed, output_type, parse_spans
 from spanlens.operators.redact import redact
 from spanlens.schema import conform
 from spanlens.session import checkpoint_dir
@@ -61,12 +59,8 @@ _NODE_TYPES = "agent_id string, function_name string, output_type string, receiv
 def anomaly_batch(batch: DataFrame, node_types: DataFrame) -> DataFrame:
     """W1 for one micro-batch given first-arrival state: state rows stand in for earlier spans."""
     b = conform(batch).withColumn("output_type", output_type(batch)).withColumn("_batch", F.lit(True))
-    nt = node_types.select("agent_id", "function_name", "output_type", "received_at", "ingest_seq",
-                           F.lit(None).cast("string").alias("span_id"), F.lit(False).alias("_batch"))
-    a_in = b.select("agent_id", "function_name", "output_type", "received_at", "ingest_seq", "span_id",
-                    "_batch").unionByName(nt)
-    an = flag_anomalies(a_in).where("_batch").select("span_id", "anomaly")
-    return b.drop("anomaly", "_batch").join(an, "span_id")
+    known = node_types.withColumn("_batch", F.lit(False))
+    return flag_anomalies(b.unionByName(known, allowMissingColumns=True)).where("_batch").drop("_batch")
 
 
 def next_node_types(batch: DataFrame, node_types: DataFrame) -> DataFrame:
@@ -111,43 +105,62 @@ def distributed_stream(spans: DataFrame, trace_ttl_ms: int | None = None) -> Dat
     return spans.groupBy("trace_id").applyInPandasWithState(fn, out_schema, state_schema, "append", timeout)
 
 
+_TRACE_AGENTS = "trace_id string, agent_id string, received_at long, ingest_seq long"
+
+
+def distributed_batch(batch: DataFrame, trace_agents: DataFrame) -> DataFrame:
+    """W2 for one micro-batch given the first arrivals of earlier agents of its traces."""
+    b = batch.withColumn("_batch", F.lit(True))
+    known = trace_agents.withColumn("_batch", F.lit(False))
+    return flag_distributed(b.unionByName(known, allowMissingColumns=True)).where("_batch").drop("_batch")
+
+
+def next_trace_agents(batch: DataFrame, trace_agents: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    """The first arrivals of a trace's first two agents; more cannot change a flag."""
+    rows = batch.select("trace_id", "agent_id", "received_at", "ingest_seq").unionByName(trace_agents)
+    first = rows.groupBy("trace_id", "agent_id").agg(F.min(F.struct("received_at", "ingest_seq")).alias("_a"))
+    per = first.groupBy("trace_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("_a", "agent_id"))), 1, 2).alias("_f"))
+    if ttl_ms is not None:
+        per = per.where(F.col("_f")[0]["_a"]["received_at"] >= F.unix_millis(F.current_timestamp()) - ttl_ms)
+    return per.select("trace_id", F.explode("_f").alias("f")).select(
+        "trace_id", "f.agent_id", F.col("f._a.received_at").alias("received_at"), F.col("f._a.ingest_seq").alias("ingest_seq"))
+
+
 def ingest_stream(raw: DataFrame, sink: str, checkpoint: str | None = None, value_col: str = "value",
                   require_uuid: bool = True, redact_keys: str | list = "hub", extra_keys: list | None = None,
                   trace_ttl_ms: int | None = None, trigger: dict | None = None,
-                  arrival_col: str | None = None) -> StreamingQuery:
-    """Raw message stream → explode → validate → distributed (keyed state) → redact → anomaly → sink.
+                  arrival_col: str | None = None, order_cols: list[str] | None = None) -> StreamingQuery:
+    """Raw message stream → explode → validate → redact → anomaly → distributed → sink.
 
     ``arrival_col`` names a key of the message with a recorded arrival time (replay of recorded traffic, which
-    then also keeps its recorded ``ingest_seq``); otherwise ``received_at`` is the batch's processing time.
-    Invalid messages are dropped (as the hub does); ``parse_spans`` gives their reasons in batch jobs.
+    then also keeps its recorded ``ingest_seq``); otherwise ``received_at`` is the batch's processing time and spans keep
+    their message order, by ``order_cols`` or as the source gives them. Invalid messages are dropped (as the hub does);
+    ``parse_spans`` gives their reasons in batch jobs.
     """
     spark = raw.sparkSession
     root = checkpoint or os.path.join(checkpoint_dir(spark), "spanlens-ingest-" + uuid.uuid4().hex[:8])
-    msgs = explode_messages(raw, value_col)
-    v = F.try_parse_json("message")
-    if arrival_col is not None:
-        msgs = msgs.withColumn("received_at", F.try_variant_get(v, f"$.{arrival_col}", "long")).withColumn(
-            "ingest_seq", F.coalesce(F.try_variant_get(v, "$.ingest_seq", "long"), F.xxhash64("message")))
-    else:
-        msgs = msgs.withColumn("received_at", F.unix_millis(F.current_timestamp())).withColumn(
-            "ingest_seq", F.xxhash64("message"))
-    parsed = parse_spans(msgs.withColumn("_m", F.col("message")), "_m", require_uuid=require_uuid)
-    # only narrow columns and the message text pass through the stateful (Python) operator
-    good = parsed.where(F.size("reasons") == 0).select("message", "trace_id", "span_id", "agent_id", "received_at",
-                                                       "ingest_seq")
-    flagged_stream = distributed_stream(good, trace_ttl_ms)
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        spans = parse_spans(batch.withColumnRenamed("trace_id", "_t").drop("span_id", "agent_id"), "message",
-                            require_uuid=require_uuid).drop("reasons", "_t")
-        b = redact(spans, keys=redact_keys, extra_keys=extra_keys).drop("redactions").persist()
-        nt = _latest_state(spark, root, "node_types", _NODE_TYPES, batch_id)
-        anomaly_batch(b, nt).write.mode("overwrite").parquet(os.path.join(sink, f"batch_id={batch_id}"))
-        next_node_types(b, nt).write.mode("overwrite").parquet(
-            os.path.join(root, "state", "node_types", f"v={batch_id}"))
-        b.unpersist()
-
-    w = flagged_stream.writeStream.foreachBatch(run).option("checkpointLocation", os.path.join(root, "offsets"))
+        if order_cols:
+            batch = batch.sort(*order_cols)
+        msgs = explode_messages(batch, value_col).withColumn("_nth", F.monotonically_increasing_id())
+        received, seq = F.unix_millis(F.current_timestamp()), F.col("_nth")
+        if arrival_col is not None:
+            v = F.try_parse_json("message")
+            received = F.try_variant_get(v, f"$.{arrival_col}", "long")
+            seq = F.coalesce(F.try_variant_get(v, "$.ingest_seq", "long"), seq)
+        msgs = msgs.withColumn("received_at", received).withColumn("ingest_seq", seq).select("message", "received_at", "ingest_seq")
+        good = parse_spans(msgs, "message", require_uuid=require_uuid).where(F.size("reasons") == 0).drop("reasons")
+        staged = os.path.join(root, "batch", f"v={batch_id}")  # parsed once, with fixed stamps
+        conform(redact(good, keys=redact_keys, extra_keys=extra_keys).drop("redactions")).write.mode("overwrite").parquet(staged)
+        b = spark.read.parquet(staged)
+        types = _latest_state(spark, root, "node_types", _NODE_TYPES, batch_id)
+        agents = _latest_state(spark, root, "trace_agents", _TRACE_AGENTS, batch_id)
+        distributed_batch(anomaly_batch(b, types), agents).write.mode("overwrite").parquet(os.path.join(sink, f"batch_id={batch_id}"))
+        for name, state in (("node_types", next_node_types(b, types)), ("trace_agents", next_trace_agents(b, agents, trace_ttl_ms))):
+            state.write.mode("overwrite").parquet(os.path.join(root, "state", name, f"v={batch_id}"))
+
+    w = raw.writeStream.foreachBatch(run).option("checkpointLocation", os.path.join(root, "offsets"))
     w = w.trigger(**(trigger or {"availableNow": True}))
     return w.start()
 
@@ -273,15 +286,15 @@ def refresh_graph(spark: SparkSession, sink: str, out: str, agent_id: str | None
 
 def subscribe(spark: SparkSession, sink: str, last: int = 200) -> tuple[DataFrame, DataFrame]:
     """The newest ``last`` stored spans for a new consumer, then the stream of later sink files."""
-    snapshot = FL.recent(read_sink(spark, sink), k=last, route_cap=False)
+    snapshot = FL.recent(read_sink(spark, sink), k=last)
     schema = read_sink(spark, sink).schema
     changes = spark.readStream.schema(schema).parquet(sink)
     return snapshot, changes
 
 
 def flush_stream(stream: DataFrame, path: str, checkpoint: str, interval: str = "30 seconds",
-                 last_n: int = 10_000, trigger: dict | None = None) -> StreamingQuery:
-    """Every ``interval`` dump the newest ``last_n`` spans of the batch as NDJSON (one folder per batch)."""
+                 last_n: int | None = None, trigger: dict | None = None) -> StreamingQuery:
+    """Every ``interval`` dump the spans of the batch (the newest ``last_n`` where asked) as NDJSON (one folder per batch)."""
     from spanlens.sources.spans_io import write_spans
 
     def run(batch: DataFrame, batch_id: int) -> None:

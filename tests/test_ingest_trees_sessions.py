@@ -107,7 +107,8 @@ def test_nested_tree_json(spark):
     rows = [{"span_id": "r", "function_name": "root"}, {"span_id": "c", "parent_span_id": "r", "function_name": "kid"}]
     s = make_spans(spark, rows).withColumn("trace_id", F.lit("t"))
     doc = json.loads(TR.span_tree_json(s).first().tree_json)
-    assert doc["function_name"] == "root" and doc["children"][0]["function_name"] == "kid"
+    kid = doc["children"][0]
+    assert doc["source"]["function_name"] == "root" and kid["source"]["function_name"] == "kid" and kid["timing"]["duration_ms"] == 50.0
 
 
 def _calls(spark, fn, durations, errors=None):
@@ -167,10 +168,17 @@ def test_scalar_functions(spark):
     assert r[1].k == "handle_checkout" and r[0].r == -2.0 and r[0].t == "1970-01-01T00:00:00.000Z"
 
 
-def test_tree_with_hot_parent_salting(spark):
+def test_deep_chain_and_cycles(spark):
+    """A chain far deeper than any round count, next to a cycle that no root reaches."""
+    rows = [{"trace_id": "deep", "span_id": f"d{i}", "parent_span_id": f"d{i - 1}" if i else None} for i in range(1500)]
+    rows += [{"trace_id": "deep", "span_id": f"c{i}", "parent_span_id": f"c{(i + 1) % 7}"} for i in range(7)]
+    rows += [{"trace_id": "deep", "span_id": "x", "parent_span_id": "c0"}]
+    t = {r.span_id: (r.root_id, r.depth, len(r.path)) for r in TR.span_tree(make_spans(spark, rows)).collect()}
+    assert t == {f"d{i}": ("d0", i, i + 1) for i in range(1500)}
+
+
+def test_tree_with_hot_parent(spark):
     rows = [{"span_id": "r"}] + [{"span_id": f"c{i}", "parent_span_id": "r"} for i in range(40)] + \
            [{"span_id": f"g{i}", "parent_span_id": f"c{i % 3}"} for i in range(9)]
-    s = make_spans(spark, rows).withColumn("trace_id", F.lit("t"))
-    plain = sorted((r.span_id, r.depth, r.root_id) for r in TR.span_tree(s).collect())
-    salted = sorted((r.span_id, r.depth, r.root_id) for r in TR.span_tree(s, hot_children=5, salts=4).collect())
-    assert plain == salted and len(plain) == 50
+    t = TR.span_tree(make_spans(spark, rows).withColumn("trace_id", F.lit("t"))).collect()
+    assert len(t) == 50 and {r.root_id for r in t} == {"r"} and sorted(r.depth for r in t) == [0] + [1] * 40 + [2] * 9
