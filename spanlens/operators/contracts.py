@@ -65,11 +65,12 @@ def payload_values(spans: DataFrame, group_cols: list[str] | None = None) -> Dat
     """Flatten arguments (slot ``args[i]``) and non-error returns (slot ``return``) into path rows."""
     g = group_cols or ["function_name"]
     s = conform(spans)
-    arr = arrival_key()
+    # a value's place in arrival order: its span's, then the positions of the array elements that lead to it
+    arr = F.struct(arrival_key().alias("a"), F.array().cast("array<int>").alias("p"))
     args = s.select(
         *g, arr.alias("_arr"),
         F.posexplode(F.try_variant_get(F.try_parse_json("input_json"), "$", "array<variant>")).alias("_i", "v"),
-    ).select(*g, "_arr", F.concat(F.lit("args["), F.col("_i").cast("string"), F.lit("]")).alias("slot"), "v")
+    ).select(*g, F.struct("_arr.a", F.array("_i").alias("p")).alias("_arr"), F.concat(F.lit("args["), F.col("_i").cast("string"), F.lit("]")).alias("slot"), "v")
     rets = s.where(~F.col("has_error")).select(*g, arr.alias("_arr"), F.lit("return").alias("slot"),
                                                 F.try_parse_json("output_json").alias("v"))
     level = args.unionByName(rets).withColumn("path", F.array().cast("array<string>"))
@@ -85,8 +86,9 @@ def payload_values(spans: DataFrame, group_cols: list[str] | None = None) -> Dat
             *g, "_arr", "slot", "path", F.explode(F.try_variant_get("v", "$", "map<string,variant>")).alias("_k", "v")
         ).select(*g, "_arr", "slot", F.concat("path", F.array(F.concat(F.lit("."), "_k"))).alias("path"), "v")
         arrs = typed.where(F.col("js_type") == "array").select(
-            *g, "_arr", "slot", "path", F.explode(F.try_variant_get("v", "$", "array<variant>")).alias("v")
-        ).select(*g, "_arr", "slot", F.concat("path", F.array(F.lit("[]"))).alias("path"), "v")
+            *g, "_arr", "slot", "path", F.posexplode(F.try_variant_get("v", "$", "array<variant>")).alias("_i", "v")
+        ).select(*g, F.struct("_arr.a", F.concat("_arr.p", F.array("_i")).alias("p")).alias("_arr"), "slot",
+                 F.concat("path", F.array(F.lit("[]"))).alias("path"), "v")
         # only the children of containers are written (the next level's input); leaves are not
         nxt = cut_lineage(objs.unionByName(arrs))
         if nxt.isEmpty():
@@ -276,7 +278,7 @@ def infer_contracts(spans: DataFrame, min_samples: int = MIN_SAMPLES, strict: bo
 def schema_nodes(contracts: DataFrame, key: str = "function_name", roots: DataFrame | None = None) -> DataFrame:
     """Schema nodes reachable through properties / items from each root (``args[i]``, ``returns``).
 
-    Columns: key, path, parent_path, prop_key, via_items, type_json, format, enum_json, has_oneof,
+    Columns: key, steps (array of path parts; tells nodes apart), path (the same as text), parent_path, prop_key, via_items, type_json, format, enum_json, has_oneof,
     has_properties, prop_keys, required, has_items.
     """
     if roots is None:
@@ -284,7 +286,7 @@ def schema_nodes(contracts: DataFrame, key: str = "function_name", roots: DataFr
             key, F.concat(F.lit("args["), F.col("_i").cast("string"), F.lit("]")).alias("path"), "_s")
         r = contracts.select(key, F.lit("returns").alias("path"), F.col("returns").alias("_s"))
         roots = a.unionByName(r)
-    level = roots.select(key, "path", F.try_parse_json("_s").alias("v"),
+    level = roots.select(key, F.array("path").alias("steps"), "path", F.try_parse_json("_s").alias("v"),
                          F.lit(None).cast("string").alias("parent_path"), F.lit(None).cast("string").alias("prop_key"),
                          F.lit(False).alias("via_items"))
     out = []
@@ -299,17 +301,17 @@ def schema_nodes(contracts: DataFrame, key: str = "function_name", roots: DataFr
             F.try_variant_get("v", "$.required", "array<string>").alias("required"),
             F.variant_get("v", "$.items", "variant").alias("_items"),
         ))
-        out.append(lv.select(key, "path", "parent_path", "prop_key", "via_items", "type_json", "format", "enum_json",
+        out.append(lv.select(key, "steps", "path", "parent_path", "prop_key", "via_items", "type_json", "format", "enum_json",
                              "has_oneof", F.col("_props").isNotNull().alias("has_properties"),
                              F.coalesce(F.map_keys("_props"), F.array().cast("array<string>")).alias("prop_keys"),
                              F.coalesce("required", F.array().cast("array<string>")).alias("required"),
                              F.col("_items").isNotNull().alias("has_items")))
-        props = lv.select(key, F.col("path").alias("parent_path"), "via_items",
+        props = lv.select(key, "steps", F.col("path").alias("parent_path"), "via_items",
                           F.explode("_props").alias("prop_key", "v")).select(
-            key, F.concat("parent_path", F.lit("."), "prop_key").alias("path"), "v", "parent_path", "prop_key",
+            key, F.concat("steps", F.array(F.concat(F.lit("."), "prop_key"))).alias("steps"), F.concat("parent_path", F.lit("."), "prop_key").alias("path"), "v", "parent_path", "prop_key",
             "via_items")
         items = lv.where(F.col("_items").isNotNull()).select(
-            key, F.concat("path", F.lit("[items]")).alias("path"), F.col("_items").alias("v"),
+            key, F.concat("steps", F.array(F.lit("[]"))).alias("steps"), F.concat("path", F.lit("[items]")).alias("path"), F.col("_items").alias("v"),
             F.col("path").alias("parent_path"), F.lit(None).cast("string").alias("prop_key"),
             F.lit(True).alias("via_items"))
         nxt = props.unionByName(items)
@@ -363,9 +365,9 @@ def contract_drift(saved: DataFrame, current: DataFrame, key: str = "function_na
     sn = schema_nodes(None, key, roots.select(key, "path", "_s"))
     cn = schema_nodes(None, key, roots.select(key, "path", F.col("_c").alias("_s")))
     cols = ["type_json", "format", "enum_json", "has_properties", "prop_keys", "required", "has_items"]
-    b = sn.select(key, "path", *[F.col(c).alias("b_" + c) for c in cols])
-    a = cn.select(key, "path", *[F.col(c).alias("a_" + c) for c in cols])
-    both = cut_lineage(b.join(a, [key, "path"]))
+    b = sn.select(key, "steps", "path", *[F.col(c).alias("b_" + c) for c in cols])
+    a = cn.select(key, "steps", *[F.col(c).alias("a_" + c) for c in cols])
+    both = cut_lineage(b.join(a, [key, "steps"]))
     nul = F.lit(None).cast("string")
     type_ch = both.where(F.col("b_type_json") != F.col("a_type_json")).select(
         key, "path", F.lit("type_changed").alias("kind"), F.col("b_type_json").alias("before"),
@@ -412,159 +414,127 @@ VIOLATION = T.ArrayType(T.StructType([
 ]))
 
 _UNDEFINED = object()
-_PY_FORMATS = {
-    "uuid": re.compile(r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\Z", re.I),
-    "email": re.compile(r"^[^\s@]+@[^\s@]+\.[^\s@]+\Z"),
-    "date-time": re.compile(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}(T[0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]+)?(Z|[+-][0-9]{2}:[0-9]{2})?)?\Z"),
-    "uri": re.compile(r"^https?://", re.I),
-}
+_PY_FORMATS = {name: re.compile(p.replace("\\z", "\\Z")) for name, p in FORMAT_PATTERNS.items()}
+_KINDS = ((bool, "boolean"), ((int, float), "number"), (str, "string"), (list, "array"), (dict, "object"))
 
 
-def _js_stringify(v) -> str | None:
-    if v is _UNDEFINED:
-        return None
+def _kind(v) -> str:
+    """JavaScript-style type name of a parsed JSON value."""
+    if v is None or v is _UNDEFINED:
+        return "null" if v is None else "undefined"
+    return next(name for kind, name in _KINDS if isinstance(v, kind))
+
+
+def _integral(v):
+    """Numbers without a fraction as integers, at every depth."""
     if isinstance(v, float) and v.is_integer() and abs(v) < 1e21:
-        return str(int(v))
-    if isinstance(v, (list, dict)):
-        if isinstance(v, list):
-            return "[" + ",".join(_js_stringify(x) or "null" for x in v) + "]"
-        return "{" + ",".join(json.dumps(k) + ":" + (_js_stringify(x) or "null") for k, x in v.items()) + "}"
-    return json.dumps(v, ensure_ascii=False)
-
-
-def _type_of(v) -> str:
-    if v is _UNDEFINED:
-        return "undefined"
-    if v is None:
-        return "null"
-    if isinstance(v, bool):
-        return "boolean"
-    if isinstance(v, (int, float)):
-        return "number"
-    if isinstance(v, str):
-        return "string"
-    if isinstance(v, list):
-        return "array"
-    return "object"
+        return int(v)
+    if isinstance(v, dict):
+        return {k: _integral(x) for k, x in v.items()}
+    return [_integral(x) for x in v] if isinstance(v, list) else v
 
 
-def check_schema(value, schema: dict, path: str) -> list[dict]:
-    """The recursive per-value rule (enum → oneOf → type → format → pattern → required → properties → items)."""
-    out: list[dict] = []
+def _text(v) -> str | None:
+    """JSON text as JavaScript prints it."""
+    return None if v is _UNDEFINED else json.dumps(_integral(v), ensure_ascii=False, separators=(",", ":"))
+
+
+def _fault(path: str, expected: str, received: str | None, rule: str) -> dict:
+    return {"path": path, "expected": expected, "received": received, "rule": rule}
+
+
+def compile_schema(schema: dict):
+    """A contract schema as a function (value, path) -> faults. An enum or a choice of schemas settles a value alone; otherwise
+    a type guards the checks of what the value holds."""
     if "enum" in schema:
-        text = _js_stringify(value)
-        if not any(_js_stringify(e) == text for e in schema["enum"]):
-            out.append({"path": path, "expected": "one of " + _js_stringify(schema["enum"]), "received": text,
-                        "rule": "enum"})
-        return out
+        allowed, said = {_text(e) for e in schema["enum"]}, "one of " + (_text(schema["enum"]) or "")
+        return lambda v, at: [] if _text(v) in allowed else [_fault(at, said, _text(v), "enum")]
     if "oneOf" in schema:
-        if not any(len(check_schema(value, sub, path)) == 0 for sub in schema["oneOf"]):
-            out.append({"path": path, "expected": f"one of {len(schema['oneOf'])} schemas",
-                        "received": _type_of(value), "rule": "type"})
-        return out
-    if "type" in schema:
-        allowed = schema["type"] if isinstance(schema["type"], list) else [schema["type"]]
-        actual = _type_of(value)
-        if actual not in allowed:
-            out.append({"path": path, "expected": " | ".join(allowed), "received": actual, "rule": "type"})
-            return out
-        if actual == "string" and "format" in schema:
-            rx = _PY_FORMATS.get(schema["format"])
-            if rx is not None and not rx.search(value):
-                out.append({"path": path, "expected": f"string(format: {schema['format']})", "received": value,
-                            "rule": "format"})
-        if actual == "string" and "pattern" in schema:
-            if not re.search(schema["pattern"], value):
-                out.append({"path": path, "expected": f"string matching /{schema['pattern']}/", "received": value,
-                            "rule": "pattern"})
-        if actual == "object":
-            for k in schema.get("required", []) or []:
-                if k not in value:
-                    out.append({"path": f"{path}.{k}", "expected": "present", "received": "missing",
-                                "rule": "required"})
-            for k, sub in (schema.get("properties") or {}).items():
-                if k in value:
-                    out.extend(check_schema(value[k], sub, f"{path}.{k}"))
-        if actual == "array" and "items" in schema:
-            for i, x in enumerate(value):
-                out.extend(check_schema(x, schema["items"], f"{path}[{i}]"))
+        choices = [compile_schema(s) for s in schema["oneOf"]]
+        said = f"one of {len(choices)} schemas"
+        return lambda v, at: [] if any(not c(v, at) for c in choices) else [_fault(at, said, _kind(v), "type")]
+    kinds = schema.get("type")
+    if kinds is None:
+        return lambda v, at: []
+    kinds = kinds if isinstance(kinds, list) else [kinds]
+    inside = {"string": _string_checks(schema), "object": _object_checks(schema), "array": _array_checks(schema)}
+
+    def check(v, at: str) -> list[dict]:
+        kind = _kind(v)
+        if kind not in kinds:
+            return [_fault(at, " | ".join(kinds), kind, "type")]
+        return [f for part in inside.get(kind, ()) for f in part(v, at)]
+
+    return check
+
+
+def _string_checks(schema: dict) -> list:
+    out = []
+    tests = [("format", _PY_FORMATS.get(schema.get("format")), f"string(format: {schema.get('format')})")]
+    if "pattern" in schema:
+        tests.append(("pattern", re.compile(schema["pattern"]), f"string matching /{schema['pattern']}/"))
+    for rule, pattern, said in tests:
+        if pattern is not None:
+            out.append(lambda v, at, rule=rule, pattern=pattern, said=said: [] if pattern.search(v) else [_fault(at, said, v, rule)])
     return out
 
 
+def _object_checks(schema: dict) -> list:
+    needed = schema.get("required") or []
+    parts = {k: compile_schema(s) for k, s in (schema.get("properties") or {}).items()}
+    return [lambda v, at: [_fault(f"{at}.{k}", "present", "missing", "required") for k in needed if k not in v],
+            lambda v, at: [f for k, part in parts.items() if k in v for f in part(v[k], f"{at}.{k}")]]
+
+
+def _array_checks(schema: dict) -> list:
+    if "items" not in schema:
+        return []
+    part = compile_schema(schema["items"])
+    return [lambda v, at: [f for i, x in enumerate(v) for f in part(x, f"{at}[{i}]")]]
+
+
 @lru_cache(maxsize=4096)
 def _parse_schema(text: str) -> dict:
     return json.loads(text) if text else {}
 
 
-def _load(text):
-    if text is None:
-        return _UNDEFINED
-    return json.loads(text)
+@lru_cache(maxsize=4096)
+def _compiled(text: str):
+    return compile_schema(_parse_schema(text))
 
 
-def _check_call(values, output, has_error, arg_schemas, return_schema) -> list[dict]:
-    out: list[dict] = []
-    for i, sch in enumerate(arg_schemas):
-        v = values[i] if isinstance(values, list) and i < len(values) else _UNDEFINED
-        out.extend(check_schema(v, _parse_schema(sch), f"args[{i}]"))
-    if not has_error:
-        out.extend(check_schema(output, _parse_schema(return_schema), "return"))
-    return out
+def check_schema(value, schema: dict, path: str) -> list[dict]:
+    """Faults of one value against one schema."""
+    return compile_schema(schema)(value, path)
 
 
 @F.pandas_udf(VIOLATION)
 def _violations(args_json: pd.Series, output_json: pd.Series, has_error: pd.Series, c_args: pd.Series,
                 c_returns: pd.Series) -> pd.Series:
-    res = []
+    found = []
     for a, o, e, ca, cr in zip(args_json, output_json, has_error, c_args, c_returns):
-        values = _load(a) if a is not None else []
-        res.append(_check_call(values, _load(o), e, list(ca) if ca is not None else [], cr))
-    return pd.Series(res)
-
-
-def _violations_by_name(table):
-    """UDF over (function name, payloads) that looks the contract up in a broadcast table."""
-
-    @F.pandas_udf(VIOLATION)
-    def udf(fn: pd.Series, args_json: pd.Series, output_json: pd.Series, has_error: pd.Series) -> pd.Series:
-        contracts = table.value
-        res = []
-        for f, a, o, e in zip(fn, args_json, output_json, has_error):
-            ca, cr = contracts[f]
-            values = _load(a) if a is not None else []
-            res.append(_check_call(values, _load(o), e, ca, cr))
-        return pd.Series(res)
-
-    return udf
-
-
-BROADCAST_CONTRACTS = 100_000
+        given = json.loads(a) if a is not None else []
+        given = given if isinstance(given, list) else []
+        slots = [(s, given[i] if i < len(given) else _UNDEFINED, f"args[{i}]") for i, s in enumerate(ca if ca is not None else [])]
+        if not e:
+            slots.append((cr, _UNDEFINED if o is None else json.loads(o), "return"))
+        found.append([f for schema, v, at in slots for f in _compiled(schema or "")(v, at)])
+    return pd.Series(found)
 
 
-def validate_calls(spans: DataFrame, contracts: DataFrame, sample_rate: float = 1.0, seed: int = 7,
-                   max_broadcast: int = BROADCAST_CONTRACTS) -> DataFrame:
+def validate_calls(spans: DataFrame, contracts: DataFrame, sample_rate: float = 1.0, seed: int = 7) -> DataFrame:
     """One row per violating span with its violation list; only spans of functions with a contract.
 
-    Contracts are metadata (one row per function). When there are at most ``max_broadcast`` of them they are
-    broadcast once and each span carries only its function name into the check; otherwise each span is joined to
-    its contract row (shuffle join) and the schema texts travel with the span.
+    Spans are joined to their function's contract (adaptive execution picks the join by measured size); a worker compiles
+    each schema text once.
     """
     s = conform(spans)
     if sample_rate < 1.0:
         s = s.where(F.rand(seed) <= F.lit(sample_rate))
-    c = contracts.select(F.col("function_name").alias("_fn"), F.col("args").alias("_ca"),
-                         F.col("returns").alias("_cr"))
-    if c.count() <= max_broadcast:
-        table = {r._fn: (list(r._ca or []), r._cr) for r in c.collect()}
-        bc = s.sparkSession.sparkContext.broadcast(table)
-        names = c.select(F.col("_fn").alias("function_name"))
-        j = s.join(F.broadcast(names), "function_name", "left_semi")  # bounded by max_broadcast rows
-        check = _violations_by_name(bc)("function_name", "input_json", "output_json", "has_error")
-    else:
-        j = lookup_join(s, c, F.col("function_name") == F.col("_fn"))
-        check = _violations("input_json", "output_json", "has_error", "_ca", "_cr")
-    v = j.select("function_name", "span_id", "trace_id", F.col("started_at").alias("timestamp"),
-                 check.alias("violations"))
+    c = contracts.select("function_name", F.col("args").alias("_ca"), F.col("returns").alias("_cr"))
+    check = _violations("input_json", "output_json", "has_error", "_ca", "_cr")
+    v = s.join(c, "function_name").select("function_name", "span_id", "trace_id", F.col("started_at").alias("timestamp"),
+                                          check.alias("violations"))
     return v.where(F.size("violations") > 0)
 
 
@@ -580,7 +550,7 @@ def schema_to_ddl(schema: dict | str) -> str:
     """Spark DDL type for a JSON schema (payload projection with ``from_json``)."""
     s = _parse_schema(schema) if isinstance(schema, str) else schema
     if "enum" in s:
-        kinds = {_type_of(x) for x in s["enum"]}
+        kinds = {_kind(x) for x in s["enum"]}
         return {"number": "double", "boolean": "boolean"}.get(kinds.pop(), "string") if len(kinds) == 1 else "string"
     if "oneOf" in s:
         return "string"
@@ -589,7 +559,7 @@ def schema_to_ddl(schema: dict | str) -> str:
         props = s.get("properties") or {}
         if not props:
             return "map<string,string>"
-        return "struct<" + ",".join(f"`{k}`:{schema_to_ddl(v)}" for k, v in props.items()) + ">"
+        return "struct<" + ",".join("`" + k.replace("`", "``") + "`:" + schema_to_ddl(v) for k, v in props.items()) + ">"
     if t == "array":
         return "array<" + (schema_to_ddl(s["items"]) if "items" in s else "string") + ">"
     return {"number": "double", "integer": "bigint", "boolean": "boolean"}.get(t, "string")
@@ -601,12 +571,13 @@ def _ddl_udf(schemas: pd.Series) -> pd.Series:
 
 
 def contract_to_ddl(contracts: DataFrame) -> DataFrame:
-    """Per function the DDL of every argument and of the return value."""
+    """Per function the DDL of every argument and of the return value; a function without arguments has one row, with a
+    null argument."""
     return contracts.select(
         "function_name",
         F.transform("args", lambda x: x).alias("args"),
         "returns",
-    ).select("function_name", F.posexplode("args").alias("arg_index", "_s"), "returns").select(
+    ).select("function_name", F.posexplode_outer("args").alias("arg_index", "_s"), "returns").select(
         "function_name", "arg_index", _ddl_udf("_s").alias("arg_ddl"), _ddl_udf("returns").alias("returns_ddl"))
 
 

@@ -104,7 +104,7 @@ def write_snapshot(spans: DataFrame, root: str, snapshot_id: str, tags: dict | N
 
 def read_snapshot(spark: SparkSession, path: str, require_uuid: bool = True) -> DataFrame:
     """S3: foreign snapshot document(s) ``{id, createdAt, spans[]}`` → flat spans with ``snapshot_id`` and ``created_at`` (one file per task)."""
-    docs = spark.read.option("wholetext", True).text(path)
+    docs = spark.read.text(path, wholetext=True)
     v = F.col("_doc")
     # parse each document once and drop its text before exploding, so no span row carries the whole document
     d = docs.select(F.try_parse_json("value").alias("_doc")).select(
@@ -180,7 +180,7 @@ def read_sessions(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]
 def read_session_documents(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Session JSON documents ``{session, startTime, endTime, calls[]}`` → (calls, sessions); a document
     without a string ``session`` or an array ``calls`` is skipped."""
-    docs = spark.read.option("wholetext", True).text(path)
+    docs = spark.read.text(path, wholetext=True)
     v = F.col("_doc")
     d = docs.select(F.try_parse_json("value").alias("_doc")).select(
         F.try_variant_get(v, "$.session", "string").alias("session"),
@@ -232,9 +232,10 @@ def write_contracts(contracts: DataFrame, path: str) -> None:
 def read_contracts(spark: SparkSession, path: str) -> DataFrame:
     """Contract documents, one per line, or one per file in any layout; kept when version is "1.0", functionName is a
     string and args is an array; missing parts get defaults (sampleCount 0, returns ``{}``)."""
-    files = spark.read.option("wholetext", True).text(path)
-    # a file that is one document stays whole, any other is read line by line
-    raw = files.select(F.explode(F.when(F.try_parse_json("value").isNotNull(), F.array("value")).otherwise(F.split("value", "\n"))).alias("value"))
+    files = spark.read.text(path, wholetext=True)
+    # a file whose first line is a document holds one a line; any other file is one document
+    lines = F.split(F.ltrim("value"), "\n")
+    raw = files.select(F.explode(F.when(F.try_parse_json(lines[0]).isNotNull(), lines).otherwise(F.array("value"))).alias("value"))
     v = F.try_parse_json("value")
     ok = (
         (F.try_variant_get(v, "$.version", "string") == "1.0")
@@ -265,7 +266,7 @@ def load_extra_keys(config_path: str) -> list[str]:
     at = spark._jvm.org.apache.hadoop.fs.Path(config_path)
     if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
         return []
-    row = spark.read.option("wholetext", True).text(config_path).first()
+    row = spark.read.text(config_path, wholetext=True).first()
     try:
         cfg = json.loads(row.value if row else "")
     except ValueError:

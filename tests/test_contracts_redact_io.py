@@ -155,3 +155,54 @@ def test_contracts_and_sessions_io(spark):
     calls, meta = IO.read_session_documents(spark, os.path.join(d, "s.json"))
     assert calls.first().function == "f" and meta.first().session == "s1"
     assert IO.load_extra_keys(os.path.join(d, "missing.json")) == []
+
+
+def test_array_positions_decide_first_seen(spark):
+    s = make_spans(spark, [{"function_name": "f", "input": [["b", "a", 1]], "output": None} for _ in range(3)])
+    schema = json.loads(C.infer_contracts(s, min_samples=1).first().args[0])
+    assert [x.get("enum", x) for x in schema["items"]["oneOf"]] == [["b", "a"], [1]]
+
+
+def test_drift_tells_dotted_keys_apart(spark):
+    one = json.dumps({"type": "object", "properties": {"a.b": {"type": "string"}, "a": {"type": "object", "properties": {"b": {"type": "number"}}}}})
+    c = spark.createDataFrame([("f", [one], "{}")], "function_name string, args array<string>, returns string")
+    assert C.contract_drift(c, c).count() == 0
+
+
+def test_ddl_keeps_functions_without_arguments(spark):
+    c = spark.createDataFrame([("f0", [], '{"type":"number"}'), ("f1", ['{"type":"object","properties":{"x`y":{"type":"string"}}}'], "{}")],
+                              "function_name string, args array<string>, returns string")
+    got = {r.function_name: (r.arg_ddl, r.returns_ddl) for r in C.contract_to_ddl(c).collect()}
+    assert got == {"f0": (None, "double"), "f1": ("struct<`x``y`:string>", "string")}
+
+
+def test_formats_end_where_the_text_ends(spark):
+    from spanlens.functions import scalar as S
+
+    df = spark.createDataFrame([("2024-01-01",), ("2024-01-01\n",), ("\u0662\u0660\u0662\u0664-01-01",)], "t string")
+    assert [r.f for r in df.select(S.first_format("t").alias("f")).collect()] == ["date-time", None, None]
+    assert [len(C.check_schema(t, {"type": "string", "format": "date-time"}, "x")) for t in ("2024-01-01", "2024-01-01\n")] == [0, 1]
+
+
+def test_escaped_secrets_are_redacted(spark):
+    rows = ['[{"pass\\u0077ord":"hunter2"}]', '[{"k":"abc.def.ghi\\n"}]', '[{"k":"1234\\t5678\\t1234\\t5678"}]']
+    df = spark.createDataFrame([(r,) for r in rows], "input_json string")
+    got = [json.loads(r.input_json)[0] for r in redact(df, keys="hub", values=True).collect()]
+    assert [list(g.values()) for g in got] == [["[REDACTED]"]] * 3
+
+
+def test_indented_contract_files_are_read(spark):
+    d = tempfile.mkdtemp(prefix="spanlens-io-")
+    with open(os.path.join(d, "one.json"), "w") as fh:
+        json.dump({"version": "1.0", "functionName": "f", "args": [{"type": "string"}], "returns": {}}, fh, indent=2)
+    with open(os.path.join(d, "two.json"), "w") as fh:
+        fh.write('{"version":"1.0","functionName":"g","args":[]}\n{"version":"1.0","functionName":"h","args":[]}\n')
+    assert sorted(r.function_name for r in IO.read_contracts(spark, d).collect()) == ["f", "g", "h"]
+
+
+def test_dumps_keep_arrival_order_of_equal_times(spark):
+    d = os.path.join(tempfile.mkdtemp(prefix="spanlens-io-"), "dump")
+    s = make_spans(spark, [{"span_id": f"s{i}", "received_at": 1_700_000_000_000} for i in range(5)])
+    IO.write_spans(s, d)
+    back = IO.read_spans(spark, d, require_uuid=False).orderBy("ingest_seq").collect()
+    assert [r.span_id for r in back] == [f"s{i}" for i in range(5)]
