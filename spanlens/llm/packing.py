@@ -24,9 +24,11 @@ UNIT = 128
 GRAIN = 2
 #: Documents of one length are ranked in this many hash buckets, so that a length that very many share needs no one task.
 BUCKETS = 256
-#: Chunks whose ids a worker keeps; then it starts anew.
-_KEPT = 200_000
+#: Words whose ids a worker keeps (some 100 MB); then it starts anew.
+_KEPT = 400_000
 _GAP = re.compile(r"(?<=\S) (?=\S)")
+_WIDE = re.compile(r"\s\s")
+_ENDS = ".,;:!?"
 
 
 class ByteBpe(dict):
@@ -47,19 +49,33 @@ class ByteBpe(dict):
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         with open(os.path.splitext(tokenizer)[0] + ".tiktoken", "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.ordinary = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        ranks = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.ordinary, self.piece = ranks.encode_ordinary, ranks._core_bpe.encode_single_piece
+        self.ends = {c: self.bytes(self.ordinary(c)) for c in _ENDS}
+
+    @staticmethod
+    def bytes(ids: list[int]) -> bytes:
+        return np.array(ids, "<u4").tobytes()
 
     def __missing__(self, part: str) -> bytes:
+        """Ids of a part and the space before it. Letters alone are one piece; a mark that ends a word is another."""
+        if part.isalpha():
+            ids = self.bytes(self.piece((" " + part).encode()))
+        elif part[-1:] in self.ends and part[:-1].isalpha():
+            return self[part[:-1]] + self.ends[part[-1]]
+        else:
+            ids = self.bytes(self.ordinary(" " + part))
         if len(self) > _KEPT:
             self.clear()
-        ids = self[part] = np.array(self.ordinary(" " + part), "<u4").tobytes()
+        self[part] = ids
         return ids
 
     def ids(self, text: str) -> np.ndarray:
         if any(s in text for s in self.special):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4")
-        first, *parts = _GAP.split(text)
-        return np.frombuffer(np.array(self.ordinary(first), "<u4").tobytes() + b"".join(map(self.__getitem__, parts)), "<u4")
+        plain = not (_WIDE.search(text) or text[:1].isspace() or text[-1:].isspace())
+        first, *parts = text.split(" ") if plain else _GAP.split(text)
+        return np.frombuffer(self.bytes(self.ordinary(first)) + b"".join(map(self.__getitem__, parts)), "<u4")
 
 
 @lru_cache(1)
