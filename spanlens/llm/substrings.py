@@ -7,10 +7,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import drop_written, written
 
 #: Words of the phrase that picks a window's place in the index.
 PHRASE = 12
@@ -122,17 +122,21 @@ def _runs(docs: DataFrame, window: int) -> DataFrame:
 def recurring(docs: DataFrame, window: int) -> DataFrame:
     """(k, a, b): stretches of words of the text ``k`` that are covered by windows that also start elsewhere.
 
-    ``docs``: k, text. One row a run (some ten words apart) is shuffled by its phrase. Phrases that occur once confirm
+    ``docs``: k, text. One row a run (some ten words apart) is counted by its phrase, combined before the shuffle, and joined
+    back in joins that adaptive execution can split. Phrases that occur once confirm
     that none of their windows recurs; runs that are equal as a whole confirm that all theirs do. Only one of each kind of
     the others, where passages begin and end, is looked at window by window, with 128-bit digests of the words themselves.
     """
-    same_phrase, same_run = Window.partitionBy("g"), Window.partitionBy("g", "r")
-    runs = _runs(docs, window).repartition("g").withColumn("phrases", F.count(F.lit(1)).over(same_phrase)).filter("phrases > 1")
-    runs = runs.withColumn("times", F.count(F.lit(1)).over(same_run)).withColumn("nth", F.row_number().over(same_run.orderBy("k", "s")))
-    runs = runs.withColumn("least", F.min("times").over(same_phrase)).select(
-        "k", "s", "n", "times", ((F.col("least") == 1) & (F.col("nth") == 1)).alias("ask"))
-    runs = written(runs, "runs")
-    asked = runs.filter("ask").groupBy("k").agg(F.collect_list(F.struct("s", "n", "times")).alias("runs"))
+    every = written(_runs(docs, window), "every-run")
+    phrases = every.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("g")
+    found = written(every.join(phrases, "g", "left_semi"), "found-runs")
+    drop_written(every)
+    kinds = found.groupBy("g", "r").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("k", "s")).alias("one"))
+    kinds = kinds.join(kinds.groupBy("g").agg(F.min("times").alias("least")), "g")
+    runs = written(found.join(kinds, ["g", "r"]).select(
+        "k", "s", "n", "times", ((F.col("least") == 1) & (F.struct("k", "s") == F.col("one"))).alias("ask")), "runs")
+    drop_written(found)
+    asked = runs.filter("ask").groupBy("k").agg(F.collect_set(F.struct("s", "n", "times")).alias("runs"))
 
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
