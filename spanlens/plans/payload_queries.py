@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from spanlens.functions.scalar import first_format
 from spanlens.operators.http import http_calls
 from spanlens.operators.redact import AGENT_KEYS, CARD_SHAPE, HUB_KEYS, JWT_SHAPE, redact, redaction_audit
 from spanlens.plans.registry import register
@@ -131,3 +132,31 @@ def q_redaction_agent_counts(spark, sf_dir):
     words of the text are list items, so they are kept)."""
     r = redact(doc_payloads(spark, sf_dir), cols=["input_json"], keys="agent")
     return r.select("doc_id", F.size("redactions").cast("long").alias("redactions"))
+
+
+# the format rules for DuckDB, on the words of every conversation and every page address
+_FORMATS_SQL = """
+with w as (
+  select unnest(string_split(text, ' ')) as w from conversations where text is not null
+  union all select url from pages
+  union all select url || chr(10) from pages
+  union all select strftime(ts, '%Y-%m-%dT%H:%M:%SZ') from events
+)
+select f as format, count(*) as texts from (
+  select case
+    when regexp_full_match(w, '(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}') then 'uuid'
+    when regexp_full_match(w, '[^\\s@]+@[^\\s@]+\\.[^\\s@]+') then 'email'
+    when regexp_full_match(w, '[0-9]{4}-[0-9]{2}-[0-9]{2}(T[0-9]{2}:[0-9]{2}:[0-9]{2}(\\.[0-9]+)?(Z|[+-][0-9]{2}:[0-9]{2})?)?') then 'date-time'
+    when regexp_matches(w, '(?i)^https?://') then 'uri' end as f from w)
+group by f
+"""
+
+
+@register("text_formats", _FORMATS_SQL)
+def q_text_formats(spark, sf_dir):
+    """F8: named formats of all words of conversations, page addresses (also with a line end) and event times."""
+    words = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.explode(F.split("text", " ", -1)).alias("w"))
+    urls = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("url").alias("w"))
+    times = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("w"))
+    every = words.union(urls).union(urls.select(F.concat("w", F.lit("\n")))).union(times)
+    return every.groupBy(first_format("w").alias("format")).agg(F.count(F.lit(1)).alias("texts"))
