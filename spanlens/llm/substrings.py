@@ -128,11 +128,12 @@ def recurring(docs: DataFrame, window: int) -> DataFrame:
     the others, where passages begin and end, is looked at window by window, with 128-bit digests of the words themselves.
     """
     every = written(_runs(docs, window), "every-run")
-    phrases = every.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("g")
+    # what is counted by a key is written before it is joined by that key: only a join of plain exchanges can be split
+    phrases = written(every.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("g"), "phrases")
     found = written(every.join(phrases, "g", "left_semi"), "found-runs")
     drop_written(every)
-    kinds = found.groupBy("g", "r").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("k", "s")).alias("one"))
-    kinds = kinds.join(kinds.groupBy("g").agg(F.min("times").alias("least")), "g")
+    kinds = written(found.groupBy("g", "r").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("k", "s")).alias("one")), "kinds")
+    kinds = written(kinds.join(written(kinds.groupBy("g").agg(F.min("times").alias("least")), "least"), "g"), "kinds")
     runs = written(found.join(kinds, ["g", "r"]).select(
         "k", "s", "n", "times", ((F.col("least") == 1) & (F.struct("k", "s") == F.col("one"))).alias("ask")), "runs")
     drop_written(found)
