@@ -24,8 +24,8 @@ UNIT = 128
 GRAIN = 2
 #: Documents of one length are ranked in this many hash buckets, so that a length that very many share needs no one task.
 BUCKETS = 256
-#: Words whose ids a worker keeps (some 100 MB); then it starts anew.
-_KEPT = 400_000
+#: Words whose ids a worker keeps (some 70 MB); then it starts anew.
+_KEPT = 300_000
 _GAP = re.compile(r"(?<=\S) (?=\S)")
 _WIDE = re.compile(r"\s\s")
 _ENDS = ".,;:!?"

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 BITS = 20
 _WORDS = re.compile(r"\w+")
 #: Words whose hashes a worker keeps; then it starts anew.
-_KEPT = 300_000
+_KEPT = 150_000
 
 
 class _Hashes(dict):
