@@ -114,9 +114,9 @@ def _runs(docs: DataFrame, window: int) -> DataFrame:
                 found = [Words(t).runs(window) for t in part["text"]]
                 g, r, first, n = (np.concatenate(x) for x in zip(*found))
                 yield pd.DataFrame({"k": np.repeat(part["k"].to_numpy(), [len(f[0]) for f in found]), "g": g.view(np.int64),
-                                    "r": (r >> np.uint64(32)).astype(np.uint32).view(np.int32), "s": first.astype(np.int32), "n": n.astype(np.int32)})
+                                    "r": r.view(np.int64), "s": first.astype(np.int32), "n": n.astype(np.int32)})
 
-    return docs.mapInPandas(run, "k long, g long, r int, s int, n int")
+    return docs.mapInPandas(run, "k long, g long, r long, s int, n int")
 
 
 def recurring(docs: DataFrame, window: int) -> DataFrame:
@@ -124,17 +124,17 @@ def recurring(docs: DataFrame, window: int) -> DataFrame:
 
     ``docs``: k, text. One row a run (some ten words apart) is counted by its phrase, combined before the shuffle, and joined
     back in joins that adaptive execution can split. Phrases that occur once confirm
-    that none of their windows recurs; runs that are equal as a whole confirm that all theirs do. Only one of each kind of
-    the others, where passages begin and end, is looked at window by window, with 128-bit digests of the words themselves.
+    that none of their windows recurs; runs that are equal as a whole (in phrase, all 64 bits of the run hash and number of
+    windows, so that millions of runs may share a phrase) confirm that all theirs do. Only one of each kind of the others, where passages begin and end, is looked at window by window, with 128-bit digests of the words themselves.
     """
     every = written(_runs(docs, window), "every-run")
     # what is counted by a key is written before it is joined by that key: only a join of plain exchanges can be split
     phrases = written(every.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("g"), "phrases")
     found = written(every.join(phrases, "g", "left_semi"), "found-runs")
     drop_written(every)
-    kinds = written(found.groupBy("g", "r").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("k", "s")).alias("one")), "kinds")
+    kinds = written(found.groupBy("g", "r", "n").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("k", "s")).alias("one")), "kinds")
     kinds = written(kinds.join(written(kinds.groupBy("g").agg(F.min("times").alias("least")), "least"), "g"), "kinds")
-    runs = written(found.join(kinds, ["g", "r"]).select(
+    runs = written(found.join(kinds, ["g", "r", "n"]).select(
         "k", "s", "n", "times", ((F.col("least") == 1) & (F.struct("k", "s") == F.col("one"))).alias("ask")), "runs")
     drop_written(found)
     asked = runs.filter("ask").groupBy("k").agg(F.collect_set(F.struct("s", "n", "times")).alias("runs"))

@@ -241,6 +241,20 @@ def test_recurring_windows(spark, docs, none):
     assert substrings.substring_report(none).count() == 0
 
 
+def test_runs_of_one_phrase_that_agree_in_half_their_hash(spark):
+    """Two different runs around one phrase whose hashes agree in their upper 32 bits; neither recurs."""
+    phrase = (39, 976, 562, 195, 36, 933, 357, 275, 872, 416, 407, 527)
+    ends = [((811, 783, 315, 466, 115, 810, 238, 519, 41, 267, 744, 884), (647, 381, 164, 333, 864, 834, 534, 219, 487, 396, 288)),
+            ((803, 500, 870, 873, 472, 318, 495, 916, 784, 519, 336, 604), (501, 959, 892, 130, 803, 227, 782, 337, 152, 531, 89))]
+    texts = [" ".join(f"w{i}" for i in (*a, *phrase, *b)) for a, b in ends]
+    (g, r, _, _), (g2, r2, _, _) = (substrings.Words(t).runs(35) for t in texts)
+    assert g == g2 and r != r2 and r >> np.uint64(32) == r2 >> np.uint64(32)
+    rows = [(i, t, None, None, None) for i, t in enumerate([*texts, "tail " + texts[1] + " q" * 3])]
+    for n, gone in ((2, [0, 0]), (3, [0, 35, 35])):
+        got = {r.doc_id: r.n_removed for r in substrings.substring_report(spark.createDataFrame(rows[:n], DOCS)).collect()}
+        assert [got[i] for i in range(n)] == gone
+
+
 def slow_lines(rows, run=3):
     order = sorted(range(len(rows)), key=lambda i: rows[i][0])
     counted = {i: [(j, x) for j, x in enumerate((rows[i][1] or "").split("\n")) if re.search(lines.INK, x)] for i in order}
