@@ -145,7 +145,9 @@ def _edits(text: str, step: int) -> list[tuple[int, int, str]]:
 
 
 def all_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """(base, added) spans. Added ones are found in the rewritten text, touch an edit, and overlap no base span of their kind.
+    """(base, added) spans. Added ones are found in the rewritten text, touch an edit, and are no base span of their kind.
+
+    A disguise on one side leaves a shorter base span of the rest: it stays, and the added span overlaps it.
 
     Transducers run one after another: look-alike and invisible characters, spelled digits, bracketed and spelled at and
     dot; each keeps its offsets, and a found span goes back through all of them to the source.
@@ -157,13 +159,14 @@ def all_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, in
         if edits:
             steps.append(Rewritten(now, edits))
             now = steps[-1].text
-    added = []
+    added, known = [], set(base)
     for s, kind, e in sorted(base_spans(now)) if steps else ():
         touched = False
         for r in reversed(steps):
             touched |= r.edited(s, e)
             s, e = r.start(s), r.end(e)
-        if touched and not any(k == kind and a < e and s < b for a, k, b in base + added):
+        if touched and (s, kind, e) not in known:
+            known.add((s, kind, e))
             added.append((s, kind, e))
     return base, added
 
@@ -201,13 +204,13 @@ def pii_report(docs: DataFrame) -> DataFrame:
 
 
 def mask_pii(text: str | None, mark: str = "[{}]") -> str | None:
-    """The text with every span, base and added, replaced by its kind; of overlapping spans the first is replaced."""
+    """The text with every span, base and added, replaced by its kind; spans that overlap go as one, by the first one's kind."""
     if text is None:
         return None
     out, at = [], 0
     base, added = all_spans(text)
-    for s, k, e in sorted(base + added):
+    for s, k, e in sorted(base + added, key=lambda x: (x[0], -x[2], x[1])):
         if s >= at:
             out += (text[at:s], mark.format(KINDS[k]))
-            at = e
+        at = max(at, e)
     return "".join(out) + text[at:]

@@ -373,6 +373,28 @@ def test_pii_disguises(text, kind, found):
     assert [(pii.KINDS[k], text[s:e]) for s, k, e in added if (s, k, e) not in base] == [(kind, found)]
 
 
+@pytest.mark.parametrize("text, kind, rest, found", [
+    ("x jоhn@example.com y", "email", "hn@example.com", "jоhn@example.com"),
+    ("x јohn@example.com y", "email", "ohn@example.com", "јohn@example.com"),
+    ("x jo\u200bhn@example.com y", "email", "hn@example.com", "jo\u200bhn@example.com"),
+    ("x john@mail.exаmple.com y", "email", "john@mail.ex", "john@mail.exаmple.com"),
+    ("to john@mail.example dot com now", "email", "john@mail.example", "john@mail.example dot com"),
+    ("host 10.0.0.1２ up", "ip", "10.0.0.1", "10.0.0.1２"),
+    ("host １0.0.0.1 up", "ip", "0.0.0.1", "１0.0.0.1"),
+])
+def test_pii_disguised_on_one_side(text, kind, rest, found):
+    base, added = pii.all_spans(text)
+    said = [[(pii.KINDS[k], text[s:e]) for s, k, e in spans] for spans in (base, added)]
+    assert said == [[(kind, rest)], [(kind, found)]]
+    assert pii.mask_pii(text) == text.replace(found, f"[{kind}]")
+
+
+def test_mask_covers_the_union():
+    assert pii.mask_pii("a@b.co dot uk, c@d.eu") == "[email], [email]"
+    text = "at 10.0.0.4 532 0151 1283 0366 now"
+    assert [pii.KINDS[k] for _, k, _ in pii.base_spans(text)] == ["ip", "card"] and pii.mask_pii(text) == "at [ip] now"
+
+
 def test_pii_report(spark, docs, none):
     texts = ["a@b.co and 10.0.0.1", None, "", "meet at noon, dot the i, one two three", "a@b.co " * 20_000, "1" * 300_000 + "a" * 300_000]
     df = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)] + [(None, texts[0], None, None, None)], DOCS)
