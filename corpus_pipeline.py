@@ -26,8 +26,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without the lines of later copies of runs of three or more; n_chars follows the text."""
-    kept = drop_repeated_lines(docs, run=3).select(*docs.columns)
+    """Every document, without the lines of later copies of runs of three or more or of over 50 words; n_chars follows the text."""
+    kept = drop_repeated_lines(docs, run=3, words=50).select(*docs.columns)
     return kept.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else kept
 
 

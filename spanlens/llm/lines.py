@@ -5,31 +5,49 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, let, written
+from .common import WORD, free_name, let, written
 
 #: A line counts if it holds anything but ASCII white space.
 INK = r"[^\x20\x09-\x0D]"
 
 
-def _windows(text: Column, run: int) -> Column:
-    """Array of (s, pick, first, key) for each run of ``run`` counted lines.
+def _windows(text: Column, run: int, words: int | None = None) -> Column:
+    """Array of (s, n, h, first, key) for each window: a run of ``run`` counted lines, or fewer that hold over ``words`` words.
 
-    ``pick``: smallest (hash, position) of the window, its winnowing fingerprint; ``first``: no earlier window has the
-    same pick; ``key``: digest of the run's whole lines; ``s``: the window's first counted line.
+    ``s``: the window's first counted line; ``n``: its lines; ``h``: hash of its smallest (hash, position), its winnowing
+    fingerprint (of fewer lines the hash of all); ``first``: no earlier window has the same pick; ``key``: digest of its
+    whole lines.
     """
+    def joined(lines: Column, s: Column, n: int) -> Column:
+        return F.array_join(F.slice(lines, s + 1, n), "\n")
+
+    def starts(lines: Column, n: int) -> Column:
+        return F.when(F.size(lines) >= n, F.sequence(F.lit(0), F.size(lines) - n))
+
     def of(lines: Column, hashed: Column) -> Column:
-        return F.when(F.size(lines) >= run, F.transform(F.sequence(F.lit(0), F.size(lines) - run), lambda s: F.struct(
-            s.alias("s"),
-            F.array_min(F.slice(hashed, s + 1, run)).alias("pick"),
+        return F.transform(starts(lines, run), lambda s: F.struct(
+            s.alias("s"), F.lit(run).alias("n"),
+            F.array_min(F.slice(hashed, s + 1, run))["h"].alias("h"),
             ((s == 0) | (F.array_min(F.slice(hashed, F.greatest(s, F.lit(1)), run)) != F.array_min(F.slice(hashed, s + 1, run)))).alias("first"),
-            F.md5(F.array_join(F.slice(lines, s + 1, run), "\n")).alias("key"))))
+            F.md5(joined(lines, s, run)).alias("key")))
+
+    def short(lines: Column, counts: Column, n: int) -> Column:
+        long = F.filter(starts(lines, n), lambda s: sum((counts[s + i] for i in range(1, n)), counts[s]) > words)
+        return F.transform(long, lambda s: F.struct(
+            s.alias("s"), F.lit(n).alias("n"), F.xxhash64(joined(lines, s, n)).alias("h"), F.lit(True).alias("first"), F.md5(joined(lines, s, n)).alias("key")))
+
+    def both(lines: Column, hashed: Column) -> Column:
+        if words is None:
+            return of(lines, hashed)
+        return let(F.transform(lines, lambda x: F.regexp_count(x, F.lit(WORD))), lambda counts: F.flatten(F.filter(
+            F.array(of(lines, hashed), *(short(lines, counts, n) for n in range(1, run))), lambda w: w.isNotNull())))
 
     return let(F.filter(F.split(text, "\n", -1), lambda x: x.rlike(INK)), lambda lines: let(
-        F.transform(lines, lambda x, i: F.struct(F.xxhash64(x).alias("h"), i.alias("p"))), lambda hashed: of(lines, hashed)))
+        F.transform(lines, lambda x, i: F.struct(F.xxhash64(x).alias("h"), i.alias("p"))), lambda hashed: both(lines, hashed)))
 
 
-def repeated_windows(docs: DataFrame, run: int = 3) -> DataFrame:
-    """(doc_id, digest, starts): the runs of ``run`` counted lines whose lines also run somewhere earlier.
+def repeated_windows(docs: DataFrame, run: int = 3, words: int | None = None) -> DataFrame:
+    """(doc_id, digest, starts): the windows (first counted line s, lines n) whose lines also run somewhere earlier.
 
     Winnowing: each window's smallest line hash is its fingerprint, so equal windows have equal fingerprints in equal
     places and every run of ``run`` or more equal lines shares one. Fingerprints that occur once in all documents end
@@ -37,35 +55,35 @@ def repeated_windows(docs: DataFrame, run: int = 3) -> DataFrame:
     digest to one earliest position extends the match left and right of the fingerprint without making pairs of all
     its occurrences. Earlier: smaller (doc_id with null first, digest of the text, line).
     """
-    w = docs.select("doc_id", F.xxhash64("text").alias("digest"), F.explode(_windows(F.col("text"), run)).alias("w")).select(
-        "doc_id", "digest", "w.s", F.col("w.pick.h").alias("h"), "w.first", "w.key")
+    w = docs.select("doc_id", F.xxhash64("text").alias("digest"), F.explode(_windows(F.col("text"), run, words)).alias("w")).select(
+        "doc_id", "digest", "w.*")
     w = written(w, "line-windows")
     common = w.filter("first").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
     at = F.struct("doc_id", "digest", "s")
-    some = w.join(common, "h", "left_semi").select("key", at.alias("at"))
+    some = w.join(common, "h", "left_semi").select("key", "n", at.alias("at"))
     first = some.groupBy("key").agg(F.min("at").alias("was"), F.max("at").alias("last")).filter("not was <=> last").select("key", "was")
     late = some.join(first, "key").filter("not at <=> was")
-    return late.groupBy("at.doc_id", "at.digest").agg(F.collect_set("at.s").alias("starts"))
+    return late.groupBy("at.doc_id", "at.digest").agg(F.collect_set(F.struct("at.s", "n")).alias("starts"))
 
 
-def drop_repeated_lines(docs: DataFrame, run: int = 3, out: str = "lines") -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, run: int = 3, out: str = "lines", words: int | None = None) -> DataFrame:
     """``docs`` (doc_id, text and any other columns) without the lines that later copies of runs cover.
 
     A run is ``run`` or more consecutive counted lines (blank lines are passed over, stay, and part no run). A line
     goes if one of the windows of ``run`` lines that cover it also starts earlier, in this or another document; the
-    earliest copy stays. Runs may overlap themselves: of a line repeated n times in a row the first stays. Rows that
+    earliest copy stays. With ``words``, fewer lines that hold more than that many words are a window as well. Runs may overlap themselves: of a line repeated n times in a row the first stays. Rows that
     agree in doc_id and text are one document and are treated alike. Null text stays null, with no lines; empty text
     stays empty. Adds a struct column ``out`` (n_lines: counted lines, n_removed); a column of that name is kept and the
     new one, always the last, gets underscores.
     """
     name, digest, id_ = free_name(docs, out), free_name(docs, "_digest"), free_name(docs, "_id")
-    late = repeated_windows(docs.select("doc_id", "text"), run).select(F.col("doc_id").alias(id_), F.col("digest").alias(digest), F.col("starts").alias("_starts"))
+    late = repeated_windows(docs.select("doc_id", "text"), run, words).select(F.col("doc_id").alias(id_), F.col("digest").alias(digest), F.col("starts").alias("_starts"))
     joined = docs.withColumn(digest, F.xxhash64("text")).alias("d").join(
         late.alias("l"), F.col(f"l.{id_}").eqNullSafe(F.col("d.doc_id")) & (F.col(f"l.{digest}") == F.col(f"d.{digest}")), "left")
 
     def edited(lines: Column) -> Column:
         counted = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(INK), i)), lambda i: i.isNotNull())
-        gone = let(counted, lambda at: F.array_distinct(F.flatten(F.transform("l._starts", lambda s: F.slice(at, s + 1, run)))))
+        gone = let(counted, lambda at: F.array_distinct(F.flatten(F.transform("l._starts", lambda w: F.slice(at, w["s"] + 1, w["n"])))))
         stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
         return let(gone, lambda gone: F.struct(
             F.array_join(F.transform(stay, lambda i: lines[i]), "\n").alias("text"),

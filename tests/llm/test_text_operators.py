@@ -13,6 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from spanlens.llm import chat, lines, mixing, packing, pii, simhash, substrings, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -290,6 +291,20 @@ def test_line_runs(spark, none):
     assert collections.Counter(r.lines.n_removed for r in lines.drop_repeated_lines(twins).collect()) == {3: 2, 0: 2}
 
 
+def test_long_passages_of_one_or_two_lines(spark):
+    draw = random.Random(8)
+    prose = lambda n: " ".join(draw.choice("abcdefgh") * draw.randint(1, 9) for _ in range(n))
+    one, half, rest, few = prose(51), prose(30), prose(21), prose(50)
+    rows = [(0, one), (1, f"x\n{one}\ny"), (2, f"{half}\n\n{rest}"), (3, f"p\n{half}\n{rest}\nq"), (4, few), (5, few), (6, f"{half}\nother"),
+            (7, f"{one}\n{one}"), (8, "a\nb\nc"), (9, "a\nb\nc"), (10, None), (11, "")]
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], DOCS)
+    got = {r.doc_id: (r.lines.n_lines, r.lines.n_removed, r.text) for r in lines.drop_repeated_lines(df, words=50).collect()}
+    assert got == {0: (1, 0, one), 1: (3, 1, "x\ny"), 2: (2, 0, rows[2][1]), 3: (4, 2, "p\nq"), 4: (1, 0, few), 5: (1, 0, few), 6: (2, 0, rows[6][1]),
+                   7: (2, 2, ""), 8: (3, 0, rows[8][1]), 9: (3, 3, ""), 10: (0, 0, None), 11: (0, 0, "")}
+    stage = corpus_pipeline.line_dedup(spark, df, "")
+    assert {r.doc_id: (r.text, r.n_chars) for r in stage.collect()} == {i: (t, None if t is None else len(t)) for i, (_, _, t) in got.items()}
+
+
 def test_packing_round_trip(docs, none):
     import public_tokenizers
     from tokenizers import Tokenizer
