@@ -14,8 +14,8 @@ from .vectors import usable
 
 #: Neighbours a vector starts with, tables of the first graph, members of one of their cells, of one home block.
 NEIGHBOURS, TABLES, CELL, HOME = 10, 4, 256, 1024
-#: Rounds at most, vectors of the audit, and the recall of links at which it is content.
-ROUNDS, AUDIT, RECALL = 8, 1024, 0.99
+#: Vectors the audit starts with, true links it goes on for, and the recall of links at which it is content.
+AUDIT, ENOUGH, RECALL = 1024, 200, 0.99
 #: Rows that are multiplied at once.
 _TILE = 2048
 _EDGE = "u long, v long, sim double"
@@ -67,8 +67,10 @@ def neighbour_graph(reps: DataFrame, kind: str, least: float, k: int = NEIGHBOUR
     The first graph joins vectors that share a cell of one of several random-hyperplane tables of their label. Each round
     gathers, for each home block of vectors, the neighbours (also reverse) of its members' neighbours, compares
     blocks with what they gathered, and keeps better lists; lists of vectors with k or more links grow. It ends when a
-    round changes next to nothing and the audit is content; an audit below ``RECALL`` doubles k. The audit compares a
-    bounded sample of vectors with every row. Only flags, counts and the sample reach the driver.
+    round finds no new link, changes next to nothing, and the audit is content; an audit below ``RECALL`` doubles k, and
+    where that does not halve the missing links all blocks of a label are compared with each other. The audit compares a
+    seeded sample of vectors with every row; it takes more of them, up to all, until it holds ``ENOUGH`` true links. What
+    it found joins the graph. Only flags, counts and the sample, a part at a time, reach the driver.
     """
     spark = reps.sparkSession
     sizes = reps.groupBy("label").agg(F.count(F.lit(1)).alias("members"))
@@ -106,21 +108,42 @@ def neighbour_graph(reps: DataFrame, kind: str, least: float, k: int = NEIGHBOUR
     first = dealt.filter("t >= 0").join(vectors, "rid").groupBy("block").applyInPandas(inside, _EDGE)
     graph = written(lists(first, k, least), "graph")
 
-    sample = reps.orderBy(F.xxhash64(F.lit(seed), "rid")).limit(AUDIT).collect()
-    sent = spark.sparkContext.broadcast(([r.rid for r in sample], [r.label for r in sample], [bytes(r.raw) for r in sample]))
-
-    def audit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, labels, raw = sent.value
-        q = _units(raw, kind)
-        for b in batches:
-            if len(b) and len(ids):
-                s = np.where(np.array(labels)[:, None] == b["label"].to_numpy()[None, :], q @ _units(b["raw"], kind).T, -2)
-                r, c = np.nonzero(s >= least)
-                yield pd.DataFrame({"u": np.array(ids)[r], "v": b["rid"].to_numpy()[c]}).query("u != v")
-
-    known = written(reps.mapInPandas(audit, "u long, v long"), "audit")
-    links, recall, rounds = known.count(), 1.0, 0
-    while rounds < ROUNDS:
+    def audit(sent):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            ids, labels, raw = sent.value
+            q, ids, labels = _units(raw, kind), np.array(ids), np.array(labels)
+            for b in batches:
+                x = _units(b["raw"], kind)
+                for i in range(0, len(ids) if len(b) else 0, 1024):
+                    s = np.where(labels[i:i + 1024, None] == b["label"].to_numpy()[None, :], q[i:i + 1024] @ x.T, -2)
+                    r, c = np.nonzero(s >= least)
+                    yield pd.DataFrame({"u": ids[i:i + 1024][r], "v": b["rid"].to_numpy()[c], "sim": s[r, c]}).query("u != v")
+
+        return run
+
+    parts, links, size, last = [], 0, AUDIT, None
+    order = reps.select("rid", "label", "raw", F.xxhash64(F.lit(seed), "rid").alias("o"))
+    while links < ENOUGH:
+        sample = (order if last is None else order.filter(F.col("o") > last)).orderBy("o").limit(size).collect()
+        if not sample:
+            break
+        sent = spark.sparkContext.broadcast(([r.rid for r in sample], [r.label for r in sample], [bytes(r.raw) for r in sample]))
+        parts.append(written(reps.mapInPandas(audit(sent), _EDGE), "audit"))
+        links, size, last = links + parts[-1].count(), min(2 * size, 16 * AUDIT), sample[-1].o
+    known = parts[0] if parts else graph.select("u", "v", "sim").limit(0)
+    for p in parts[1:]:
+        known = known.union(p)
+
+    def exact() -> DataFrame:
+        placed = reps.join(home, "rid").select("label", "block", "rid", "raw")
+        blocks = placed.select("label", "block").distinct()
+        pairs = blocks.join(blocks.withColumnRenamed("block", "with"), "label").select("block", "with")
+        mine = pairs.join(placed.select("block", F.col("rid").alias("own"), F.col("raw").alias("vector")), "block")
+        theirs = pairs.select(F.col("block").alias("x"), F.col("with").alias("y")).join(placed.select(F.col("block").alias("y"), "rid", "raw"), "y")
+        return mine.groupBy("block", "with").cogroup(theirs.groupBy("x", "y")).applyInPandas(_met(kind, k, least), _EDGE)
+
+    recall, rounds, missed = 1.0, 0, None
+    while True:
         rounds += 1
         short = graph.filter(F.col("nth") <= k).select("u", "v")
         both = short.union(short.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -132,15 +155,23 @@ def neighbour_graph(reps: DataFrame, kind: str, least: float, k: int = NEIGHBOUR
         met = members.groupBy("at").cogroup(asked.groupBy("block")).applyInPandas(_met(kind, k, least), _EDGE)
         after = written(lists(graph.select("u", "v", "sim").union(met), k, least), "graph")
         total = after.count()
-        new = after.join(graph.select("u", "v"), ["u", "v"], "left_anti").count()
+        new, linked = after.join(graph.select("u", "v"), ["u", "v"], "left_anti").agg(
+            F.count(F.lit(1)), F.count(F.when(F.col("sim") >= least, 1))).first()
         drop_written(graph)
         graph = after
         got = known.join(graph.select("u", "v"), ["u", "v"], "left_semi").count()
         recall = got / links if links else 1.0
-        if new <= 0.001 * total:
+        if new <= 0.001 * total and not linked:
             if recall >= RECALL:
                 break
+            if missed is not None and 2 * (links - got) > missed:
+                graph = written(lists(graph.select("u", "v", "sim").union(exact()), k, least), "graph")
+                recall = 1.0
+                break
+            missed = links - got
             k *= 2
+    found = known.join(graph.select("u", "v"), ["u", "v"], "left_anti").withColumn("nth", F.lit(0))
+    graph = written(graph.select("u", "v", "sim", "nth").union(found.select("u", "v", "sim", "nth")), "graph")
     return graph, {"rounds": rounds, "recall": recall, "neighbours": k}
 
 

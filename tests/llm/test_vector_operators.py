@@ -55,6 +55,22 @@ def test_lists_grow_when_saturated(spark):
     assert facts["recall"] == 1.0 and graph.filter("sim >= 0.93").count() == 90 * 89
 
 
+def test_rare_links_are_all_found(spark, monkeypatch):
+    """Few links among many vectors, in cells that part most of them."""
+    for name, value in (("CELL", 4), ("HOME", 64), ("TABLES", 1), ("AUDIT", 64)):
+        monkeypatch.setattr(nndescent, name, value)
+    draw = np.random.default_rng(11)
+    x = draw.standard_normal((1200, 96))
+    x[:30] = x[30:60] + 0.35 * draw.standard_normal((30, 96))
+    x = np.float32(x)
+    reps = spark.createDataFrame([(i, 0, bytearray(v.tobytes())) for i, v in enumerate(x)], "rid long, label int, raw binary")
+    u = x.astype(float) / np.sqrt((x.astype(float) ** 2).sum(1))[:, None]
+    want = {(i, j) for i, j in zip(*np.nonzero(u @ u.T >= 0.93)) if i != j}
+    graph, _ = nndescent.neighbour_graph(reps, "<f4", 0.93, k=1)
+    got = {tuple(sorted((r.u, r.v))) for r in graph.filter("sim >= 0.93").collect()}
+    assert len(want) > 20 and got == {tuple(sorted(map(int, p))) for p in want}
+
+
 def test_top_k_equals_brute_force(spark, vectors):
     rows = {(r.vec_id, tuple(r.embedding)) for r in vectors.collect() if r.vec_id is not None and usable(r.embedding)}
     ids = np.array([i for i, _ in rows])
