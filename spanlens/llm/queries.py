@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, lines
+from .hmm import score_texts
 from .mixing import mix_documents
 from .nndescent import near_duplicates
 from .packing import pack_documents
@@ -78,6 +79,11 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), every=20, k=20, scale=64)
 
 
+def op11_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text's log10 probability by a hidden Markov model and by add-one counts, learnt outside the held-out fold."""
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_simhash": op2_simhash,
@@ -89,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_pii": op9_pii,
     "op10_topk": op10_topk,
+    "op11_lm": op11_lm,
 }
 
 ORACLES: dict[str, str] = {"op5_chat": chat.SQL, "op7_lines": lines.SQL}

@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_entry_registers_all():
-    assert sorted(n.split("_")[0] for n in llm.QUERIES) == sorted(f"op{i}" for i in range(1, 11))
+    assert sorted(n.split("_")[0] for n in llm.QUERIES) == sorted(f"op{i}" for i in range(1, 12))
     assert {*llm.QUERIES, "pipeline"} <= set(entry.queries()) and set(llm.ORACLES) <= set(entry.oracle_sql())
 
 
