@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, lines
+from . import chat, lines, repair, search
 from .hmm import score_texts
 from .mixing import mix_documents
 from .nndescent import near_duplicates
@@ -84,6 +84,16 @@ def op11_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(table(spark, sf_dir, "documents"))
 
 
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations damaged and repaired by the least-cost edits."""
+    return repair.repair_report(table(spark, sf_dir, "conversations"))
+
+
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 best documents of every benchmark item."""
+    return search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_simhash": op2_simhash,
@@ -96,6 +106,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pii": op9_pii,
     "op10_topk": op10_topk,
     "op11_lm": op11_lm,
+    "op12_repair": op12_repair,
+    "op13_search": op13_search,
 }
 
-ORACLES: dict[str, str] = {"op5_chat": chat.SQL, "op7_lines": lines.SQL}
+ORACLES: dict[str, str] = {"op5_chat": chat.SQL, "op7_lines": lines.SQL, "op12_repair": repair.SQL, "op13_search": search.SQL}

@@ -13,14 +13,14 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_entry_registers_all():
-    assert sorted(n.split("_")[0] for n in llm.QUERIES) == sorted(f"op{i}" for i in range(1, 12))
+    assert sorted(n.split("_")[0] for n in llm.QUERIES) == sorted(f"op{i}" for i in range(1, 14))
     assert {*llm.QUERIES, "pipeline"} <= set(entry.queries()) and set(llm.ORACLES) <= set(entry.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(llm.ORACLES))
 def test_oracle(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "benchmark"):
         con.execute(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
     df = llm.QUERIES[name](spark, SF)
     want = con.execute(f"select {', '.join(df.columns)} from ({llm.ORACLES[name]}) q").fetchall()
