@@ -44,15 +44,17 @@ def rank_ceil95(n: Column) -> Column:
     return F.greatest(F.ceil(F.lit(0.95) * n) - 1, F.lit(0)) + 1
 
 
-def exact_rank_value(df: DataFrame, keys: list[str], value: str, rank_of_n, out: str = "value_at_rank") -> DataFrame:
+def exact_rank_value(df: DataFrame, keys: list[str], value: str, rank_of_n, out: str = "value_at_rank",
+                     weight: str | None = None) -> DataFrame:
     """Per group of ``keys``: the value at 1-based rank ``rank_of_n(n)`` in ascending order, with ``n``.
 
     NULL values are ignored (as in the reference, durations are never null). Groups with no values are absent;
-    callers left-join and default to 0.
+    callers left-join and default to 0. A row counts ``weight`` times if that column is given, else once.
     """
-    v = df.select(*keys, F.col(value).alias("_v")).where(F.col("_v").isNotNull())
+    times = F.lit(1).cast("long") if weight is None else F.col(weight)
+    v = df.select(*keys, F.col(value).alias("_v"), times.alias("_w")).where(F.col("_v").isNotNull())
     v = v.withColumn("_b", order_bucket(F.col("_v")))
-    hist = v.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_c"))
+    hist = v.groupBy(*keys, "_b").agg(F.sum("_w").alias("_c"))
     by_key = Window.partitionBy(*keys)
     upto = by_key.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     hist = (
@@ -67,7 +69,7 @@ def exact_rank_value(df: DataFrame, keys: list[str], value: str, rank_of_n, out:
     cand = (
         v.join(target, [*keys, "_b"])
         .groupBy(*keys, "_v")
-        .agg(F.count(F.lit(1)).alias("_vc"), F.first("_before").alias("_before"), F.first("_k").alias("_k"),
+        .agg(F.sum("_w").alias("_vc"), F.first("_before").alias("_before"), F.first("_k").alias("_k"),
              F.first("_n").alias("_n"))
     )
     upto_v = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)

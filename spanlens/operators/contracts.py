@@ -16,25 +16,22 @@ Canonical order (a documented deviation): object properties are sorted by key (V
 branches and enum values follow first arrival.
 
 Drift (C10) and confidence (C12) work on ``schema_nodes``: one row per schema node reachable through
-``properties`` / ``items`` (not into ``oneOf`` branches, like the reference). Validation (C9) joins each span to
-its function's contract and runs the recursive check in an Arrow-batched pandas UDF (a small helper; parsed
-schemas are cached per batch).
+``properties`` / ``items`` (not into ``oneOf`` branches, like the reference). Validation (C9) turns each contract into a
+list of schema nodes, joins it to the function's spans and takes the values down the nodes level by level inside the row.
 """
 
 from __future__ import annotations
 
 import json
-import re
-from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanlens.functions.scalar import FORMAT_ORDER, FORMAT_PATTERNS, js_round
 from spanlens.schema import arrival_key, conform
-from spanlens.session import cut_lineage
+from spanlens.session import cut_lineage, written
 
 # Fixed values of the inference rules.
 ENUM_MAX_DISTINCT = 10
@@ -61,43 +58,70 @@ def _vtype(v: Column) -> Column:
 # ---------------------------------------------------------------- C1: flatten + profile
 
 
+#: Nesting levels that one pass flattens inside a row before it explodes.
+_LEVELS = 3
+
+
+def _map(v: Column) -> Column:
+    return F.try_variant_get(v, "$", "map<string,variant>")
+
+
+def _list(v: Column) -> Column:
+    return F.try_variant_get(v, "$", "array<variant>")
+
+
+_NODE = "struct<seg: array<string>, p: array<int>, v: variant>"
+
+
+def _members(x: Column) -> Column:
+    """The values inside a value: object members under ``.key``, array elements under ``[]`` with their positions."""
+    node = lambda seg, p, v: F.struct(F.concat(x["seg"], F.array(seg)).alias("seg"), p.alias("p"), v.alias("v"))
+    of_object = F.transform(F.map_entries(_map(x["v"])), lambda e: node(F.concat(F.lit("."), e["key"]), x["p"], e["value"]))
+    of_array = F.transform(_list(x["v"]), lambda e, i: node(F.lit("[]"), F.concat(x["p"], F.array(i)), e))
+    kind = _vtype(x["v"])
+    return F.when(kind == "object", of_object).when(kind == "array", of_array).otherwise(F.array().cast(f"array<{_NODE}>"))
+
+
 def payload_values(spans: DataFrame, group_cols: list[str] | None = None) -> DataFrame:
-    """Flatten arguments (slot ``args[i]``) and non-error returns (slot ``return``) into path rows."""
+    """Flatten arguments (slot ``args[i]``) and non-error returns (slot ``return``) into path rows, written once as a table.
+
+    A row of spans is read once. Three levels are flattened inside it, then its values become rows; values nested deeper than that are
+    rows of the next pass, which reads only them.
+    """
     g = group_cols or ["function_name"]
     s = conform(spans)
-    # a value's place in arrival order: its span's, then the positions of the array elements that lead to it
-    arr = F.struct(arrival_key().alias("a"), F.array().cast("array<int>").alias("p"))
-    args = s.select(
-        *g, arr.alias("_arr"),
-        F.posexplode(F.try_variant_get(F.try_parse_json("input_json"), "$", "array<variant>")).alias("_i", "v"),
-    ).select(*g, F.struct("_arr.a", F.array("_i").alias("p")).alias("_arr"), F.concat(F.lit("args["), F.col("_i").cast("string"), F.lit("]")).alias("slot"), "v")
-    rets = s.where(~F.col("has_error")).select(*g, arr.alias("_arr"), F.lit("return").alias("slot"),
-                                                F.try_parse_json("output_json").alias("v"))
-    level = args.unionByName(rets).withColumn("path", F.array().cast("array<string>"))
-    levels = []
+    root = lambda slot, p, v: F.struct(slot.alias("slot"), F.struct(F.array().cast("array<string>").alias("seg"), p.alias("p"), v.alias("v")).alias("x"))
+    args = F.coalesce(F.transform(_list(F.try_parse_json("input_json")), lambda v, i: root(F.concat(F.lit("args["), i.cast("string"), F.lit("]")), F.array(i), v)),
+                      F.array().cast(f"array<struct<slot: string, x: {_NODE}>>"))
+    ret = F.array(root(F.lit("return"), F.array().cast("array<int>"), F.try_parse_json("output_json")))
+    rows = s.select(*g, arrival_key().alias("_a"), F.explode(F.concat(args, F.when(~F.col("has_error"), ret).otherwise(
+        F.array().cast(f"array<struct<slot: string, x: {_NODE}>>")))).alias("r")).select(*g, "_a", "r.slot", F.array("r.x").alias("level"))
+    out = None
     while True:
-        typed = level.withColumn("js_type", _vtype(F.col("v")))
-        levels.append(typed.select(
-            *g, "slot", "path", "js_type", "_arr",
+        levels = ["level"]
+        for i in range(1, _LEVELS):
+            rows = rows.withColumn(f"level{i}", F.flatten(F.transform(levels[-1], _members)))
+            levels.append(f"level{i}")
+        x = rows.select(*g, "_a", "slot", F.explode(F.concat(*levels)).alias("x")).select(*g, "_a", "slot", "x.*").withColumn("js_type", _vtype(F.col("v")))
+        deeper = F.size("seg") % _LEVELS == _LEVELS - 1
+        done = written(x.select(
+            *g, "slot", F.col("seg").alias("path"), "js_type",
+            # a value's place in arrival order: its span's, then the positions of the array elements that lead to it
+            F.struct(F.col("_a").alias("a"), F.col("p").alias("p")).alias("_arr"),
             F.when(F.col("js_type").isin(*PRIMITIVES), F.to_json("v")).alias("json"),
             F.when(F.col("js_type") == "string", F.try_variant_get("v", "$", "string")).alias("str_value"),
-        ))
-        objs = typed.where(F.col("js_type") == "object").select(
-            *g, "_arr", "slot", "path", F.explode(F.try_variant_get("v", "$", "map<string,variant>")).alias("_k", "v")
-        ).select(*g, "_arr", "slot", F.concat("path", F.array(F.concat(F.lit("."), "_k"))).alias("path"), "v")
-        arrs = typed.where(F.col("js_type") == "array").select(
-            *g, "_arr", "slot", "path", F.posexplode(F.try_variant_get("v", "$", "array<variant>")).alias("_i", "v")
-        ).select(*g, F.struct("_arr.a", F.concat("_arr.p", F.array("_i")).alias("p")).alias("_arr"), "slot",
-                 F.concat("path", F.array(F.lit("[]"))).alias("path"), "v")
-        # only the children of containers are written (the next level's input); leaves are not
-        nxt = cut_lineage(objs.unionByName(arrs))
-        if nxt.isEmpty():
-            break
-        level = nxt
-    out = levels[0]
-    for lv in levels[1:]:
-        out = out.unionByName(lv)
-    return out
+            F.when(deeper & F.col("js_type").isin("object", "array"), F.to_json("v")).alias("_more")))
+        part = done.drop("_more")
+        out = part if out is None else out.unionByName(part)
+        rest = done.where(F.col("_more").isNotNull())
+        if rest.isEmpty():
+            return out
+        inner = F.struct(F.col("path").alias("seg"), F.col("_arr.p").alias("p"), F.try_parse_json("_more").alias("v"))
+        rows = rest.select(*g, F.col("_arr.a").alias("_a"), "slot", _members_of(inner).alias("level"))
+
+
+def _members_of(x: Column) -> Column:
+    return F.flatten(F.transform(F.array(x), _members))
 
 
 def value_profile(spans: DataFrame, group_cols: list[str] | None = None, values: DataFrame | None = None
@@ -107,8 +131,8 @@ def value_profile(spans: DataFrame, group_cols: list[str] | None = None, values:
     vals = values if values is not None else payload_values(spans, g)
     key = [*g, "slot", "path", "js_type"]
     # one pass over the values: counts per distinct value (containers have no value text and count as one group)
-    per_value = vals.groupBy(*key, "json").agg(
-        F.count(F.lit(1)).alias("_c"), F.min("_arr").alias("_vf"), F.first("str_value").alias("_sv"))
+    per_value = written(vals.groupBy(*key, "json").agg(
+        F.count(F.lit(1)).alias("_c"), F.min("_arr").alias("_vf"), F.first("str_value").alias("_sv")))
     fmt_aggs = [F.sum(F.when(F.col("_sv").rlike(FORMAT_PATTERNS[f]), F.col("_c")).otherwise(F.lit(0)))
                 .alias(f"fmt_{f.replace('-', '_')}") for f in FORMAT_ORDER]
     prof = per_value.groupBy(*key).agg(
@@ -254,13 +278,14 @@ def infer_contracts(spans: DataFrame, min_samples: int = MIN_SAMPLES, strict: bo
     g = group_cols or ["function_name"]
     s = conform(spans)
     counts = s.groupBy(*g).agg(F.count(F.lit(1)).alias("sample_count")).where(F.col("sample_count") >= min_samples)
-    kept = s.join(counts.select(*g), g, "left_semi")
-    roots = assemble_schemas(value_profile(kept, g), g, strict)
+    counts = written(counts)
+    kept = value_profile(s, g).join(counts.select(*g), g, "left_semi")  # profiles of functions, not their spans
+    roots = assemble_schemas(written(kept), g, strict)
     args = roots.where(F.col("slot").startswith("args[")).withColumn(
         "_i", F.regexp_extract("slot", "\\[(\\d+)\\]", 1).cast("int")
     ).groupBy(*g).agg(F.array_sort(F.collect_list(F.struct("_i", "schema"))).alias("_a"))
     rets = roots.where(F.col("slot") == "return").select(*g, F.col("schema").alias("returns"))
-    errs = error_schemas(kept, g)
+    errs = error_schemas(s, g)
     return counts.join(args, g, "left").join(rets, g, "left").join(errs, g, "left").select(
         *g,
         F.lit("1.0").alias("version"),
@@ -413,129 +438,195 @@ VIOLATION = T.ArrayType(T.StructType([
     T.StructField("received", T.StringType()), T.StructField("rule", T.StringType()),
 ]))
 
-_UNDEFINED = object()
-_PY_FORMATS = {name: re.compile(p.replace("\\z", "\\Z")) for name, p in FORMAT_PATTERNS.items()}
-_KINDS = ((bool, "boolean"), ((int, float), "number"), (str, "string"), (list, "array"), (dict, "object"))
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once."""
+    return F.transform(F.array(value), body)[0]
 
-def _kind(v) -> str:
-    """JavaScript-style type name of a parsed JSON value."""
-    if v is None or v is _UNDEFINED:
-        return "null" if v is None else "undefined"
-    return next(name for kind, name in _KINDS if isinstance(v, kind))
 
+def _js_text(v: Column) -> Column:
+    """JSON text of a value as JavaScript prints it: numbers without a fraction as integers."""
+    d = F.try_variant_get(v, "$", "double")
+    whole = (_vtype(v) == "number") & (d == F.floor(d)) & (F.abs(d) < 1e15)
+    return F.when(whole, d.cast("long").cast("string")).otherwise(F.to_json(v))
 
-def _integral(v):
-    """Numbers without a fraction as integers, at every depth."""
-    if isinstance(v, float) and v.is_integer() and abs(v) < 1e21:
-        return int(v)
-    if isinstance(v, dict):
-        return {k: _integral(x) for k, x in v.items()}
-    return [_integral(x) for x in v] if isinstance(v, list) else v
 
+def _identity(v: Column) -> Column:
+    """Equal for two values exactly if their JSON texts are."""
+    return F.concat(_vtype(v), F.lit(" "), F.coalesce(_js_text(v), F.lit("")))
 
-def _text(v) -> str | None:
-    """JSON text as JavaScript prints it."""
-    return None if v is _UNDEFINED else json.dumps(_integral(v), ensure_ascii=False, separators=(",", ":"))
 
+_SCHEMA = "struct<s: variant, link: string, key: string>"
 
-def _fault(path: str, expected: str, received: str | None, rule: str) -> dict:
-    return {"path": path, "expected": expected, "received": received, "rule": rule}
 
+def _subschemas(s: Column) -> Column:
+    """What a schema checks a value with after its own rules: branches of a choice, or properties and items under a type."""
+    sub = lambda v, link, key: F.struct(v.alias("s"), F.lit(link).alias("link"), key.cast("string").alias("key"))
+    none = F.array().cast(f"array<{_SCHEMA}>")
+    one_of = F.try_variant_get(s, "$.oneOf", "array<variant>")
+    items = F.variant_get(s, "$.items", "variant")
+    props = F.transform(F.map_entries(F.try_variant_get(s, "$.properties", "map<string,variant>")), lambda e: sub(e["value"], "prop", e["key"]))
+    return (F.when(F.variant_get(s, "$.enum", "variant").isNotNull(), none)
+            .when(one_of.isNotNull(), F.transform(one_of, lambda b: sub(b, "branch", F.lit(None))))
+            .when(F.variant_get(s, "$.type", "variant").isNull(), none)
+            .otherwise(F.concat(F.coalesce(props, none), F.when(items.isNotNull(), F.array(sub(items, "items", F.lit(None)))).otherwise(none))))
 
-def compile_schema(schema: dict):
-    """A contract schema as a function (value, path) -> faults. An enum or a choice of schemas settles a value alone; otherwise
-    a type guards the checks of what the value holds."""
-    if "enum" in schema:
-        allowed, said = {_text(e) for e in schema["enum"]}, "one of " + (_text(schema["enum"]) or "")
-        return lambda v, at: [] if _text(v) in allowed else [_fault(at, said, _text(v), "enum")]
-    if "oneOf" in schema:
-        choices = [compile_schema(s) for s in schema["oneOf"]]
-        said = f"one of {len(choices)} schemas"
-        return lambda v, at: [] if any(not c(v, at) for c in choices) else [_fault(at, said, _kind(v), "type")]
-    kinds = schema.get("type")
-    if kinds is None:
-        return lambda v, at: []
-    kinds = kinds if isinstance(kinds, list) else [kinds]
-    inside = {"string": _string_checks(schema), "object": _object_checks(schema), "array": _array_checks(schema)}
 
-    def check(v, at: str) -> list[dict]:
-        kind = _kind(v)
-        if kind not in kinds:
-            return [_fault(at, " | ".join(kinds), kind, "type")]
-        return [f for part in inside.get(kind, ()) for f in part(v, at)]
+def _own_rules(x: Column, first: Column, count: Column) -> Column:
+    """A schema node without its variant: link to its parent, own rules, where its children are in the contract's node list."""
+    s = x["s"]
+    enum, types = F.try_variant_get(s, "$.enum", "array<variant>"), F.variant_get(s, "$.type", "variant")
+    return F.struct(
+        x["link"].alias("link"), x["key"].alias("key"), F.transform(enum, _identity).alias("enum"),
+        F.concat(F.lit("["), F.array_join(F.transform(enum, _js_text), ","), F.lit("]")).alias("enum_text"),
+        F.size(F.try_variant_get(s, "$.oneOf", "array<variant>")).alias("choices"),
+        F.coalesce(F.try_variant_get(s, "$.type", "array<string>"), F.when(types.isNotNull(), F.array(F.try_variant_get(s, "$.type", "string")))).alias("types"),
+        F.try_variant_get(s, "$.format", "string").alias("format"), F.try_variant_get(s, "$.pattern", "string").alias("pattern"),
+        F.coalesce(F.try_variant_get(s, "$.required", "array<string>"), F.array().cast("array<string>")).alias("required"),
+        first.cast("int").alias("first"), count.cast("int").alias("count"))
 
-    return check
 
+def compiled_contracts(contracts: DataFrame) -> tuple[DataFrame, int]:
+    """Per contract its schema nodes as one list, level by level (children of a node lie side by side), the roots' names first; and the
+    number of levels. A table of the size of the contracts."""
+    c = written(contracts.select("function_name", "args", "returns"))
+    root = lambda text: F.struct(F.coalesce(F.try_parse_json(text), F.parse_json(F.lit("{}"))).alias("s"), F.lit("root").alias("link"), F.lit(None).cast("string").alias("key"))
+    x = c.select("function_name", F.concat(F.transform("args", root), F.array(root(F.col("returns")))).alias("level"),
+                 F.concat(F.transform("args", lambda _, i: F.concat(F.lit("args["), i.cast("string"), F.lit("]"))), F.array(F.lit("return"))).alias("names"),
+                 F.lit(0).alias("offset"), F.array().cast("array<int>").alias("_none"))
+    nodes, depth = [], 0
+    while True:
+        x = x.withColumn("_kids", F.transform("level", lambda n: _subschemas(n["s"]))).withColumn("_sizes", F.transform("_kids", lambda k: F.size(k)))
+        x = x.withColumn("offset", F.col("offset") + F.size("level"))
+        before = lambda i: F.aggregate(F.slice(F.col("_sizes"), F.lit(1), i), F.lit(0), lambda a, n: a + n)
+        x = x.withColumn(f"nodes{depth}", F.transform("level", lambda n, i: _own_rules(n, F.col("offset") + before(i), F.get(F.col("_sizes"), i))))
+        nodes.append(f"nodes{depth}")
+        depth += 1
+        x = x.withColumn("level", F.flatten("_kids"))
+        if not x.agg(F.max(F.size("level"))).first()[0]:
+            return written(x.select("function_name", "names", F.concat(*nodes).alias("nodes"))), depth
+        x = written(x.drop("_kids", "_sizes"))
 
-def _string_checks(schema: dict) -> list:
-    out = []
-    tests = [("format", _PY_FORMATS.get(schema.get("format")), f"string(format: {schema.get('format')})")]
-    if "pattern" in schema:
-        tests.append(("pattern", re.compile(schema["pattern"]), f"string matching /{schema['pattern']}/"))
-    for rule, pattern, said in tests:
-        if pattern is not None:
-            out.append(lambda v, at, rule=rule, pattern=pattern, said=said: [] if pattern.search(v) else [_fault(at, said, v, rule)])
-    return out
 
+_PAIR = "struct<v: variant, at: string, node: int, place: array<int>>"
 
-def _object_checks(schema: dict) -> list:
-    needed = schema.get("required") or []
-    parts = {k: compile_schema(s) for k, s in (schema.get("properties") or {}).items()}
-    return [lambda v, at: [_fault(f"{at}.{k}", "present", "missing", "required") for k in needed if k not in v],
-            lambda v, at: [f for k, part in parts.items() if k in v for f in part(v[k], f"{at}.{k}")]]
 
+def _below(p: Column, n: Column, nodes: Column) -> Column:
+    """The pairs of a value inside ``p`` (or ``p`` itself, for branches) and the schema node that checks it; missing members have none."""
+    pair = lambda v, at, node, *place: F.struct(v.alias("v"), at.alias("at"), node.cast("int").alias("node"), F.concat(p["place"], F.array(*place)).alias("place"))
+    none = F.array().cast(f"array<{_PAIR}>")
 
-def _array_checks(schema: dict) -> list:
-    if "items" not in schema:
-        return []
-    part = compile_schema(schema["items"])
-    return [lambda v, at: [f for i, x in enumerate(v) for f in part(x, f"{at}[{i}]")]]
+    def of(members: Column, elements: Column) -> Column:
+        def one(c: Column, i: Column) -> Column:
+            node = n["first"] + i
+            prop = F.when(F.map_contains_key(members, F.coalesce(c["key"], F.lit(""))), F.array(pair(F.element_at(members, c["key"]), F.concat(p["at"], F.lit("."), c["key"]), node, F.lit(1), i)))
+            item = F.transform(elements, lambda e, j: pair(e, F.concat(p["at"], F.lit("["), j.cast("string"), F.lit("]")), node, F.lit(1), j))
+            return F.coalesce(F.when(c["link"] == "prop", prop).when(c["link"] == "items", item).otherwise(F.array(pair(p["v"], p["at"], node, F.lit(1), i))), none)
 
+        return F.flatten(F.transform(F.slice(nodes, n["first"] + 1, n["count"]), one))
 
-@lru_cache(maxsize=4096)
-def _parse_schema(text: str) -> dict:
-    return json.loads(text) if text else {}
+    return F.when(n["count"] > 0, _let(_map(p["v"]), lambda m: _let(_list(p["v"]), lambda e: of(m, e)))).otherwise(none)
 
 
-@lru_cache(maxsize=4096)
-def _compiled(text: str):
-    return compile_schema(_parse_schema(text))
+def _goes_in(n: Column, kind: Column) -> Column:
+    """Whether a node of this type is content with the value's kind, so that what the value holds is checked."""
+    return n["enum"].isNull() & (n["choices"] < 0) & F.coalesce(F.array_contains(n["types"], kind), F.lit(False))
 
 
-def check_schema(value, schema: dict, path: str) -> list[dict]:
-    """Faults of one value against one schema."""
-    return compile_schema(schema)(value, path)
+_FAULT = "struct<place: array<int>, path: string, expected: string, received: string, rule: string>"
+
+
+def _own_faults(p: Column, n: Column, kind: Column) -> Column:
+    """Faults of a value against a node's own rules; of a choice, none."""
+    v, none = p["v"], F.array().cast(f"array<{_FAULT}>")
+
+    def fault(path: Column, expected: Column, received: Column, rule: str, *place) -> Column:
+        return F.struct(F.concat(p["place"], F.array(*place)).alias("place"), path.alias("path"), expected.alias("expected"), received.alias("received"), F.lit(rule).alias("rule"))
+
+    zero = [F.lit(0), F.lit(0)]
+    text = F.try_variant_get(v, "$", "string")
+    bad_format = F.lit(False)
+    for name, pattern in FORMAT_PATTERNS.items():
+        bad_format = F.when(n["format"] == name, ~text.rlike(pattern)).otherwise(bad_format)
+    is_text = kind == "string"
+    inner = [
+        F.when(is_text & bad_format, F.array(fault(p["at"], F.concat(F.lit("string(format: "), n["format"], F.lit(")")), text, "format", *zero))),
+        F.when(is_text & n["pattern"].isNotNull() & ~F.rlike(text, n["pattern"]),
+               F.array(fault(p["at"], F.concat(F.lit("string matching /"), n["pattern"], F.lit("/")), text, "pattern", F.lit(0), F.lit(1)))),
+        F.when((kind == "object") & (F.size(n["required"]) > 0), _let(_map(v), lambda m: F.transform(
+            F.filter(n["required"], lambda k: ~F.map_contains_key(m, k)),
+            lambda k, i: fault(F.concat(p["at"], F.lit("."), k), F.lit("present"), F.lit("missing"), "required", F.lit(0), i)))),
+    ]
+    wrong_enum = F.array(fault(p["at"], F.concat(F.lit("one of "), n["enum_text"]), F.when(kind != "undefined", _js_text(v)), "enum", *zero))
+    wrong_type = F.array(fault(p["at"], F.array_join(n["types"], " | "), kind, "type", *zero))
+    return (F.when(n["enum"].isNotNull(), F.when(F.array_contains(n["enum"], _identity(v)), none).otherwise(wrong_enum))
+            .when((n["choices"] >= 0) | n["types"].isNull(), none)
+            .when(~F.array_contains(n["types"], kind), wrong_type)
+            .otherwise(F.concat(*(F.coalesce(x, none) for x in inner))))
 
 
-@F.pandas_udf(VIOLATION)
-def _violations(args_json: pd.Series, output_json: pd.Series, has_error: pd.Series, c_args: pd.Series,
-                c_returns: pd.Series) -> pd.Series:
-    found = []
-    for a, o, e, ca, cr in zip(args_json, output_json, has_error, c_args, c_returns):
-        given = json.loads(a) if a is not None else []
-        given = given if isinstance(given, list) else []
-        slots = [(s, given[i] if i < len(given) else _UNDEFINED, f"args[{i}]") for i, s in enumerate(ca if ca is not None else [])]
-        if not e:
-            slots.append((cr, _UNDEFINED if o is None else json.loads(o), "return"))
-        found.append([f for schema, v, at in slots for f in _compiled(schema or "")(v, at)])
-    return pd.Series(found)
+def _fails(p: Column, nodes: Column, levels: int) -> Column:
+    """Whether a value has any fault against a node, ``levels`` levels down: a choice fails if all its branches do."""
+    def of(n: Column, kind: Column) -> Column:
+        own = F.size(_own_faults(p, n, kind)) > 0
+        if levels <= 1:
+            return own
+        chooses = n["enum"].isNull() & (n["choices"] >= 0)
+        inside = F.transform(_below(p, n, nodes), lambda c: _fails(c, nodes, levels - 1))
+        return F.when(chooses | (_goes_in(n, kind) & (n["count"] > 0)), _let(inside, lambda fails: F.when(
+            chooses, F.forall(fails, lambda x: x)).otherwise(own | F.exists(fails, lambda x: x)))).otherwise(own)
+
+    return _let(F.get(nodes, p["node"]), lambda n: _let(_vtype(p["v"]), lambda kind: of(n, kind)))
+
+
+def _checker(nodes: Column, levels: int):
+    """A function of one pair: its (faults, pairs of the next level), with ``levels`` levels to go."""
+    none, no_pairs = F.array().cast(f"array<{_FAULT}>"), F.array().cast(f"array<{_PAIR}>")
+
+    def of(p: Column, n: Column, kind: Column) -> Column:
+        faults = _own_faults(p, n, kind)
+        if levels > 1:
+            no_branch = F.array(F.struct(F.concat(p["place"], F.array(F.lit(0), F.lit(0))).alias("place"), p["at"].alias("path"),
+                                         F.concat(F.lit("one of "), n["choices"].cast("string"), F.lit(" schemas")).alias("expected"), kind.alias("received"), F.lit("type").alias("rule")))
+            faults = F.when((n["enum"].isNull()) & (n["choices"] >= 0), F.when(_fails(p, nodes, levels), no_branch).otherwise(none)).otherwise(faults)
+        below = F.when(_goes_in(n, kind), _below(p, n, nodes)).otherwise(no_pairs) if levels > 1 else no_pairs
+        return F.struct(faults.alias("faults"), below.alias("below"))
+
+    return lambda p: _let(F.get(nodes, p["node"]), lambda n: _let(_vtype(p["v"]), lambda kind: of(p, n, kind)))
 
 
 def validate_calls(spans: DataFrame, contracts: DataFrame, sample_rate: float = 1.0, seed: int = 7) -> DataFrame:
     """One row per violating span with its violation list; only spans of functions with a contract.
 
-    Spans are joined to their function's contract (adaptive execution picks the join by measured size); a worker compiles
-    each schema text once.
+    Contracts become node lists, one row a function, which meet the spans in one join (adaptive execution picks it by measured size).
+    A span's values go down the nodes level by level inside its row, so nothing is shuffled by value. A payload that is no JSON has no
+    values: its arguments count as missing. Violations come in the order of the schema: own rules first, properties by name.
     """
     s = conform(spans)
     if sample_rate < 1.0:
         s = s.where(F.rand(seed) <= F.lit(sample_rate))
-    c = contracts.select("function_name", F.col("args").alias("_ca"), F.col("returns").alias("_cr"))
-    check = _violations("input_json", "output_json", "has_error", "_ca", "_cr")
-    v = s.join(c, "function_name").select("function_name", "span_id", "trace_id", F.col("started_at").alias("timestamp"),
-                                          check.alias("violations"))
-    return v.where(F.size("violations") > 0)
+    nodes, levels = compiled_contracts(contracts)
+    x = s.select("function_name", "span_id", "trace_id", F.col("started_at").alias("timestamp"), "has_error",
+                 _list(F.try_parse_json("input_json")).alias("_args"), F.try_parse_json("output_json").alias("_out")).join(nodes, "function_name")
+    roots = F.filter(F.transform("names", lambda at, i: F.struct(
+        F.when(at == "return", F.col("_out")).otherwise(F.get("_args", i)).alias("v"), at.alias("at"), i.cast("int").alias("node"), F.array(i).alias("place"))),
+        lambda p: ~(F.col("has_error") & (p["at"] == "return")))
+    x = x.withColumn("_pairs", roots).withColumn("_faults", F.array().cast(f"array<{_FAULT}>"))
+    for left in range(levels, 0, -1):
+        x = x.withColumn("_step", F.transform("_pairs", _checker(F.col("nodes"), left)))
+        x = x.withColumn("_faults", F.concat("_faults", F.flatten("_step.faults"))).withColumn("_pairs", F.flatten("_step.below"))
+    found = F.transform(F.array_sort("_faults"), lambda f: F.struct(*(f[c.name].alias(c.name) for c in VIOLATION.elementType.fields)))
+    return x.where(F.size("_faults") > 0).select("function_name", "span_id", "trace_id", "timestamp", found.alias("violations"))
+
+
+def check_schema(value, schema: dict, path: str) -> list[dict]:
+    """Faults of one value against one schema (a job over one row; ``validate_calls`` is the way for spans)."""
+    spark = SparkSession.getActiveSession()
+    span = spark.createDataFrame([("f", "s", "t", json.dumps([value]))], "function_name string, span_id string, trace_id string, input_json string")
+    span = span.withColumn("started_at", F.lit(0.0)).withColumn("output_json", F.lit(None).cast("string")).withColumn("has_error", F.lit(True))
+    contract = spark.createDataFrame([("f", [json.dumps(schema)], "{}")], "function_name string, args array<string>, returns string")
+    rows = violation_details(validate_calls(span, contract)).collect()
+    return [{"path": path + r.path.removeprefix("args[0]"), "expected": r.expected, "received": r.received, "rule": r.rule} for r in rows]
 
 
 def violation_details(violations: DataFrame) -> DataFrame:
@@ -548,9 +639,9 @@ def violation_details(violations: DataFrame) -> DataFrame:
 
 def schema_to_ddl(schema: dict | str) -> str:
     """Spark DDL type for a JSON schema (payload projection with ``from_json``)."""
-    s = _parse_schema(schema) if isinstance(schema, str) else schema
+    s = json.loads(schema or "{}") if isinstance(schema, str) else schema
     if "enum" in s:
-        kinds = {_kind(x) for x in s["enum"]}
+        kinds = {"boolean" if isinstance(x, bool) else "number" if isinstance(x, (int, float)) else "other" for x in s["enum"]}
         return {"number": "double", "boolean": "boolean"}.get(kinds.pop(), "string") if len(kinds) == 1 else "string"
     if "oneOf" in s:
         return "string"

@@ -1,15 +1,18 @@
-"""Redaction of JSON payload columns.
-
-The deep walk (any depth, key compared lower-case, value replaced by ``[REDACTED]``) is a small per-value helper
-run in an Arrow-batched pandas UDF; Spark partitions the rows. A JVM-side pre-check (``rlike`` over the raw text)
-marks the rows that can contain a match, so the helper only parses those. Every redaction is reported in a
-``redactions`` array of (key, rule) so that the audit (R5) is a plain aggregation.
-
-Modes: ``keys="hub"`` (the hub's 15 keys, keys only), ``keys="agent"`` (the agents' 36 keys plus value shapes),
-or an explicit list; ``values=True`` adds the value shapes (JWT, card number) for strings under an object key;
-``bare_strings=True`` also tests strings that are list items or top-level values (the Python agent's rule);
-``rule=fn(key, value)`` replaces the key/value tests with a custom function (redact when it returns
-``[REDACTED]``).
+"""Redaction of JSON payload columns (R1-R5): the text is rewritten where a secret is, every other byte stays.
+
+The text is never parsed into values. A few regular expressions put it into a form in which strings and structure cannot be confused:
+escaped quotes and backslashes become one control character each, opening and closing quotes become two different ones. JSON allows
+no raw control character, so the way back is exact; a text that holds one is no JSON and stays as it is. In that form a key to redact is
+a string before a colon; its value is the next string or scalar, or, if a bracket opens, everything up to the bracket that closes it, which
+one fold over the row's brackets finds at any depth. Numbers out of range, lone surrogates and repeated keys pass through untouched.
+
+All of that is column expressions; rows whose text cannot hold a secret are left out by a pre-check. Every redaction is reported in
+``redactions`` as (key, rule), so that the audit (R5) is a plain aggregation.
+
+Modes: ``keys="hub"`` (the hub's 15 keys, keys only), ``keys="agent"`` (the agents' 36 keys plus value shapes), or an explicit list;
+``values=True`` adds the value shapes (JWT, card number) for strings under an object key; ``bare_strings=True`` also tests strings that
+are list items or top-level values (the Python agent's rule). ``rule=fn(key, value)`` replaces the key/value tests with a custom Python
+function (redact when it returns ``[REDACTED]``); only then are values built, in an Arrow-batched helper.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ import re
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,7 +44,9 @@ JWT_SHAPE = r"[A-Za-z0-9_-]{2,}(?:\.[A-Za-z0-9_-]{2,}){2}"
 CARD_SHAPE = r"[0-9]{4}[\s-]?[0-9]{4}[\s-]?[0-9]{4}[\s-]?[0-9]{1,7}"
 REDACTED = "[REDACTED]"
 
-_SHAPES = [re.compile(JWT_SHAPE), re.compile(CARD_SHAPE)]
+#: White space that trimming removes, and that may part the groups of a card number: Unicode's, as the agents' languages have it.
+SPACES = r"\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
+_SHAPE = "(?:" + JWT_SHAPE + "|" + CARD_SHAPE.replace(r"\s", SPACES) + ")"
 
 REDACTION = T.StructType([
     T.StructField("json", T.StringType()),
@@ -49,54 +54,102 @@ REDACTION = T.StructType([
                                                      T.StructField("rule", T.StringType())]))),
 ])
 
+# Control characters of the rewritten form: escaped quote, escaped backslash, opening and closing quote, "redact this key's value", and the
+# four brackets inside strings.
+_QUOTE, _BACKSLASH, _OPEN, _CLOSE, _MARK = "\x01", "\x02", "\x03", "\x04", "\x05"
+_IN_STRING = "\x0e\x0f\x10\x11"
+_RESERVED = "[\x01-\x05\x0e-\x11]"
+_STRING = f"{_OPEN}[^{_CLOSE}]*+{_CLOSE}"
+_COLON = r"\s*+:\s*+"
 
-def _secret_shape(s: str) -> bool:
-    t = s.strip()
-    return any(p.fullmatch(t) for p in _SHAPES)
 
+def _lexed(text: Column) -> Column:
+    """The rewritten form: all quotes are string ends, and the two ends differ."""
+    one = F.replace(F.replace(text, F.lit("\\\\"), F.lit(_BACKSLASH)), F.lit('\\"'), F.lit(_QUOTE))
+    return F.regexp_replace(one, '"([^"]*+)"', f"{_OPEN}$1{_CLOSE}")
 
-def _dump(v) -> str:
-    """JSON text the way JavaScript prints it (integral floats without a fraction)."""
-    if isinstance(v, float) and v.is_integer() and abs(v) < 1e21:
-        return str(int(v))
-    if isinstance(v, dict):
-        return "{" + ",".join(json.dumps(k, ensure_ascii=False) + ":" + _dump(x) for k, x in v.items()) + "}"
-    if isinstance(v, list):
-        return "[" + ",".join(_dump(x) for x in v) + "]"
-    return json.dumps(v, ensure_ascii=False)
 
+def _restored(form: Column) -> Column:
+    plain = F.translate(form, _IN_STRING + _OPEN + _CLOSE + _MARK, '[]{}""')
+    return F.replace(F.replace(plain, F.lit(_QUOTE), F.lit('\\"')), F.lit(_BACKSLASH), F.lit("\\\\"))
 
-def make_walker(keys: list[str], values: bool, bare_strings: bool, rule: Callable | None):
-    keyset = frozenset(k.lower() for k in keys)
 
-    def decide(k: str, x) -> str | None:
-        if rule is not None:
-            return "custom" if rule(k, x) == REDACTED else None
-        if k.lower() in keyset:
-            return "key"
-        if values and isinstance(x, str) and _secret_shape(x):
-            return "value"
-        return None
+def _decoded(content: Column) -> Column:
+    """The string that JSON string content in the rewritten form stands for."""
+    escaped = content.rlike(r"[\\" + _QUOTE + _BACKSLASH + _IN_STRING + "]")
+    return F.when(escaped, F.from_json(F.concat(F.lit('["'), _restored(content), F.lit('"]')), "array<string>")[0]).otherwise(content)
 
-    def walk(v, hits: list):
-        if isinstance(v, dict):
-            out = {}
-            for k, x in v.items():
-                r = decide(k, x)
-                if r is not None:
-                    out[k] = REDACTED
-                    hits.append({"key": k, "rule": r})
-                else:
-                    out[k] = walk(x, hits)
-            return out
-        if isinstance(v, list):
-            return [walk(x, hits) for x in v]
-        if bare_strings and isinstance(v, str) and _secret_shape(v):
-            hits.append({"key": None, "rule": "value"})
-            return REDACTED
-        return v
 
-    return walk
+def _literal(content: Column) -> Column:
+    """A regular expression for exactly this text."""
+    return F.regexp_replace(content, r"([\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])", r"\\$1")
+
+
+def _with_escaped(static: str, found: Column) -> Column:
+    """A pattern for the static alternatives or any of the texts found in this row (few: those with escapes or beyond ASCII)."""
+    return F.when(F.size(found) > 0, F.concat(F.lit("(?:" + static + "|"), F.array_join(F.transform(found, _literal), "|"), F.lit(")"))).otherwise(
+        F.lit(static))
+
+
+def _is_secret(text: Column) -> Column:
+    return text.rlike(f"\\A[{SPACES}]*+{_SHAPE}[{SPACES}]*+\\z")
+
+
+def _key_pattern(form: Column, keys: list[str]) -> Column:
+    """The keys to redact, compared in lower case: ASCII keys by the pattern, keys written with escapes or beyond ASCII by their text."""
+    lowered = sorted({k.lower() for k in keys})
+    plain = [k for k in lowered if k.isascii()]
+    static = "(?i:" + "|".join(re.escape(k) for k in plain) + ")" if plain else "(?!)"
+    odd = F.array_distinct(F.regexp_extract_all(form, F.lit(f"{_OPEN}([^{_CLOSE}]*+){_CLOSE}(?=\\s*+:)"), 1))
+    odd = F.filter(odd, lambda k: k.rlike(r"[^\x20-\x5B\x5D-\x7E]") & F.lower(_decoded(k)).isin(*lowered) if lowered else F.lit(False))
+    return _with_escaped(static, odd)
+
+
+def _value_pattern(form: Column) -> Column:
+    """A string, ends included, whose trimmed value has a secret shape."""
+    odd = F.array_distinct(F.regexp_extract_all(form, F.lit(f"{_OPEN}([^{_CLOSE}]*+){_CLOSE}(?!\\s*+:)"), 1))
+    odd = F.filter(odd, lambda v: v.rlike(r"[\\" + _QUOTE + _BACKSLASH + "]") & F.coalesce(_is_secret(_decoded(v)), F.lit(False)))
+    return F.concat(F.lit(_OPEN), _with_escaped(f"[{SPACES}]*+{_SHAPE}[{SPACES}]*+", odd), F.lit(_CLOSE))
+
+
+def _without_containers(form: Column) -> Column:
+    """Objects and arrays under a marked key become the scalar 0, the outermost first: whatever is inside is gone with them."""
+    parts = F.split(form, f"[{_OPEN}{_CLOSE}]")  # outside, inside, outside, ...
+    safe = F.array_join(F.transform(parts, lambda x, i: F.when(
+        i % 2 == 1, F.concat(F.lit(_OPEN), F.translate(x, "[]{}", _IN_STRING), F.lit(_CLOSE))).otherwise(x)), "")
+    tokens = F.regexp_extract_all(safe, F.lit(f"{_MARK}{_COLON}[\\[{{]|[\\[{{]|[\\]}}]|[^\\[\\]{{}}{_MARK}]++|{_MARK}"), 0)
+    none = F.array().cast("array<struct<a: int, b: int>>")
+    zero = F.struct(F.lit(0).alias("i"), F.lit(0).alias("depth"), F.lit(-1).alias("start"), F.lit(0).alias("at"), none.alias("hits"))
+
+    def step(s: Column, t: Column) -> Column:
+        opens, closes = F.substring(t, -1, 1).isin("[", "{"), t.isin("]", "}")
+        depth = s["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)
+        begins = (s["start"] < 0) & opens & t.startswith(_MARK)
+        ends = (s["start"] >= 0) & closes & (depth == s["at"])
+        return F.struct((s["i"] + 1).alias("i"), depth.alias("depth"),
+                        F.when(begins, s["i"]).when(ends, F.lit(-1)).otherwise(s["start"]).alias("start"),
+                        F.when(begins, s["depth"]).otherwise(s["at"]).alias("at"),
+                        F.when(ends, F.concat(s["hits"], F.array(F.struct(s["start"].alias("a"), s["i"].alias("b"))))).otherwise(s["hits"]).alias("hits"))
+
+    def cut(s: Column, tokens: Column) -> Column:
+        # a container that never closes is redacted to the end
+        hits = F.when(s["start"] >= 0, F.concat(s["hits"], F.array(F.struct(s["start"].alias("a"), (s["i"] - 1).alias("b"))))).otherwise(s["hits"])
+
+        def join(hits: Column) -> Column:
+            before = lambda j: F.when(j > 0, F.get(hits, j - 1)["b"] + 1).otherwise(F.lit(0))
+            head = F.transform(hits, lambda h, j: F.concat(
+                F.array_join(F.slice(tokens, before(j) + 1, h["a"] - before(j)), ""),
+                F.regexp_replace(F.get(tokens, h["a"]), r"[\[{]\z", "0")))
+            return F.concat(F.array_join(head, ""), F.array_join(F.slice(tokens, before(F.size(hits)) + 1, F.size(tokens)), ""))
+
+        return _let(hits, join)
+
+    return _let(tokens, lambda ts: _let(F.aggregate(ts, zero, step), lambda s: cut(s, ts)))
+
+
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once."""
+    return F.transform(F.array(value), body)[0]
 
 
 def _resolve_keys(keys: str | list[str], extra_keys: list | None) -> list[str]:
@@ -105,16 +158,106 @@ def _resolve_keys(keys: str | list[str], extra_keys: list | None) -> list[str]:
     return base + extra
 
 
-def _precheck(col: str, keys: list[str], values: bool, custom: bool):
-    """JVM-side superset test: can this JSON text contain something to redact? Keys and strings without escapes are tested
-    as they stand; a text with any escape is always parsed."""
-    if custom:
-        return F.lit(True)
-    key_alt = "|".join(re.escape(k.lower()) for k in keys)
-    cond = F.contains(F.col(col), F.lit("\\")) | F.lower(F.col(col)).rlike(f'"({key_alt})"\\s*:')
+def _precheck(text: Column, keys: list[str], shapes: bool) -> Column:
+    """Superset test: can this text hold something to redact? Escapes and characters beyond ASCII are looked at closely."""
+    plain = "|".join(re.escape(k.lower()) for k in keys if k.isascii())
+    cond = F.contains(text, F.lit("\\")) | text.rlike(f'"[^"]*[^\\x00-\\x7F][^"]*"\\s*:')
+    if plain:
+        cond = cond | text.rlike(f'(?i)"(?:{plain})"\\s*:')
+    if shapes:
+        cond = cond | text.rlike(f'"[{SPACES}]*{_SHAPE}[{SPACES}]*"')
+    return cond & ~text.rlike(_RESERVED)
+
+
+def _redact_text(df: DataFrame, col: str, keys: list[str], values: bool, bare: bool) -> DataFrame:
+    """``col`` rewritten, and ``_h_<col>`` with its hits."""
+    need, form, marked, value, flat = (f"_{x}_{col}" for x in ("need", "form", "marked", "value", "flat"))
+    hit = REDACTION["hits"].dataType
+    none = F.array().cast(hit)
+    x = df.withColumn(need, F.coalesce(_precheck(F.col(col), keys, values or bare), F.lit(False)))
+    x = x.withColumn(form, F.when(F.col(need), _lexed(F.col(col))))
+    mark = F.concat(F.lit(f"({_OPEN}"), _key_pattern(F.col(form), keys), F.lit(f"{_CLOSE})(?=\\s*+:)"))
+    x = x.withColumn(marked, F.when(F.col(need), F.regexp_replace(form, mark, F.lit(f"$1{_MARK}"))))
+    x = x.withColumn(flat, F.when(F.col(marked).rlike(f"{_MARK}{_COLON}[\\[{{]"), _without_containers(F.col(marked))).otherwise(F.col(marked)))
+    x = x.withColumn(value, F.when(F.col(need), _value_pattern(F.col(flat))) if values or bare else F.lit(None).cast("string"))
+    f, v, out = F.col(flat), F.col(value), F.col(flat)
+    by = lambda found, rule: F.transform(found, lambda k: F.struct(_decoded(k).alias("key"), F.lit(rule).alias("rule")))
+    hits = [by(F.regexp_extract_all(f, F.lit(f"{_OPEN}([^{_CLOSE}]*+){_CLOSE}{_MARK}"), 1), "key")]
+    out = F.regexp_replace(out, f"({_MARK}{_COLON})(?:{_STRING}|[^\\s,\\[\\]{{}}{_OPEN}]++)", f'$1"{REDACTED}"')
     if values:
-        cond = cond | F.col(col).rlike('"\\s*(' + JWT_SHAPE + "|" + CARD_SHAPE + ')\\s*"')
-    return cond
+        hits.append(by(F.regexp_extract_all(f, F.concat(F.lit(f"{_OPEN}([^{_CLOSE}]*+){_CLOSE}{_COLON}"), v), 1), "value"))
+        out = F.regexp_replace(out, F.concat(F.lit(f"({_CLOSE}{_COLON})"), v), F.lit(f'$1"{REDACTED}"'))
+    if bare:
+        item = F.concat(F.lit(r"((?:\A|[\[,])\s*+)"), v, F.lit(r"(?!\s*+:)"))
+        hits.append(F.transform(F.regexp_extract_all(f, item, 1), lambda _: F.struct(F.lit(None).cast("string").alias("key"), F.lit("value").alias("rule"))))
+        out = F.regexp_replace(out, item, F.lit(f'$1"{REDACTED}"'))
+    x = x.withColumn(f"_h_{col}", F.when(F.col(need), F.flatten(F.array(*hits))).otherwise(none))
+    x = x.withColumn(col, F.when(F.col(need), _restored(out)).otherwise(F.col(col)))
+    return x.drop(need, form, marked, value, flat)
+
+
+# ---------------------------------------------------------------- R4: a custom Python rule
+
+
+class _Number(float):
+    """A number that keeps its text."""
+
+    def __new__(cls, text: str):
+        out = float.__new__(cls, text)
+        out.text = text
+        return out
+
+
+def _dump(v) -> str:
+    if isinstance(v, _Number):
+        return v.text
+    if isinstance(v, dict):
+        return "{" + ",".join(_dump(k) + ":" + _dump(x) for k, x in v.items()) + "}"
+    if isinstance(v, list):
+        return "[" + ",".join(map(_dump, v)) + "]"
+    text = json.dumps(v, ensure_ascii=False)
+    return re.sub("[\ud800-\udfff]", lambda m: f"\\u{ord(m[0]):04x}", text)  # lone surrogates have no UTF-8
+
+
+def custom_redaction(rule: Callable) -> Callable[[str], tuple[str, list]]:
+    """Text → (redacted text, hits) by ``rule(key, value)`` on every object member. A value nested too deep for Python is redacted whole."""
+    def walk(v, hits: list):
+        if isinstance(v, list):
+            return [walk(x, hits) for x in v]
+        if not isinstance(v, dict):
+            return v
+        out = {}
+        for k, x in v.items():
+            hit = rule(k, x) == REDACTED
+            out[k] = REDACTED if hit else walk(x, hits)
+            if hit:
+                hits.append({"key": re.sub("[\ud800-\udfff]", "�", k), "rule": "custom"})
+        return out
+
+    def apply(text: str) -> tuple[str, list]:
+        hits: list = []
+        try:
+            out = walk(json.loads(text, parse_float=_Number, parse_int=lambda s: int(s) if len(s) < 4000 else _Number(s)), hits)
+            return (_dump(out) if hits else text), hits
+        except ValueError:
+            return text, []
+        except RecursionError:
+            return f'"{REDACTED}"', [{"key": None, "rule": "custom"}]
+
+    return apply
+
+
+def _redact_custom(df: DataFrame, col: str, rule: Callable) -> DataFrame:
+    @F.pandas_udf(REDACTION)
+    def udf(texts: pd.Series) -> pd.DataFrame:
+        one = custom_redaction(rule)
+        return pd.DataFrame([(t, []) if t is None else one(t) for t in texts], columns=["json", "hits"])
+
+    x = df.withColumn(f"_r_{col}", udf(F.col(col)))
+    return x.withColumn(col, F.col(f"_r_{col}.json")).withColumn(f"_h_{col}", F.col(f"_r_{col}.hits")).drop(f"_r_{col}")
+
+
+# ---------------------------------------------------------------- R1-R5
 
 
 def redact(df: DataFrame, cols: list[str] | None = None, keys: str | list[str] = "hub",
@@ -123,45 +266,18 @@ def redact(df: DataFrame, cols: list[str] | None = None, keys: str | list[str] =
     """Redact JSON text columns (default ``input_json``, ``output_json``) in place and add ``redactions``.
 
     A top-level string (or a string element of the ``input`` array) is only tested with ``bare_strings``, as in
-    the reference; strings under an object key are tested with ``values``.
+    the reference; strings under an object key are tested with ``values``. Texts that are no JSON keep what cannot be read as a key
+    with a value or as a string; null stays null.
     """
     cols = cols or [c for c in ("input_json", "output_json") if c in df.columns]
     key_list = _resolve_keys(keys, extra_keys)
     use_values = (keys == "agent") if values is None else values
-    walk = make_walker(key_list, use_values, bare_strings, rule)
-
-    @F.pandas_udf(REDACTION)
-    def _redact(texts: pd.Series, need: pd.Series) -> pd.DataFrame:
-        out_json, out_hits = [], []
-        for t, n in zip(texts, need):
-            if t is None or not n:
-                out_json.append(t)
-                out_hits.append([])
-                continue
-            hits: list = []
-            try:
-                v = json.loads(t)
-            except ValueError:
-                out_json.append(t)
-                out_hits.append([])
-                continue
-            w = walk(v, hits)
-            out_json.append(_dump(w) if hits else t)
-            out_hits.append(hits)
-        return pd.DataFrame({"json": out_json, "hits": out_hits})
-
     out = df
-    hit_cols = []
     for c in cols:
-        need = _precheck(c, key_list, use_values or bare_strings, rule is not None)
-        if bare_strings and rule is None:
-            need = need | F.col(c).rlike('"\\s*(' + JWT_SHAPE + "|" + CARD_SHAPE + ')\\s*"')
-        tmp = f"_r_{c}"
-        out = out.withColumn(tmp, _redact(F.col(c), need))
-        out = out.withColumn(c, F.col(f"{tmp}.json"))
-        hit_cols.append(F.coalesce(F.col(f"{tmp}.hits"), F.array().cast(REDACTION["hits"].dataType)))
-    out = out.withColumn("redactions", F.flatten(F.array(*hit_cols)) if hit_cols else F.array())
-    return out.drop(*[f"_r_{c}" for c in cols])
+        out = _redact_custom(out, c, rule) if rule is not None else _redact_text(out, c, key_list, use_values, bare_strings)
+    none = F.array().cast(REDACTION["hits"].dataType)
+    hits = [F.coalesce(F.col(f"_h_{c}"), none) for c in cols]
+    return out.withColumn("redactions", F.flatten(F.array(*hits)) if hits else none).drop(*(f"_h_{c}" for c in cols))
 
 
 def redaction_audit(redacted: DataFrame) -> DataFrame:
@@ -172,7 +288,6 @@ def redaction_audit(redacted: DataFrame) -> DataFrame:
 
 
 def redact_strings(col, keys_col=None):
-    """R3 for typed columns (JVM only): a string column whose trimmed value has a secret shape → ``[REDACTED]``."""
+    """R3 for typed columns: a string column whose trimmed value has a secret shape → ``[REDACTED]``."""
     c = F.col(col) if isinstance(col, str) else col
-    t = F.regexp_replace(c, "^\\s+|\\s+$", "")
-    return F.when(t.rlike("^(" + JWT_SHAPE + "|" + CARD_SHAPE + ")\\z"), F.lit(REDACTED)).otherwise(c)
+    return F.when(_is_secret(c), F.lit(REDACTED)).otherwise(c)

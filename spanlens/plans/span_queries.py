@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanlens.functions.scalar import is_slow_call
@@ -29,10 +29,8 @@ def q_distributed_flags(spark, sf_dir):
     return flag_distributed(events(spark, sf_dir)).select("span_id", "trace_id", "distributed")
 
 
-def span_messages(spans: DataFrame) -> DataFrame:
-    """Encode spans as agent wire messages: TraceEvent JSON, batched per agent and 50 ms of arrival (a JSON
-    array per batch, a bare object when the batch holds one span). Arrival stamps ride along as extra keys."""
-    s = spans
+def one_message(s: DataFrame) -> Column:
+    """A span as a TraceEvent JSON object; its arrival stamps ride along as extra keys."""
     event = F.struct(
         F.lit("1.0").alias("schema_version"),
         "trace_id", "span_id", "parent_span_id",
@@ -46,8 +44,15 @@ def span_messages(spans: DataFrame) -> DataFrame:
         F.create_map().cast("map<string,string>").alias("tags"),
         "received_at", "ingest_seq",
     )
+    return F.to_json(event, {"ignoreNullFields": "false"})
+
+
+def span_messages(spans: DataFrame) -> DataFrame:
+    """Encode spans as agent wire messages: TraceEvent JSON, batched per agent and 50 ms of arrival (a JSON
+    array per batch, a bare object when the batch holds one span)."""
+    s = spans
     one = s.select("agent_id", (F.col("received_at") / 50).cast("long").alias("batch"),
-                   F.struct("received_at", "ingest_seq", F.to_json(event, {"ignoreNullFields": "false"}).alias("msg")).alias("m"))
+                   F.struct("received_at", "ingest_seq", one_message(s).alias("msg")).alias("m"))
     batched = one.groupBy("agent_id", "batch").agg(F.array_sort(F.collect_list("m")).alias("m")).select(
         F.transform("m", lambda x: x["msg"]).alias("msgs"))
     return batched.select(

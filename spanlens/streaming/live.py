@@ -1,25 +1,28 @@
-"""Structured Streaming: live ingest, rate cap, arrival rate, live graph, subscribe, periodic dump.
+"""Structured Streaming: live ingest, arrival rate, subscribe, periodic dump (X1, X3-X5, X7, X8). X2 is in ``ratecap``, X6 and X9 in
+``live_graph``.
 
-Live ingest (X1) = ``foreachBatch`` over explode, validate, redact, the two flags and the sink. Both flags are decided by
-first arrivals, so each needs only a small table of them from earlier batches, kept in versions under the checkpoint folder:
+Live ingest (X1) = ``foreachBatch`` over explode, rate cap, validate, redact, the two flags and the sink. Both flags are decided by
+first arrivals, so each needs only a table of them from earlier batches (``state.KeyedState``):
 
-* X4 anomaly: first arrival per (agent, function, output type), at most 7 rows per function.
-* X5 distributed: per trace its first agent and, if there was one, the first other agent; ``trace_ttl_ms`` lets traces go
-  that started longer ago.
+* X4 anomaly: first arrival per (agent, function, output type), at most 7 rows per function; it never expires;
+* X5 distributed: first arrival per trace and agent; a trace expires ``trace_ttl_ms`` after its last span.
 
-A micro-batch unions its rows with these rows and applies the batch rules (W1, W2), so the results are equal. State versions
-and sink files are written per ``batch_id`` with overwrite: a re-run of a batch after a failure is idempotent. Spans arrive in
-message order: ``ingest_seq`` numbers them as they come out of the source and out of each batched message, ``order_cols``
-(for example partition and offset) where the source has an order of its own.
+A micro-batch unions its rows with these rows and applies the batch rules (W1, W2), so the results are equal; it writes its own keys
+only. The sink is written last: a batch whose sink folder is complete is not run again, a batch that failed before writes over its own
+versions, so every span is stored once.
+
+Spans are taken in arrival order: by the columns the source orders by (``order_cols``, for example partition and offset), by recorded
+stamps in the message (``arrival_col``), or, for a folder of message files, as ``read_messages`` gives them: by file time, file and line.
+A source without an order of its own is refused, because the order in which Spark deals out files is not one.
 """
 
+from __future__ import annotations
+
 import os
 import uuid
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from spanlens.operators import filters as FL
@@ -28,137 +31,127 @@ from spanlens.operators.ingest import explode_messages, flag_anomalies, flag_dis
 from spanlens.operators.redact import redact
 from spanlens.schema import conform
 from spanlens.session import checkpoint_dir
+from spanlens.streaming.ratecap import RATE_LIMIT, RateCap, rate_cap  # noqa: F401
+from spanlens.streaming.state import KeyedState, delete, is_complete
 
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    """State versions under ``path`` (listed through the Hadoop FileSystem, so shared storage works)."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(p):
-        return []
-    out = []
-    for st in fs.listStatus(p):
-        name = st.getPath().getName()
-        if name.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-            out.append(int(name[2:]))
-    return sorted(out)
-
-
-def _latest_state(spark: SparkSession, root: str, name: str, schema: str, before: int) -> DataFrame:
-    """The newest complete state version written by an earlier batch (a retried batch re-reads the same one)."""
-    path = os.path.join(root, "state", name)
-    versions = [v for v in _versions(spark, path) if v < before]
-    if not versions:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(os.path.join(path, f"v={versions[-1]}"))
-
+_ARRIVED = "received_at long, ingest_seq long"
 
-_NODE_TYPES = "agent_id string, function_name string, output_type string, received_at long, ingest_seq long"
 
+def _first_arrivals(rows: DataFrame, keys: list[str], *more) -> DataFrame:
+    first = rows.groupBy(*keys).agg(F.min(F.struct("received_at", "ingest_seq")).alias("_a"), *more)
+    return first.select(*keys, "_a.received_at", "_a.ingest_seq", *(c for c in first.columns if c not in (*keys, "_a")))
 
-def anomaly_batch(batch: DataFrame, node_types: DataFrame) -> DataFrame:
-    """W1 for one micro-batch given first-arrival state: state rows stand in for earlier spans."""
-    b = conform(batch).withColumn("output_type", output_type(batch)).withColumn("_batch", F.lit(True))
-    known = node_types.withColumn("_batch", F.lit(False))
-    return flag_anomalies(b.unionByName(known, allowMissingColumns=True)).where("_batch").drop("_batch")
 
+def first_types(rows: DataFrame) -> DataFrame:
+    """X4 state: the first arrival of each output type of a function."""
+    return _first_arrivals(rows, ["agent_id", "function_name", "output_type"])
 
-def next_node_types(batch: DataFrame, node_types: DataFrame) -> DataFrame:
-    b = conform(batch).withColumn("output_type", output_type(batch))
-    arr = F.struct("received_at", "ingest_seq")
-    nt = b.select("agent_id", "function_name", "output_type", "received_at", "ingest_seq").unionByName(node_types)
-    return nt.groupBy("agent_id", "function_name", "output_type").agg(F.min(arr).alias("_a")).select(
-        "agent_id", "function_name", "output_type", F.col("_a.received_at").alias("received_at"),
-        F.col("_a.ingest_seq").alias("ingest_seq"))
 
+def first_agents(rows: DataFrame) -> DataFrame:
+    """X5 state: the first arrival of each agent in a trace, and the trace's last span from it."""
+    return _first_arrivals(rows, ["trace_id", "agent_id"], F.max("last").alias("last"))
 
-def distributed_stream(spans: DataFrame, trace_ttl_ms: int | None = None) -> DataFrame:
-    """``distributed`` per span of a stream, keyed state per trace (first agent, another agent seen)."""
-    from pyspark.sql.streaming.state import GroupStateTimeout
 
-    out_schema = T.StructType([f for f in spans.schema.fields if f.name != "distributed"]
-                              + [T.StructField("distributed", T.BooleanType())])
-    state_schema = T.StructType([T.StructField("a0", T.StringType()), T.StructField("other", T.BooleanType())])
-    cols = [f.name for f in out_schema.fields]
+def live_traces(rows: DataFrame, ttl_ms: int | None) -> DataFrame:
+    """X5 state that can still matter: a trace's first two agents, for ``ttl_ms`` after its last span (newest span of all = now)."""
+    per_trace = Window.partitionBy("trace_id")  # over (trace, agent): one row an agent
+    x = rows.withColumn("_last", F.max("last").over(per_trace)).withColumn(
+        "_r", F.row_number().over(per_trace.orderBy("received_at", "ingest_seq"))).where("_r <= 2")
+    if ttl_ms is not None:
+        x = x.where(F.col("_last") >= rows.agg(F.max("last")).scalar() - ttl_ms)
+    return x.select("trace_id", "agent_id", "received_at", "ingest_seq", F.col("_last").alias("last"))
 
-    def fn(key, pdfs, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        a0, other = (state.get[0], state.get[1]) if state.exists else (None, False)
-        for pdf in pdfs:
-            pdf = pdf.sort_values(["received_at", "ingest_seq"], kind="mergesort")
-            flags = []
-            for ag in pdf["agent_id"]:
-                if a0 is None:
-                    a0 = ag
-                    flags.append(False)
-                    continue
-                flags.append(bool(ag != a0 or other))
-                other = other or ag != a0
-            yield pdf.assign(distributed=flags)[cols]
-        state.update((a0, other))
-        if trace_ttl_ms is not None:
-            state.setTimeoutDuration(trace_ttl_ms)
 
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if trace_ttl_ms is not None else GroupStateTimeout.NoTimeout
-    return spans.groupBy("trace_id").applyInPandasWithState(fn, out_schema, state_schema, "append", timeout)
+def flag_state(spark: SparkSession, root: str) -> tuple[KeyedState, KeyedState]:
+    return (KeyedState(spark, root, "node_types", f"agent_id string, function_name string, output_type string, {_ARRIVED}", first_types),
+            KeyedState(spark, root, "trace_agents", f"trace_id string, agent_id string, {_ARRIVED}, last long", first_agents))
 
 
-_TRACE_AGENTS = "trace_id string, agent_id string, received_at long, ingest_seq long"
+def anomaly_batch(batch: DataFrame, node_types: DataFrame) -> DataFrame:
+    """W1 for one micro-batch given first-arrival state: state rows stand in for earlier spans."""
+    b = conform(batch).withColumn("output_type", output_type(batch)).withColumn("_batch", F.lit(True))
+    known = node_types.withColumn("_batch", F.lit(False))
+    return flag_anomalies(b.unionByName(known, allowMissingColumns=True)).where("_batch").drop("_batch")
 
 
 def distributed_batch(batch: DataFrame, trace_agents: DataFrame) -> DataFrame:
     """W2 for one micro-batch given the first arrivals of earlier agents of its traces."""
     b = batch.withColumn("_batch", F.lit(True))
-    known = trace_agents.withColumn("_batch", F.lit(False))
+    known = trace_agents.drop("last").withColumn("_batch", F.lit(False))
     return flag_distributed(b.unionByName(known, allowMissingColumns=True)).where("_batch").drop("_batch")
 
 
-def next_trace_agents(batch: DataFrame, trace_agents: DataFrame, ttl_ms: int | None = None) -> DataFrame:
-    """The first arrivals of a trace's first two agents; more cannot change a flag."""
-    rows = batch.select("trace_id", "agent_id", "received_at", "ingest_seq").unionByName(trace_agents)
-    first = rows.groupBy("trace_id", "agent_id").agg(F.min(F.struct("received_at", "ingest_seq")).alias("_a"))
-    per = first.groupBy("trace_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("_a", "agent_id"))), 1, 2).alias("_f"))
-    if ttl_ms is not None:
-        per = per.where(F.col("_f")[0]["_a"]["received_at"] >= F.unix_millis(F.current_timestamp()) - ttl_ms)
-    return per.select("trace_id", F.explode("_f").alias("f")).select(
-        "trace_id", "f.agent_id", F.col("f._a.received_at").alias("received_at"), F.col("f._a.ingest_seq").alias("ingest_seq"))
+def read_messages(spark: SparkSession, path: str, **options) -> DataFrame:
+    """A stream of message files (one JSON text a line) with an order of its own: file time, file, place in the file."""
+    raw = spark.readStream.format("text").options(**options).load(path)
+    return raw.select("value", F.col("_metadata.file_modification_time").alias("_file_time"), F.col("_metadata.file_path").alias("_file"),
+                      F.col("_metadata.file_block_start").alias("_block"))
+
+
+_FILE_ORDER = ["_file_time", "_file", "_block"]
 
 
 def ingest_stream(raw: DataFrame, sink: str, checkpoint: str | None = None, value_col: str = "value",
                   require_uuid: bool = True, redact_keys: str | list = "hub", extra_keys: list | None = None,
-                  trace_ttl_ms: int | None = None, trigger: dict | None = None,
-                  arrival_col: str | None = None, order_cols: list[str] | None = None) -> StreamingQuery:
-    """Raw message stream → explode → validate → redact → anomaly → distributed → sink.
+                  trace_ttl_ms: int | None = 3_600_000, trigger: dict | None = None,
+                  arrival_col: str | None = None, order_cols: list[str] | None = None, connection_col: str | None = None,
+                  per_second: int = RATE_LIMIT, time_col: str | None = None) -> StreamingQuery:
+    """Raw message stream → explode → rate cap → validate → redact → anomaly → distributed → sink.
 
-    ``arrival_col`` names a key of the message with a recorded arrival time (replay of recorded traffic, which
-    then also keeps its recorded ``ingest_seq``); otherwise ``received_at`` is the batch's processing time and spans keep
-    their message order, by ``order_cols`` or as the source gives them. Invalid messages are dropped (as the hub does);
+    ``arrival_col`` names a key of the message with a recorded arrival time (replay of recorded traffic, which then also keeps its
+    recorded ``ingest_seq``). Otherwise spans keep the source's order (see the module) and their place in a batched message;
+    ``received_at`` is then ``time_col`` (epoch milliseconds at which the source took the message) or the batch's processing time.
+
+    ``connection_col`` (a column of the source) turns the cap on: over ``per_second`` accepted messages a second and connection are
+    dropped before they are validated, so bad messages use the quota. It needs the messages' own times. Invalid messages are dropped;
     ``parse_spans`` gives their reasons in batch jobs.
     """
     spark = raw.sparkSession
+    if order_cols is None and set(_FILE_ORDER) <= set(raw.columns):
+        order_cols = _FILE_ORDER
+    if order_cols is None and arrival_col is None:
+        raise ValueError("the source has no order: name order_cols or arrival_col, or read message files with read_messages")
+    if connection_col is not None and arrival_col is None and time_col is None:
+        raise ValueError("the rate cap needs the messages' times: name arrival_col or time_col")
     root = checkpoint or os.path.join(checkpoint_dir(spark), "spanlens-ingest-" + uuid.uuid4().hex[:8])
+    node_types, trace_agents = flag_state(spark, os.path.join(root, "state"))
+    cap = RateCap(spark, os.path.join(root, "state"), per_second)
 
-    def run(batch: DataFrame, batch_id: int) -> None:
+    def stamped(batch: DataFrame) -> DataFrame:
         if order_cols:
-            batch = batch.sort(*order_cols)
+            batch = batch.withColumn("_line", F.monotonically_increasing_id()).sort(*order_cols, "_line")
         msgs = explode_messages(batch, value_col).withColumn("_nth", F.monotonically_increasing_id())
         received, seq = F.unix_millis(F.current_timestamp()), F.col("_nth")
+        if time_col is not None:
+            received = F.col(time_col).cast("long")
         if arrival_col is not None:
             v = F.try_parse_json("message")
             received = F.try_variant_get(v, f"$.{arrival_col}", "long")
             seq = F.coalesce(F.try_variant_get(v, "$.ingest_seq", "long"), seq)
-        msgs = msgs.withColumn("received_at", received).withColumn("ingest_seq", seq).select("message", "received_at", "ingest_seq")
+        more = [F.col(connection_col).alias("connection")] if connection_col is not None else []
+        return msgs.select("message", received.alias("received_at"), seq.alias("ingest_seq"), *more)
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        done = os.path.join(sink, f"batch_id={batch_id}")
+        if is_complete(spark, done):
+            return  # stored before the last failure
+        msgs, capped = stamped(batch), os.path.join(root, "messages", f"v={batch_id}")
+        if connection_col is not None:
+            msgs.write.mode("overwrite").parquet(capped)  # exploded once, with fixed stamps
+            msgs = cap.apply(spark.read.parquet(capped), batch_id).where("accepted").drop("accepted", "connection")
         good = parse_spans(msgs, "message", require_uuid=require_uuid).where(F.size("reasons") == 0).drop("reasons")
-        staged = os.path.join(root, "batch", f"v={batch_id}")  # parsed once, with fixed stamps
+        staged = os.path.join(root, "batch", f"v={batch_id}")  # parsed once
         conform(redact(good, keys=redact_keys, extra_keys=extra_keys).drop("redactions")).write.mode("overwrite").parquet(staged)
         b = spark.read.parquet(staged)
-        types = _latest_state(spark, root, "node_types", _NODE_TYPES, batch_id)
-        agents = _latest_state(spark, root, "trace_agents", _TRACE_AGENTS, batch_id)
-        distributed_batch(anomaly_batch(b, types), agents).write.mode("overwrite").parquet(os.path.join(sink, f"batch_id={batch_id}"))
-        for name, state in (("node_types", next_node_types(b, types)), ("trace_agents", next_trace_agents(b, agents, trace_ttl_ms))):
-            state.write.mode("overwrite").parquet(os.path.join(root, "state", name, f"v={batch_id}"))
+        node_types.add(batch_id, first_types(b.withColumn("output_type", output_type(b))))
+        trace_agents.add(batch_id, first_agents(b.withColumn("last", F.col("received_at"))))
+        if trace_agents.due(batch_id):
+            node_types.compact(batch_id)
+            trace_agents.compact(batch_id, lambda rows: live_traces(rows, trace_ttl_ms))
+        flagged = distributed_batch(anomaly_batch(b, node_types.before(batch_id)), trace_agents.before(batch_id))
+        flagged.write.mode("overwrite").parquet(done)
+        for folder in (staged, capped):
+            delete(spark, folder)
 
     w = raw.writeStream.foreachBatch(run).option("checkpointLocation", os.path.join(root, "offsets"))
     w = w.trigger(**(trigger or {"availableNow": True}))
@@ -169,81 +162,6 @@ def read_sink(spark: SparkSession, sink: str) -> DataFrame:
     return spark.read.parquet(sink)
 
 
-# ---------------------------------------------------------------- X2: rate cap
-
-RATE_LIMIT = 500
-
-
-def _cap_ticks(pdf: pd.DataFrame, per_second: int) -> pd.DataFrame:
-    """Sliding log over one connection's distinct arrival milliseconds (``received_at``, ``offered``): messages of
-    one millisecond see the same window, so the first ``room`` of them are accepted. Returns ``accepted`` counts."""
-    pdf = pdf.sort_values("received_at", kind="mergesort")
-    log: list[tuple[int, int]] = []  # (tick, accepted) within the last second
-    head, in_window, out = 0, 0, []
-    for t, c in zip(pdf["received_at"].to_numpy(), pdf["offered"].to_numpy()):
-        while head < len(log) and log[head][0] < t - 1000:
-            in_window -= log[head][1]
-            head += 1
-        a = int(min(c, max(per_second - in_window, 0)))
-        if a:
-            log.append((int(t), a))
-            in_window += a
-        out.append(a)
-    return pdf.assign(accepted=out)
-
-
-def rate_cap(spans: DataFrame, per_second: int = RATE_LIMIT, key: str = "agent_id") -> DataFrame:
-    """X2 (batch form): ``accepted`` per message; ``per_second <= 0`` turns the cap off.
-
-    The rule is sequential per connection (a dropped message does not count), but messages of the same
-    millisecond share a window. So (1) offered messages are counted per (connection, millisecond) with a map-side
-    aggregation, (2) the sliding log runs per connection over those ticks in pandas — work grows with the distinct
-    milliseconds of a connection, not with how many messages a flood sends — and (3) a message is accepted when
-    its arrival rank within its tick is below the tick's accepted count (rank ``<= per_second`` plans as a map-side
-    ``WindowGroupLimit``, so a flooded millisecond ships at most ``per_second`` rows per task).
-    """
-    if per_second <= 0:
-        return spans.withColumn("accepted", F.lit(True))
-    from pyspark.sql import Window
-
-    ticks = spans.groupBy(key, "received_at").agg(F.count(F.lit(1)).alias("offered"))
-    schema = T.StructType([ticks.schema[key], ticks.schema["received_at"], T.StructField("offered", T.LongType()),
-                           T.StructField("accepted", T.LongType())])
-    acc = ticks.groupBy(key).applyInPandas(lambda pdf: _cap_ticks(pdf, per_second), schema).where("accepted > 0")
-    w = Window.partitionBy(key, "received_at").orderBy("ingest_seq")
-    first = spans.select(key, "received_at", "ingest_seq").withColumn("_r", F.row_number().over(w)).where(
-        F.col("_r") <= per_second)
-    ok = first.join(acc.select(key, "received_at", "accepted"), [key, "received_at"]).where(
-        F.col("_r") <= F.col("accepted")).select(key, "received_at", "ingest_seq", F.lit(True).alias("_ok"))
-    out = spans.join(ok, [key, "received_at", "ingest_seq"], "left")
-    return out.withColumn("accepted", F.coalesce("_ok", F.lit(False))).drop("_ok")
-
-
-def rate_cap_stream(stream: DataFrame, per_second: int = RATE_LIMIT, key: str = "agent_id") -> DataFrame:
-    """X2 (stream form): the same sliding log with the accepted timestamps of the last second as group state."""
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
-    out_schema = T.StructType(stream.schema.fields + [T.StructField("accepted", T.BooleanType())])
-    state_schema = T.StructType([T.StructField("times", T.ArrayType(T.LongType()))])
-
-    def fn(k, pdfs, state):
-        log = list(state.get[0]) if state.exists else []
-        for pdf in pdfs:
-            pdf = pdf.sort_values(["received_at", "ingest_seq"], kind="mergesort")
-            keep = []
-            for ti in pdf["received_at"].to_numpy():
-                log = [x for x in log if x >= ti - 1000]
-                ok = len(log) < per_second
-                if ok:
-                    log.append(int(ti))
-                keep.append(ok)
-            yield pdf.assign(accepted=keep)
-        state.update((log,))
-
-    return stream.groupBy(key).applyInPandasWithState(fn, out_schema, state_schema, "append",
-                                                      GroupStateTimeout.NoTimeout)
-
-
 # ---------------------------------------------------------------- X3: arrival rate
 
 
@@ -284,22 +202,42 @@ def refresh_graph(spark: SparkSession, sink: str, out: str, agent_id: str | None
 # ---------------------------------------------------------------- X7 / X8
 
 
+def complete_batches(spark: SparkSession, sink: str) -> list[int]:
+    """Batches that the sink holds completely."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(sink)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+    ids = sorted(int(n.split("=")[1]) for n in names if n.startswith("batch_id="))
+    return [i for i in ids if is_complete(spark, os.path.join(sink, f"batch_id={i}"))]
+
+
 def subscribe(spark: SparkSession, sink: str, last: int = 200) -> tuple[DataFrame, DataFrame]:
-    """The newest ``last`` stored spans for a new consumer, then the stream of later sink files."""
-    snapshot = FL.recent(read_sink(spark, sink), k=last)
-    schema = read_sink(spark, sink).schema
-    changes = spark.readStream.schema(schema).parquet(sink)
-    return snapshot, changes
+    """The newest ``last`` stored spans for a new consumer, then the stream of the spans stored after them.
+
+    The snapshot is taken as of the newest complete batch; the changes are the batches after it, so no span is in both and none that is
+    stored later is missed. Start the stream with a checkpoint of its own; it goes on where it stopped.
+    """
+    batches = complete_batches(spark, sink)
+    if not batches:
+        raise ValueError(f"no complete batch under {sink}")
+    newest = batches[-1]
+    stored = spark.read.option("basePath", sink).parquet(*(os.path.join(sink, f"batch_id={i}") for i in batches))
+    changes = spark.readStream.schema(stored.schema).parquet(sink).where(F.col("batch_id") > newest)
+    return FL.recent(stored, k=last), changes
 
 
 def flush_stream(stream: DataFrame, path: str, checkpoint: str, interval: str = "30 seconds",
-                 last_n: int | None = None, trigger: dict | None = None) -> StreamingQuery:
-    """Every ``interval`` dump the spans of the batch (the newest ``last_n`` where asked) as NDJSON (one folder per batch)."""
+                 last_n: int | None = None, trigger: dict | None = None, sink: str | None = None) -> StreamingQuery:
+    """Every ``interval`` a dump as NDJSON (one folder a batch): the newest ``last_n`` spans of the store ``sink``, or without a store
+    the batch's own."""
     from spanlens.sources.spans_io import write_spans
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        write_spans(batch, os.path.join(path, f"flush={batch_id}"), last_n)
+        spans = batch
+        if sink is not None:
+            batches = complete_batches(stream.sparkSession, sink)
+            spans = stream.sparkSession.read.option("basePath", sink).parquet(*(os.path.join(sink, f"batch_id={i}") for i in batches)).drop("batch_id")
+        write_spans(spans, os.path.join(path, f"flush={batch_id}"), last_n)
 
     w = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return w.trigger(**(trigger or {"processingTime": interval})).start()
-

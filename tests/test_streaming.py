@@ -4,14 +4,20 @@ from __future__ import annotations
 
 import json
 import os
+import random
 import tempfile
 
+import pytest
+from pyspark.sql import functions as F
+
 from helpers import make_spans
 
+from spanlens.operators import graph as G
 
 from spanlens.operators.ingest import flag_anomalies, flag_distributed
 from spanlens.sources.spans_io import span_json
-from spanlens.streaming import live
+from spanlens.streaming import live, live_graph
+from spanlens.streaming.state import KeyedState
 
 
 def _rows():
@@ -50,21 +56,115 @@ def test_ingest_stream_equals_batch_flags(spark):
 
 def test_rate_cap_stream_equals_batch(spark):
     root = tempfile.mkdtemp(prefix="spanlens-rate-")
-    rows = [{"agent_id": "a", "received_at": 1000 + i // 4, "ingest_seq": i} for i in range(30)]
-    with open(os.path.join(root, "r.json"), "w") as fh:
-        fh.write("\n".join(json.dumps(r) for r in rows))
     schema = "agent_id string, received_at long, ingest_seq long"
-    stream = spark.readStream.schema(schema).json(root)
-    out = live.rate_cap_stream(stream, per_second=5)
-    q = out.writeStream.format("memory").queryName("capped").outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
-    got = {r.ingest_seq: r.accepted for r in spark.sql("select * from capped").collect()}
-    batch = live.rate_cap(spark.createDataFrame([(r["agent_id"], r["received_at"], r["ingest_seq"]) for r in rows],
-                                                schema), 5)
-    want = {r.ingest_seq: r.accepted for r in batch.collect()}
+    rows = [("a", 1000 + i // 4, i) for i in range(30)]
+    cap, got = live.RateCap(spark, os.path.join(root, "state"), 5, key="agent_id"), {}
+    for i, part in enumerate((rows[:10], rows[10:11], rows[11:])):  # a millisecond lies in two batches
+        batch = spark.createDataFrame(part, schema)
+        got |= {r.ingest_seq: r.accepted for r in cap.apply(batch, i).collect()}
+    want = {r.ingest_seq: r.accepted for r in live.rate_cap(spark.createDataFrame(rows, schema), 5).collect()}
     assert got == want and sum(want.values()) == 5
 
 
+def sliding_log(rows, per_second):
+    """The rule, message by message."""
+    want = {}
+    for conn in {r[0] for r in rows}:
+        log = []
+        for _, t, seq in sorted((r for r in rows if r[0] == conn), key=lambda r: (r[1], r[2])):
+            log = [x for x in log if x >= t - 1000]
+            want[seq] = len(log) < per_second
+            if want[seq]:
+                log.append(t)
+    return want
+
+
+def test_rate_cap_in_bursts(spark):
+    rnd, rows, seq = random.Random(5), [], 0
+    for conn in ("a", "b", "c"):
+        t = rnd.choice([0, 59_000])
+        for _ in range(400):  # long overload, lulls just under and over a second, minutes crossed in the middle of a burst
+            t += rnd.choice([0, 1, 5, 20, 90, 999, 1000, 1001, 1500]) if rnd.random() < 0.3 else rnd.choice([10, 40, 120])
+            for _ in range(rnd.choice([1, 1, 2, 9])):
+                rows.append((conn, t, seq))
+                seq += 1
+    schema = "agent_id string, received_at long, ingest_seq long"
+    want = sliding_log(rows, 8)
+    assert 0.2 < sum(want.values()) / len(want) < 0.9
+    assert {r.ingest_seq: r.accepted for r in live.rate_cap(spark.createDataFrame(rows, schema), 8).collect()} == want
+    # the same traffic in batches of arrival time, some cut inside a millisecond; the state is compacted on the way
+    cap, got = live.RateCap(spark, tempfile.mkdtemp(prefix="spanlens-rate-"), 8, key="agent_id", every=2), {}
+    rows.sort(key=lambda r: (r[1], r[2]))
+    cuts = [0, 500, 1111, len(rows)]
+    for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        batch = spark.createDataFrame(rows[a:b], schema)
+        first = {r.ingest_seq: r.accepted for r in cap.apply(batch, i).collect()}
+        assert first == {r.ingest_seq: r.accepted for r in cap.apply(batch, i).collect()}  # run again after a failure
+        got |= first
+    assert got == want
+
+
+def test_a_source_without_order_is_refused(spark):
+    root = tempfile.mkdtemp(prefix="spanlens-order-")
+    raw = spark.readStream.format("text").load(root)
+    with pytest.raises(ValueError, match="order"):
+        live.ingest_stream(raw, os.path.join(root, "sink"))
+    with pytest.raises(ValueError, match="times"):
+        live.ingest_stream(raw.withColumn("c", F.lit("x")), os.path.join(root, "sink"), order_cols=["value"], connection_col="c")
+
+
+def test_keyed_state_is_bounded_and_repeatable(spark):
+    root = tempfile.mkdtemp(prefix="spanlens-state-")
+    state = KeyedState(spark, root, "s", "k string, n long", lambda rows: rows.groupBy("k").agg(F.sum("n").alias("n")), every=3)
+    for i in range(12):
+        for _ in range(2):  # every batch is run twice
+            before = {r.k: r.n for r in state.before(i).collect()}
+            want = {k: sum(j for j in range(i) if j % 3 == int(k)) for k in "012"}
+            assert before == {k: n for k, n in want.items() if any(j % 3 == int(k) for j in range(i))}
+            state.add(i, spark.createDataFrame([(str(i % 3), i)], "k string, n long"))
+            if state.due(i):
+                state.compact(i)
+        assert len(state.versions("delta")) <= 6 and len(state.versions("base")) <= 2
+    state.compact(11, lambda rows: rows.where("k != '0'"))
+    assert {r.k for r in state.before(12).collect()} == {"1", "2"}
+
+
+def test_live_graph_equals_batch_with_repeated_ids(spark):
+    rnd = random.Random(2)
+    rows = []
+    for i in range(300):
+        rows.append({"span_id": f"s{rnd.randrange(260)}", "parent_span_id": rnd.choice([None, f"s{rnd.randrange(280)}"]), "agent_id": f"a{rnd.randrange(2)}",
+                     "function_name": f"f{rnd.randrange(4)}", "duration_ms": rnd.choice([1.5, 2.25, 7.0, rnd.random() * 100]), "anomaly": rnd.random() < 0.05,
+                     "error_type": "E" if rnd.random() < 0.1 else None, "received_at": 1_700_000_000_000 + rnd.randrange(200)})
+    order = list(range(300))
+    rnd.shuffle(order)
+    spans = make_spans(spark, rows).cache()
+    live_g = live_graph.LiveGraph(spark, tempfile.mkdtemp(prefix="spanlens-graph-"), every=2)
+    pick = lambda d: sorted(map(str, d.collect()))
+    for b in range(5):
+        seen = [i for p, i in enumerate(order) if p % 5 <= b]
+        live_g.update(spans.where(F.col("ingest_seq").isin([i for p, i in enumerate(order) if p % 5 == b])), b)
+        got, want = live_g.graph(b), G.call_graph(spans.where(F.col("ingest_seq").isin(seen)))
+        cols = ["agent_id", "function_name", "file", "call_count", "total_duration_ms", "p95_duration_ms", "has_anomaly", "has_error", "is_slow",
+                "latest_span_id", "first_seen"]
+        assert pick(got.nodes.select(*cols)) == pick(want.nodes.select(*cols))
+        cols = [*G.SRC, *G.DST, "call_count", "total_duration_ms", "first_seen"]
+        assert pick(got.edges.select(*cols)) == pick(want.edges.select(*cols)) and got.edges.count() > 3
+
+
+def test_live_graph_lets_old_links_go_into_edges(spark):
+    rows = [{"span_id": f"p{i}", "function_name": "p", "received_at": i * 1000} for i in range(8)]
+    rows += [{"span_id": f"c{i}", "parent_span_id": f"p{i}", "function_name": "c", "received_at": i * 1000 + 5} for i in range(8)]
+    rows += [{"span_id": "lost", "parent_span_id": "never", "function_name": "c", "received_at": 7}]
+    spans = make_spans(spark, rows).cache()
+    live_g = live_graph.LiveGraph(spark, tempfile.mkdtemp(prefix="spanlens-graph-"), ttl_ms=2000, every=1)
+    for b in range(8):
+        live_g.update(spans.where((F.col("received_at") >= b * 1000) & (F.col("received_at") < (b + 1) * 1000)), b)
+    edge, = live_g.graph(7).edges.collect()
+    assert (edge.src_function_name, edge.dst_function_name, edge.call_count) == ("p", "c", 8)
+    assert live_g.links.before(8).count() <= 4 and live_g.index.before(8).count() <= 12  # what the time to live leaves
+
+
 def test_live_node_stats_and_flush_and_subscribe(spark):
     spans = make_spans(spark, _rows())
     root = tempfile.mkdtemp(prefix="spanlens-live-")
