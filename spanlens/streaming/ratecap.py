@@ -17,13 +17,14 @@ The sums above are windows over one minute of one connection (with a few seconds
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanlens.functions.stats import exact_rank_value
+from spanlens.session import written
 from spanlens.streaming.state import KeyedState, delete
 
 RATE_LIMIT = 500
@@ -41,17 +42,25 @@ def _with_neighbours(ticks: DataFrame) -> DataFrame:
     return ticks.withColumn("home", home).withColumn("block", F.explode(blocks)).withColumn("own", F.col("home") == F.col("block"))
 
 
-def _segments(ticks: DataFrame, per_second: int) -> DataFrame:
+def _segments(ticks: DataFrame, per_second: int, save: Callable) -> DataFrame:
     """Ticks with ``over`` (their outcome needs the scan), ``lead`` (a tick of known outcome in the second before such a tick) and the
     segment's number: ticks that are over less than a second apart are one segment."""
-    w = Window.partitionBy("key", "block").orderBy("t")
-    x = _with_neighbours(ticks).withColumn("over", ~F.col("known") & (F.sum("offered").over(w.rangeBetween(-SECOND, 0)) > per_second))
+    # a tick counts from its own millisecond until a second after it: running sums, whatever the number of ticks in a second
+    comes_goes = F.explode(F.array(F.struct(F.col("t").alias("at"), F.col("offered").alias("d"), F.lit(True).alias("tick")),
+                                   F.struct((F.col("t") + SECOND + 1).alias("at"), (-F.col("offered")).alias("d"), F.lit(False).alias("tick"))))
+    part = Window.partitionBy("key", "block")
+    upto = lambda w, end: w.rowsBetween(Window.unboundedPreceding, end)
+    x = _with_neighbours(ticks).select("*", comes_goes.alias("e")).withColumn(
+        "offered_last", F.sum("e.d").over(upto(part.orderBy("e.at", "e.tick", F.desc("known")), 0))).where("e.tick")
+    x = x.withColumn("over", ~F.col("known") & (F.col("offered_last") > per_second))
     over_at = F.when(F.col("over"), F.col("t"))
-    x = x.withColumn("last", F.max(over_at).over(w.rangeBetween(-SECOND, -1))).withColumn("next", F.min(over_at).over(w.rangeBetween(0, SECOND)))
+    forth = part.orderBy("t", F.desc("known"))  # a millisecond may hold a known tick and an own one
+    x = x.withColumn("last", F.max(over_at).over(upto(forth, -1))).withColumn("next", F.min(over_at).over(upto(part.orderBy(F.desc("t"), "known"), 0)))
+    x = x.withColumn("last", F.when(F.col("t") - F.col("last") <= SECOND, F.col("last"))).withColumn(
+        "next", F.when(F.col("next") - F.col("t") <= SECOND, F.col("next")))
     x = x.withColumn("lead", ~F.col("over") & F.col("next").isNotNull()).where("own")
     x = x.withColumn("starts", (F.col("over") & F.col("last").isNull()).cast("int"))
-    in_order = Window.partitionBy("key", "block").orderBy("t", F.desc("known"))  # a millisecond may hold a known tick and an own one
-    x = x.withColumn("nth", F.sum("starts").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+    x = save(x.withColumn("nth", F.sum("starts").over(upto(forth, 0))).drop("e", "home", "own", "offered_last"), "marked")
     per_block = x.groupBy("key", "block").agg(F.sum("starts").alias("n"))
     earlier = Window.partitionBy("key").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row a minute
     per_block = per_block.select("key", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
@@ -83,19 +92,19 @@ def _scan(rows: DataFrame, per_second: int) -> DataFrame:
     return ordered.mapInPandas(scan, f"key {kind}, t long, accepted long")
 
 
-def accepted_ticks(ticks: DataFrame, per_second: int) -> DataFrame:
+def accepted_ticks(ticks: DataFrame, per_second: int, save: Callable) -> DataFrame:
     """(key, t, offered, accepted) of ticks (key, t, offered, known). A ``known`` tick offers what was accepted before: it counts in the
-    windows of others and is not returned."""
-    x = _segments(ticks, per_second)
+    windows of others and is not returned. ``save(table, name)`` writes what is read more than once."""
+    x = _segments(ticks, per_second, save)
     scanned = _scan(x.where("over or lead").select("key", "segment", "t", "offered", (~F.col("over")).alias("fixed")), per_second)
     return x.where("not known").select("key", "t", "offered", "over").join(scanned, ["key", "t"], "left").select(
         "key", "t", "offered", F.when(F.col("over"), F.col("accepted")).otherwise(F.col("offered")).alias("accepted"))
 
 
-def _label(messages: DataFrame, ticks: DataFrame, key: str) -> DataFrame:
+def _label(messages: DataFrame, ticks: DataFrame, key: str, save: Callable) -> DataFrame:
     """``accepted`` per message: within a tick the first ones are taken. Only ticks that lose messages are joined, with the number of the
     last message taken, which a bounded rank finds."""
-    cut = ticks.where("accepted < offered").select(F.col("key").alias(key), F.col("t").alias("received_at"), F.col("accepted").alias("_take"))
+    cut = save(ticks.where("accepted < offered").select(F.col("key").alias(key), F.col("t").alias("received_at"), F.col("accepted").alias("_take")), "cut")
     part = messages.select(key, "received_at", "ingest_seq").join(cut.where("_take > 0"), [key, "received_at"])
     last = exact_rank_value(part, [key, "received_at", "_take"], "ingest_seq", lambda n: F.col("_take"), "_last").select(key, "received_at", "_last")
     cut = cut.join(last, [key, "received_at"], "left").select(key, "received_at", "_last", F.lit(True).alias("_loses"))
@@ -110,7 +119,8 @@ def rate_cap(spans: DataFrame, per_second: int = RATE_LIMIT, key: str = "agent_i
         return spans.withColumn("accepted", F.lit(True))
     ticks = spans.where(F.col(key).isNotNull() & F.col("received_at").isNotNull()).groupBy(F.col(key).alias("key"), F.col("received_at").alias("t")).agg(
         F.count(F.lit(1)).alias("offered")).withColumn("known", F.lit(False))
-    return _label(spans, accepted_ticks(ticks, per_second), key)
+    save = lambda table, name: written(table)
+    return _label(spans, accepted_ticks(ticks, per_second, save), key, save)
 
 
 class RateCap:
@@ -136,10 +146,14 @@ class RateCap:
         # a millisecond that an earlier batch began: its accepted messages count first
         both = own.withColumn("known", F.lit(False)).unionByName(known)
         spark, at = self.state.spark, f"{self.state.path}-of"
-        accepted_ticks(both, self.per_second).write.mode("overwrite").parquet(f"{at}/batch={batch_id}")
-        ticks = spark.read.schema("key string, t long, offered long, accepted long").parquet(f"{at}/batch={batch_id}")
+
+        def save(table: DataFrame, name: str) -> DataFrame:
+            table.write.mode("overwrite").parquet(f"{at}/batch={batch_id}/{name}")
+            return spark.read.schema(table.schema).parquet(f"{at}/batch={batch_id}/{name}")
+
+        ticks = save(accepted_ticks(both, self.per_second, save), "ticks")
         delete(spark, f"{at}/batch={batch_id - 1}")
         self.state.add(batch_id, self._last_second(ticks.where("accepted > 0").select("key", "t", "accepted")))
         if self.state.due(batch_id):
             self.state.compact(batch_id, self._last_second)
-        return _label(messages.withColumn(self.key, F.col(self.key).cast("string")), ticks, self.key)
+        return _label(messages.withColumn(self.key, F.col(self.key).cast("string")), ticks, self.key, save)
