@@ -106,17 +106,38 @@ def _characters() -> tuple[re.Pattern, dict[str, str]]:
     """Characters that a transducer rewrites: homoglyphs, full-width forms, other scripts' digits, invisible ones."""
     to = {c: "" for c in INVISIBLE} | {chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}
     to |= {chr(c): str(unicodedata.decimal(chr(c))) for c in range(0x80, 0x20000) if unicodedata.category(chr(c)) == "Nd"}
+    plain = {chr(c): unicodedata.normalize("NFKC", chr(c)) for c in (*range(0x2100, 0x2150), *range(0x2460, 0x2500), *range(0x1D400, 0x1D800), *range(0x1F130, 0x1F150))}
+    to |= {c: p for c, p in plain.items() if len(p) == 1 and p.isascii() and p.isalnum()}  # compatibility forms of letters and digits
     to |= HOMOGLYPHS
     return re.compile("[" + "".join(map(re.escape, to)) + "]"), to
 
 
 _DIGIT = "(?:" + "|".join(DIGITS) + ")"
-_SPELLED = re.compile(rf"\b(?:plus[ -]+)?{_DIGIT}(?:[ -]{{1,2}}(?:{_DIGIT}|[0-9])){{2,}}\b|\b(?:[0-9][ -]{{1,2}})+{_DIGIT}(?:[ -]{{1,2}}(?:{_DIGIT}|[0-9]))+\b", re.I)
-_ONE = re.compile(rf"plus|{_DIGIT}|[0-9]", re.I)
+# A run of spelled digits and digit groups. Every token ends at a word boundary of its own and nothing is given back, so a run is read once.
+_RUN = re.compile(rf"\b(?:plus[ -]+)?(?:{_DIGIT}|[0-9]++)\b(?:[ -]{{1,2}}(?:{_DIGIT}|[0-9]++)\b)*+", re.I)
+_TOKEN = re.compile(rf"plus|{_DIGIT}|[0-9]+", re.I)
 _BRACKET = re.compile(r"\s{0,3}[\[({<]\s{0,3}(at|dot|punkt|punto|point|arroba|@|\.)\s{0,3}[\])}>]\s{0,3}", re.I)
+# An address in words is bounded by what mail allows: 64 characters before the @, labels of 63; other disguises have no bound.
 _SPACED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(?P<at>\s{1,3}at\s{1,3}|@)[A-Za-z0-9-]{1,63}(?:(?:\s{1,3}dot\s{1,3}|\.)[A-Za-z0-9-]{1,63}){1,8}", re.I)
 _MARK = re.compile(r"\s*\b(at|dot)\b\s*", re.I)
-_DOTTED = re.compile(r"(?<![0-9])[0-9]{1,3}(?:\s{0,3}\bdot\b\s{0,3}[0-9]{1,3}){3}(?![0-9])", re.I)
+_DOTTED = re.compile(r"(?<![0-9])[0-9]{1,3}(?:(?:\s{0,3}\bdot\b\s{0,3}|\.)[0-9]{1,3}){3}(?![0-9])", re.I)
+_NAMED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(\s{1,3}at\s{1,3})(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,6}(?![A-Za-z0-9-])", re.I)
+
+
+def _digits_of(m: re.Match) -> str | None:
+    """A run with its spelled digits written out, or nothing if it spells none or is short. Separators beside a spelled digit and between
+    single digits go; those between groups of digits stay."""
+    tokens = list(_TOKEN.finditer(m[0]))
+    values = ["+" if t[0].lower() == "plus" else DIGITS.get(t[0].lower(), t[0]) for t in tokens]
+    if all(t[0].isdigit() for t in tokens) or sum(map(len, values)) < 3:
+        return None
+    out = [values[0]]
+    for a, b, value in zip(tokens, tokens[1:], values[1:]):
+        groups = a[0].isdigit() and b[0].isdigit() and len(a[0]) + len(b[0]) > 2
+        out.append((m[0][a.end():b.start()] if groups else "") + value)
+    return "".join(out)
+
+
 @lru_cache(1)
 def _words(text: str) -> set[str]:
     return set((text.replace("-", " ") if "-" in text else text).lower().split())
@@ -129,13 +150,16 @@ def _edits(text: str, step: int) -> list[tuple[int, int, str]]:
         if not text.isascii() and not to.keys().isdisjoint(set(text)):
             out = [(m.start(), m.end(), to[m[0]]) for m in pattern.finditer(text)]
     elif step == 1:
-        # three spelled digits in a row, parted by spaces or hyphens, leave one that is a word of its own
-        for m in _SPELLED.finditer(text) if not DIGITS.keys().isdisjoint(_words(text)) else ():
-            new = "".join("+" if x.lower() == "plus" else DIGITS.get(x.lower(), x) for x in _ONE.findall(m[0]))
-            out.append((m.start(), m.end(), new))
+        # spelled digits in a row, or beside groups of digits, leave one that is a word of its own
+        for m in _RUN.finditer(text) if not DIGITS.keys().isdisjoint(_words(text)) else ():
+            new = _digits_of(m)
+            if new is not None:
+                out.append((m.start(), m.end(), new))
     elif step == 2:
         out = [(m.start(), m.end(), "@" if m[1].lower() in ("at", "@", "arroba") else ".") for m in _BRACKET.finditer(text)]
-    elif "dot" in _words(text):
+    elif step == 3 and "at" in _words(text):
+        out = [(m.start(1), m.end(1), "@") for m in _NAMED.finditer(text)]
+    elif step == 4 and "dot" in _words(text):
         for m in sorted((*_SPACED.finditer(text), *_DOTTED.finditer(text)), key=lambda m: m.start()):
             marks = [(k.start() + m.start(), k.end() + m.start(), "@" if k[1].lower() == "at" else ".") for k in _MARK.finditer(m[0])]
             marks = [k for k in marks if m.start() < k[0] and k[1] < m.end()]
@@ -154,7 +178,7 @@ def all_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, in
     """
     base = sorted(base_spans(text))
     steps, now = [], text
-    for step in range(4):
+    for step in range(5):
         edits = _edits(now, step)
         if edits:
             steps.append(Rewritten(now, edits))

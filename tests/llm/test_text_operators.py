@@ -420,3 +420,19 @@ def test_pii_report(spark, docs, none):
         assert got[i].base_sha256 == hashlib.sha256(said.encode()).hexdigest() and got[i].spans == said and got[i].n_email == sum(k == 0 for _, k, _ in spans)
     assert pii.pii_report(none).count() == 0 and pii.pii_report(docs).count() == docs.count()
     assert pii.mask_pii("to a@b.co!") == "to [email]!" and pii.mask_pii(None) is None
+
+
+def test_disguised_identifiers_in_mixed_forms():
+    for text, want in (("john at example.com", [(0, 0, 19)]), ("192.168.0 dot 1", [(0, 1, 15)]), ("pay 4532 0151 1283 036 six now", [(4, 2, 26)]),
+                       ("\U0001d423\U0001d428\U0001d421\U0001d427@example.com", [(0, 0, 16)]), ("look at this one", []), ("one or 2", [])):
+        base, added = pii.all_spans(text)
+        assert added == [s for s in want if s not in base], text
+
+
+def test_spelled_digits_are_read_in_linear_time():
+    import time
+
+    for text in ("1 " * 500_000 + "x one", "one " * 250_000, "1 1 12 " * 150_000 + "two", "1.2 dot " * 120_000, "john at " * 140_000):
+        start = time.process_time()
+        pii.all_spans(text)
+        assert time.process_time() - start < 12
