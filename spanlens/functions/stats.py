@@ -45,16 +45,18 @@ def rank_ceil95(n: Column) -> Column:
 
 
 def exact_rank_value(df: DataFrame, keys: list[str], value: str, rank_of_n, out: str = "value_at_rank",
-                     weight: str | None = None) -> DataFrame:
+                     weight: str | None = None, hist: DataFrame | None = None) -> DataFrame:
     """Per group of ``keys``: the value at 1-based rank ``rank_of_n(n)`` in ascending order, with ``n``.
 
     NULL values are ignored (as in the reference, durations are never null). Groups with no values are absent;
     callers left-join and default to 0. A row counts ``weight`` times if that column is given, else once.
+    ``hist`` is the histogram (keys, ``_b`` = ``order_bucket`` of the value, ``_c`` rows) where another aggregation has built it already.
     """
     times = F.lit(1).cast("long") if weight is None else F.col(weight)
     v = df.select(*keys, F.col(value).alias("_v"), times.alias("_w")).where(F.col("_v").isNotNull())
     v = v.withColumn("_b", order_bucket(F.col("_v")))
-    hist = v.groupBy(*keys, "_b").agg(F.sum("_w").alias("_c"))
+    if hist is None:
+        hist = v.groupBy(*keys, "_b").agg(F.sum("_w").alias("_c"))
     by_key = Window.partitionBy(*keys)
     upto = by_key.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     hist = (

@@ -22,8 +22,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanlens.functions.scalar import js_round, service_of
-from spanlens.functions.stats import exact_rank_value, exact_sum, p95_floor, p95_rank, rank_floor95, with_rounded_mean
+from spanlens.functions.stats import EXACT_SCALE, exact_rank_value, exact_sum, order_bucket, p95_rank, rank_floor95, with_rounded_mean
 from spanlens.schema import arrival_key, conform
+from spanlens.session import written
 
 NODE_KEYS = ["agent_id", "function_name"]
 SRC = ["src_agent_id", "src_function_name"]
@@ -82,35 +83,47 @@ def caller_links(spans: DataFrame, child_from_index: bool) -> DataFrame:
 def _slow_flag(nodes: DataFrame) -> DataFrame:
     """A3: slow = avg >= p95 (rule A) of all node averages, only with at least 5 nodes.
 
-    The node table is written once (small: one row per function), so the threshold and the comparison read the
-    very same averages; the threshold is one distributed rank over it (one row, broadcast by construction).
+    A window over the node table, which has one row per function: the threshold and the comparison read the very same averages.
     """
-    from spanlens.session import cut_lineage
-
-    fixed = cut_lineage(nodes)
-    thr = exact_rank_value(fixed.withColumn("_all", F.lit(0)), ["_all"], "avg_duration_ms", rank_floor95, "_thr")
-    nn = fixed.agg(F.count(F.lit(1))).scalar()
-    cut = thr.select("_thr").scalar()  # a single group: exactly one value (NULL for an empty graph)
-    return fixed.withColumn(
-        "is_slow", F.coalesce((nn >= 5) & (F.col("avg_duration_ms") >= cut), F.lit(False)))
+    every = Window.partitionBy(F.lit(0))
+    ranked = nodes.withColumn("_nn", F.count(F.lit(1)).over(every)).withColumn("_rn", F.row_number().over(every.orderBy("avg_duration_ms", *NODE_KEYS)))
+    cut = F.max(F.when(F.col("_rn") == rank_floor95(F.col("_nn")), F.col("avg_duration_ms"))).over(every)
+    return ranked.withColumn("_cut", cut).withColumn(
+        "is_slow", F.coalesce((F.col("_nn") >= 5) & (F.col("avg_duration_ms") >= F.col("_cut")), F.lit(False))).drop("_nn", "_rn", "_cut")
 
 
 def call_graph_nodes(spans: DataFrame) -> DataFrame:
-    """A1 + A3: live-graph nodes."""
-    s = conform(spans)
-    agg = s.groupBy(*NODE_KEYS).agg(
-        F.count(F.lit(1)).alias("call_count"),
-        F.avg("duration_ms").alias("avg_duration_ms"),
-        exact_sum("duration_ms").alias("total_duration_ms"),
-        F.coalesce(F.bool_or("anomaly"), F.lit(False)).alias("has_anomaly"),
-        F.coalesce(F.bool_or("has_error"), F.lit(False)).alias("has_error"),
+    """A1 + A3: live-graph nodes.
+
+    One aggregation of the spans per (node, duration bucket), written once: its rows merge to the nodes, and its counts are the histogram
+    that says which bucket holds a node's 95th percentile. Only the values of those buckets are read again.
+    """
+    s = conform(spans).withColumn("_b", order_bucket(F.col("duration_ms")))
+    newest = F.struct((-F.col("received_at")).alias("r"), F.col("ingest_seq").alias("s"))  # max received_at, the first one in arrival order wins ties
+    parts = written(s.groupBy(*NODE_KEYS, "_b").agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.count("duration_ms").alias("_c"),
+        F.sum("duration_ms").alias("_sum"),
+        exact_sum("duration_ms").alias("_exact"),
+        F.bool_or("anomaly").alias("_anomaly"),
+        F.bool_or("has_error").alias("_error"),
         F.min_by(F.struct("file", "description", "line"), arrival_key()).alias("_first"),
-        F.min(arrival_key()).alias("first_seen"),
-        # latest span: max received_at, the first one in arrival order wins ties
-        F.min_by(F.struct("span_id", "received_at"),
-                 F.struct((-F.col("received_at")).alias("r"), F.col("ingest_seq").alias("s"))).alias("_latest"),
+        F.min(arrival_key()).alias("_seen"),
+        F.min_by(F.struct("span_id", "received_at"), newest).alias("_latest"),
+        F.min(newest).alias("_newest"),
+    ))
+    agg = parts.groupBy(*NODE_KEYS).agg(
+        F.sum("_n").alias("call_count"),
+        (F.sum("_sum") / F.sum("_c")).alias("avg_duration_ms"),
+        F.sum("_exact").cast(f"decimal(38,{EXACT_SCALE})").alias("total_duration_ms"),
+        F.coalesce(F.bool_or("_anomaly"), F.lit(False)).alias("has_anomaly"),
+        F.coalesce(F.bool_or("_error"), F.lit(False)).alias("has_error"),
+        F.min_by("_first", "_seen").alias("_first"),
+        F.min("_seen").alias("first_seen"),
+        F.min_by("_latest", "_newest").alias("_latest"),
     )
-    p95 = p95_floor(s, NODE_KEYS, "duration_ms", out="p95_duration_ms").drop("n")
+    hist = parts.where(F.col("_c") > 0).select(*NODE_KEYS, "_b", "_c")
+    p95 = exact_rank_value(s, NODE_KEYS, "duration_ms", rank_floor95, "p95_duration_ms", hist=hist).drop("n")
     nodes = agg.join(p95, NODE_KEYS, "left").select(
         *NODE_KEYS,
         node_id("agent_id", "function_name").alias("node_id"),

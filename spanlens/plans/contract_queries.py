@@ -211,3 +211,84 @@ from span_events group by all having count(*) >= 5""",
 def q_contract_index(spark, sf_dir):
     """O10 with a coverage gate of 2000 samples."""
     return C.contract_index(C.infer_contracts(call_spans(spark, sf_dir)), gate=2000)
+
+
+# ---------------------------------------------------------------- rich payloads
+
+_CUSTOMER_CONTRACT = (
+    '{"type":"object","required":["id","phone","seg"],"properties":{"id":{"oneOf":[{"type":"number"},{"type":"object","required":["key"],'
+    '"properties":{"key":{"type":"string"}}}]},"mail":{"type":"string","format":"email"},"phone":{"type":"string","pattern":"^[0-9]{2}-"},'
+    '"seg":{"enum":["BUILDING","MACHINERY","AUTOMOBILE"]},"tags":{"type":"array","items":{"type":"string"}}}}', '{"type":"number"}')
+
+
+def customer_spans(spark, sf_dir):
+    """A call per customer whose argument breaks every rule of ``_CUSTOMER_CONTRACT`` in some rows."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_nationkey", "c_mktsegment")
+    k, text = F.col("c_custkey"), F.col("c_custkey").cast("string")
+    case = lambda m, *parts: F.element_at(F.array(*(F.lit(p) if isinstance(p, str) else p for p in parts)), (k % m + 1).cast("int"))
+    number = F.concat(F.lit('"id":'), text)
+    ident = case(5, F.concat(F.lit('"id":{"key":"'), text, F.lit('"}')), F.concat(F.lit('"id":{"key":'), text, F.lit("}")), F.concat(F.lit('"id":"'), text, F.lit('"')), number, number)
+    mail = case(4, F.concat(F.lit('"mail":"c'), text, F.lit('@x.io",')), F.concat(F.lit('"mail":"c'), text, F.lit('",')), "", F.concat(F.lit('"mail":'), text, F.lit(",")))
+    phone = F.concat(F.lit('"phone":"'), (F.col("c_nationkey") + 10).cast("string"), F.lit('-555",'))
+    phone = case(6, '"phone":"none",', "", phone, phone, phone, phone)
+    tags = case(3, '"tags":["a","b"],', F.concat(F.lit('"tags":["a",'), text, F.lit(',"b",null],')), "")
+    return c.select(
+        F.concat(F.lit("u"), text).alias("span_id"), F.lit("t").alias("trace_id"), F.lit("crm").alias("agent_id"), F.lit("Customer.sync").alias("function_name"),
+        F.concat(F.lit("[{"), mail, phone, tags, F.lit('"seg":"'), F.col("c_mktsegment"), F.lit('",'), ident, F.lit("}]")).alias("input_json"),
+        F.when(k % 10 == 0, F.lit('"x"')).otherwise(text).alias("output_json"), (k % 20 == 0).alias("has_error"),
+        F.lit(1.0).alias("started_at"), F.lit(1.0).alias("duration_ms"), k.alias("received_at"), k.alias("ingest_seq"))
+
+
+@register("validate_rich_calls", """
+with c as (select c_custkey as k, 'u' || c_custkey as span_id, c_mktsegment as seg from customer)
+select span_id, 'args[0].phone' as path, 'present' as expected, 'missing' as received, 'required' as rule from c where k % 6 = 1
+union all select span_id, 'args[0].id', 'one of 2 schemas', case when k % 5 = 1 then 'object' else 'string' end, 'type' from c where k % 5 in (1, 2)
+union all select span_id, 'args[0].mail', 'string(format: email)', 'c' || k, 'format' from c where k % 4 = 1
+union all select span_id, 'args[0].mail', 'string', 'number', 'type' from c where k % 4 = 3
+union all select span_id, 'args[0].phone', 'string matching /^[0-9]{2}-/', 'none', 'pattern' from c where k % 6 = 0
+union all select span_id, 'args[0].seg', 'one of ["BUILDING","MACHINERY","AUTOMOBILE"]', '"' || seg || '"', 'enum' from c
+          where seg not in ('BUILDING', 'MACHINERY', 'AUTOMOBILE')
+union all select span_id, 'args[0].tags[' || i || ']', 'string', case i when 1 then 'number' else 'null' end, 'type' from c, (values (1), (3)) t(i) where k % 3 = 1
+union all select span_id, 'return', 'number', 'string', 'type' from c where k % 10 = 0 and k % 20 != 0""")
+def q_validate_rich_calls(spark, sf_dir):
+    """Enum, oneOf, type, format, pattern, required and items, a row a violation."""
+    args, returns = _CUSTOMER_CONTRACT
+    contract = spark.createDataFrame([("Customer.sync", [args], returns)], "function_name string, args array<string>, returns string")
+    return C.violation_details(C.validate_calls(customer_spans(spark, sf_dir), contract)).select("span_id", "path", "expected", "received", "rule")
+
+
+def order_spans(spark, sf_dir):
+    """A call per order: dates, free text, an optional field, a nested object, an array of two types, a flag; returns text or null."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    k, text = F.col("o_orderkey"), F.col("o_orderkey").cast("string")
+    arg = F.concat(
+        F.lit('[{"at":"'), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit('","lines":['), text, F.lit(',"'), F.col("o_orderpriority"), F.lit('"],"ok":'),
+        F.when(k % 2 == 0, "true").otherwise("false"), F.when(k % 3 == 0, F.concat(F.lit(',"note":"n'), text, F.lit('"'))).otherwise(""),
+        F.lit(',"who":{"cust":'), F.col("o_custkey").cast("string"), F.lit(',"status":"'), F.col("o_orderstatus"), F.lit('"},"none":[]}]'))
+    return o.select(
+        F.concat(F.lit("o"), text).alias("span_id"), F.lit("t").alias("trace_id"), F.lit("shop").alias("agent_id"), F.lit("Order.place").alias("function_name"),
+        arg.alias("input_json"), F.when(k % 4 == 0, "null").otherwise(F.concat(F.lit('"r'), text, F.lit('"'))).alias("output_json"), F.lit(False).alias("has_error"),
+        F.lit(1.0).alias("started_at"), F.lit(1.0).alias("duration_ms"), k.alias("received_at"), k.alias("ingest_seq"))
+
+
+_RICH_SQL = """
+with first as (
+  select (select '[' || string_agg('"' || v || '"', ',' order by f) || ']' from (select o_orderpriority as v, min(o_orderkey) as f from orders group by all)) as prio,
+         (select '[' || string_agg('"' || v || '"', ',' order by f) || ']' from (select o_orderstatus as v, min(o_orderkey) as f from orders group by all)) as status,
+         (select '[' || string_agg(v, ',' order by f) || ']' from (select case when o_orderkey % 2 = 0 then 'true' else 'false' end as v, min(o_orderkey) as f
+                                                                    from orders group by all)) as ok,
+         (select count(*) from orders) as n, (select min(o_orderkey) % 4 = 0 from orders) as null_first)
+"""
+
+
+@register("infer_rich_contracts", _RICH_SQL + """
+select 'Order.place' as function_name, n as sample_count,
+       '{"type":"object","properties":{"at":{"type":"string","format":"date-time"},"lines":{"type":"array","items":{"oneOf":[{"type":"number"},{"enum":' || prio
+       || '}]}},"none":{"type":"array"},"note":{"type":"string"},"ok":{"enum":' || ok || '},"who":{"type":"object","properties":{"cust":{"type":"number"},"status":{"enum":'
+       || status || '}},"required":["cust","status"]}},"required":["at","lines","none","ok","who"]}' as arg,
+       case when null_first then '{"oneOf":[{"type":"null"},{"type":"string"}]}' else '{"oneOf":[{"type":"string"},{"type":"null"}]}' end as returns
+from first""")
+def q_infer_rich_contracts(spark, sf_dir):
+    """C1-C8 on strings, a format, an optional field, nested objects, an array of two types, an empty array, flags and a union."""
+    c = C.infer_contracts(order_spans(spark, sf_dir))
+    return c.select("function_name", "sample_count", F.col("args")[0].alias("arg"), "returns")

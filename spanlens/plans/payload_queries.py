@@ -160,3 +160,36 @@ def q_text_formats(spark, sf_dir):
     times = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("w"))
     every = words.union(urls).union(urls.select(F.concat("w", F.lit("\n")))).union(times)
     return every.groupBy(first_format("w").alias("format")).agg(F.count(F.lit(1)).alias("texts"))
+
+
+# ---------------------------------------------------------------- redacted text
+
+#: Settings and words of a document as JSON that both engines write alike; every third document has a container under a secret key.
+_TEXT_SQL = f"""
+with t as (
+  select doc_id, regexp_extract_all(text, '{ASSIGN.replace(chr(92) * 2, chr(92))}', 1) as ks,
+         list_transform(regexp_extract_all(text, '{ASSIGN.replace(chr(92) * 2, chr(92))}', 2), lambda v: regexp_replace(v, '[^ !#-\\[\\]-~]', ' ', 'g')) as vs,
+         list_transform(regexp_split_to_array(text, '[ \\t\\n\\r]+'), lambda v: regexp_replace(v, '[^ !#-\\[\\]-~]', ' ', 'g')) as ws
+  from documents where text is not null)
+select doc_id,
+       '[{{"doc_id": ' || doc_id || ', "settings":[' || array_to_string(list_transform(list_zip(ks, vs), lambda s:
+            '{{"' || s[1] || '" : "' || case when lower(s[1]) in ({_KEYS_SQL}) or {_shape_sql('s[2]')} then '[REDACTED]' else s[2] end || '"}}'), ',') || ']'
+       || case when doc_id % 3 = 0 then ',"Secret": "[REDACTED]","n":1.50' else ',"n":-0' end
+       || ',"words":[' || array_to_string(list_transform(ws, lambda w: '"' || case when {_shape_sql('w')} then '[REDACTED]' else w end || '"'), ', ') || ']}}]' as redacted
+from t"""
+
+
+@register("redacted_text", _TEXT_SQL)
+def q_redacted_text(spark, sf_dir):
+    """R1 + R3: the whole redacted text of every document, byte for byte."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").where("text is not null")
+    plain = lambda v: F.regexp_replace(v, r"[^ !#-\[\]-~]", " ")
+    ks, vs = F.regexp_extract_all("text", F.lit(ASSIGN), 1), F.regexp_extract_all("text", F.lit(ASSIGN), 2)
+    settings = F.array_join(F.zip_with(ks, vs, lambda k, v: F.concat(F.lit('{"'), k, F.lit('" : "'), plain(v), F.lit('"}'))), ",")
+    words = F.split("text", "[ \\t\\n\\r]+")
+    secret = F.concat(F.lit(',"Secret": {"list":[1,"]}",{"token":[]}],"word":"'), plain(words[0]), F.lit('"},"n":1.50'))
+    text = F.concat(F.lit('[{"doc_id": '), F.col("doc_id").cast("string"), F.lit(', "settings":['), settings, F.lit("]"),
+                    F.when(F.col("doc_id") % 3 == 0, secret).otherwise(F.lit(',"n":-0')), F.lit(',"words":["'),
+                    F.array_join(F.transform(words, plain), '", "'), F.lit('"]}]'))
+    r = redact(d.select("doc_id", text.alias("input_json")), cols=["input_json"], keys="hub", values=True, bare_strings=True)
+    return r.select("doc_id", F.col("input_json").alias("redacted"))

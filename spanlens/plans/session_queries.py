@@ -5,11 +5,16 @@ Two recordings are cut from ``span_events`` at CUT_TS: ``before`` (received up t
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import functions as F
 
 from spanlens.operators import sessions as SS
 from spanlens.operators.filters import filter_calls
 from spanlens.functions.stats import sql_rounded_mean
+from spanlens.session import checkpoint_dir
+from spanlens.sources import spans_io as IO
 from spanlens.plans.registry import EV, events, r6, register, sql_r6, with_ctes
 
 CUT_TS = 1705276800000
@@ -39,6 +44,16 @@ def q_record_session(spark, sf_dir):
     return calls.select("session", "sequence", "function", "span_id")
 
 
+@register("session_documents", with_ctes(EV, _CALLS_SQL) + """
+select session, sequence, function, span_id, duration_ms, error_type, json_extract(args_json, '$.k')::varchar as k from calls""")
+def q_session_documents(spark, sf_dir):
+    """Both recordings written as documents and read back."""
+    root = os.path.join(checkpoint_dir(spark), "spanlens-sessions-" + uuid.uuid4().hex[:8])
+    IO.write_session_documents(*_recordings(spark, sf_dir), root)
+    calls, _ = IO.read_session_documents(spark, root)
+    return calls.select("session", "sequence", "function", "span_id", "duration_ms", "error_type", F.get_json_object("args_json", "$.k").alias("k"))
+
+
 @register(
     "record_session_capped",
     with_ctes(EV)

@@ -177,6 +177,32 @@ def read_sessions(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]
     return spark.read.parquet(os.path.join(root, "calls")), spark.read.parquet(os.path.join(root, "sessions"))
 
 
+def write_session_documents(calls: DataFrame, sessions: DataFrame, path: str) -> None:
+    """One JSON document ``{session, startTime, endTime, calls[]}`` per session, under ``path/session=<name>/``.
+
+    A document is written line by line, a call a line, from rows sorted by sequence: no row and no memory holds a session. A document
+    is one file, so one task writes it; sessions are spread over tasks. Absent arguments and returns leave their key out.
+    """
+    def value(c: str) -> Column:
+        """The column as JSON text, null included."""
+        return F.concat(F.lit(""), F.regexp_extract(F.to_json(F.struct(F.col(c).alias("v")), {"ignoreNullFields": "false"}), r'(?s)\A\{"v":(.*)\}\z', 1))
+
+    raw = lambda key, c: F.when(F.col(c).isNotNull(), F.concat(F.lit(f'"{key}":'), F.col(c), F.lit(",")))
+    error = F.when(F.col("error_type").isNull(), F.lit("null")).otherwise(
+        F.concat(F.lit('{"type":'), value("error_type"), F.lit(',"message":'), value("error_message"), F.lit("}")))
+    call = F.concat_ws("", F.lit('{"sequence":'), F.col("sequence").cast("string"), F.lit(',"function":'), value("function"), F.lit(',"spanId":'), value("span_id"),
+                       F.lit(',"traceId":'), value("trace_id"), F.lit(","), raw("args", "args_json"), raw("return", "return_json"), F.lit('"durationMs":'),
+                       value("duration_ms"), F.lit(',"error":'), error, F.lit("}"))
+    head = F.concat(F.lit('{"session":'), value("session"), F.lit(',"startTime":'), value("start_time"), F.lit(',"endTime":'), value("end_time"), F.lit(',"calls":['))
+    first = calls.groupBy("session").agg(F.min("sequence").alias("_first"))
+    body = calls.join(first, "session").select("session", F.col("sequence").cast("long").alias("_at"),
+                                               F.concat(F.when(F.col("sequence") == F.col("_first"), "").otherwise(","), call).alias("value"))
+    ends = sessions.select("session", F.explode(F.array(F.struct(F.lit(-1).cast("long").alias("_at"), head.alias("value")),
+                                                        F.struct(F.lit((1 << 63) - 1).alias("_at"), F.lit("]}").alias("value")))).alias("e")).select("session", "e.*")
+    lines = body.unionByName(ends).repartition("session").sortWithinPartitions("session", "_at")
+    lines.select("session", "value").write.mode("overwrite").partitionBy("session").text(path)
+
+
 def read_session_documents(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Session JSON documents ``{session, startTime, endTime, calls[]}`` → (calls, sessions); a document
     without a string ``session`` or an array ``calls`` is skipped."""
