@@ -439,160 +439,169 @@ VIOLATION = T.ArrayType(T.StructType([
 ]))
 
 
-def _let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` computed once."""
-    return F.transform(F.array(value), body)[0]
-
-
-def _js_text(v: Column) -> Column:
-    """JSON text of a value as JavaScript prints it: numbers without a fraction as integers."""
-    d = F.try_variant_get(v, "$", "double")
-    whole = (_vtype(v) == "number") & (d == F.floor(d)) & (F.abs(d) < 1e15)
-    return F.when(whole, d.cast("long").cast("string")).otherwise(F.to_json(v))
-
-
-def _identity(v: Column) -> Column:
-    """Equal for two values exactly if their JSON texts are."""
-    return F.concat(_vtype(v), F.lit(" "), F.coalesce(_js_text(v), F.lit("")))
-
-
-_SCHEMA = "struct<s: variant, link: string, key: string>"
-
-
-def _subschemas(s: Column) -> Column:
-    """What a schema checks a value with after its own rules: branches of a choice, or properties and items under a type."""
-    sub = lambda v, link, key: F.struct(v.alias("s"), F.lit(link).alias("link"), key.cast("string").alias("key"))
-    none = F.array().cast(f"array<{_SCHEMA}>")
-    one_of = F.try_variant_get(s, "$.oneOf", "array<variant>")
-    items = F.variant_get(s, "$.items", "variant")
-    props = F.transform(F.map_entries(F.try_variant_get(s, "$.properties", "map<string,variant>")), lambda e: sub(e["value"], "prop", e["key"]))
-    return (F.when(F.variant_get(s, "$.enum", "variant").isNotNull(), none)
-            .when(one_of.isNotNull(), F.transform(one_of, lambda b: sub(b, "branch", F.lit(None))))
-            .when(F.variant_get(s, "$.type", "variant").isNull(), none)
-            .otherwise(F.concat(F.coalesce(props, none), F.when(items.isNotNull(), F.array(sub(items, "items", F.lit(None)))).otherwise(none))))
-
-
-def _own_rules(x: Column, first: Column, count: Column) -> Column:
-    """A schema node without its variant: link to its parent, own rules, where its children are in the contract's node list."""
-    s = x["s"]
-    enum, types = F.try_variant_get(s, "$.enum", "array<variant>"), F.variant_get(s, "$.type", "variant")
-    return F.struct(
-        x["link"].alias("link"), x["key"].alias("key"), F.transform(enum, _identity).alias("enum"),
-        F.concat(F.lit("["), F.array_join(F.transform(enum, _js_text), ","), F.lit("]")).alias("enum_text"),
-        F.size(F.try_variant_get(s, "$.oneOf", "array<variant>")).alias("choices"),
-        F.coalesce(F.try_variant_get(s, "$.type", "array<string>"), F.when(types.isNotNull(), F.array(F.try_variant_get(s, "$.type", "string")))).alias("types"),
-        F.try_variant_get(s, "$.format", "string").alias("format"), F.try_variant_get(s, "$.pattern", "string").alias("pattern"),
-        F.coalesce(F.try_variant_get(s, "$.required", "array<string>"), F.array().cast("array<string>")).alias("required"),
-        first.cast("int").alias("first"), count.cast("int").alias("count"))
-
-
-def compiled_contracts(contracts: DataFrame) -> tuple[DataFrame, int]:
-    """Per contract its schema nodes as one list, level by level (children of a node lie side by side), the roots' names first; and the
-    number of levels. A table of the size of the contracts."""
-    c = written(contracts.select("function_name", "args", "returns"))
-    root = lambda text: F.struct(F.coalesce(F.try_parse_json(text), F.parse_json(F.lit("{}"))).alias("s"), F.lit("root").alias("link"), F.lit(None).cast("string").alias("key"))
-    x = c.select("function_name", F.concat(F.transform("args", root), F.array(root(F.col("returns")))).alias("level"),
-                 F.concat(F.transform("args", lambda _, i: F.concat(F.lit("args["), i.cast("string"), F.lit("]"))), F.array(F.lit("return"))).alias("names"),
-                 F.lit(0).alias("offset"), F.array().cast("array<int>").alias("_none"))
-    nodes, depth = [], 0
-    while True:
-        x = x.withColumn("_kids", F.transform("level", lambda n: _subschemas(n["s"]))).withColumn("_sizes", F.transform("_kids", lambda k: F.size(k)))
-        x = x.withColumn("offset", F.col("offset") + F.size("level"))
-        before = lambda i: F.aggregate(F.slice(F.col("_sizes"), F.lit(1), i), F.lit(0), lambda a, n: a + n)
-        x = x.withColumn(f"nodes{depth}", F.transform("level", lambda n, i: _own_rules(n, F.col("offset") + before(i), F.get(F.col("_sizes"), i))))
-        nodes.append(f"nodes{depth}")
-        depth += 1
-        x = x.withColumn("level", F.flatten("_kids"))
-        if not x.agg(F.max(F.size("level"))).first()[0]:
-            return written(x.select("function_name", "names", F.concat(*nodes).alias("nodes"))), depth
-        x = written(x.drop("_kids", "_sizes"))
-
-
-_PAIR = "struct<v: variant, at: string, node: int, place: array<int>>"
-
-
-def _below(p: Column, n: Column, nodes: Column) -> Column:
-    """The pairs of a value inside ``p`` (or ``p`` itself, for branches) and the schema node that checks it; missing members have none."""
-    pair = lambda v, at, node, *place: F.struct(v.alias("v"), at.alias("at"), node.cast("int").alias("node"), F.concat(p["place"], F.array(*place)).alias("place"))
-    none = F.array().cast(f"array<{_PAIR}>")
-
-    def of(members: Column, elements: Column) -> Column:
-        def one(c: Column, i: Column) -> Column:
-            node = n["first"] + i
-            prop = F.when(F.map_contains_key(members, F.coalesce(c["key"], F.lit(""))), F.array(pair(F.element_at(members, c["key"]), F.concat(p["at"], F.lit("."), c["key"]), node, F.lit(1), i)))
-            item = F.transform(elements, lambda e, j: pair(e, F.concat(p["at"], F.lit("["), j.cast("string"), F.lit("]")), node, F.lit(1), j))
-            return F.coalesce(F.when(c["link"] == "prop", prop).when(c["link"] == "items", item).otherwise(F.array(pair(p["v"], p["at"], node, F.lit(1), i))), none)
-
-        return F.flatten(F.transform(F.slice(nodes, n["first"] + 1, n["count"]), one))
-
-    return F.when(n["count"] > 0, _let(_map(p["v"]), lambda m: _let(_list(p["v"]), lambda e: of(m, e)))).otherwise(none)
-
-
-def _goes_in(n: Column, kind: Column) -> Column:
-    """Whether a node of this type is content with the value's kind, so that what the value holds is checked."""
-    return n["enum"].isNull() & (n["choices"] < 0) & F.coalesce(F.array_contains(n["types"], kind), F.lit(False))
-
+class _Sql:
+    """Writes the check of a value against a list of schema nodes as one Spark SQL expression (lambdas over arrays; every name once).
 
-_FAULT = "struct<place: array<int>, path: string, expected: string, received: string, rule: string>"
-
-
-def _own_faults(p: Column, n: Column, kind: Column) -> Column:
-    """Faults of a value against a node's own rules; of a choice, none."""
-    v, none = p["v"], F.array().cast(f"array<{_FAULT}>")
-
-    def fault(path: Column, expected: Column, received: Column, rule: str, *place) -> Column:
-        return F.struct(F.concat(p["place"], F.array(*place)).alias("place"), path.alias("path"), expected.alias("expected"), received.alias("received"), F.lit(rule).alias("rule"))
-
-    zero = [F.lit(0), F.lit(0)]
-    text = F.try_variant_get(v, "$", "string")
-    bad_format = F.lit(False)
-    for name, pattern in FORMAT_PATTERNS.items():
-        bad_format = F.when(n["format"] == name, ~text.rlike(pattern)).otherwise(bad_format)
-    is_text = kind == "string"
-    inner = [
-        F.when(is_text & bad_format, F.array(fault(p["at"], F.concat(F.lit("string(format: "), n["format"], F.lit(")")), text, "format", *zero))),
-        F.when(is_text & n["pattern"].isNotNull() & ~F.rlike(text, n["pattern"]),
-               F.array(fault(p["at"], F.concat(F.lit("string matching /"), n["pattern"], F.lit("/")), text, "pattern", F.lit(0), F.lit(1)))),
-        F.when((kind == "object") & (F.size(n["required"]) > 0), _let(_map(v), lambda m: F.transform(
-            F.filter(n["required"], lambda k: ~F.map_contains_key(m, k)),
-            lambda k, i: fault(F.concat(p["at"], F.lit("."), k), F.lit("present"), F.lit("missing"), "required", F.lit(0), i)))),
-    ]
-    wrong_enum = F.array(fault(p["at"], F.concat(F.lit("one of "), n["enum_text"]), F.when(kind != "undefined", _js_text(v)), "enum", *zero))
-    wrong_type = F.array(fault(p["at"], F.array_join(n["types"], " | "), kind, "type", *zero))
-    return (F.when(n["enum"].isNotNull(), F.when(F.array_contains(n["enum"], _identity(v)), none).otherwise(wrong_enum))
-            .when((n["choices"] >= 0) | n["types"].isNull(), none)
-            .when(~F.array_contains(n["types"], kind), wrong_type)
-            .otherwise(F.concat(*(F.coalesce(x, none) for x in inner))))
-
-
-def _fails(p: Column, nodes: Column, levels: int) -> Column:
-    """Whether a value has any fault against a node, ``levels`` levels down: a choice fails if all its branches do."""
-    def of(n: Column, kind: Column) -> Column:
-        own = F.size(_own_faults(p, n, kind)) > 0
-        if levels <= 1:
-            return own
-        chooses = n["enum"].isNull() & (n["choices"] >= 0)
-        inside = F.transform(_below(p, n, nodes), lambda c: _fails(c, nodes, levels - 1))
-        return F.when(chooses | (_goes_in(n, kind) & (n["count"] > 0)), _let(inside, lambda fails: F.when(
-            chooses, F.forall(fails, lambda x: x)).otherwise(own | F.exists(fails, lambda x: x)))).otherwise(own)
-
-    return _let(F.get(nodes, p["node"]), lambda n: _let(_vtype(p["v"]), lambda kind: of(n, kind)))
-
-
-def _checker(nodes: Column, levels: int):
-    """A function of one pair: its (faults, pairs of the next level), with ``levels`` levels to go."""
-    none, no_pairs = F.array().cast(f"array<{_FAULT}>"), F.array().cast(f"array<{_PAIR}>")
-
-    def of(p: Column, n: Column, kind: Column) -> Column:
-        faults = _own_faults(p, n, kind)
-        if levels > 1:
-            no_branch = F.array(F.struct(F.concat(p["place"], F.array(F.lit(0), F.lit(0))).alias("place"), p["at"].alias("path"),
-                                         F.concat(F.lit("one of "), n["choices"].cast("string"), F.lit(" schemas")).alias("expected"), kind.alias("received"), F.lit("type").alias("rule")))
-            faults = F.when((n["enum"].isNull()) & (n["choices"] >= 0), F.when(_fails(p, nodes, levels), no_branch).otherwise(none)).otherwise(faults)
-        below = F.when(_goes_in(n, kind), _below(p, n, nodes)).otherwise(no_pairs) if levels > 1 else no_pairs
-        return F.struct(faults.alias("faults"), below.alias("below"))
+    ``nodes`` is the contract's node list, a pair ``p`` is a value with its place: (v, at, node, place).
+    """
 
-    return lambda p: _let(F.get(nodes, p["node"]), lambda n: _let(_vtype(p["v"]), lambda kind: of(p, n, kind)))
+    FAULT = "struct<place: array<int>, path: string, expected: string, received: string, rule: string>"
+    PAIR = "struct<v: variant, at: string, node: int, place: array<int>>"
+    NO_FAULTS, NO_PAIRS = f"cast(array() as array<{FAULT}>)", f"cast(array() as array<{PAIR}>)"
+
+    def __init__(self) -> None:
+        self._names = 0
+
+    def name(self) -> str:
+        self._names += 1
+        return f"x{self._names}"
+
+    def let(self, value: str, body) -> str:
+        """``body(name)`` with ``value`` computed once."""
+        x = self.name()
+        return f"transform(array({value}), {x} -> {body(x)})[0]"
+
+    def kind(self, v: str) -> str:
+        return self.let(f"schema_of_variant({v})", lambda t: (
+            f"case when {t} is null then 'undefined' when startswith({t}, 'OBJECT') then 'object' when startswith({t}, 'ARRAY') then 'array' "
+            f"when {t} = 'STRING' then 'string' when {t} = 'BOOLEAN' then 'boolean' when {t} = 'VOID' then 'null' else 'number' end"))
+
+    def text(self, v: str, kind: str) -> str:
+        """JSON text as JavaScript prints it: numbers without a fraction as integers."""
+        number = self.let(f"try_variant_get({v}, '$', 'double')", lambda d: (
+            f"case when {d} = floor({d}) and abs({d}) < 1e15 then cast(cast({d} as bigint) as string) else to_json({v}) end"))
+        return f"case when {kind} = 'number' then {number} else to_json({v}) end"
+
+    def identity(self, v: str, kind: str) -> str:
+        """Equal for two values exactly if their JSON texts are."""
+        return f"concat({kind}, ' ', coalesce({self.text(v, kind)}, ''))"
+
+    @staticmethod
+    def fault(p: str, place: str, path: str, expected: str, received: str, rule: str) -> str:
+        return (f"named_struct('place', concat({p}.place, array({place})), 'path', {path}, 'expected', {expected}, 'received', {received}, 'rule', '{rule}')")
+
+    def own_faults(self, p: str, n: str, kind: str) -> str:
+        """Faults of a value against a node's own rules; of a choice, none."""
+        at, text = f"{p}.at", f"try_variant_get({p}.v, '$', 'string')"
+        known = " ".join(f"when '{name}' then not rlike({text}, r'{pattern}')" for name, pattern in FORMAT_PATTERNS.items())
+        lacking = self.let(f"try_variant_get({p}.v, '$', 'map<string,variant>')", lambda m: (
+            f"transform(filter({n}.required, key -> not map_contains_key({m}, key)), (key, nth) -> "
+            + self.fault(p, "0, nth", f"concat({at}, '.', key)", "'present'", "'missing'", "required") + ")"))
+        wrong_format = self.fault(p, "0, 0", at, f"concat('string(format: ', {n}.format, ')')", text, "format")
+        wrong_pattern = self.fault(p, "0, 1", at, f"concat('string matching /', {n}.pattern, '/')", text, "pattern")
+        return f"""case
+            when {n}.enum is not null then case when coalesce(array_contains({n}.enum, {self.identity(p + '.v', kind)}), false) then {self.NO_FAULTS}
+                else array({self.fault(p, '0, 0', at, f"concat('one of ', {n}.enum_text)", f"case when {kind} != 'undefined' then {self.text(p + '.v', kind)} end", 'enum')}) end
+            when {n}.choices >= 0 or {n}.types is null then {self.NO_FAULTS}
+            when not array_contains({n}.types, {kind}) then array({self.fault(p, '0, 0', at, f"array_join({n}.types, ' | ')", kind, 'type')})
+            when {kind} = 'string' then concat(
+                case when {n}.format is not null and case {n}.format {known} else false end then array({wrong_format}) else {self.NO_FAULTS} end,
+                case when {n}.pattern is not null and not rlike({text}, {n}.pattern) then array({wrong_pattern}) else {self.NO_FAULTS} end)
+            when {kind} = 'object' and size({n}.required) > 0 then {lacking}
+            else {self.NO_FAULTS} end"""
+
+    def below(self, p: str, n: str) -> str:
+        """The pairs of the values inside ``p`` (or of ``p`` itself, for branches) and the nodes that check them; missing members have none."""
+        def pair(v: str, at: str, place: str) -> str:
+            return f"named_struct('v', {v}, 'at', {at}, 'node', {n}.first + nth, 'place', concat({p}.place, array(1, {place})))"
+
+        def of(m: str, e: str) -> str:
+            return f"""flatten(transform(slice(nodes, {n}.first + 1, {n}.count), (child, nth) -> coalesce(case child.link
+                when 'prop' then case when map_contains_key({m}, child.key) then array({pair(f"element_at({m}, child.key)", f"concat({p}.at, '.', child.key)", 'nth')}) end
+                when 'items' then transform({e}, (item, place) -> {pair('item', f"concat({p}.at, '[', place, ']')", 'place')})
+                else array({pair(f'{p}.v', f'{p}.at', 'nth')}) end, {self.NO_PAIRS})))"""
+
+        return self.let(f"try_variant_get({p}.v, '$', 'map<string,variant>')", lambda m: self.let(f"try_variant_get({p}.v, '$', 'array<variant>')", lambda e: of(m, e)))
+
+    @staticmethod
+    def goes_in(n: str, kind: str) -> str:
+        """A node of this type is content with the value's kind, so that what the value holds is checked."""
+        return f"({n}.enum is null and {n}.choices < 0 and {n}.count > 0 and coalesce(array_contains({n}.types, {kind}), false))"
+
+    def node_and_kind(self, p: str, body) -> str:
+        return self.let(f"nodes[{p}.node]", lambda n: self.let(self.kind(f"{p}.v"), lambda kind: body(n, kind)))
+
+    def fails(self, p: str, levels: int) -> str:
+        """Whether a value has any fault against a node, ``levels`` levels down: a choice fails if all its branches do."""
+        def of(n: str, kind: str) -> str:
+            own = f"size({self.own_faults(p, n, kind)}) > 0"
+            if levels <= 1:
+                return own
+            child = self.name()
+            inside = f"transform({self.below(p, n)}, {child} -> {self.fails(child, levels - 1)})"
+            chooses = f"({n}.enum is null and {n}.choices >= 0)"
+            return (f"case when {chooses} or {self.goes_in(n, kind)} then "
+                    + self.let(inside, lambda r: f"case when {chooses} then forall({r}, f -> f) else exists({r}, f -> f) end or (not {chooses} and {own})")
+                    + f" else {own} end")
+
+        return self.node_and_kind(p, of)
+
+    def checked(self, p: str, deeper: bool, choice_levels: int) -> str:
+        """(faults, pairs of the next level) of one pair."""
+        def of(n: str, kind: str) -> str:
+            faults = self.own_faults(p, n, kind)
+            if choice_levels:
+                no_branch = self.fault(p, "0, 0", f"{p}.at", f"concat('one of ', {n}.choices, ' schemas')", kind, "type")
+                faults = (f"case when {n}.enum is null and {n}.choices >= 0 then case when {self.fails(p, choice_levels)} then array({no_branch}) "
+                          f"else {self.NO_FAULTS} end else {faults} end")
+            inside = f"case when {self.goes_in(n, kind)} then {self.below(p, n)} else {self.NO_PAIRS} end" if deeper else self.NO_PAIRS
+            return f"named_struct('faults', {faults}, 'below', {inside})"
+
+        return self.node_and_kind(p, of)
+
+
+_NODE_LIST = ("function_name string, names array<string>, nodes array<struct<link: string, key: string, enum: array<string>, choices: int, types: array<string>, "
+              "format: string, pattern: string, required: array<string>, first: int, count: int>>, levels int, choice_levels int")
+
+
+def _node_list(roots: list[str | None]) -> tuple[list[dict], int, int]:
+    """The schema nodes of a contract's texts, level by level, so that a node's children lie side by side; the number of levels; and of
+    those at and below a choice. Only what a check can reach becomes a node: an enum has no children, nor has a schema without a type."""
+    level = [({} if not t else json.loads(t), "root", None) for t in roots]
+    out, levels = [], []
+    while level:
+        below, offset = [], len(out) + len(level)
+        for schema, link, key in level:
+            kids, types = [], schema.get("type")
+            if "enum" not in schema and "oneOf" in schema:
+                kids = [(b, "branch", None) for b in schema["oneOf"]]
+            elif "enum" not in schema and types is not None:
+                kids = [(x, "prop", k) for k, x in (schema.get("properties") or {}).items()]
+                kids += [(schema["items"], "items", None)] if "items" in schema else []
+            out.append({"link": link, "key": key, "enum": [json.dumps(x) for x in schema["enum"]] if "enum" in schema else None,
+                        "choices": len(schema["oneOf"]) if "oneOf" in schema else -1, "types": types if isinstance(types, list) or types is None else [types],
+                        "format": schema.get("format"), "pattern": schema.get("pattern"), "required": schema.get("required") or [],
+                        "first": offset + len(below), "count": len(kids)})
+            below += kids
+        levels.append(len(level))
+        level = below
+    height = [1] * len(out)
+    for i in range(len(out) - 1, -1, -1):
+        n = out[i]
+        height[i] += max((height[j] for j in range(n["first"], n["first"] + n["count"])), default=0)
+    return out, len(levels), max((height[i] for i, n in enumerate(out) if n["choices"] >= 0 and n["enum"] is None), default=0)
+
+
+def compiled_contracts(contracts: DataFrame) -> tuple[DataFrame, int, int]:
+    """Per contract its schema nodes as one list and the roots' names; the number of levels of all; the levels of their choices. A table of
+    the size of the contracts, written once."""
+    def compiled(batches):
+        for pdf in batches:
+            rows = []
+            for f, args, returns in zip(pdf["function_name"], pdf["args"], pdf["returns"]):
+                args = list(args) if args is not None else []
+                nodes, levels, choices = _node_list([*args, returns])
+                rows.append((f, [*(f"args[{i}]" for i in range(len(args))), "return"], nodes, levels, choices))
+            yield pd.DataFrame(rows, columns=["function_name", "names", "nodes", "levels", "choice_levels"])
+
+    q = _Sql()
+    of = lambda e, what: q.let(f"parse_json({e})", lambda v: q.let(q.kind(v), lambda kind: what(v, kind)))
+    table = contracts.select("function_name", "args", "returns").mapInPandas(compiled, _NODE_LIST)
+    table = written(table.withColumn("nodes", F.expr(f"""transform(nodes, n -> named_struct('link', n.link, 'key', n.key,
+        'enum', transform(n.enum, e -> {of('e', q.identity)}), 'enum_text', concat('[', array_join(transform(n.enum, e -> {of('e', q.text)}), ','), ']'),
+        'choices', n.choices, 'types', n.types, 'format', n.format, 'pattern', n.pattern, 'required', n.required, 'first', n.first, 'count', n.count))""")))
+    most = table.agg(F.max("levels"), F.max("choice_levels")).first()
+    return table, most[0] or 0, most[1] or 0
 
 
 def validate_calls(spans: DataFrame, contracts: DataFrame, sample_rate: float = 1.0, seed: int = 7) -> DataFrame:
@@ -600,20 +609,20 @@ def validate_calls(spans: DataFrame, contracts: DataFrame, sample_rate: float =
 
     Contracts become node lists, one row a function, which meet the spans in one join (adaptive execution picks it by measured size).
     A span's values go down the nodes level by level inside its row, so nothing is shuffled by value. A payload that is no JSON has no
-    values: its arguments count as missing. Violations come in the order of the schema: own rules first, properties by name.
+    values: its arguments count as missing. Violations come in the order of the schema, a value's own rules before what it holds.
     """
     s = conform(spans)
     if sample_rate < 1.0:
         s = s.where(F.rand(seed) <= F.lit(sample_rate))
-    nodes, levels = compiled_contracts(contracts)
+    nodes, levels, choice_levels = compiled_contracts(contracts)
+    q = _Sql()
     x = s.select("function_name", "span_id", "trace_id", F.col("started_at").alias("timestamp"), "has_error",
-                 _list(F.try_parse_json("input_json")).alias("_args"), F.try_parse_json("output_json").alias("_out")).join(nodes, "function_name")
-    roots = F.filter(F.transform("names", lambda at, i: F.struct(
-        F.when(at == "return", F.col("_out")).otherwise(F.get("_args", i)).alias("v"), at.alias("at"), i.cast("int").alias("node"), F.array(i).alias("place"))),
-        lambda p: ~(F.col("has_error") & (p["at"] == "return")))
-    x = x.withColumn("_pairs", roots).withColumn("_faults", F.array().cast(f"array<{_FAULT}>"))
+                 _list(F.try_parse_json("input_json")).alias("_args"), F.try_parse_json("output_json").alias("_out")).join(nodes.drop("levels", "choice_levels"), "function_name")
+    x = x.withColumn("_pairs", F.expr("""filter(transform(names, (at, i) -> named_struct('v', case when at = 'return' then _out else get(_args, i) end,
+        'at', at, 'node', i, 'place', array(i))), p -> not (has_error and p.at = 'return'))""")).withColumn("_faults", F.expr(q.NO_FAULTS))
     for left in range(levels, 0, -1):
-        x = x.withColumn("_step", F.transform("_pairs", _checker(F.col("nodes"), left)))
+        p = q.name()
+        x = x.withColumn("_step", F.expr(f"transform(_pairs, {p} -> {q.checked(p, left > 1, min(left, choice_levels))})"))
         x = x.withColumn("_faults", F.concat("_faults", F.flatten("_step.faults"))).withColumn("_pairs", F.flatten("_step.below"))
     found = F.transform(F.array_sort("_faults"), lambda f: F.struct(*(f[c.name].alias(c.name) for c in VIOLATION.elementType.fields)))
     return x.where(F.size("_faults") > 0).select("function_name", "span_id", "trace_id", "timestamp", found.alias("violations"))
