@@ -87,8 +87,8 @@ def _literal(content: Column) -> Column:
 
 def _with_escaped(static: str, found: Column) -> Column:
     """A pattern for the static alternatives or any of the texts found in this row (few: those with escapes or beyond ASCII)."""
-    return F.when(F.size(found) > 0, F.concat(F.lit("(?:" + static + "|"), F.array_join(F.transform(found, _literal), "|"), F.lit(")"))).otherwise(
-        F.lit(static))
+    return _let(found, lambda odd: F.when(F.size(odd) > 0, F.concat(F.lit("(?:" + static + "|"), F.array_join(F.transform(odd, _literal), "|"), F.lit(")"))).otherwise(
+        F.lit(static)))
 
 
 def _is_secret(text: Column) -> Column:
@@ -100,15 +100,17 @@ def _key_pattern(form: Column, keys: list[str]) -> Column:
     lowered = sorted({k.lower() for k in keys})
     plain = [k for k in lowered if k.isascii()]
     static = "(?i:" + "|".join(re.escape(k) for k in plain) + ")" if plain else "(?!)"
-    odd = F.array_distinct(F.regexp_extract_all(form, F.lit(f"{_OPEN}([^{_CLOSE}]*+){_CLOSE}(?=\\s*+:)"), 1))
-    odd = F.filter(odd, lambda k: k.rlike(r"[^\x20-\x5B\x5D-\x7E]") & F.lower(_decoded(k)).isin(*lowered) if lowered else F.lit(False))
+    plain_text = r"\x20-\x5B\x5D-\x7E"  # printable ASCII but for the backslash
+    odd = F.array_distinct(F.regexp_extract_all(form, F.lit(f"{_OPEN}([{plain_text}]*+[^{plain_text}{_CLOSE}][^{_CLOSE}]*+){_CLOSE}(?=\\s*+:)"), 1))
+    odd = F.filter(odd, lambda k: F.lower(_decoded(k)).isin(*lowered) if lowered else F.lit(False))
     return _with_escaped(static, odd)
 
 
 def _value_pattern(form: Column) -> Column:
     """A string, ends included, whose trimmed value has a secret shape."""
-    odd = F.array_distinct(F.regexp_extract_all(form, F.lit(f"{_OPEN}([^{_CLOSE}]*+){_CLOSE}(?!\\s*+:)"), 1))
-    odd = F.filter(odd, lambda v: v.rlike(r"[\\" + _QUOTE + _BACKSLASH + "]") & F.coalesce(_is_secret(_decoded(v)), F.lit(False)))
+    escape = r"\\" + _QUOTE + _BACKSLASH
+    odd = F.array_distinct(F.regexp_extract_all(form, F.lit(f"{_OPEN}([^{escape}{_CLOSE}]*+[{escape}][^{_CLOSE}]*+){_CLOSE}(?!\\s*+:)"), 1))
+    odd = F.filter(odd, lambda v: F.coalesce(_is_secret(_decoded(v)), F.lit(False)))
     return F.concat(F.lit(_OPEN), _with_escaped(f"[{SPACES}]*+{_SHAPE}[{SPACES}]*+", odd), F.lit(_CLOSE))
 
 
@@ -169,31 +171,44 @@ def _precheck(text: Column, keys: list[str], shapes: bool) -> Column:
     return cond & ~text.rlike(_RESERVED)
 
 
+def _rewritten(text: Column, keys: list[str], values: bool, bare: bool) -> Column:
+    """(json, hits) of a text. Every step is computed once and bound by a lambda: the optimizer cannot copy it into filters."""
+    none = F.array().cast(REDACTION["hits"].dataType)
+
+    def marked(form: Column) -> Column:
+        mark = F.concat(F.lit(f"({_OPEN}"), _key_pattern(form, keys), F.lit(f"{_CLOSE})(?=\\s*+:)"))
+        return F.regexp_replace(form, mark, F.lit(f"$1{_MARK}"))
+
+    def flat(form: Column) -> Column:
+        return F.when(form.rlike(f"{_MARK}{_COLON}[\\[{{]"), _without_containers(form)).otherwise(form)
+
+    def replaced(f: Column, v: Column) -> Column:
+        by = lambda found, rule: F.transform(found, lambda k: F.struct(_decoded(k).alias("key"), F.lit(rule).alias("rule")))
+        some = F.contains(f, F.lit(_MARK))
+        hits = [F.when(some, by(F.regexp_extract_all(f, F.lit(f"{_OPEN}([^{_CLOSE}]*+){_CLOSE}{_MARK}"), 1), "key")).otherwise(none)]
+        out = F.when(some, F.regexp_replace(f, f"({_MARK}{_COLON})(?:{_STRING}|[^\\s,\\[\\]{{}}{_OPEN}]++)", f'$1"{REDACTED}"')).otherwise(f)
+        if values:
+            member = F.concat(F.lit(f"{_OPEN}([^{_CLOSE}]*+){_CLOSE}{_COLON}"), v)
+            hits.append(by(F.regexp_extract_all(f, member, 1), "value"))
+            out = _let(out, lambda o: F.when(F.rlike(o, v), F.regexp_replace(o, F.concat(F.lit(f"({_CLOSE}{_COLON})"), v), F.lit(f'$1"{REDACTED}"'))).otherwise(o))
+        if bare:
+            item = F.concat(F.lit(r"((?:\A|[\[,])\s*+)"), v, F.lit(r"(?!\s*+:)"))
+            hits.append(F.transform(F.regexp_extract_all(f, item, 1), lambda _: F.struct(F.lit(None).cast("string").alias("key"), F.lit("value").alias("rule"))))
+            out = _let(out, lambda o: F.when(F.rlike(o, v), F.regexp_replace(o, item, F.lit(f'$1"{REDACTED}"'))).otherwise(o))
+        return F.struct(_restored(out).alias("json"), F.flatten(F.array(*hits)).alias("hits"))
+
+    def of(t: Column) -> Column:
+        pattern = _value_pattern if values or bare else lambda f: F.lit("")
+        inner = _let(_lexed(t), lambda form: _let(marked(form), lambda m: _let(flat(m), lambda f: _let(pattern(f), lambda v: replaced(f, v)))))
+        return F.when(_precheck(t, keys, values or bare), inner).otherwise(F.struct(t.alias("json"), none.alias("hits")))
+
+    return _let(text, of)
+
+
 def _redact_text(df: DataFrame, col: str, keys: list[str], values: bool, bare: bool) -> DataFrame:
     """``col`` rewritten, and ``_h_<col>`` with its hits."""
-    need, form, marked, value, flat = (f"_{x}_{col}" for x in ("need", "form", "marked", "value", "flat"))
-    hit = REDACTION["hits"].dataType
-    none = F.array().cast(hit)
-    x = df.withColumn(need, F.coalesce(_precheck(F.col(col), keys, values or bare), F.lit(False)))
-    x = x.withColumn(form, F.when(F.col(need), _lexed(F.col(col))))
-    mark = F.concat(F.lit(f"({_OPEN}"), _key_pattern(F.col(form), keys), F.lit(f"{_CLOSE})(?=\\s*+:)"))
-    x = x.withColumn(marked, F.when(F.col(need), F.regexp_replace(form, mark, F.lit(f"$1{_MARK}"))))
-    x = x.withColumn(flat, F.when(F.col(marked).rlike(f"{_MARK}{_COLON}[\\[{{]"), _without_containers(F.col(marked))).otherwise(F.col(marked)))
-    x = x.withColumn(value, F.when(F.col(need), _value_pattern(F.col(flat))) if values or bare else F.lit(None).cast("string"))
-    f, v, out = F.col(flat), F.col(value), F.col(flat)
-    by = lambda found, rule: F.transform(found, lambda k: F.struct(_decoded(k).alias("key"), F.lit(rule).alias("rule")))
-    hits = [by(F.regexp_extract_all(f, F.lit(f"{_OPEN}([^{_CLOSE}]*+){_CLOSE}{_MARK}"), 1), "key")]
-    out = F.regexp_replace(out, f"({_MARK}{_COLON})(?:{_STRING}|[^\\s,\\[\\]{{}}{_OPEN}]++)", f'$1"{REDACTED}"')
-    if values:
-        hits.append(by(F.regexp_extract_all(f, F.concat(F.lit(f"{_OPEN}([^{_CLOSE}]*+){_CLOSE}{_COLON}"), v), 1), "value"))
-        out = F.regexp_replace(out, F.concat(F.lit(f"({_CLOSE}{_COLON})"), v), F.lit(f'$1"{REDACTED}"'))
-    if bare:
-        item = F.concat(F.lit(r"((?:\A|[\[,])\s*+)"), v, F.lit(r"(?!\s*+:)"))
-        hits.append(F.transform(F.regexp_extract_all(f, item, 1), lambda _: F.struct(F.lit(None).cast("string").alias("key"), F.lit("value").alias("rule"))))
-        out = F.regexp_replace(out, item, F.lit(f'$1"{REDACTED}"'))
-    x = x.withColumn(f"_h_{col}", F.when(F.col(need), F.flatten(F.array(*hits))).otherwise(none))
-    x = x.withColumn(col, F.when(F.col(need), _restored(out)).otherwise(F.col(col)))
-    return x.drop(need, form, marked, value, flat)
+    x = df.withColumn(f"_r_{col}", _rewritten(F.col(col), keys, values, bare))
+    return x.withColumn(col, F.col(f"_r_{col}.json")).withColumn(f"_h_{col}", F.col(f"_r_{col}.hits")).drop(f"_r_{col}")
 
 
 # ---------------------------------------------------------------- R4: a custom Python rule
@@ -282,7 +297,8 @@ def redact(df: DataFrame, cols: list[str] | None = None, keys: str | list[str] =
 
 def redaction_audit(redacted: DataFrame) -> DataFrame:
     """Number of redactions by key and rule."""
-    return redacted.select(F.explode("redactions").alias("r")).groupBy(
+    # the outer form, so that no filter on the whole rewrite is inferred and evaluated beside it
+    return redacted.select(F.explode_outer("redactions").alias("r")).where("r is not null").groupBy(
         F.col("r.key").alias("key"), F.col("r.rule").alias("rule")
     ).agg(F.count(F.lit(1)).alias("redactions"))
 
