@@ -13,9 +13,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``); set here only where it is unset."""
+    """The folder that driver and executors share (``spark.checkpoint.dir``); set here only where it is unset, on a local master."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set; intermediate tables need a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="spanlens-llm-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
