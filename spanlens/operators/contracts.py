@@ -329,6 +329,7 @@ def schema_nodes(contracts: DataFrame, key: str = "function_name", roots: DataFr
         out.append(lv.select(key, "steps", "path", "parent_path", "prop_key", "via_items", "type_json", "format", "enum_json",
                              "has_oneof", F.col("_props").isNotNull().alias("has_properties"),
                              F.coalesce(F.map_keys("_props"), F.array().cast("array<string>")).alias("prop_keys"),
+                             F.transform_values("_props", lambda k, x: F.to_json(x)).alias("prop_schemas"),
                              F.coalesce("required", F.array().cast("array<string>")).alias("required"),
                              F.col("_items").isNotNull().alias("has_items")))
         props = lv.select(key, "steps", F.col("path").alias("parent_path"), "via_items",
@@ -375,7 +376,7 @@ BREAKING_KINDS = ["type_changed", "required_added", "field_removed", "enum_chang
 def contract_drift(saved: DataFrame, current: DataFrame, key: str = "function_name") -> DataFrame:
     """Schema changes per function between a saved and a current contract (functions in both).
 
-    Rows: key, path, kind, before, after (JSON text). A missing argument counts as ``{}``.
+    Rows: key, path, kind, before, after (JSON text; of an added or removed field, its schema). A missing argument counts as ``{}``.
     """
     pair = saved.select(key, F.col("args").alias("_sa"), F.col("returns").alias("_sr")).join(
         current.select(key, F.col("args").alias("_ca"), F.col("returns").alias("_cr")), key)
@@ -389,7 +390,7 @@ def contract_drift(saved: DataFrame, current: DataFrame, key: str = "function_na
     roots = arg_roots.unionByName(ret_roots)
     sn = schema_nodes(None, key, roots.select(key, "path", "_s"))
     cn = schema_nodes(None, key, roots.select(key, "path", F.col("_c").alias("_s")))
-    cols = ["type_json", "format", "enum_json", "has_properties", "prop_keys", "required", "has_items"]
+    cols = ["type_json", "format", "enum_json", "has_properties", "prop_keys", "prop_schemas", "required", "has_items"]
     b = sn.select(key, "steps", "path", *[F.col(c).alias("b_" + c) for c in cols])
     a = cn.select(key, "steps", *[F.col(c).alias("a_" + c) for c in cols])
     both = cut_lineage(b.join(a, [key, "steps"]))
@@ -404,15 +405,15 @@ def contract_drift(saved: DataFrame, current: DataFrame, key: str = "function_na
         key, "path", F.lit("enum_changed").alias("kind"), F.col("b_enum_json").alias("before"),
         F.col("a_enum_json").alias("after"))
     keys = both.where(F.col("b_has_properties") | F.col("a_has_properties")).select(
-        key, "path", "b_prop_keys", "a_prop_keys", "b_required", "a_required",
+        key, "path", "b_prop_keys", "a_prop_keys", "b_prop_schemas", "a_prop_schemas", "b_required", "a_required",
         F.explode(F.array_union("b_prop_keys", "a_prop_keys")).alias("_k"))
     child = F.concat("path", F.lit("."), "_k")
     in_b = F.array_contains("b_prop_keys", F.col("_k"))
     in_a = F.array_contains("a_prop_keys", F.col("_k"))
     added = keys.where(~in_b).select(key, child.alias("path"), F.lit("field_added").alias("kind"),
-                                     nul.alias("before"), nul.alias("after"))
+                                     nul.alias("before"), F.element_at("a_prop_schemas", F.col("_k")).alias("after"))
     removed = keys.where(in_b & ~in_a).select(key, child.alias("path"), F.lit("field_removed").alias("kind"),
-                                              nul.alias("before"), nul.alias("after"))
+                                              F.element_at("b_prop_schemas", F.col("_k")).alias("before"), nul.alias("after"))
     rb = F.array_contains("b_required", F.col("_k"))
     ra = F.array_contains("a_required", F.col("_k"))
     req_rm = keys.where(rb & ~ra).select(key, child.alias("path"), F.lit("required_removed").alias("kind"),

@@ -80,6 +80,9 @@ def test_drift_new_required_field(spark):
     assert kinds == [("args[0]", "type_changed"), ("returns.a", "type_changed"), ("returns.b", "field_added"),
                      ("returns.b", "required_added")]
     assert C.drift_breaking(C.contract_drift(saved, cur)).first().is_breaking
+    added, = C.contract_drift(saved, cur).where("kind = 'field_added'").collect()
+    removed, = C.contract_drift(cur, saved).where("kind = 'field_removed'").collect()
+    assert (added.before, added.after, removed.before, removed.after) == (None, '{"type":"string"}', '{"type":"string"}', None)
 
 
 def test_confidence(spark):
