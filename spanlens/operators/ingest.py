@@ -39,7 +39,8 @@ def explode_messages(df: DataFrame, col: str = "value") -> DataFrame:
     items = F.when(is_array, F.from_json(txt, "array<string>")).otherwise(F.array(txt))
     keep = [c for c in df.columns if c != col]
     staged = df.where(parsed_ok).select(*keep, items.alias("_items"))
-    return staged.select(*keep, F.posexplode("_items").alias("msg_pos", "message"))
+    # the outer form, so that no filter on the parsed items is inferred and evaluated beside them
+    return staged.select(*keep, F.posexplode_outer("_items").alias("msg_pos", "message")).where("msg_pos is not null")
 
 
 # ---------------------------------------------------------------- P1: validation
@@ -59,6 +60,8 @@ def parse_spans(df: DataFrame, col: str = "message", require_uuid: bool = True)
 
     Returns flat span columns (see ``spanlens.schema``) plus ``reasons``; use ``split_valid`` for good/bad.
     Payloads keep JSON text: ``output_json`` is NULL when the key is absent and ``'null'`` for JSON null.
+    A message is parsed once: the rules' result goes through an ``explode``, below which no filter on ``reasons`` is pushed (it would
+    parse the message again for every field it names).
     """
     v = F.try_parse_json(F.col(col))
     df = df.withColumn("_v", v)
@@ -101,14 +104,19 @@ def parse_spans(df: DataFrame, col: str = "message", require_uuid: bool = True)
             & ((t("$.error.type") != "STRING") | (t("$.error.message") != "STRING") | (t("$.error.stack") != "STRING"))),
          "error"),
         (~t("$.tags").startswith("OBJECT")
-         | F.coalesce(F.exists(F.map_values(F.try_variant_get(v, "$.tags", "map<string,variant>")),
-                               lambda x: F.schema_of_variant(x) != "STRING"), F.lit(False)),
+         | ((t("$.tags") != "OBJECT<>")
+            & F.coalesce(F.exists(F.map_values(F.try_variant_get(v, "$.tags", "map<string,variant>")),
+                                  lambda x: F.schema_of_variant(x) != "STRING"), F.lit(False))),
          "tags"),
     ]
-    reasons = F.filter(F.array(*[F.when(c, F.lit(name)) for c, name in rules]), lambda x: x.isNotNull())
+    broken = F.concat_ws(",", *[F.when(c, F.lit(name)) for c, name in rules])  # no lambda over the rules: they are compiled
+    df = df.withColumn("_broken", F.array(broken))
+    df = df.select(*(c for c in df.columns if c != "_broken"), F.explode_outer("_broken").alias("_broken"))
+    reasons = F.when(F.col("_broken") == "", F.array().cast("array<string>")).otherwise(F.split("_broken", ","))
     err = F.variant_get(v, "$.error", "variant")
     has_err = err.isNotNull() & ~F.is_variant_null(err)
     tag_types = F.from_json(F.to_json(F.variant_get(v, "$.tags", "variant")), "map<string,string>")
+    no_tags = F.create_map().cast("map<string,string>")
     out = df.select(
         "*",
         F.variant_get(v, "$.schema_version", "string").alias("schema_version"),
@@ -129,9 +137,9 @@ def parse_spans(df: DataFrame, col: str = "message", require_uuid: bool = True)
         F.when(has_err, F.variant_get(v, "$.error.type", "string")).alias("error_type"),
         F.when(has_err, F.variant_get(v, "$.error.message", "string")).alias("error_message"),
         F.when(has_err, F.variant_get(v, "$.error.stack", "string")).alias("error_stack"),
-        F.coalesce(tag_types, F.create_map().cast("map<string,string>")).alias("tags"),
+        F.when(t("$.tags") != "OBJECT<>", F.coalesce(tag_types, no_tags)).otherwise(no_tags).alias("tags"),
         reasons.alias("reasons"),
-    ).drop("_v", col)
+    ).drop("_v", "_broken", col)
     return out
 
 

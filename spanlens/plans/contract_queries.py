@@ -224,6 +224,7 @@ _CUSTOMER_CONTRACT = (
 def customer_spans(spark, sf_dir):
     """A call per customer whose argument breaks every rule of ``_CUSTOMER_CONTRACT`` in some rows."""
     c = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_nationkey", "c_mktsegment")
+    c = c.repartition(spark.sparkContext.defaultParallelism)  # a small file is a large check: one task else
     k, text = F.col("c_custkey"), F.col("c_custkey").cast("string")
     case = lambda m, *parts: F.element_at(F.array(*(F.lit(p) if isinstance(p, str) else p for p in parts)), (k % m + 1).cast("int"))
     number = F.concat(F.lit('"id":'), text)
