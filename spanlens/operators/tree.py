@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanlens.schema import conform
-from spanlens.session import cut_lineage
+from spanlens.session import written
 from spanlens.sources.spans_io import span_json
 
 
@@ -25,23 +25,32 @@ def span_tree(spans: DataFrame, per_trace: bool = True) -> DataFrame:
     A round settles the spans whose pointer has passed the root. Spans that wait have ancestors at every smaller depth, so a
     round that settles none has only cycles left.
     """
-    s = conform(spans).select("trace_id", "span_id", "parent_span_id", "function_name", "agent_id",
-                              "duration_ms", "started_at", "received_at", "ingest_seq")
+    s = written(conform(spans).select("trace_id", "span_id", "parent_span_id", "function_name", "agent_id",
+                                      "duration_ms", "started_at", "received_at", "ingest_seq"))
     scope = ["trace_id"] if per_trace else []
-    ids = s.select(*scope, F.col("span_id").alias("_up")).distinct()
-    start = s.withColumn("_up", F.col("parent_span_id")).join(ids.withColumn("_known", F.lit(True)), [*scope, "_up"], "left")
-    state = cut_lineage(start.select(*s.columns, F.when(F.col("_known"), F.col("_up")).alias("_up"), F.array("span_id").alias("path")))
-    done = state.where("_up is null")
+    # only spans with children are ever looked up: the rounds leave the leaves out, a last join hangs them on
+    parents = s.select(*scope, F.col("parent_span_id").alias("span_id")).distinct()
+    inner = s.select(*scope, "span_id", F.col("parent_span_id").alias("_up")).join(parents, [*scope, "span_id"], "left_semi")
+    ids = inner.select(*scope, F.col("span_id").alias("_up")).distinct()
+    start = inner.join(ids.withColumn("_known", F.lit(True)), [*scope, "_up"], "left")
+    state = written(start.select(*scope, "span_id", F.when(F.col("_known"), F.col("_up")).alias("_up"), F.array("span_id").alias("path")))
+    done, waiting = state.where("_up is null"), state.where("_up is not null")
     while True:
         above = state.select(*scope, F.col("span_id").alias("_up"), F.col("_up").alias("_next"), F.col("path").alias("_head"))
-        moved = cut_lineage(state.where("_up is not null").join(above, [*scope, "_up"]).select(
-            *s.columns, F.col("_next").alias("_up"), F.concat("_head", "path").alias("path")))
-        settled = moved.where("_up is null")
+        moved = written(waiting.join(above, [*scope, "_up"]).select(
+            *scope, "span_id", F.col("_next").alias("_up"), F.concat("_head", "path").alias("path")))
+        settled, waiting = moved.where("_up is null"), moved.where("_up is not null")
         if settled.isEmpty():
             break
         done = done.unionByName(settled)
-        state = done.unionByName(moved.where("_up is not null"))
-    return done.select(*s.columns, F.element_at("path", 1).alias("root_id"), (F.size("path") - 1).alias("depth"), "path")
+        state = done.unionByName(waiting)
+    # what still waits hangs on a cycle: its path is null, and so is that of the leaves below it
+    heads = done.select(*scope, "span_id", "path").unionByName(waiting.select(*scope, "span_id", F.lit(None).cast("array<string>").alias("path")))
+    heads = heads.select(*(F.col(c).alias("_" + c) for c in scope), F.col("span_id").alias("_id"), F.col("path").alias("_head"))
+    on = [F.col("parent_span_id") == F.col("_id"), *(F.col(c) == F.col("_" + c) for c in scope)]
+    whole = F.when(F.col("_id").isNull(), F.array("span_id")).otherwise(F.concat("_head", F.array("span_id")))
+    tree = s.join(heads, on, "left").where("_id is null or _head is not null").select(*s.columns, whole.alias("path"))
+    return tree.select(*s.columns, F.element_at("path", 1).alias("root_id"), (F.size("path") - 1).alias("depth"), "path")
 
 
 def tree_depths(tree: DataFrame) -> DataFrame:
@@ -95,8 +104,10 @@ def span_tree_json(spans: DataFrame, per_trace: bool = True) -> DataFrame:
     Built bottom-up, one level per step, from the T1 table."""
     keys = ["trace_id", "span_id", "received_at", "ingest_seq"]
     whole = conform(spans)
-    text = whole.select(*keys, span_json(whole).alias("_h"))
-    tree = span_tree(spans, per_trace=per_trace).join(text, keys)
+    place = span_tree(spans, per_trace=per_trace).select(*keys, F.col("parent_span_id").alias("_parent"), F.col("root_id").alias("_root"), F.col("depth").alias("_depth"))
+    # the texts are made after the join, which so moves columns, and written once for all levels
+    tree = written(whole.join(place, keys).select(*keys, F.col("_parent").alias("parent_span_id"), F.col("_root").alias("root_id"),
+                                                  F.col("_depth").alias("depth"), span_json(whole).alias("_h")))
     max_d = tree.agg(F.max("depth")).first()[0]
     scope = ["trace_id"] if per_trace else []
 
@@ -116,5 +127,5 @@ def span_tree_json(spans: DataFrame, per_trace: bool = True) -> DataFrame:
         else:
             kid_text = F.lit("")
         lvl = lvl.withColumn("doc", node_doc(kid_text))
-        docs = cut_lineage(lvl.select(*scope, "span_id", "parent_span_id", "root_id", "received_at", "ingest_seq", "doc"))
+        docs = written(lvl.select(*scope, "span_id", "parent_span_id", "root_id", "received_at", "ingest_seq", "doc"))
     return docs.select(*scope, F.col("root_id"), F.col("doc").alias("tree_json"))
