@@ -46,7 +46,11 @@ REDACTED = "[REDACTED]"
 
 #: White space that trimming removes, and that may part the groups of a card number: Unicode's, as the agents' languages have it.
 SPACES = r"\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
-_SHAPE = "(?:" + JWT_SHAPE + "|" + CARD_SHAPE.replace(r"\s", SPACES) + ")"
+#: The shapes as Java reads them, without steps back: no white space or quote, which is all that may follow, is in a token's class.
+_CARD = CARD_SHAPE.replace(r"\s", SPACES)
+_SHAPE = r"(?:[\w-]{2,}+(?:\.[\w-]{2,}+){2}|" + _CARD + ")"
+#: White space around a value; the first test spares most texts the long class.
+_TRIM = f"(?:(?![!-~])[{SPACES}]++)?+"
 
 REDACTION = T.StructType([
     T.StructField("json", T.StringType()),
@@ -70,8 +74,17 @@ def _lexed(text: Column) -> Column:
 
 
 def _restored(form: Column) -> Column:
-    plain = F.translate(form, _IN_STRING + _OPEN + _CLOSE + _MARK, '[]{}""')
-    return F.replace(F.replace(plain, F.lit(_QUOTE), F.lit('\\"')), F.lit(_BACKSLASH), F.lit("\\\\"))
+    for char, text in [*zip(_IN_STRING, "[]{}"), (_OPEN, '"'), (_CLOSE, '"'), (_MARK, ""), (_QUOTE, '\\"'), (_BACKSLASH, "\\\\")]:
+        form = F.replace(form, F.lit(char), F.lit(text))
+    return form
+
+
+def _has_escapes(form: Column) -> Column:
+    return F.contains(form, F.lit("\\")) | F.contains(form, F.lit(_QUOTE)) | F.contains(form, F.lit(_BACKSLASH))
+
+
+def _beyond_ascii(text: Column) -> Column:
+    return F.octet_length(text) > F.length(text)
 
 
 def _decoded(content: Column) -> Column:
@@ -92,7 +105,7 @@ def _with_escaped(static: str, found: Column) -> Column:
 
 
 def _is_secret(text: Column) -> Column:
-    return text.rlike(f"\\A[{SPACES}]*+{_SHAPE}[{SPACES}]*+\\z")
+    return text.rlike(f"\\A{_TRIM}{_SHAPE}{_TRIM}\\z")
 
 
 def _key_pattern(form: Column, keys: list[str]) -> Column:
@@ -103,7 +116,7 @@ def _key_pattern(form: Column, keys: list[str]) -> Column:
     plain_text = r"\x20-\x5B\x5D-\x7E"  # printable ASCII but for the backslash
     odd = F.array_distinct(F.regexp_extract_all(form, F.lit(f"{_OPEN}([{plain_text}]*+[^{plain_text}{_CLOSE}][^{_CLOSE}]*+){_CLOSE}(?=\\s*+:)"), 1))
     odd = F.filter(odd, lambda k: F.lower(_decoded(k)).isin(*lowered) if lowered else F.lit(False))
-    return _with_escaped(static, odd)
+    return F.when(_has_escapes(form) | _beyond_ascii(form), _with_escaped(static, odd)).otherwise(F.lit(static))
 
 
 def _value_pattern(form: Column) -> Column:
@@ -111,14 +124,15 @@ def _value_pattern(form: Column) -> Column:
     escape = r"\\" + _QUOTE + _BACKSLASH
     odd = F.array_distinct(F.regexp_extract_all(form, F.lit(f"{_OPEN}([^{escape}{_CLOSE}]*+[{escape}][^{_CLOSE}]*+){_CLOSE}(?!\\s*+:)"), 1))
     odd = F.filter(odd, lambda v: F.coalesce(_is_secret(_decoded(v)), F.lit(False)))
-    return F.concat(F.lit(_OPEN), _with_escaped(f"[{SPACES}]*+{_SHAPE}[{SPACES}]*+", odd), F.lit(_CLOSE))
+    static = f"{_TRIM}{_SHAPE}{_TRIM}"
+    return F.concat(F.lit(_OPEN), F.when(_has_escapes(form), _with_escaped(static, odd)).otherwise(F.lit(static)), F.lit(_CLOSE))
 
 
 def _without_containers(form: Column) -> Column:
     """Objects and arrays under a marked key become the scalar 0, the outermost first: whatever is inside is gone with them."""
-    parts = F.split(form, f"[{_OPEN}{_CLOSE}]")  # outside, inside, outside, ...
-    safe = F.array_join(F.transform(parts, lambda x, i: F.when(
-        i % 2 == 1, F.concat(F.lit(_OPEN), F.translate(x, "[]{}", _IN_STRING), F.lit(_CLOSE))).otherwise(x)), "")
+    held = F.lit(f"{_OPEN}[^{_CLOSE}\\[\\]{{}}]*+[\\[\\]{{}}][^{_CLOSE}]*+{_CLOSE}")  # a string with brackets
+    safe = F.array_join(F.zip_with(F.split(form, held), F.regexp_extract_all(form, held, 0), lambda x, y: F.concat(
+        x, F.coalesce(F.translate(y, "[]{}", _IN_STRING), F.lit("")))), "")
     tokens = F.regexp_extract_all(safe, F.lit(f"{_MARK}{_COLON}[\\[{{]|[\\[{{]|[\\]}}]|[^\\[\\]{{}}{_MARK}]++|{_MARK}"), 0)
     none = F.array().cast("array<struct<a: int, b: int>>")
     zero = F.struct(F.lit(0).alias("i"), F.lit(0).alias("depth"), F.lit(-1).alias("start"), F.lit(0).alias("at"), none.alias("hits"))
@@ -163,11 +177,11 @@ def _resolve_keys(keys: str | list[str], extra_keys: list | None) -> list[str]:
 def _precheck(text: Column, keys: list[str], shapes: bool) -> Column:
     """Superset test: can this text hold something to redact? Escapes and characters beyond ASCII are looked at closely."""
     plain = "|".join(re.escape(k.lower()) for k in keys if k.isascii())
-    cond = F.contains(text, F.lit("\\")) | text.rlike(f'"[^"]*[^\\x00-\\x7F][^"]*"\\s*:')
-    if plain:
-        cond = cond | text.rlike(f'(?i)"(?:{plain})"\\s*:')
-    if shapes:
-        cond = cond | text.rlike(f'"[{SPACES}]*{_SHAPE}[{SPACES}]*"')
+    cond = F.contains(text, F.lit("\\")) | (_beyond_ascii(text) & text.rlike(r'"[\x00-\x21\x23-\x7F]*+[^"\x00-\x7F][^"]*+"\s*+:'))
+    if plain:  # from the few ends of keys backwards
+        cond = cond | text.rlike(f'"(?=\\s*+:)(?<="(?i:{plain})")')
+    if shapes:  # first what the end of a secret looks like, from its points or digits on
+        cond = cond | (text.rlike(f'(?:\\.[\\w-]{{2,}}+\\.[\\w-]{{2,}}+|{_CARD}){_TRIM}"') & text.rlike(f'"{_TRIM}{_SHAPE}{_TRIM}"'))
     return cond & ~text.rlike(_RESERVED)
 
 
@@ -176,26 +190,33 @@ def _rewritten(text: Column, keys: list[str], values: bool, bare: bool) -> Colum
     none = F.array().cast(REDACTION["hits"].dataType)
 
     def marked(form: Column) -> Column:
-        mark = F.concat(F.lit(f"({_OPEN}"), _key_pattern(form, keys), F.lit(f"{_CLOSE})(?=\\s*+:)"))
-        return F.regexp_replace(form, mark, F.lit(f"$1{_MARK}"))
+        end = F.concat(F.lit(f"{_CLOSE}(?=\\s*+:)(?<={_OPEN}"), _key_pattern(form, keys), F.lit(f"{_CLOSE})"))
+        return F.regexp_replace(form, end, F.lit(_CLOSE + _MARK))
 
     def flat(form: Column) -> Column:
-        return F.when(form.rlike(f"{_MARK}{_COLON}[\\[{{]"), _without_containers(form)).otherwise(form)
+        return F.when(F.contains(form, F.lit(_MARK)) & form.rlike(f"{_MARK}{_COLON}[\\[{{]"), _without_containers(form)).otherwise(form)
 
     def replaced(f: Column, v: Column) -> Column:
         by = lambda found, rule: F.transform(found, lambda k: F.struct(_decoded(k).alias("key"), F.lit(rule).alias("rule")))
         some = F.contains(f, F.lit(_MARK))
-        hits = [F.when(some, by(F.regexp_extract_all(f, F.lit(f"{_OPEN}([^{_CLOSE}]*+){_CLOSE}{_MARK}"), 1), "key")).otherwise(none)]
+        hits = F.when(some, by(F.regexp_extract_all(f, F.lit(f"{_OPEN}([^{_CLOSE}]*+){_CLOSE}{_MARK}"), 1), "key")).otherwise(none)
         out = F.when(some, F.regexp_replace(f, f"({_MARK}{_COLON})(?:{_STRING}|[^\\s,\\[\\]{{}}{_OPEN}]++)", f'$1"{REDACTED}"')).otherwise(f)
-        if values:
-            member = F.concat(F.lit(f"{_OPEN}([^{_CLOSE}]*+){_CLOSE}{_COLON}"), v)
-            hits.append(by(F.regexp_extract_all(f, member, 1), "value"))
-            out = _let(out, lambda o: F.when(F.rlike(o, v), F.regexp_replace(o, F.concat(F.lit(f"({_CLOSE}{_COLON})"), v), F.lit(f'$1"{REDACTED}"'))).otherwise(o))
-        if bare:
-            item = F.concat(F.lit(r"((?:\A|[\[,])\s*+)"), v, F.lit(r"(?!\s*+:)"))
-            hits.append(F.transform(F.regexp_extract_all(f, item, 1), lambda _: F.struct(F.lit(None).cast("string").alias("key"), F.lit("value").alias("rule"))))
-            out = _let(out, lambda o: F.when(F.rlike(o, v), F.regexp_replace(o, item, F.lit(f'$1"{REDACTED}"'))).otherwise(o))
-        return F.struct(_restored(out).alias("json"), F.flatten(F.array(*hits)).alias("hits"))
+        if not (values or bare):
+            return F.struct(_restored(out).alias("json"), hits.alias("hits"))
+
+        def shapes(o: Column) -> Column:
+            found = []
+            if values:
+                member = F.concat(F.lit(f"{_OPEN}([^{_CLOSE}]*+){_CLOSE}{_COLON}"), v)
+                found.append(by(F.regexp_extract_all(f, member, 1), "value"))
+                o = F.regexp_replace(o, F.concat(F.lit(f"({_CLOSE}{_COLON})"), v), F.lit(f'$1"{REDACTED}"'))
+            if bare:
+                item = F.concat(F.lit(r"((?:\A|[\[,])\s*+)"), v, F.lit(r"(?!\s*+:)"))
+                found.append(F.transform(F.regexp_extract_all(f, item, 1), lambda _: F.struct(F.lit(None).cast("string").alias("key"), F.lit("value").alias("rule"))))
+                o = F.regexp_replace(o, item, F.lit(f'$1"{REDACTED}"'))
+            return F.struct(_restored(o).alias("json"), F.flatten(F.array(hits, *found)).alias("hits"))
+
+        return _let(out, lambda o: F.when(F.rlike(f, v), shapes(o)).otherwise(F.struct(_restored(o).alias("json"), hits.alias("hits"))))
 
     def of(t: Column) -> Column:
         pattern = _value_pattern if values or bare else lambda f: F.lit("")

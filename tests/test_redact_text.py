@@ -109,3 +109,32 @@ def test_custom_rule_survives_odd_texts(spark):
     df = spark.createDataFrame([(r'[{"\ud800x":"\ud800","x":"\udfff"}]',), (None,)], "input_json string")
     got = redact(df, rule=lambda k, v: "[REDACTED]" if "x" in k else v).select("input_json", F.size("redactions").alias("n")).collect()
     assert [tuple(r) for r in got] == [(r'[{"\ud800x":"[REDACTED]","x":"[REDACTED]"}]', 2), (None, 0)]
+
+
+def test_payload_text_is_the_plain_one(spark, tmp_path):
+    """Words and settings of odd texts, as splitting and cleaning word by word gives them."""
+    from spanlens.plans import payload_queries as P
+
+    texts = ["", " a  b\t\r\nc ", "\n", 'k="v"x = "y" é=  "no" ké="z"', 'a_1\x0b=\n"q\tr\u00e9\U0001f600" b="', '"x"="y"="z"', "ti\x01\x0b\x7f\\[]{}é\u2003\U0001f600!",
+             "a=b \"c\"", 'token="t" note="abc.def.ghi" card="4532 0151 1283 0366" abc.def.ghi', "password = \"\"", 'a="1"b="2"c="3"', "=\"x\"", 'x==="y"']
+    rows = [(3 * i + j, t) for i, t in enumerate(texts) for j in (0, 1)] + [(1000, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    clean = lambda v: re.sub(r"[^ !#-\[\]-~]", " ", v)
+    assign = re.compile(r'(\w+)\s*=\s*"([^"]*)"', re.ASCII)
+    hidden = lambda v: "[REDACTED]" if any(p.fullmatch(v.strip(SPACE)) for p in (JWT, CARD)) else v
+    got = {r.doc_id: r.redacted for r in P.q_redacted_text(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows) - 1
+    for i, t in rows[:-1]:
+        settings = ",".join('{"' + k + '" : "' + ("[REDACTED]" if k.lower() in HUB_KEYS else hidden(clean(v))) + '"}' for k, v in assign.findall(t))
+        words = ", ".join('"' + hidden(clean(w)) + '"' for w in re.split(r"[ \t\n\r]+", t))
+        middle = ',"Secret": "[REDACTED]","n":1.50' if i % 3 == 0 else ',"n":-0'
+        assert got[i] == '[{"doc_id": ' + str(i) + ', "settings":[' + settings + "]" + middle + ',"words":[' + words + "]}]", t
+    made = {r.doc_id: json.loads(r.input_json)[0] for r in P.doc_payloads(spark, str(tmp_path)).collect()}
+    assert made[1000] == {"doc_id": 1000}
+    assert all(made[i]["settings"] == [{k: v} for k, v in assign.findall(t)] for i, t in rows[:-1])
+
+
+def test_no_keys_and_empty_keys(spark):
+    df = spark.createDataFrame([('{"":{"a":1},"b":["abc.def.ghi"],"c":"abc.def.ghi"}',)], "input_json string")
+    assert redact(df, keys=[], values=True).first().input_json == '{"":{"a":1},"b":["abc.def.ghi"],"c":"[REDACTED]"}'
+    assert redact(df, keys=["", "B"]).first().input_json == '{"":"[REDACTED]","b":"[REDACTED]","c":"abc.def.ghi"}'
