@@ -30,8 +30,7 @@ def _assigned(group: int):
 
 def doc_payloads(spark, sf_dir):
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    ks = F.regexp_extract_all("text", F.lit(ASSIGN), 1)
-    vs = F.regexp_extract_all("text", F.lit(ASSIGN), 2)
+    ks, vs = _assigned(1), _assigned(2)
     payload = F.struct(
         "doc_id",
         F.zip_with(ks, vs, lambda k, v: F.create_map(k, v)).alias("settings"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -134,6 +135,20 @@ def test_payload_text_is_the_plain_one(spark, tmp_path):
     assert all(made[i]["settings"] == [{k: v} for k, v in assign.findall(t)] for i, t in rows[:-1])
 
 
+def test_long_strings_take_time_by_their_length(spark, tmp_path):
+    """One long word, one long string beyond ASCII and one of brackets: every character is looked at a bounded number of times."""
+    from spanlens.plans import payload_queries as P
+
+    n = 300000
+    spark.createDataFrame([(3, "a" * n), (4, "a" * n + '="v"')], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    df = spark.createDataFrame([(0, '["' + "é" * n + '"]'), (1, '{"token":{"a":"' + "[" * n + '"},"b":["]"],"c":["' + "}" * n + '"]}')], "id int, input_json string")
+    start = time.time()
+    assert {r.doc_id: r.n for r in P.doc_payloads(spark, str(tmp_path)).selectExpr("doc_id", "length(input_json) n").collect()} == {3: n + 41, 4: n + n + 55}
+    got = {r.id: r.input_json for r in redact(df, keys="hub").collect()}
+    assert got == {0: '["' + "é" * n + '"]', 1: '{"token":"[REDACTED]","b":["]"],"c":["' + "}" * n + '"]}'}
+    assert time.time() - start < 60
+
+
 def test_no_keys_and_empty_keys(spark):
     df = spark.createDataFrame([('{"":{"a":1},"b":["abc.def.ghi"],"c":"abc.def.ghi"}',)], "input_json string")
     assert redact(df, keys=[], values=True).first().input_json == '{"":{"a":1},"b":["abc.def.ghi"],"c":"[REDACTED]"}'
