@@ -152,6 +152,14 @@ def test_simhash_links_all_pairs_once(spark):
     assert {(r.a, r.b) for r in got} == want and len(got) == len(want)
 
 
+def test_simhash_visits_never_pass_the_driver(spark):
+    """Spark takes visits for as many rows as fingerprints, so few fingerprints would have them broadcast."""
+    links = simhash.links(spark.range(40).select(F.col("id").alias("fp")), 2)
+    assert links.count() and links.collect()
+    plan = links._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_toxicity_held_out(spark, none):
     draw = random.Random(1)
     rows, labels = [], []
