@@ -8,6 +8,7 @@ import pytest
 import __spark_entry__ as entry
 import corpus_pipeline
 from spanlens.llm import queries as llm
+from spanlens.llm import simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -46,3 +47,18 @@ def test_pipeline_on_an_empty_table(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = corpus_pipeline.written(stage(spark, docs, SF), "empty-stage")
         assert docs.count() == 0
+
+
+def test_near_dedup_keeps_visits_off_the_driver(spark, monkeypatch):
+    plans = []
+
+    def spied(edges, *how):
+        edges.count()
+        plans.append(edges._jdf.queryExecution().executedPlan().toString())
+        return components(edges, *how)
+
+    components = simhash.components
+    monkeypatch.setattr(simhash, "components", spied)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert 0 < corpus_pipeline.near_dedup(spark, docs, SF).count() <= docs.count()
+    assert len(plans) == 1 and "SortMergeJoin" in plans[0] and "Broadcast" not in plans[0]
