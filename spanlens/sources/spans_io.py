@@ -2,7 +2,8 @@
 
 Readers return DataFrames in the flat span layout (``spanlens.schema``); writers take DataFrames. Whole-document
 formats (a snapshot, a session file, a contract file) are one JSON document per file, which Spark reads with
-``wholetext`` (one file per task) and explodes; nothing is gathered on the driver. The Spark-native layout for
+``wholetext`` (one file per task) and explodes; a session file with a call a line is read by line. Only the names of
+session files of other layouts are gathered on the driver. The Spark-native layout for
 large stores is Parquet partitioned by ``snapshot_id`` / ``session``.
 """
 
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from spanlens.operators.ingest import parse_spans
 from spanlens.schema import conform
+from spanlens.session import written
 
 
 def _vnull_or(c: Column, v: Column) -> Column:
@@ -187,7 +189,8 @@ def write_session_documents(calls: DataFrame, sessions: DataFrame, path: str) ->
         """The column as JSON text, null included."""
         return F.concat(F.lit(""), F.regexp_extract(F.to_json(F.struct(F.col(c).alias("v")), {"ignoreNullFields": "false"}), r'(?s)\A\{"v":(.*)\}\z', 1))
 
-    raw = lambda key, c: F.when(F.col(c).isNotNull(), F.concat(F.lit(f'"{key}":'), F.col(c), F.lit(",")))
+    # a line break in JSON text is space between its parts: the call stays on its line
+    raw = lambda key, c: F.when(F.col(c).isNotNull(), F.concat(F.lit(f'"{key}":'), F.translate(c, "\r\n", "  "), F.lit(",")))
     error = F.when(F.col("error_type").isNull(), F.lit("null")).otherwise(
         F.concat(F.lit('{"type":'), value("error_type"), F.lit(',"message":'), value("error_message"), F.lit("}")))
     call = F.concat_ws("", F.lit('{"sequence":'), F.col("sequence").cast("string"), F.lit(',"function":'), value("function"), F.lit(',"spanId":'), value("span_id"),
@@ -203,10 +206,56 @@ def write_session_documents(calls: DataFrame, sessions: DataFrame, path: str) ->
     lines.select("session", "value").write.mode("overwrite").partitionBy("session").text(path)
 
 
+def _document_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of all files, without space around them and but for empty ones: file, block (start of the split), line."""
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                                       F.trim("value", F.lit(" \t\r\n")).alias("line"))
+    return raw.where(F.col("line") != "")
+
+
+def _documents_by_line(spark: SparkSession, path: str) -> DataFrame:
+    """(file, by_line, session, start_time, end_time), a row a file. ``by_line``: the file is one document that has a head up to ``"calls":[``,
+    a call with a sequence on each line (all but the first after a comma) and ``]}``, so that its lines can be read one by one.
+
+    A line's hash is put behind it before it is parsed: where it comes back as the next element, the line is whole JSON and no more.
+    The session is null if it is no string.
+    """
+    line, mark = F.col("line"), F.col("_mark")
+    text = mark.cast("string")
+    opens, ends, later = line.endswith("["), line == "]}", line.startswith(",")
+    call = F.concat(F.lit("["), F.when(later, line.substr(F.lit(2), F.length(line))).otherwise(line), F.lit(","), text, F.lit("]"))
+    lines = _document_lines(spark, path).withColumn("_id", F.monotonically_increasing_id()).withColumn("_mark", F.xxhash64("line"))
+    lines = lines.select("file", "block", "_id", "_mark", later.alias("_later"), ends.alias("_ends"),
+                         F.when(opens, F.try_parse_json(F.concat("line", text, F.lit("]}")))).alias("_head"),
+                         F.when(~opens & ~ends, F.try_parse_json(call)).alias("_call"))
+    head = F.when(F.try_variant_get("_head", "$.calls[0]", "long") == mark, F.struct(
+        F.when(F.schema_of_variant(F.variant_get("_head", "$.session", "variant")) == "STRING", F.try_variant_get("_head", "$.session", "string")).alias("session"),
+        F.try_variant_get("_head", "$.startTime", "string").alias("start_time"), F.try_variant_get("_head", "$.endTime", "string").alias("end_time")))
+    is_call = (F.try_variant_get("_call", "$[1]", "long") == mark) & F.try_variant_get("_call", "$[0].sequence", "long").isNotNull()
+    lines = lines.select("file", "block", "_id", "_later", "_ends", head.alias("_head"), is_call.alias("_call"))
+    kind = F.when(F.col("_head").isNotNull(), 0).when(F.col("_call") & ~F.col("_later"), 1).when(F.col("_call"), 2).when(F.col("_ends"), 3).otherwise(-1)
+    # counts by split first: the order of a file's lines is that of (block, id)
+    splits = lines.select("file", "block", "_id", "_head", kind.alias("kind")).groupBy("file", "block", "kind", "_head").agg(
+        F.count(F.lit(1)).alias("n"), F.min("_id").alias("lo"), F.max("_id").alias("hi"))
+    kinds = splits.groupBy("file", "kind").agg(F.sum("n").alias("n"), F.min(F.struct("block", F.col("lo").alias("id"))).alias("lo"),
+                                               F.max(F.struct("block", F.col("hi").alias("id"))).alias("hi"), F.max("_head").alias("_head"))
+    files = kinds.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("kind", "n", "lo", "hi"))).alias("k"), F.max("_head").alias("_head"))
+    found = F.array_join(F.transform("k", lambda x: x["kind"].cast("string")), "")
+    one = F.forall("k", lambda x: (x["kind"] == 2) | (x["n"] == 1))
+    in_turn = F.forall(F.sequence(F.lit(1), F.size("k") - 1), lambda i: F.col("k")[i - 1]["hi"] < F.col("k")[i]["lo"])
+    return files.select("file", F.when(found.isin("03", "013", "0123"), one & in_turn).otherwise(False).alias("by_line"), "_head.*")
+
+
 def read_session_documents(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Session JSON documents ``{session, startTime, endTime, calls[]}`` → (calls, sessions); a document
-    without a string ``session`` or an array ``calls`` is skipped."""
-    docs = spark.read.text(path, wholetext=True)
+    without a string ``session`` or an array ``calls`` is skipped.
+
+    A document with a call a line, as ``write_session_documents`` lays it out, is read line by line in as many tasks as it has splits;
+    whether each file is so laid out is found by a pass over all lines before this returns. Any other document is read whole, in one task.
+    """
+    files = written(_documents_by_line(spark, path))
+    others = [r.file for r in files.where("not by_line").select("file").collect()]
+    docs = spark.read.text(path, wholetext=True).where(F.col("_metadata.file_path").isin(others))
     v = F.col("_doc")
     d = docs.select(F.try_parse_json("value").alias("_doc")).select(
         F.try_variant_get(v, "$.session", "string").alias("session"),
@@ -215,10 +264,15 @@ def read_session_documents(spark: SparkSession, path: str) -> tuple[DataFrame, D
         F.try_variant_get(v, "$.endTime", "string").alias("end_time"),
         F.try_variant_get(v, "$.calls", "array<variant>").alias("_calls"),
     ).where((F.col("_st") == "STRING") & F.col("_calls").isNotNull())
+    heads = files.where("by_line and session is not null")
     now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
-    sessions = d.select("session", F.coalesce("start_time", now).alias("start_time"),
-                        F.coalesce("end_time", now).alias("end_time"))
-    c = d.select("session", F.posexplode("_calls").alias("_pos", "c"))
+    sessions = d.select("session", "start_time", "end_time").unionByName(heads.select("session", "start_time", "end_time")).select(
+        "session", F.coalesce("start_time", now).alias("start_time"), F.coalesce("end_time", now).alias("end_time"))
+    line = F.col("line")
+    lines = _document_lines(spark, path).where(~line.endswith("[") & (line != "]}")).join(heads.select("file", "session"), "file").select(
+        "session", F.lit(None).cast("int").alias("_pos"),
+        F.try_parse_json(F.when(line.startswith(","), line.substr(F.lit(2), F.length(line))).otherwise(line)).alias("c"))
+    c = d.select("session", F.posexplode("_calls").alias("_pos", "c")).unionByName(lines)
     err = F.variant_get("c", "$.error", "variant")
     has_err = err.isNotNull() & ~F.is_variant_null(err)
     calls = c.select(

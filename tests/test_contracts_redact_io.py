@@ -10,6 +10,7 @@ from helpers import make_spans
 from pyspark.sql import functions as F
 
 from spanlens.operators import contracts as C
+from spanlens.operators import sessions as SS
 from spanlens.operators.http import http_calls
 from spanlens.operators.redact import redact, redaction_audit
 from spanlens.sources import spans_io as IO
@@ -209,3 +210,67 @@ def test_dumps_keep_arrival_order_of_equal_times(spark):
     IO.write_spans(s, d)
     back = IO.read_spans(spark, d, require_uuid=False).orderBy("ingest_seq").collect()
     assert [r.span_id for r in back] == [f"s{i}" for i in range(5)]
+
+
+def test_session_documents_are_read_by_line_in_many_tasks(spark):
+    """One document, a call a line, is no single task's work, and no row holds it."""
+    d = tempfile.mkdtemp(prefix="spanlens-io-")
+    spans = make_spans(spark, [{"function_name": f"f{i % 3}", "input": {"k": i, "t": "x" * 200}, "started_at": i, "error_type": "E" if i % 7 == 0 else None}
+                               for i in range(400)]).withColumn("input_json", F.regexp_replace("input_json", ",", ",\n"))
+    calls, meta = SS.record_session(spans, "big")
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        IO.write_session_documents(calls, meta, d)
+        got, back = IO.read_session_documents(spark, d)
+        assert got.select(F.spark_partition_id()).distinct().count() > 3
+        cols = ["sequence", "function", "span_id", "duration_ms", "error_type"]
+        assert sorted(map(tuple, got.select(*cols).collect()), key=str) == sorted(map(tuple, calls.select(*cols).collect()), key=str)
+        assert {json.loads(r.args_json)["k"] for r in got.collect()} == set(range(400))
+        assert [tuple(r) for r in back.collect()] == [tuple(r) for r in meta.select(*back.columns).collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", kept[1])
+
+
+def test_session_documents_of_any_layout(spark):
+    """A file is read by line only where that gives what the whole document gives."""
+    d = tempfile.mkdtemp(prefix="spanlens-io-")
+    one, two = '{"sequence":5,"function":"f","args":[1]}', '{"sequence":6,"function":"g"}'
+    head = '{"session":"%s","startTime":"a","calls":['
+    texts = {
+        "lines": (head + f"\n{one}\n,{two}\n]}}\n", [5, 6]),
+        "blank": ("\r\n  " + head + f" \r\n\r\n {one}\r\n , {two} \r\n\t]}}\r\n\r\n", [5, 6]),
+        "none": (head + "\n]}\n", []),
+        "flat": (head + one + "," + two + "]}", [5, 6]),
+        "after": (head + f"\n{one},\n{two}\n]}}", [5, 6]),
+        "pair": (head + f"\n{one},{two}\n,{two}\n]}}", [5, 6, 6]),
+        "pretty": (head + '\n{\n"sequence":\n5}\n,\n{"sequence":6\n}\n]\n}\n', [5, 6]),
+        "places": (head + '\n{"function":"f"}\n,3\n,{"sequence":9}\n]}', [1, 2, 9]),
+        "more": (head + f"\n{one}\n]\n,\"x\":[\n]}}", [5]),
+        "other": (f'{{"session":"%s","calls":[{one}],"x":[\n{two}\n]}}', [5]),
+        "behind": (head + f"\n{one}\n]}}\n{two}\n", [5]),
+        "no comma": (head + f"\n{one}\n{two}\n]}}", None),
+        "two commas": (head + f"\n{one}\n,,{two}\n]}}", None),
+        "comma first": (head + f"\n,{one}\n,{two}\n]}}", None),
+        "ends twice": (head + f"\n{one}\n]}}\n]}}\n", [5]),
+        "heads twice": (head + '\n{"session":"x","calls":[\n' + f"{one}\n]}}", None),
+        "cut": (head + f"\n{one}\n,{two}\n", None),
+        "bad call": (head + f"\n{one}\n,{{\"sequence\":}}\n]}}", None),
+        "extra bracket": (head + f"\n{one}\n,{two}]\n]}}", None),
+        "turned": (f"]}}\n{one}\n" + head, None),
+        "number": (f'{{"session":7,"n":"%s","calls":[\n{one}\n]}}', None),
+        "empty": ("%s"[:0], None),
+    }
+    for name, (text, _) in texts.items():
+        with open(os.path.join(d, f"s{{}} {name}*%.json"), "w", newline="") as fh:
+            fh.write(text % name if text else text)
+    calls, meta = IO.read_session_documents(spark, d)
+    want = {name: found for name, (_, found) in texts.items() if found is not None}
+    assert sorted(r.session for r in meta.collect()) == sorted(want)
+    got = {name: [] for name in want}
+    for r in calls.orderBy("sequence").collect():
+        got[r.session].append(r.sequence)
+    assert got == want
+    assert {r.args_json for r in calls.where("function = 'f' and sequence = 5").collect()} == {"[1]"}
